@@ -1,8 +1,79 @@
-"""The corpus pipeline (part of the llm subpackage)."""
+"""The corpus pipeline, part of subpackage llm: five stages from raw documents to packed sequences.
 
-STAGES: list = []
+Every stage works on all that the one before it kept, is written as Parquet and read again. Stages
+before the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import decontam, langid, ngram_join, packing, suffix_dedup
+from quarry.llm.common import materialize
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Dropped ids up to this number (16 MB) are sent to all executors; above it the join shuffles.
+BROADCAST_IDS = 2_000_000
+#: No stage but the first could be put in SQL that finishes on whole tables, and the last needs a tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS)
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    gone = materialize(gone.select("doc_id").distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go: those without a letter, and those without text."""
+    docs = _documents(docs)
+    told = langid.predict(docs, langid.train(docs), list(COLUMNS))
+    return told.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links connect, the document with the smallest doc_id stays."""
+    docs = _documents(docs)
+    labels = ngram_join.link_components(docs)
+    return _without(docs, labels.filter("node != component").select(F.col("node").alias("doc_id")))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand in an earlier document are cut out; documents of which nothing is left go."""
+    kept = suffix_dedup.remove_repeats(_documents(docs), with_text=True, keep=("lang", "source"))
+    text = F.col("kept")
+    return kept.filter(F.length(text) > 0).select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark window go."""
+    docs = _documents(docs)
+    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.filter("contaminated"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of fixed-length sequences."""
+    return packing.pack(_documents(docs))
+
+
+STAGES = [
+    ("language ID", language),
+    ("near duplicates", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
