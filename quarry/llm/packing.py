@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import BYTE_BPE, encoder, tokenizer_path
+from .tokens import BYTE_BPE, encoder, slices, tokenizer_path
 
 SEQUENCE_TOKENS, END_ID = 2048, 1
 
@@ -31,10 +31,10 @@ def encode_documents(docs: DataFrame, path: str, end_id: int | None = END_ID, id
     def encode(batches):
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             starts, counts, wides, blobs = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.frombuffer(enc.encode(text or "") + end, "<u4")
+            for encoded in enc.encode_all(batch.column(1)):
+                ids = np.frombuffer(encoded + end, "<u4")
                 wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
                 starts.append(at)
                 counts.append(len(ids))

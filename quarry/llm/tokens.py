@@ -1,9 +1,10 @@
 """Exact cached encoding with a public tokenizer file.
 
-Both supported pre-tokenizers cut at white space, so a text's ids are the joined ids of its segments
-(an optional leading space and a run of other characters, or a run of white space). Segments repeat,
-so each worker keeps their ids; texts that hold a special token's string, or characters whose class
-differs between the two regex engines, are encoded whole.
+Both supported pre-tokenizers cut at white space, and between letters and the ASCII signs ``.,;:!?``;
+so a text's ids are the joined ids of such segments. Segments repeat, so each worker keeps their ids.
+New plain words are one pre-token each and go to the library's model at once; whatever isn't a plain
+word is encoded by itself. Texts that hold a special token's string, or
+characters that the two regex engines class differently, are encoded whole.
 """
 
 from __future__ import annotations
@@ -11,14 +12,24 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
+from array import array
 
 import numpy as np
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-CACHE_ENTRIES = 400_000
+#: Segments kept by a worker; a full cache stays as it is until it misses more than this share.
+CACHE_ENTRIES, STALE_SHARE = 250_000, 0.4
+GROUP_TEXTS = 64
 
-_SEGMENT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_ODD = re.compile("[\x1c-\x1f]")
+_SPACED = re.compile(r" ?[^\W\d_]+(?=[.,;:!?\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
+_DROPPED = re.compile(r"[^\W\d_]+(?=[.,;:!?\s]|\Z)|\S+")
+#: Separators that only Python counts as white space, and the letter that is lower-cased by what follows.
+_ODD = re.compile("[\x1c-\x1fΣ]")
+
+#: The public byte-level rule: bytes without a visible character of their own stand at 256 and on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,42 +42,83 @@ def tokenizer_path(name: str) -> str:
 class SegmentEncoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
+        """ordinary: special tokens' strings in a text are ordinary text."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = self.tokenizer.normalizer is not None
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.split = (_DROPPED if self.drops_space else _SPACED).findall
+        self.tokenizer.encode_special_tokens = ordinary
+        self.special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def segments(self, text: str) -> list[str]:
-        if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        return _SEGMENT.findall(text)
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special) or not self.drops_space and _ODD.search(text):
-            return self.whole(text)
-        segments = self.segments(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, segments))
-        except KeyError:
-            pass
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        missing = [s for s in dict.fromkeys(segments) if s not in self.cache]
-        for s, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            self.cache[s] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(self.cache.__getitem__, segments))
+    def plain(self, segment: str) -> bool:
+        """Whether the segment is one pre-token for certain."""
+        return segment.isalpha() if self.drops_space else segment[0] == " " and segment[1:].isalpha()
+
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """Plain words straight through the library's model, which skips its pre-tokenizer."""
+        tokenize, out = self.tokenizer.model.tokenize, {}
+        for w in words:
+            form = unicodedata.normalize("NFC", w).lower() if self.drops_space else w
+            if self.drops_space and not form.isalpha():
+                continue
+            if not w.isascii() or not self.drops_space:
+                form = form.encode("utf-8").decode("latin-1").translate(_VISIBLE)
+            out[w] = array("I", [t.id for t in tokenize(form)]).tobytes()
+        return out
+
+    def one_by_one(self, segments: list[str]) -> dict[str, bytes]:
+        got = self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)
+        return {s: np.asarray(e.ids, "<u4").tobytes() for s, e in zip(segments, got, strict=True)}
+
+    def encode_group(self, texts: list[str | None]) -> list[bytes]:
+        known, cut = self.cache, {}
+        out = [b""] * len(texts)
+        for i, text in enumerate(texts):
+            if text and (any(s in text for s in self.special) or _ODD.search(text)):
+                out[i] = self.whole(text)
+            elif text:
+                cut[i] = self.split(text)
+        seen = set().union(*cut.values())
+        new: dict[str, bytes] = {}
+        if missing := seen.difference(known):
+            simple = [s for s in missing if self.plain(s)]
+            new = self.words(simple) if simple else {}
+            if other := [s for s in missing if s not in new]:
+                new |= self.one_by_one(other)
+            known |= new
+        for i, segments in cut.items():
+            out[i] = b"".join(map(known.__getitem__, segments))
+        if len(known) > CACHE_ENTRIES:
+            if len(new) > STALE_SHARE * len(seen):
+                known.clear()
+            else:
+                for s in new:
+                    del known[s]
+        return out
+
+    def encode_all(self, column) -> list[bytes]:
+        """ids of every text of an Arrow column, a group at a time."""
+        return [ids for at in range(0, len(column), GROUP_TEXTS) for ids in self.encode_group(column.slice(at, GROUP_TEXTS).to_pylist())]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_group([text])[0]
+
+
+def slices(batches, rows: int = 1024):
+    """Arrow batches of a bounded number of rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> SegmentEncoder:
+def encoder(path: str, ordinary: bool = False) -> SegmentEncoder:
     """One encoder per worker process and file."""
-    return SegmentEncoder(path)
+    return SegmentEncoder(path, ordinary)
