@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .blobs import read_blobs, write_blobs
 from .common import shared_path
-from .tokens import WORD_BPE, encoder, tokenizer_path
+from .tokens import WORD_BPE, encoder, slices, tokenizer_path
 
 MAGIC, RANK_BITS, SEGMENT_TOKENS, END_ID = b"QDAC1", 512, 1 << 20, 2
 #: magic, documents, ids, levels, bytes of what follows
@@ -119,10 +119,10 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
     def encode(batches):
         enc, end = encoder(path), b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
         doc_ids, documents, held = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             chunks = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(enc.encode(text or "") + end, "<u4")
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
+                ids = np.frombuffer(encoded + end, "<u4")
                 doc_ids.append(doc_id)
                 documents.append(ids)
                 held += len(ids)
