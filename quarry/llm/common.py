@@ -34,8 +34,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Long texts and sets make Arrow batches large, as Spark counts their rows: bounds the rows of a batch, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(rows))
 
 
 def buckets_for(df: DataFrame, factor: int = 2, least: int = 16) -> int:

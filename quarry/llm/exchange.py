@@ -11,6 +11,7 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,15 +54,36 @@ def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
 
 @dataclass
 class Entries:
-    """Entries of many documents: key (48 bits), and per entry the document's id, row key and size."""
+    """Entries of many documents: key (48 bits), and per entry the document's id, row key and size, and the batch it came in."""
 
     keys: np.ndarray
     doc: np.ndarray
     row: np.ndarray
     size: np.ndarray
+    batch: np.ndarray
 
 
-_HEAD = struct.Struct("<II")
+_HEAD = struct.Struct("<IIq")
+#: Rows that a mapper packs together; answers come back a blob per such batch.
+BATCH_ROWS = 5000
+
+
+BATCH_BYTES = 16 << 20
+
+
+def row_batches(batches):
+    """Batches of at most BATCH_ROWS rows, small ones put together up to about BATCH_BYTES."""
+    held, rows, size = [], 0, 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, BATCH_ROWS):
+            part = whole.slice(at, BATCH_ROWS)
+            if held and (rows + part.num_rows > BATCH_ROWS or size > BATCH_BYTES):
+                yield pa.concat_batches(held)
+                held, rows, size = [], 0, 0
+            held.append(part)
+            rows, size = rows + part.num_rows, size + part.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 def pack_entries(packed: np.ndarray, doc_ids: np.ndarray, row_keys: np.ndarray, sizes: np.ndarray, buckets: int):
@@ -74,19 +96,19 @@ def pack_entries(packed: np.ndarray, doc_ids: np.ndarray, row_keys: np.ndarray,
         used, local = np.unique(part & LOCAL, return_inverse=True)
         used = used.astype(np.int64)
         entries = part & ~LOCAL | local.astype(U64)
-        yield int(b), b"".join([_HEAD.pack(len(used), len(entries)), doc_ids[used].tobytes(), row_keys[used].tobytes(), sizes[used].tobytes(), entries.tobytes()])
+        yield int(b), b"".join([_HEAD.pack(len(used), len(entries), int(row_keys[0])), doc_ids[used].tobytes(), row_keys[used].tobytes(), sizes[used].tobytes(), entries.tobytes()])
 
 
 def unpack_entries(blobs) -> Entries:
     parts: list[tuple] = []
     for blob in blobs:
-        d, n = _HEAD.unpack_from(blob)
+        d, n, batch = _HEAD.unpack_from(blob)
         docs, rows, sizes = (np.frombuffer(blob, np.int64, d, _HEAD.size + 8 * d * i) for i in range(3))
         entries = np.frombuffer(blob, U64, n, _HEAD.size + 24 * d)
         local = (entries & LOCAL).astype(np.int64)
-        parts.append((entries >> KEY_BITS, docs[local], rows[local], sizes[local]))
+        parts.append((entries >> KEY_BITS, docs[local], rows[local], sizes[local], np.full(n, batch)))
     if not parts:
-        return Entries(np.empty(0, U64), *(np.empty(0, np.int64) for _ in range(3)))
+        return Entries(np.empty(0, U64), *(np.empty(0, np.int64) for _ in range(4)))
     return Entries(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
@@ -106,3 +128,32 @@ def by_row(row: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes]]
     """The values of each row key, joined as bytes."""
     order, starts = groups_of(row)
     return row[order][starts].tolist(), [v.tobytes() for v in np.split(values[order], starts[1:])] if len(starts) else []
+
+
+ANSWERS = "batch long, blob binary"
+
+
+def answers(batch: np.ndarray, row: np.ndarray, values: np.ndarray):
+    """A record batch of ANSWERS: values (64 bits wide, in any number of columns) for row keys, a blob per batch of the mapper's rows."""
+    order, starts = groups_of(batch)
+    if len(starts):
+        cuts = np.append(starts, len(order)).tolist()
+        blobs = [struct.pack("<I", z - a) + row[order[a:z]].tobytes() + values[order[a:z]].tobytes() for a, z in zip(cuts, cuts[1:], strict=False)]
+        yield pa.record_batch([pa.array(batch[order][starts], pa.int64()), pa.array(blobs, pa.binary())], names=["batch", "blob"])
+
+
+def gathered(answered: DataFrame, parts: int, name: str) -> DataFrame:
+    """(row_key, name binary): the values of each row, of one batch of its mapper together. A row that stands in several batches comes once for each."""
+
+    def gather(batches):
+        rows, values = [], []
+        for blob in (v for b in batches for v in b.column(1).to_pylist()):
+            (n,) = struct.unpack_from("<I", blob)
+            rows.append(np.frombuffer(blob, np.int64, n, 4))
+            values.append(np.frombuffer(blob, U64, -1, 4 + 8 * n).reshape(n, -1))
+        if rows:
+            keys, blobs = by_row(np.concatenate(rows), np.concatenate(values))
+            for at in range(0, len(keys), BATCH_ROWS):
+                yield pa.record_batch([pa.array(keys[at : at + BATCH_ROWS], pa.int64()), pa.array(blobs[at : at + BATCH_ROWS], pa.binary())], names=["row_key", name])
+
+    return answered.repartition(parts, "batch").mapInArrow(gather, f"row_key long, {name} binary")

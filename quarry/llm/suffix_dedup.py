@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix
-from .exchange import by_row, groups_of, held_rows, keep_rows, later_copies, pack_entries, spread, unpack_entries, with_answers
+from .common import U64, bound_batches, materialize, mix
+from .exchange import ANSWERS, answers, gathered, groups_of, held_rows, keep_rows, later_copies, pack_entries, row_batches, spread, unpack_entries, with_answers
 
 THRESHOLD, ANCHOR = 50, 24
 #: Entries that a reducer aims to hold, and bytes that a mapper ranks at once.
-BUCKET_ENTRIES, GROUP_BYTES, PIECE_BYTES = 1_500_000, 1 << 18, 1 << 23
+BUCKET_ENTRIES, GROUP_BYTES, PIECE_BYTES = 1_000_000, 1 << 18, 1 << 23
 
 _PLACE = U64(0xFFFFFF)
 _FIRST = mix(np.arange(1, 257, dtype=U64))
@@ -94,26 +94,20 @@ def _bytes(column) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-def _slices(batch, most: int = 20_000):
-    for at in range(0, batch.num_rows, most):
-        yield batch.slice(at, most)
-
-
 def repeated_anchors(rows: DataFrame, buckets: int) -> DataFrame:
     """(row_key, keys binary): the ranks at length 24 that a row shares with a row of another doc_id."""
 
     def send(batches):
-        for whole in batches:
-            for batch in _slices(whole):
-                texts = _bytes(batch.column(1))
-                entries = []
-                for numbers, pieces, _ in _groups(texts):
-                    runs = Runs(pieces)
-                    entries.append(runs.key << U64(16) | numbers[runs.doc].astype(U64))
-                if entries:
-                    ids, keys = (np.asarray(batch.column(i)) for i in (0, 2))
-                    out = list(pack_entries(np.concatenate(entries), ids, keys, np.zeros(len(ids), np.int64), buckets))
-                    yield pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["bucket", "blob"])
+        for batch in row_batches(batches):
+            texts = _bytes(batch.column(1))
+            entries = []
+            for numbers, pieces, _ in _groups(texts):
+                runs = Runs(pieces)
+                entries.append(runs.key << U64(16) | numbers[runs.doc].astype(U64))
+            if entries:
+                ids, keys = (np.asarray(batch.column(i)) for i in (0, 2))
+                out = list(pack_entries(np.concatenate(entries), ids, keys, np.zeros(len(ids), np.int64), buckets))
+                yield pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["bucket", "blob"])
 
     def rerank(batches):
         e = unpack_entries(v for b in batches for v in b.column(1).to_pylist())
@@ -122,15 +116,14 @@ def repeated_anchors(rows: DataFrame, buckets: int) -> DataFrame:
             doc = e.doc[order]
             shared = spread(np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts), starts, len(doc))
             chosen = order[shared]
-            rows_, blobs = by_row(e.row[chosen], e.keys[chosen])
-            yield pa.record_batch([pa.array(rows_, pa.int64()), pa.array(blobs, pa.binary())], names=["row_key", "keys"])
+            yield from answers(e.batch[chosen], e.row[chosen], e.keys[chosen])
 
     sent = rows.select("doc_id", "text", "row_key").mapInArrow(send, "bucket int, blob binary")
-    found = sent.repartition(buckets, "bucket").mapInArrow(rerank, "row_key long, keys binary")
+    found = gathered(sent.repartition(buckets, "bucket").mapInArrow(rerank, ANSWERS), buckets, "keys")
     return found.groupBy("row_key").agg(F.collect_list("keys").alias("keys"))
 
 
-_WINDOWS = struct.Struct("<III")
+_WINDOWS = struct.Struct("<IIIq")
 
 
 def _pack_windows(runs: list[tuple], ids, row_keys, buckets: int):
@@ -146,12 +139,12 @@ def _pack_windows(runs: list[tuple], ids, row_keys, buckets: int):
         at = np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         r = ranks[at]
         arrays = (ids[used], row_keys[used], key[part] << U64(16) | local.astype(U64), start[part].astype(np.int64), gap[part].astype(np.uint8), n.astype(np.uint8), (r >> U64(32)).astype(np.uint32), (r >> U64(16)).astype(np.uint16))
-        yield int(bucket[part[0]]), b"".join([_WINDOWS.pack(len(used), len(part), len(r)), *(a.tobytes() for a in arrays)])
+        yield int(bucket[part[0]]), b"".join([_WINDOWS.pack(len(used), len(part), len(r), int(row_keys[0])), *(a.tobytes() for a in arrays)])
 
 
 def _unpack_windows(blob):
-    """Per window: class, doc_id, row_key, start."""
-    d, m, n = _WINDOWS.unpack_from(blob)
+    """Per window: class, doc_id, row_key, start, batch."""
+    d, m, n, batch = _WINDOWS.unpack_from(blob)
     at, out = _WINDOWS.size, []
     for kind, size in ((np.int64, d), (np.int64, d), (U64, m), (np.int64, m), (np.uint8, m), (np.uint8, m), (np.uint32, n), (np.uint16, n)):
         out.append(np.frombuffer(blob, kind, size, at))
@@ -163,50 +156,48 @@ def _unpack_windows(blob):
     rank = high.astype(U64) << U64(16) | low.astype(U64)
     place = gap.astype(np.int64)[run] - step
     cls = mix(mix(packed >> U64(16))[run] + mix(rank << U64(8) | place.astype(U64)))
-    return cls, ids[local], row_keys[local], start[run] + step
+    return cls, ids[local], row_keys[local], start[run] + step, np.full(n, batch)
 
 
 def repeated_windows(rows: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
     """(row_key, runs): per row, (start, number) pairs of 50-byte strings that also start in a document with a smaller doc_id."""
 
     def send(batches):
-        for whole in batches:
-            for batch in _slices(whole):
-                texts = _bytes(batch.column(1))
-                wanted = [np.unique(np.frombuffer(b"".join(k), U64)) for k in batch.column(3).to_pylist()]
-                runs = []
-                for numbers, pieces, offsets in _groups(texts):
-                    r = Runs(pieces)
-                    cuts = np.searchsorted(r.doc, np.arange(len(pieces) + 1))
-                    hit = np.concatenate([np.isin(r.key[a:b], wanted[i]) for a, b, i in zip(cuts, cuts[1:], numbers, strict=False)]) if len(r.key) else np.empty(0, bool)
-                    n, w = r.count[hit], r.window[hit]
-                    at = np.repeat(w - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    runs.append((r.key[hit], numbers[r.doc[hit]], r.start[hit] + offsets[r.doc[hit]], r.anchor[hit] - w, n, mix(r.r50[at])))
-                if sum(len(x[0]) for x in runs):
-                    ids, keys = (np.asarray(batch.column(i)) for i in (0, 2))
-                    out = list(_pack_windows(runs, ids, keys, buckets))
-                    yield pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["bucket", "blob"])
+        for batch in row_batches(batches):
+            texts = _bytes(batch.column(1))
+            wanted = [np.unique(np.frombuffer(b"".join(k), U64)) for k in batch.column(3).to_pylist()]
+            runs = []
+            for numbers, pieces, offsets in _groups(texts):
+                r = Runs(pieces)
+                cuts = np.searchsorted(r.doc, np.arange(len(pieces) + 1))
+                hit = np.concatenate([np.isin(r.key[a:b], wanted[i]) for a, b, i in zip(cuts, cuts[1:], numbers, strict=False)]) if len(r.key) else np.empty(0, bool)
+                n, w = r.count[hit], r.window[hit]
+                at = np.repeat(w - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                runs.append((r.key[hit], numbers[r.doc[hit]], r.start[hit] + offsets[r.doc[hit]], r.anchor[hit] - w, n, mix(r.r50[at])))
+            if sum(len(x[0]) for x in runs):
+                ids, keys = (np.asarray(batch.column(i)) for i in (0, 2))
+                out = list(_pack_windows(runs, ids, keys, buckets))
+                yield pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["bucket", "blob"])
 
     def rerank(batches):
         parts = [_unpack_windows(v) for b in batches for v in b.column(1).to_pylist()]
         if not parts:
             return
-        cls, doc, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        cls, doc, row, start, batch = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         order, starts = groups_of(cls)
         least = spread(np.minimum.reduceat(doc[order], starts), starts, len(order))
         chosen = order[least < doc[order]]
-        row, start = row[chosen], start[chosen]
-        order = np.lexsort((start, row))
-        row, start = row[order], start[order]
-        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])) if len(row) else np.empty(0, np.int64)
-        runs = np.stack([start[first], np.diff(np.append(first, len(row)))], 1)
-        rows_, blobs = by_row(row[first], runs)
-        yield pa.record_batch([pa.array(rows_, pa.int64()), pa.array(blobs, pa.binary())], names=["row_key", "runs"])
+        row, start, batch = row[chosen], start[chosen], batch[chosen]
+        order = np.lexsort((start, row, batch))
+        row, start, batch = row[order], start[order], batch[order]
+        fresh = (row[1:] != row[:-1]) | (batch[1:] != batch[:-1]) | (start[1:] != start[:-1] + 1)
+        first = np.flatnonzero(np.concatenate([[True], fresh])) if len(row) else np.empty(0, np.int64)
+        yield from answers(batch[first], row[first], np.stack([start[first], np.diff(np.append(first, len(row)))], 1))
 
     asked = with_answers(rows, anchors).select("doc_id", "text", "row_key", "keys")
     sent = asked.mapInArrow(send, "bucket int, blob binary")
-    found = sent.repartition(buckets, "bucket").mapInArrow(rerank, "row_key long, runs binary")
+    found = gathered(sent.repartition(buckets, "bucket").mapInArrow(rerank, ANSWERS), buckets, "runs")
     return found.groupBy("row_key").agg(F.collect_list("runs").alias("runs"))
 
 
@@ -222,6 +213,7 @@ def _spans(runs: list[bytes], n: int) -> list[tuple[int, int]]:
 
 def mark_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, copies, runs): the rows with a doc_id, those that copy a whole earlier text, and the repeated windows of all others."""
+    bound_batches(docs.sparkSession)
     rows = held_rows(docs, keep)
     copies = materialize(later_copies(rows), "copies")
     firsts = keep_rows(rows.select("doc_id", "text", "row_key"), copies, "left_anti")
