@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buckets_for, materialize, mix
+from .common import U64, bound_batches, buckets_for, materialize, mix
 from .components import connected_components
-from .exchange import by_row, groups_of, held_rows, keep_rows, later_copies, pack_entries, spread, unpack_entries
+from .exchange import ANSWERS, answers, gathered, groups_of, held_rows, keep_rows, later_copies, pack_entries, row_batches, spread, unpack_entries
 
 WORDS = 5
-BUCKET_ENTRIES, GROUP_BYTES = 1_500_000, 1 << 18
+BUCKET_ENTRIES, GROUP_BYTES = 1_000_000, 1 << 18
 
 _LETTER = mix(np.arange(1001, 1257, dtype=U64)) | U64(1)
 _FOLD = np.arange(256)
@@ -96,17 +96,15 @@ def _send_sets(take, buckets: int):
     """A mapper that sends ``take(set)`` of each row of (doc_id, text, row_key), dealt by token."""
 
     def send(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 20_000):
-                batch = whole.slice(at, 20_000)
-                packed, sizes = [], np.zeros(batch.num_rows, np.int64)
-                for i, s in enumerate(shingle_sets(batch.column(1).to_pylist())):
-                    sizes[i] = len(s)
-                    packed.append(take(s) & ~U64(0xFFFF) | U64(i))
-                if packed and sum(map(len, packed)):
-                    ids, keys = (np.asarray(batch.column(i)) for i in (0, 2))
-                    out = list(pack_entries(np.concatenate(packed), ids, keys, sizes, buckets))
-                    yield pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["bucket", "blob"])
+        for batch in row_batches(batches):
+            packed, sizes = [], np.zeros(batch.num_rows, np.int64)
+            for i, s in enumerate(shingle_sets(batch.column(1).to_pylist())):
+                sizes[i] = len(s)
+                packed.append(take(s) & ~U64(0xFFFF) | U64(i))
+            if packed and sum(map(len, packed)):
+                ids, keys = (np.asarray(batch.column(i)) for i in (0, 2))
+                out = list(pack_entries(np.concatenate(packed), ids, keys, sizes, buckets))
+                yield pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["bucket", "blob"])
 
     return send
 
@@ -132,14 +130,23 @@ def near_candidates(rows: DataFrame, buckets: int) -> DataFrame:
         e = unpack_entries(v for b in batches for v in b.column(1).to_pylist())
         order, _, shared = _shared(e)
         chosen = order[shared]
-        if len(chosen):
-            row, at, n = np.unique(e.row[chosen], return_index=True, return_counts=True)
-            yield pa.record_batch([pa.array(row), pa.array(e.size[chosen][at]), pa.array(n)], names=["row_key", "size", "n"])
+        order = chosen[np.lexsort((e.row[chosen], e.batch[chosen]))]
+        row, batch = e.row[order], e.batch[order]
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (batch[1:] != batch[:-1])])) if len(row) else np.empty(0, np.int64)
+        yield from answers(batch[first], row[first], np.stack([e.size[order][first], np.diff(np.append(first, len(row)))], 1))
+
+    def enough(batches):
+        for batch in batches:
+            keep = []
+            for row, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pairs = np.frombuffer(blob, np.int64).reshape(-1, 2)
+                if pairs[:, 1].sum() >= 1 + _kept(int(pairs[0, 0])) // 8:
+                    keep.append(row)
+            yield pa.record_batch([pa.array(keep, pa.int64())], names=["row_key"])
 
     sent = rows.select("doc_id", "text", "row_key").mapInArrow(_send_sets(_prefix, buckets), "bucket int, blob binary")
-    found = sent.repartition(buckets, "bucket").mapInArrow(count, "row_key long, size long, n long")
-    least = F.expr("1 + (3 * size + 3) div 4 div 8")
-    return found.groupBy("row_key", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("row_key")
+    found = gathered(sent.repartition(buckets, "bucket").mapInArrow(count, ANSWERS), buckets, "counts")
+    return found.mapInArrow(enough, "row_key long").distinct()
 
 
 def ordered_sets(rows: DataFrame, buckets: int) -> DataFrame:
@@ -148,30 +155,24 @@ def ordered_sets(rows: DataFrame, buckets: int) -> DataFrame:
     def rank(batches):
         e = unpack_entries(v for b in batches for v in b.column(1).to_pylist())
         order, starts, shared = _shared(e)
-        if shared.any():
-            often = spread(np.diff(np.append(starts, len(order))), starts, len(order))[shared]
-            chosen = order[shared]
-            pairs = np.stack([often.astype(U64), e.keys[chosen]], 1)
-            row, blobs = by_row(e.row[chosen], pairs)
-            at = groups_of(e.row[chosen])
-            first = at[0][at[1]]
-            yield pa.record_batch([pa.array(row, pa.int64()), pa.array(e.doc[chosen][first]), pa.array(e.size[chosen][first]), pa.array(blobs, pa.binary())], names=["row_key", "doc_id", "size", "pairs"])
+        often = spread(np.diff(np.append(starts, len(order))), starts, len(order))[shared]
+        chosen = order[shared]
+        yield from answers(e.batch[chosen], e.row[chosen], np.stack([e.doc[chosen].astype(U64), e.size[chosen].astype(U64), often.astype(U64), e.keys[chosen]], 1))
 
     def order_tokens(batches):
         for batch in batches:
-            keep, alone, blobs = [], [], []
-            for i, (size, parts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                pairs = np.frombuffer(b"".join(parts), U64).reshape(-1, 2)
-                if len(pairs) >= _kept(size):
-                    keep.append(i)
-                    alone.append(size - len(pairs))
-                    blobs.append(pairs[np.lexsort((pairs[:, 1], pairs[:, 0])), 1].tobytes())
-            part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.record_batch([*(part.column(i) for i in range(3)), pa.array(alone, pa.int64()), pa.array(blobs, pa.binary())], names=["row_key", "doc_id", "size", "alone", "tokens"])
+            out: list[tuple] = []
+            for row, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                told = np.frombuffer(b"".join(parts), U64).reshape(-1, 4)
+                told = told[np.unique(told[:, 3], return_index=True)[1]]
+                doc, size = told[0, :2].astype(np.int64).tolist()
+                if len(told) >= _kept(size):
+                    out.append((row, doc, size, size - len(told), told[np.lexsort((told[:, 3], told[:, 2])), 3].tobytes()))
+            yield pa.record_batch([pa.array([x[i] for x in out], pa.binary() if i == 4 else pa.int64()) for i in range(5)], names=["row_key", "doc_id", "size", "alone", "tokens"])
 
     sent = rows.select("doc_id", "text", "row_key").mapInArrow(_send_sets(lambda s: s, buckets), "bucket int, blob binary")
-    found = sent.repartition(buckets, "bucket").mapInArrow(rank, "row_key long, doc_id long, size long, pairs binary")
-    whole = found.groupBy("row_key", "doc_id", "size").agg(F.collect_list("pairs").alias("pairs"))
+    found = gathered(sent.repartition(buckets, "bucket").mapInArrow(rank, ANSWERS), buckets, "told")
+    whole = found.groupBy("row_key").agg(F.collect_list("told").alias("told"))
     return whole.mapInArrow(order_tokens, "row_key long, doc_id long, size long, alone long, tokens binary")
 
 
@@ -304,6 +305,7 @@ def set_sizes(docs: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame) -> DataFrame:
     """(node, component) of all doc_ids that have links."""
+    bound_batches(docs.sparkSession)
     rows = held_rows(docs).filter("text != ''")
     copies = materialize(later_copies(rows), "copies")
     firsts = keep_rows(rows, copies, "left_anti")
