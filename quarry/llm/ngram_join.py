@@ -25,7 +25,7 @@ from .components import connected_components
 from .exchange import ANSWERS, answers, gathered, groups_of, held_rows, keep_rows, later_copies, pack_entries, row_batches, spread, unpack_entries
 
 WORDS = 5
-BUCKET_ENTRIES, GROUP_BYTES = 1_000_000, 1 << 18
+BUCKET_ENTRIES, GROUP_BYTES = 700_000, 1 << 18
 
 _LETTER = mix(np.arange(1001, 1257, dtype=U64)) | U64(1)
 _FOLD = np.arange(256)
@@ -124,7 +124,7 @@ def _shared(e):
 
 
 def near_candidates(rows: DataFrame, buckets: int) -> DataFrame:
-    """(row_key): rows whose hash-order prefix shares enough tokens with other rows to have a partner at all."""
+    """(row_key, doc_id, size): rows whose hash-order prefix shares enough tokens with other rows to have a partner at all."""
 
     def count(batches):
         e = unpack_entries(v for b in batches for v in b.column(1).to_pylist())
@@ -133,47 +133,48 @@ def near_candidates(rows: DataFrame, buckets: int) -> DataFrame:
         order = chosen[np.lexsort((e.row[chosen], e.batch[chosen]))]
         row, batch = e.row[order], e.batch[order]
         first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (batch[1:] != batch[:-1])])) if len(row) else np.empty(0, np.int64)
-        yield from answers(batch[first], row[first], np.stack([e.size[order][first], np.diff(np.append(first, len(row)))], 1))
+        yield from answers(batch[first], row[first], np.stack([e.doc[order][first], e.size[order][first], np.diff(np.append(first, len(row)))], 1))
 
     def enough(batches):
         for batch in batches:
-            keep = []
+            keep: list[tuple] = []
             for row, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                pairs = np.frombuffer(blob, np.int64).reshape(-1, 2)
-                if pairs[:, 1].sum() >= 1 + _kept(int(pairs[0, 0])) // 8:
-                    keep.append(row)
-            yield pa.record_batch([pa.array(keep, pa.int64())], names=["row_key"])
+                told = np.frombuffer(blob, np.int64).reshape(-1, 3)
+                doc, size = told[0, :2].tolist()
+                if told[:, 2].sum() >= 1 + _kept(size) // 8:
+                    keep.append((row, doc, size))
+            yield pa.record_batch([pa.array([x[i] for x in keep], pa.int64()) for i in range(3)], names=["row_key", "doc_id", "size"])
 
     sent = rows.select("doc_id", "text", "row_key").mapInArrow(_send_sets(_prefix, buckets), "bucket int, blob binary")
     found = gathered(sent.repartition(buckets, "bucket").mapInArrow(count, ANSWERS), buckets, "counts")
-    return found.mapInArrow(enough, "row_key long").distinct()
+    return found.mapInArrow(enough, "row_key long, doc_id long, size long").distinct()
 
 
-def ordered_sets(rows: DataFrame, buckets: int) -> DataFrame:
-    """(row_key, doc_id, size, alone, tokens binary): of each row the tokens that other rows have too, rarest first; ``alone`` counts the others. Rows that can't reach three quarters of their size go."""
+def ordered_sets(rows: DataFrame, near: DataFrame, buckets: int) -> DataFrame:
+    """(row_key, doc_id, size, alone, tokens binary): of each row of ``near`` the tokens that other such rows have too, rarest first; ``alone`` counts the others. Rows that can't reach three quarters of their size go.
+
+    An answer packs a token with its document frequency, which only orders tokens and stops at 65535.
+    """
 
     def rank(batches):
         e = unpack_entries(v for b in batches for v in b.column(1).to_pylist())
         order, starts, shared = _shared(e)
         often = spread(np.diff(np.append(starts, len(order))), starts, len(order))[shared]
         chosen = order[shared]
-        yield from answers(e.batch[chosen], e.row[chosen], np.stack([e.doc[chosen].astype(U64), e.size[chosen].astype(U64), often.astype(U64), e.keys[chosen]], 1))
+        yield from answers(e.batch[chosen], e.row[chosen], np.minimum(often, 0xFFFF).astype(U64) << U64(48) | e.keys[chosen])
 
     def order_tokens(batches):
         for batch in batches:
             out: list[tuple] = []
-            for row, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                told = np.frombuffer(b"".join(parts), U64).reshape(-1, 4)
-                told = told[np.unique(told[:, 3], return_index=True)[1]]
-                doc, size = told[0, :2].astype(np.int64).tolist()
-                if len(told) >= _kept(size):
-                    out.append((row, doc, size, size - len(told), told[np.lexsort((told[:, 3], told[:, 2])), 3].tobytes()))
+            for row, doc, size, told in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                tokens = np.sort(np.frombuffer(told, U64)) & U64(0xFFFFFFFFFFFF)
+                if len(tokens) >= _kept(size):
+                    out.append((row, doc, size, size - len(tokens), tokens.tobytes()))
             yield pa.record_batch([pa.array([x[i] for x in out], pa.binary() if i == 4 else pa.int64()) for i in range(5)], names=["row_key", "doc_id", "size", "alone", "tokens"])
 
-    sent = rows.select("doc_id", "text", "row_key").mapInArrow(_send_sets(lambda s: s, buckets), "bucket int, blob binary")
-    found = gathered(sent.repartition(buckets, "bucket").mapInArrow(rank, ANSWERS), buckets, "told")
-    whole = found.groupBy("row_key").agg(F.collect_list("told").alias("told"))
-    return whole.mapInArrow(order_tokens, "row_key long, doc_id long, size long, alone long, tokens binary")
+    sent = keep_rows(rows, near, "left_semi").select("doc_id", "text", "row_key").mapInArrow(_send_sets(lambda s: s, buckets), "bucket int, blob binary")
+    told = gathered(sent.repartition(buckets, "bucket").mapInArrow(rank, ANSWERS), buckets, "told")
+    return near.join(told, "row_key").mapInArrow(order_tokens, "row_key long, doc_id long, size long, alone long, tokens binary")
 
 
 def prefix_tokens(sets: DataFrame) -> DataFrame:
@@ -312,7 +313,8 @@ def link_components(docs: DataFrame) -> DataFrame:
     n_bytes = firsts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, n_bytes // (14 * BUCKET_ENTRIES) + 1)
     near = materialize(near_candidates(firsts, buckets), "near")
-    sets = materialize(ordered_sets(keep_rows(firsts, near, "left_semi"), buckets), "sets")
+    n_tokens = near.agg(F.sum("size")).first()[0] or 0
+    sets = materialize(ordered_sets(firsts, near, max(12, n_tokens // BUCKET_ENTRIES + 1)), "sets")
     tokens = materialize(prefix_tokens(sets), "prefixes")
     first = materialize(verified(hub_pairs(tokens), sets), "links")
     labels = materialize(connected_components(first), "labels")
