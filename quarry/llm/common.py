@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,19 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def trimmed(mapper):
+    """A mapper that gives free memory back when its task ends; Spark keeps Python workers for later tasks."""
+
+    @functools.wraps(mapper)
+    def run(batches):
+        yield from mapper(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def buckets_for(df: DataFrame, factor: int = 2, least: int = 16) -> int:
     """A bucket count that follows the input: ``factor`` per input partition."""
     return max(least, factor * df.rdd.getNumPartitions())

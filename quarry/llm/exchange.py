@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64
+from .common import U64, trimmed
 
 #: Ids up to this number (16 MB) are sent to all executors to filter texts before they move; above it the join shuffles.
 BROADCAST_IDS = 2_000_000
@@ -142,9 +142,10 @@ def answers(batch: np.ndarray, row: np.ndarray, values: np.ndarray):
         yield pa.record_batch([pa.array(batch[order][starts], pa.int64()), pa.array(blobs, pa.binary())], names=["batch", "blob"])
 
 
-def gathered(answered: DataFrame, parts: int, name: str) -> DataFrame:
-    """(row_key, name binary): the values of each row, of one batch of its mapper together. A row that stands in several batches comes once for each."""
+def gathered(answered: DataFrame, parts: int, schema: str, finish=None) -> DataFrame:
+    """(row_key, values binary): the values of each row, of one batch of its mapper together; ``finish`` may turn record batches of these into others of ``schema``. A row that stands in several batches comes once for each."""
 
+    @trimmed
     def gather(batches):
         rows, values = [], []
         for blob in (v for b in batches for v in b.column(1).to_pylist()):
@@ -154,6 +155,7 @@ def gathered(answered: DataFrame, parts: int, name: str) -> DataFrame:
         if rows:
             keys, blobs = by_row(np.concatenate(rows), np.concatenate(values))
             for at in range(0, len(keys), BATCH_ROWS):
-                yield pa.record_batch([pa.array(keys[at : at + BATCH_ROWS], pa.int64()), pa.array(blobs[at : at + BATCH_ROWS], pa.binary())], names=["row_key", name])
+                out = pa.record_batch([pa.array(keys[at : at + BATCH_ROWS], pa.int64()), pa.array(blobs[at : at + BATCH_ROWS], pa.binary())], names=["row_key", "values"] if finish else [f.split()[0] for f in schema.split(", ")])
+                yield finish(out) if finish else out
 
-    return answered.repartition(parts, "batch").mapInArrow(gather, f"row_key long, {name} binary")
+    return answered.repartition(parts, "batch").mapInArrow(gather, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bound_batches, buckets_for, materialize, mix
+from .common import U64, bound_batches, buckets_for, materialize, mix, trimmed
 from .components import connected_components
 from .exchange import ANSWERS, answers, gathered, groups_of, held_rows, keep_rows, later_copies, pack_entries, row_batches, spread, unpack_entries
 
@@ -106,7 +106,7 @@ def _send_sets(take, buckets: int):
                 out = list(pack_entries(np.concatenate(packed), ids, keys, sizes, buckets))
                 yield pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["bucket", "blob"])
 
-    return send
+    return trimmed(send)
 
 
 def _prefix(s: np.ndarray) -> np.ndarray:
@@ -135,19 +135,18 @@ def near_candidates(rows: DataFrame, buckets: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (batch[1:] != batch[:-1])])) if len(row) else np.empty(0, np.int64)
         yield from answers(batch[first], row[first], np.stack([e.doc[order][first], e.size[order][first], np.diff(np.append(first, len(row)))], 1))
 
-    def enough(batches):
-        for batch in batches:
-            keep: list[tuple] = []
-            for row, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                told = np.frombuffer(blob, np.int64).reshape(-1, 3)
-                doc, size = told[0, :2].tolist()
-                if told[:, 2].sum() >= 1 + _kept(size) // 8:
-                    keep.append((row, doc, size))
-            yield pa.record_batch([pa.array([x[i] for x in keep], pa.int64()) for i in range(3)], names=["row_key", "doc_id", "size"])
+    def enough(batch):
+        keep: list[tuple] = []
+        for row, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            told = np.frombuffer(blob, np.int64).reshape(-1, 3)
+            doc, size = told[0, :2].tolist()
+            if told[:, 2].sum() >= 1 + _kept(size) // 8:
+                keep.append((row, doc, size))
+        return pa.record_batch([pa.array([x[i] for x in keep], pa.int64()) for i in range(3)], names=["row_key", "doc_id", "size"])
 
     sent = rows.select("doc_id", "text", "row_key").mapInArrow(_send_sets(_prefix, buckets), "bucket int, blob binary")
-    found = gathered(sent.repartition(buckets, "bucket").mapInArrow(count, ANSWERS), buckets, "counts")
-    return found.mapInArrow(enough, "row_key long, doc_id long, size long").distinct()
+    told = sent.repartition(buckets, "bucket").mapInArrow(trimmed(count), ANSWERS)
+    return gathered(told, buckets, "row_key long, doc_id long, size long", enough).distinct()
 
 
 def ordered_sets(rows: DataFrame, near: DataFrame, buckets: int) -> DataFrame:
@@ -173,8 +172,8 @@ def ordered_sets(rows: DataFrame, near: DataFrame, buckets: int) -> DataFrame:
             yield pa.record_batch([pa.array([x[i] for x in out], pa.binary() if i == 4 else pa.int64()) for i in range(5)], names=["row_key", "doc_id", "size", "alone", "tokens"])
 
     sent = keep_rows(rows, near, "left_semi").select("doc_id", "text", "row_key").mapInArrow(_send_sets(lambda s: s, buckets), "bucket int, blob binary")
-    told = gathered(sent.repartition(buckets, "bucket").mapInArrow(rank, ANSWERS), buckets, "told")
-    return near.join(told, "row_key").mapInArrow(order_tokens, "row_key long, doc_id long, size long, alone long, tokens binary")
+    told = gathered(sent.repartition(buckets, "bucket").mapInArrow(trimmed(rank), ANSWERS), buckets, "row_key long, told binary")
+    return near.join(told, "row_key").mapInArrow(trimmed(order_tokens), "row_key long, doc_id long, size long, alone long, tokens binary")
 
 
 def prefix_tokens(sets: DataFrame) -> DataFrame:
@@ -253,7 +252,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     a, b = (sets.select(*(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "size", "tokens")), F.col("row_key").alias(f"row_{x}")) for x in "ab")
     met = pairs.select("row_a", "row_b").join(b, "row_b").join(a, "row_a")
-    return met.select("row_a", "doc_id_a", "size_a", "tokens_a", "row_b", "doc_id_b", "size_b", "tokens_b").mapInArrow(probe, "u long, v long")
+    return met.select("row_a", "doc_id_a", "size_a", "tokens_a", "row_b", "doc_id_b", "size_b", "tokens_b").mapInArrow(trimmed(probe), "u long, v long")
 
 
 def hub_pairs(tokens: DataFrame) -> DataFrame:
@@ -289,7 +288,7 @@ def open_pairs(tokens: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     labelled = tokens.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = labelled.groupBy("token").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").select("token")
     asked = labelled.join(mixed, "token", "left_semi").select("token", "row_key", "size", "place", "component")
-    pairs = asked.repartition(buckets, "token").mapInArrow(emit, "row_a long, row_b long")
+    pairs = asked.repartition(buckets, "token").mapInArrow(trimmed(emit), "row_a long, row_b long")
     return pairs.select(F.least("row_a", "row_b").alias("row_a"), F.greatest("row_a", "row_b").alias("row_b")).distinct()
 
 
@@ -301,7 +300,7 @@ def set_sizes(docs: DataFrame) -> DataFrame:
             sizes = [len(s) for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(count, "doc_id long, n_shingles long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(count), "doc_id long, n_shingles long")
 
 
 def link_components(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bound_batches, materialize, mix
+from .common import U64, bound_batches, materialize, mix, trimmed
 from .exchange import ANSWERS, answers, gathered, groups_of, held_rows, keep_rows, later_copies, pack_entries, row_batches, spread, unpack_entries, with_answers
 
 THRESHOLD, ANCHOR = 50, 24
@@ -118,8 +118,8 @@ def repeated_anchors(rows: DataFrame, buckets: int) -> DataFrame:
             chosen = order[shared]
             yield from answers(e.batch[chosen], e.row[chosen], e.keys[chosen])
 
-    sent = rows.select("doc_id", "text", "row_key").mapInArrow(send, "bucket int, blob binary")
-    found = gathered(sent.repartition(buckets, "bucket").mapInArrow(rerank, ANSWERS), buckets, "keys")
+    sent = rows.select("doc_id", "text", "row_key").mapInArrow(trimmed(send), "bucket int, blob binary")
+    found = gathered(sent.repartition(buckets, "bucket").mapInArrow(trimmed(rerank), ANSWERS), buckets, "row_key long, keys binary")
     return found.groupBy("row_key").agg(F.collect_list("keys").alias("keys"))
 
 
@@ -196,8 +196,8 @@ def repeated_windows(rows: DataFrame, anchors: DataFrame, buckets: int) -> DataF
         yield from answers(batch[first], row[first], np.stack([start[first], np.diff(np.append(first, len(row)))], 1))
 
     asked = with_answers(rows, anchors).select("doc_id", "text", "row_key", "keys")
-    sent = asked.mapInArrow(send, "bucket int, blob binary")
-    found = gathered(sent.repartition(buckets, "bucket").mapInArrow(rerank, ANSWERS), buckets, "runs")
+    sent = asked.mapInArrow(trimmed(send), "bucket int, blob binary")
+    found = gathered(sent.repartition(buckets, "bucket").mapInArrow(trimmed(rerank), ANSWERS), buckets, "row_key long, runs binary")
     return found.groupBy("row_key").agg(F.collect_list("runs").alias("runs"))
 
 
@@ -267,4 +267,4 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, keep: tuple[str, ..
     plain = shown(rest.unionByName(nulls), zero, zero, whole, F.col("text"))
     copied = shown(keep_rows(rows, copies, "left_semi"), F.when(long, size).otherwise(zero), long.cast("int"), F.when(long, nothing).otherwise(whole), F.when(long, "").otherwise(F.col("text")))
     touched = with_answers(rows, runs).select("doc_id", "text", "runs", *keep)
-    return touched.mapInArrow(cut, plain.schema).unionByName(plain).unionByName(copied)
+    return touched.mapInArrow(trimmed(cut), plain.schema).unionByName(plain).unionByName(copied)
