@@ -70,4 +70,4 @@ def top(scores: DataFrame, k: int, score: str, key: str = "doc_id") -> DataFrame
 def normalised(scores: DataFrame) -> DataFrame:
     """Adds bm25n: one positive score is divided by itself, several by their 95th percentile, clipped to 0 and 1."""
     positive = scores.filter("bm25 > 0").groupBy("query_id").agg(F.percentile("bm25", 0.95).alias("p95"))
-    return scores.join(small(positive), "query_id", "left").withColumn("bm25n", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("bm25") / F.col("p95"))), F.col("bm25")))
+    return scores.join(small(positive), "query_id", "left").withColumn("bm25n", F.when(F.col("p95").isNull(), F.col("bm25")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("bm25") / F.col("p95")))))

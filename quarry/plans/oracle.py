@@ -203,7 +203,7 @@ _D = "CAST({} AS DOUBLE)"
 _HY = f"""{_BM.replace("), 6) AS bm25", "), 9) AS bm25")}{_P95}, {_TF.replace('round(sum(q.w * d.w), 6)', 'round(sum(q.w * d.w), 9)')},
 qw AS (SELECT item_id AS query_id, {_pick(0)} AS wc, {_pick(1)} AS wb, {_pick(2)} AS wq FROM (SELECT item_id, {_KIND} AS kind FROM benchmark)),
 ql AS (SELECT doc_id, {_quality('w', 'text')} AS quality FROM (SELECT doc_id, text, {_words('text')} AS w FROM documents)),
-hy0 AS (SELECT query_id, doc_id, (cosine + 1) / 2 AS cosine, coalesce(greatest({_D.format(0)}, least({_D.format(1)}, bm25 / p95)), {_D.format(0)}) AS bm25n, quality FROM tpool LEFT JOIN bm USING (query_id, doc_id) LEFT JOIN p95 USING (query_id) JOIN ql USING (doc_id)),
+hy0 AS (SELECT query_id, doc_id, (cosine + 1) / 2 AS cosine, greatest({_D.format(0)}, least({_D.format(1)}, coalesce(bm25 / p95, {_D.format(0)}))) AS bm25n, quality FROM tpool LEFT JOIN bm USING (query_id, doc_id) LEFT JOIN p95 USING (query_id) JOIN ql USING (doc_id)),
 hy1 AS (SELECT *, round(wc * cosine + wb * bm25n + wq * quality, 6) AS final FROM hy0 JOIN qw USING (query_id)),
 hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, round(cosine, 9) DESC, doc_id) AS rank FROM hy1)"""
 SQL["hybrid_search"] = f"WITH {_HY} SELECT query_id, doc_id, round(final, 4) AS final FROM hy WHERE rank <= 3"
