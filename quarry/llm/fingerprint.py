@@ -15,6 +15,8 @@ from .common import materialize
 
 #: Repeated digests up to this number are sent to the executors (about 60 MB); above it the join shuffles.
 BROADCAST_DIGESTS = 1_000_000
+#: Likewise for the order of documents (24 bytes each).
+BROADCAST_LINKS = 2_000_000
 
 
 def canonical(text: Column) -> Column:
@@ -96,7 +98,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     collided = collisions_or_none(canons.select("canon", digest(F.col("canon")).alias("fingerprint")))
     placed = rows.filter("doc_id IS NOT NULL")
     ids = placed.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).alias("quarter"))
-    heads = placed.join(_previous(ids), "doc_id").select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("prev_quarter").cast("int")).alias("head"), canonical(F.col("text")).alias("next_canon"))
+    link = materialize(_previous(ids), "links")
+    few = link.count() <= BROADCAST_LINKS  # then whole texts move once, else twice
+    heads = placed.join(F.broadcast(link) if few else link, "doc_id").select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("prev_quarter").cast("int")).alias("head"), canonical(F.col("text")).alias("next_canon"))
     heads = with_fingerprints(heads, {"next_fingerprint": "next_canon"}, collided).drop("next_canon")
     heads = heads.groupBy("doc_id").agg(F.min(F.struct("head", "next_fingerprint")).alias("next")).select("doc_id", "next.*")
     empty = digest(F.lit(""))
