@@ -19,7 +19,7 @@ WINDOW_WORDS = 10
 BROADCAST_WINDOWS = 200_000
 
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_END = F.lit(0).cast("long")
+_END = 0
 
 
 def words_of(text: Column) -> Column:
@@ -85,8 +85,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORD
     if small:
         # the end row joins a key of its own, so that one pass gives both hits and lengths
         end = keys.sparkSession.range(1).select(F.lit(None).cast("long").alias("token"), F.lit(0).alias("offset"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items"))
-        keys = F.broadcast(keys.unionByName(end).withColumn("token", F.coalesce("token", _END)))
-        joined = rows.withColumn("token", F.coalesce("token", _END)).join(keys, "token")
+        keys = F.broadcast(keys.unionByName(end).withColumn("token", F.coalesce("token", F.lit(_END).cast("long"))))
+        joined = rows.withColumn("token", F.coalesce("token", F.lit(_END).cast("long"))).join(keys, "token")
         return joined.filter(F.col("window").isNull() & (F.col("pos") == F.size("words")) | fits).select("doc_id", "text_key", "pos", *found)
     candidates = rows.filter("token IS NOT NULL").select("doc_id", "text_key", "pos", "token").join(keys, "token").filter("pos >= offset").distinct()
     ends = keyed.select("doc_id", "text_key", F.size("words").alias("pos"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"), F.lit(None).cast("array<string>").alias("items"))

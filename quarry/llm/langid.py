@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 UNDETERMINED = "und"
 FEATURES = 4096
 #: Labelled rows to fit on, shared evenly between the languages, and languages at most.
@@ -121,7 +123,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id
             blobs = [features(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary())], names=["lang", "x"])
 
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(vectors, "lang string, x binary")  # at most sample_rows rows
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(trimmed(vectors), "lang string, x binary")  # at most sample_rows rows
     got = sample.collect()
     got.sort(key=lambda r: (r.lang, bytes(r.x)))
     return fit(np.stack([np.frombuffer(r.x, np.float32) for r in got]), [r.lang for r in got])
@@ -150,7 +152,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
 
     from pyspark.sql.types import StructType
 
-    return sent.mapInArrow(run, StructType(schema.fields[:-1] + out.fields))
+    return sent.mapInArrow(trimmed(run), StructType(schema.fields[:-1] + out.fields))
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

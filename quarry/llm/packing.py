@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 from .tokens import BYTE_BPE, encoder, slices, tokenizer_path
 
 SEQUENCE_TOKENS, END_ID = 2048, 1
@@ -45,7 +45,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int | None = END_ID, id
             yield pa.record_batch([pa.array([part] * n, pa.int32()), pa.array(starts, pa.int64()), batch.column(0), pa.array(counts, pa.int64()), pa.array(wides, pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "part_start", "doc_id", "n_tokens", "wide", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(encode, _ENCODED), "encoded")
+    return materialize(rows.mapInArrow(trimmed(encode), _ENCODED), "encoded")
 
 
 def partition_offsets(encoded: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def _cut(encoded: DataFrame, window: int, with_ids: bool) -> DataFrame:
 
     placed = encoded.join(F.broadcast(partition_offsets(encoded)), "part")  # bounded by the number of input partitions
     rows = placed.select("doc_id", "n_tokens", "wide", "ids", (F.col("base") + F.col("part_start")).alias("begin"))
-    return rows.mapInArrow(cut, _PIECES + ", ids binary" * with_ids)
+    return rows.mapInArrow(trimmed(cut), _PIECES + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = SEQUENCE_TOKENS, end_id: int | None = END_ID, with_ids: bool = False) -> DataFrame:
@@ -101,4 +101,4 @@ def sequences(pieces: DataFrame, window: int = SEQUENCE_TOKENS, pad_id: int = 0)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int64()))], names=["sequence_id", "n_ids", "ids"])
 
     grouped = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"), F.sum("length").alias("n_ids"))
-    return grouped.mapInArrow(build, "sequence_id long, n_ids long, ids array<long>")
+    return grouped.mapInArrow(trimmed(build), "sequence_id long, n_ids long, ids array<long>")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blobs import read_blobs, write_blobs
-from .common import shared_path
+from .common import shared_path, trimmed
 from .tokens import WORD_BPE, encoder, slices, tokenizer_path
 
 MAGIC, RANK_BITS, SEGMENT_TOKENS, END_ID = b"QDAC1", 512, 1 << 20, 2
@@ -137,7 +137,7 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    write_blobs(ordered.mapInArrow(encode, "chunk binary"), out, "\n")
+    write_blobs(ordered.mapInArrow(trimmed(encode), "chunk binary"), out, "\n")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -161,9 +161,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     at += s.n_tokens
 
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    totals = files.mapInArrow(total, "file_no int, total long")  # one row per file
+    totals = files.mapInArrow(trimmed(total), "file_no int, total long")  # one row per file
     bases = totals.select("file_no", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    rows = files.mapInArrow(decode, "file_no int, doc_id long, file_start long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(trimmed(decode), "file_no int, doc_id long, file_start long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(bases), "file_no").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -24,8 +24,8 @@ GROUP_TEXTS = 64
 
 _SPACED = re.compile(r" ?[^\W\d_]+(?=[.,;:!?\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _DROPPED = re.compile(r"[^\W\d_]+(?=[.,;:!?\s]|\Z)|\S+")
-#: Separators that only Python counts as white space, and the letter that is lower-cased by what follows.
-_ODD = re.compile("[\x1c-\x1fΣ]")
+#: Separators that only Python counts as white space, the letter that is lower-cased by what follows, and the one that gains a mark.
+_ODD = re.compile("[\x1c-\x1fΣİ]")
 
 #: The public byte-level rule: bytes without a visible character of their own stand at 256 and on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -81,7 +81,7 @@ class SegmentEncoder:
         known, cut = self.cache, {}
         out = [b""] * len(texts)
         for i, text in enumerate(texts):
-            if text and (any(s in text for s in self.special) or _ODD.search(text)):
+            if text and (any(s in text for s in self.special) or _ODD.search(text) or self.drops_space and not unicodedata.is_normalized("NFC", text)):
                 out[i] = self.whole(text)
             elif text:
                 cut[i] = self.split(text)
