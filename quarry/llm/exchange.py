@@ -21,6 +21,7 @@ from .common import U64, trimmed
 BROADCAST_IDS = 2_000_000
 KEY_BITS = U64(16)
 LOCAL = U64(0xFFFF)
+KEY = U64(0xFFFFFFFFFFFF)
 
 
 def row_key():
@@ -54,13 +55,14 @@ def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
 
 @dataclass
 class Entries:
-    """Entries of many documents: key (48 bits), and per entry the document's id, row key and size, and the batch it came in."""
+    """Entries of many documents: key (48 bits), and per entry the document's id, row key and size, the batch it came in, and how many of that batch's rows it stands for."""
 
     keys: np.ndarray
     doc: np.ndarray
     row: np.ndarray
     size: np.ndarray
     batch: np.ndarray
+    weight: np.ndarray
 
 
 _HEAD = struct.Struct("<IIq")
@@ -86,17 +88,37 @@ def row_batches(batches):
         yield pa.concat_batches(held)
 
 
-def pack_entries(packed: np.ndarray, doc_ids: np.ndarray, row_keys: np.ndarray, sizes: np.ndarray, buckets: int):
-    """Yields (bucket, blob) of entries ``key << 16 | local document``."""
+def combined(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(entries, weights, shared, behind): of each key that several documents of a batch have, one entry is sent for all, with their number as weight.
+
+    So a key that a third of all rows have reaches its reducer once per batch. ``shared`` are all entries
+    of such keys, ``behind`` those of them that aren't sent. Sorts ``packed`` in place.
+    """
+    packed.sort()
+    key = packed >> KEY_BITS
+    head = np.concatenate([[True], key[1:] != key[:-1]])
+    starts = np.flatnonzero(head)
+    n = np.diff(np.append(starts, len(packed)))
+    several = (packed[starts] & LOCAL) != (packed[starts + n - 1] & LOCAL)
+    member = np.repeat(several, n)
+    sent = head | ~member
+    weights = np.ones(len(packed), np.uint16)
+    weights[starts[several]] = np.minimum(n[several], 0xFFFF)
+    return packed[sent], weights[sent], packed[member], packed[member & ~head]
+
+
+def pack_entries(packed: np.ndarray, doc_ids: np.ndarray, row_keys: np.ndarray, sizes: np.ndarray, buckets: int, weights: np.ndarray | None = None):
+    """Yields (bucket, blob) of entries ``key << 16 | local document``; without ``weights`` each stands for itself."""
     bucket = ((packed >> KEY_BITS) * U64(0x9E3779B97F4A7C15) >> U64(33)) % U64(buckets)
     order = np.argsort(bucket, kind="stable")
     packed, bucket = packed[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for part, b in zip(np.split(packed, cuts), bucket[np.concatenate([[0], cuts])] if len(bucket) else [], strict=False):
+    heavy = [b""] * (len(cuts) + 1) if weights is None else [w.tobytes() for w in np.split(weights[order], cuts)]
+    for part, weight, b in zip(np.split(packed, cuts), heavy, bucket[np.concatenate([[0], cuts])] if len(bucket) else [], strict=False):
         used, local = np.unique(part & LOCAL, return_inverse=True)
         used = used.astype(np.int64)
         entries = part & ~LOCAL | local.astype(U64)
-        yield int(b), b"".join([_HEAD.pack(len(used), len(entries), int(row_keys[0])), doc_ids[used].tobytes(), row_keys[used].tobytes(), sizes[used].tobytes(), entries.tobytes()])
+        yield int(b), b"".join([_HEAD.pack(len(used), len(entries), int(row_keys[0])), doc_ids[used].tobytes(), row_keys[used].tobytes(), sizes[used].tobytes(), entries.tobytes(), weight])
 
 
 def unpack_entries(blobs) -> Entries:
@@ -106,9 +128,10 @@ def unpack_entries(blobs) -> Entries:
         docs, rows, sizes = (np.frombuffer(blob, np.int64, d, _HEAD.size + 8 * d * i) for i in range(3))
         entries = np.frombuffer(blob, U64, n, _HEAD.size + 24 * d)
         local = (entries & LOCAL).astype(np.int64)
-        parts.append((entries >> KEY_BITS, docs[local], rows[local], sizes[local], np.full(n, batch)))
+        weight = np.frombuffer(blob, np.uint16, -1, _HEAD.size + 24 * d + 8 * n) if len(blob) > _HEAD.size + 24 * d + 8 * n else np.ones(n, np.uint16)
+        parts.append((entries >> KEY_BITS, docs[local], rows[local], sizes[local], np.full(n, batch), weight))
     if not parts:
-        return Entries(np.empty(0, U64), *(np.empty(0, np.int64) for _ in range(4)))
+        return Entries(np.empty(0, U64), *(np.empty(0, np.int64) for _ in range(4)), np.empty(0, np.uint16))
     return Entries(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
@@ -131,6 +154,21 @@ def by_row(row: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes]]
 
 
 ANSWERS = "batch long, blob binary"
+#: Marks a blob of rows and keys that wait for the answers that their batch gets for those keys.
+WAITS = 1 << 31
+
+
+def answer_blob(row: np.ndarray, values: np.ndarray, mark: int = 0) -> bytes:
+    return struct.pack("<I", len(row) | mark) + row.tobytes() + values.tobytes()
+
+
+def passed_on(batches, blobs: list):
+    """Gathers a reducer's blobs of entries; what a mapper answered itself, which names its batch, goes on at once as ANSWERS."""
+    for b in batches:
+        ready = b.filter(b.column(1).is_valid())
+        if ready.num_rows:
+            yield pa.record_batch([ready.column(1), ready.column(2)], names=["batch", "blob"])
+        blobs += b.filter(b.column(1).is_null()).column(2).to_pylist()
 
 
 def answers(batch: np.ndarray, row: np.ndarray, values: np.ndarray):
@@ -138,20 +176,33 @@ def answers(batch: np.ndarray, row: np.ndarray, values: np.ndarray):
     order, starts = groups_of(batch)
     if len(starts):
         cuts = np.append(starts, len(order)).tolist()
-        blobs = [struct.pack("<I", z - a) + row[order[a:z]].tobytes() + values[order[a:z]].tobytes() for a, z in zip(cuts, cuts[1:], strict=False)]
+        blobs = [answer_blob(row[order[a:z]], values[order[a:z]]) for a, z in zip(cuts, cuts[1:], strict=False)]
         yield pa.record_batch([pa.array(batch[order][starts], pa.int64()), pa.array(blobs, pa.binary())], names=["batch", "blob"])
 
 
 def gathered(answered: DataFrame, parts: int, schema: str, finish=None) -> DataFrame:
-    """(row_key, values binary): the values of each row, of one batch of its mapper together; ``finish`` may turn record batches of these into others of ``schema``. A row that stands in several batches comes once for each."""
+    """(row_key, values binary): the values of each row, of one batch of its mapper together; ``finish`` may turn record batches of these into others of ``schema``. A row that stands in several batches comes once for each. Rows that wait for a key take the answer whose low 48 bits are that key."""
 
     @trimmed
     def gather(batches):
-        rows, values = [], []
-        for blob in (v for b in batches for v in b.column(1).to_pylist()):
+        rows, values, waiting, known = [], [], {}, {}
+        for batch, blob in (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
             (n,) = struct.unpack_from("<I", blob)
-            rows.append(np.frombuffer(blob, np.int64, n, 4))
-            values.append(np.frombuffer(blob, U64, -1, 4 + 8 * n).reshape(n, -1))
+            waits, n = n & WAITS, n & ~WAITS
+            row, value = np.frombuffer(blob, np.int64, n, 4), np.frombuffer(blob, U64, -1, 4 + 8 * n).reshape(n, -1)
+            if waits:
+                waiting.setdefault(batch, []).append((row, value[:, 0]))
+            else:
+                known.setdefault(batch, []).append(value)
+                rows.append(row)
+                values.append(value)
+        for batch, held in waiting.items():
+            told = np.concatenate(known[batch])[:, 0]
+            told = told[np.argsort(told & KEY, kind="stable")]
+            for row, key in held:
+                rows.append(row)
+                values.append(told[np.searchsorted(told & KEY, key)].reshape(-1, 1))
+        known.clear()
         if rows:
             keys, blobs = by_row(np.concatenate(rows), np.concatenate(values))
             for at in range(0, len(keys), BATCH_ROWS):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, bound_batches, buckets_for, materialize, mix, trimmed
 from .components import connected_components
-from .exchange import ANSWERS, answers, gathered, groups_of, held_rows, keep_rows, later_copies, pack_entries, row_batches, spread, unpack_entries
+from .exchange import ANSWERS, KEY, KEY_BITS, LOCAL, WAITS, answer_blob, answers, combined, gathered, groups_of, held_rows, keep_rows, later_copies, pack_entries, passed_on, row_batches, spread, unpack_entries
 
 WORDS = 5
 BUCKET_ENTRIES, GROUP_BYTES = 700_000, 1 << 18
@@ -92,19 +92,28 @@ def _kept(n):
     return (3 * n + 3) // 4
 
 
-def _send_sets(take, buckets: int):
-    """A mapper that sends ``take(set)`` of each row of (doc_id, text, row_key), dealt by token."""
+_SENT = "bucket int, batch long, blob binary"
+
+
+def _send_sets(take, buckets: int, tell):
+    """A mapper that sends ``take(set)`` of each row of (doc_id, text, row_key), dealt by token. Tokens that several of its rows have are sent once; ``tell`` makes the blob that tells those rows of them."""
 
     def send(batches):
         for batch in row_batches(batches):
-            packed, sizes = [], np.zeros(batch.num_rows, np.int64)
-            for i, s in enumerate(shingle_sets(batch.column(1).to_pylist())):
+            ids, keys = (np.asarray(batch.column(i)) for i in (0, 2))
+            packed, sizes, seen = [], np.zeros(batch.num_rows, np.int64), set()
+            for i, (row, s) in enumerate(zip(keys.tolist(), shingle_sets(batch.column(1).to_pylist()), strict=True)):
                 sizes[i] = len(s)
-                packed.append(take(s) & ~U64(0xFFFF) | U64(i))
+                if row not in seen:  # a repeated row learns what the first does
+                    seen.add(row)
+                    packed.append(take(s) & ~U64(0xFFFF) | U64(i))
             if packed and sum(map(len, packed)):
-                ids, keys = (np.asarray(batch.column(i)) for i in (0, 2))
-                out = list(pack_entries(np.concatenate(packed), ids, keys, sizes, buckets))
-                yield pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["bucket", "blob"])
+                entries, weights, shared, behind = combined(np.concatenate(packed))
+                packed.clear()
+                out: list[tuple] = [(k, None, v) for k, v in pack_entries(entries, ids, keys, sizes, buckets, weights)]
+                if len(shared):
+                    out.append((int(keys[0]) % buckets, int(keys[0]), tell(shared, behind, ids, keys, sizes)))
+                yield pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "batch", "blob"])
 
     return trimmed(send)
 
@@ -118,18 +127,27 @@ def _prefix(s: np.ndarray) -> np.ndarray:
 def _shared(e):
     """Order and starts of the key groups, and which ordered entries have a key that more than one row has."""
     order, starts = groups_of(e.keys)
-    row = e.row[order]
-    shared = spread(np.minimum.reduceat(row, starts) != np.maximum.reduceat(row, starts), starts, len(row)) if len(starts) else np.empty(0, bool)
-    return order, starts, shared
+    if not len(starts):
+        return order, starts, np.empty(0, bool)
+    row, weight = e.row[order], e.weight[order]
+    several = (np.minimum.reduceat(row, starts) != np.maximum.reduceat(row, starts)) | (np.maximum.reduceat(weight, starts) > 1)
+    return order, starts, spread(several, starts, len(row))
 
 
 def near_candidates(rows: DataFrame, buckets: int) -> DataFrame:
     """(row_key, doc_id, size): rows whose hash-order prefix shares enough tokens with other rows to have a partner at all."""
 
+    def counted(shared, behind, ids, keys, sizes):
+        n = np.bincount((shared & LOCAL).astype(np.int64))
+        i = np.flatnonzero(n)
+        return answer_blob(keys[i], np.stack([ids[i], sizes[i], n[i]], 1))
+
     def count(batches):
-        e = unpack_entries(v for b in batches for v in b.column(1).to_pylist())
+        blobs: list[bytes] = []
+        yield from passed_on(batches, blobs)
+        e = unpack_entries(blobs)
         order, _, shared = _shared(e)
-        chosen = order[shared]
+        chosen = order[shared & (e.weight[order] == 1)]  # the others are counted in their batch
         order = chosen[np.lexsort((e.row[chosen], e.batch[chosen]))]
         row, batch = e.row[order], e.batch[order]
         first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (batch[1:] != batch[:-1])])) if len(row) else np.empty(0, np.int64)
@@ -144,7 +162,7 @@ def near_candidates(rows: DataFrame, buckets: int) -> DataFrame:
                 keep.append((row, doc, size))
         return pa.record_batch([pa.array([x[i] for x in keep], pa.int64()) for i in range(3)], names=["row_key", "doc_id", "size"])
 
-    sent = rows.select("doc_id", "text", "row_key").mapInArrow(_send_sets(_prefix, buckets), "bucket int, blob binary")
+    sent = rows.select("doc_id", "text", "row_key").mapInArrow(_send_sets(_prefix, buckets, counted), _SENT)
     told = sent.repartition(buckets, "bucket").mapInArrow(trimmed(count), ANSWERS)
     return gathered(told, buckets, "row_key long, doc_id long, size long", enough).distinct()
 
@@ -155,10 +173,17 @@ def ordered_sets(rows: DataFrame, near: DataFrame, buckets: int) -> DataFrame:
     An answer packs a token with its document frequency, which only orders tokens and stops at 65535.
     """
 
+    def waiting(shared, behind, ids, keys, sizes):
+        return answer_blob(keys[(behind & LOCAL).astype(np.int64)], behind >> KEY_BITS, WAITS)
+
     def rank(batches):
-        e = unpack_entries(v for b in batches for v in b.column(1).to_pylist())
+        blobs: list[bytes] = []
+        yield from passed_on(batches, blobs)
+        e = unpack_entries(blobs)
         order, starts, shared = _shared(e)
-        often = spread(np.diff(np.append(starts, len(order))), starts, len(order))[shared]
+        if not len(starts):
+            return
+        often = spread(np.add.reduceat(e.weight[order].astype(np.int64), starts), starts, len(order))[shared]
         chosen = order[shared]
         yield from answers(e.batch[chosen], e.row[chosen], np.minimum(often, 0xFFFF).astype(U64) << U64(48) | e.keys[chosen])
 
@@ -166,12 +191,12 @@ def ordered_sets(rows: DataFrame, near: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for row, doc, size, told in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                tokens = np.sort(np.frombuffer(told, U64)) & U64(0xFFFFFFFFFFFF)
+                tokens = np.unique(np.frombuffer(told, U64)) & KEY
                 if len(tokens) >= _kept(size):
                     out.append((row, doc, size, size - len(tokens), tokens.tobytes()))
             yield pa.record_batch([pa.array([x[i] for x in out], pa.binary() if i == 4 else pa.int64()) for i in range(5)], names=["row_key", "doc_id", "size", "alone", "tokens"])
 
-    sent = keep_rows(rows, near, "left_semi").select("doc_id", "text", "row_key").mapInArrow(_send_sets(lambda s: s, buckets), "bucket int, blob binary")
+    sent = keep_rows(rows, near, "left_semi").select("doc_id", "text", "row_key").mapInArrow(_send_sets(lambda s: s, buckets, waiting), _SENT)
     told = gathered(sent.repartition(buckets, "bucket").mapInArrow(trimmed(rank), ANSWERS), buckets, "row_key long, told binary")
     return near.join(told, "row_key").mapInArrow(trimmed(order_tokens), "row_key long, doc_id long, size long, alone long, tokens binary")
 

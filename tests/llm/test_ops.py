@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import decontam, fingerprint, langid, licenses, ngram_join, packing, suffix_dedup, token_counts, token_output, tokens, warc
+from quarry.llm import decontam, exchange, fingerprint, langid, licenses, ngram_join, packing, suffix_dedup, token_counts, token_output, tokens, warc
 from quarry.llm.exchange import BROADCAST_IDS
 
 BASE = "the quick brown fox jumps over the lazy dog while nine old men sing songs about rivers and seven hills far away from home "
@@ -132,7 +132,8 @@ def _sets(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def test_jaccard(spark, docs):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_jaccard(spark, docs, parts):
     random.seed(5)
     vocab = [f"w{i}" for i in range(60)]
     rows = list(ROWS)
@@ -156,11 +157,27 @@ def test_jaccard(spark, docs):
             if i is not None and j is not None and a and 100 * len(a & b) >= 75 * len(a | b):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
-    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)  # a token's rows meet in one batch, in several, or each alone
+    got = ngram_join.jaccard_components(table).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted((str(i), len(s), str(i if i is None else root(i))) for i, s in sets)
     assert ngram_join.jaccard_components(_empty(docs)).count() == 0
 
 
+def test_combined_entries_keep_every_count():
+    rng = np.random.default_rng(2)
+    packed = np.concatenate([np.unique(rng.integers(0, 50, 30).astype(np.uint64)) << np.uint64(16) | np.uint64(i) for i in range(9)])
+    want = np.bincount((packed >> np.uint64(16)).astype(int))
+    entries, weights, shared, behind = exchange.combined(packed.copy())
+    keys = (entries >> np.uint64(16)).astype(int)
+    assert len(set(keys)) == len(keys) and np.array_equal(np.bincount(keys, weights), want)
+    assert len(shared) == want[want > 1].sum() and len(behind) == (want[want > 1] - 1).sum()
+    ids = np.arange(9)
+    e = exchange.unpack_entries(v for _, v in exchange.pack_entries(entries, ids, ids, ids, 4, weights))
+    assert np.array_equal(np.bincount(e.keys.astype(int), e.weight), want)
+    plain = exchange.unpack_entries(v for _, v in exchange.pack_entries(packed, ids, ids, ids, 4))
+    assert len(plain.keys) == len(packed) and set(plain.weight.tolist()) == {1}
+
+
 def test_tree_agrees_with_counting():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 40, 200).astype(np.uint64))
