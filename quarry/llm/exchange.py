@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, trimmed
+from .common import U64, materialize, trimmed
 
 #: Ids up to this number (16 MB) are sent to all executors to filter texts before they move; above it the join shuffles.
 BROADCAST_IDS = 2_000_000
@@ -36,9 +36,10 @@ def held_rows(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
-    """(row_key, doc_id, first_id): rows whose whole text also stands under a smaller doc_id, by SHA-256. Pre-aggregated, so that a text with very many copies is met once per task."""
+    """(row_key, doc_id, first_id): rows whose whole text also stands under a smaller doc_id, by SHA-256. Pre-aggregated, so that a text with very many copies is met once per task; the firsts of groups are written, so that Spark sees their size and either broadcasts them or splits a text with very many copies over tasks."""
     keyed = rows.select("row_key", "doc_id", F.sha2("text", 256).alias("sha"))
     first = keyed.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select("sha", "first_id")
+    first = materialize(first, "first-copies")
     return keyed.join(first, "sha").filter("doc_id > first_id").select("row_key", "doc_id", "first_id").distinct()
 
 
