@@ -68,10 +68,8 @@ class Entries:
 
 _HEAD = struct.Struct("<IIq")
 #: Rows that a mapper packs together; answers come back a blob per such batch.
-BATCH_ROWS = 5000
-
-
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 2000
+BATCH_BYTES = 6 << 20
 
 
 def row_batches(batches):
@@ -81,14 +79,23 @@ def row_batches(batches):
         for at in range(0, whole.num_rows, BATCH_ROWS):
             part = whole.slice(at, BATCH_ROWS)
             if held and (rows + part.num_rows > BATCH_ROWS or size > BATCH_BYTES):
-                yield pa.concat_batches(held)
+                whole_batch = pa.concat_batches(held)
                 held, rows, size = [], 0, 0
+                yield whole_batch
+                del whole_batch
             held.append(part)
             rows, size = rows + part.num_rows, size + part.nbytes
     if held:
         yield pa.concat_batches(held)
 
 
+def utf8(column, rows: int = 256):
+    """The texts of a column as bytes, null as empty, some at a time and without a string in between."""
+    for at in range(0, len(column), rows):
+        for text in column.slice(at, rows).cast(pa.binary()).to_pylist():
+            yield text or b""
+
+
 def combined(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(entries, weights, shared, behind): of each key that several documents of a batch have, one entry is sent for all, with their number as weight.
 

@@ -15,6 +15,8 @@ change nothing, so none between components is lost and no group emits all its pa
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, bound_batches, buckets_for, materialize, mix, trimmed
 from .components import connected_components
-from .exchange import ANSWERS, KEY, KEY_BITS, LOCAL, WAITS, answer_blob, answers, combined, gathered, groups_of, held_rows, keep_rows, later_copies, pack_entries, passed_on, row_batches, spread, unpack_entries
+from .exchange import ANSWERS, KEY, KEY_BITS, LOCAL, WAITS, answer_blob, answers, combined, gathered, groups_of, held_rows, keep_rows, later_copies, pack_entries, passed_on, row_batches, spread, unpack_entries, utf8
 
 WORDS = 5
 BUCKET_ENTRIES, GROUP_BYTES = 700_000, 1 << 18
@@ -54,14 +56,15 @@ def _word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64)), starts
 
 
-def shingle_sets(texts: list[str], words: int = WORDS):
-    """The sorted distinct 64-bit shingle hashes of each text, in order. A text of fewer words has one shingle, its whole sequence; one without words has none."""
+def shingle_sets(texts, words: int = WORDS):
+    """The sorted distinct 64-bit shingle hashes of each text (UTF-8 bytes), in order. A text of fewer words has one shingle, its whole sequence; one without words has none."""
     held: list[bytes] = []
     size = 0
-    for i, text in enumerate(texts):
-        held.append(text.encode("utf-8", "surrogatepass"))
-        size += len(held[-1])
-        if size >= GROUP_BYTES or i == len(texts) - 1:
+    for text in chain(texts, [None]):
+        if text is not None:
+            held.append(text)
+            size += len(text)
+        if held and (size >= GROUP_BYTES or text is None):
             ends = np.cumsum([len(t) + 1 for t in held])
             hashes, starts = _word_hashes(np.frombuffer(b" ".join([*held, b""]), np.uint8))
             cuts = np.concatenate([[0], np.searchsorted(starts, ends)])
@@ -102,7 +105,7 @@ def _send_sets(take, buckets: int, tell):
         for batch in row_batches(batches):
             ids, keys = (np.asarray(batch.column(i)) for i in (0, 2))
             packed, sizes, seen = [], np.zeros(batch.num_rows, np.int64), set()
-            for i, (row, s) in enumerate(zip(keys.tolist(), shingle_sets(batch.column(1).to_pylist()), strict=True)):
+            for i, (row, s) in enumerate(zip(keys.tolist(), shingle_sets(utf8(batch.column(1))), strict=True)):
                 sizes[i] = len(s)
                 if row not in seen:  # a repeated row learns what the first does
                     seen.add(row)
@@ -322,7 +325,7 @@ def set_sizes(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            sizes = [len(s) for s in shingle_sets([t or "" for t in batch.column(1).to_pylist()])]
+            sizes = [len(s) for s in shingle_sets(utf8(batch.column(1)))]
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_shingles"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(count), "doc_id long, n_shingles long")

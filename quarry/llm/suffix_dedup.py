@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, bound_batches, materialize, mix, trimmed
-from .exchange import ANSWERS, answers, gathered, groups_of, held_rows, keep_rows, later_copies, pack_entries, row_batches, spread, unpack_entries, with_answers
+from .exchange import ANSWERS, answers, gathered, groups_of, held_rows, keep_rows, later_copies, pack_entries, row_batches, spread, unpack_entries, utf8, with_answers
 
 THRESHOLD, ANCHOR = 50, 24
 #: Entries that a reducer aims to hold, and bytes that a mapper ranks at once.
@@ -73,7 +73,7 @@ class Runs:
         self.key = mix(r24[self.anchor] + U64(0x632BE59BD9B4E019)) >> U64(16)
 
 
-def _groups(texts: list[bytes]):
+def _groups(texts):
     """(numbers of documents, pieces, offsets) of about GROUP_BYTES; a longer text is cut so that every window lies whole in one piece."""
     numbers, pieces, offsets, held = [], [], [], 0
     for i, text in enumerate(texts):
@@ -90,18 +90,13 @@ def _groups(texts: list[bytes]):
         yield np.asarray(numbers), pieces, np.asarray(offsets)
 
 
-def _bytes(column) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") for t in column.to_pylist()]
-
-
 def repeated_anchors(rows: DataFrame, buckets: int) -> DataFrame:
     """(row_key, keys binary): the ranks at length 24 that a row shares with a row of another doc_id."""
 
     def send(batches):
         for batch in row_batches(batches):
-            texts = _bytes(batch.column(1))
             entries = []
-            for numbers, pieces, _ in _groups(texts):
+            for numbers, pieces, _ in _groups(utf8(batch.column(1))):
                 runs = Runs(pieces)
                 entries.append(runs.key << U64(16) | numbers[runs.doc].astype(U64))
             if entries:
@@ -164,10 +159,9 @@ def repeated_windows(rows: DataFrame, anchors: DataFrame, buckets: int) -> DataF
 
     def send(batches):
         for batch in row_batches(batches):
-            texts = _bytes(batch.column(1))
             wanted = [np.unique(np.frombuffer(b"".join(k), U64)) for k in batch.column(3).to_pylist()]
             runs = []
-            for numbers, pieces, offsets in _groups(texts):
+            for numbers, pieces, offsets in _groups(utf8(batch.column(1))):
                 r = Runs(pieces)
                 cuts = np.searchsorted(r.doc, np.arange(len(pieces) + 1))
                 hit = np.concatenate([np.isin(r.key[a:b], wanted[i]) for a, b, i in zip(cuts, cuts[1:], numbers, strict=False)]) if len(r.key) else np.empty(0, bool)
@@ -242,7 +236,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, keep: tuple[str, ..
     def cut(batches):
         for batch in batches:
             out: list[list] = [[] for _ in made]
-            for doc_id, text, found in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for doc_id, text, found in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 spans = _spans(found, len(text))
                 parts, at = [], 0
                 for a, b in spans:
