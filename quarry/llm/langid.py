@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import bound_batches, trimmed
 
 UNDETERMINED = "und"
 FEATURES = 4096
@@ -131,8 +131,9 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` with lang_pred, score and ambiguous. A null text, or one without a letter, is ``und`` with score 0; so is every text where there is no model."""
-    sent = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = sent.schema
+    bound_batches(docs.sparkSession)
+    sent = docs.select(*keep, *([] if text_col in keep else [text_col])).withColumn(text_col, F.col(text_col).cast("string"))
+    at_text, fields = sent.columns.index(text_col), sent.schema.fields[: len(keep)]
     out = docs.sparkSession.createDataFrame([], _ROWS).schema
 
     def run(batches):
@@ -140,19 +141,19 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
 
         letter = regex.compile(r"\p{L}")
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(at_text).to_pylist()
             real = [i for i, t in enumerate(texts) if model is not None and t and letter.search(t)]
             names, scores, flags = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
             for at in range(0, len(real), 256):
                 some = real[at : at + 256]
                 for i, n, s, a in zip(some, *model.decide(np.stack([features(texts[i]) for i in some])), strict=True):
                     names[i], scores[i], flags[i] = n, float(s), bool(a)
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns = [batch.column(i) for i in range(len(keep))]
             yield pa.record_batch([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names=[*keep, "lang_pred", "score", "ambiguous"])
 
     from pyspark.sql.types import StructType
 
-    return sent.mapInArrow(trimmed(run), StructType(schema.fields[:-1] + out.fields))
+    return sent.mapInArrow(trimmed(run), StructType(fields + out.fields))
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
