@@ -45,11 +45,18 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def trimmed(mapper):
-    """A mapper that gives free memory back when its task ends; Spark keeps Python workers for later tasks."""
+#: What a worker process may hold from task to task: functions that let go of it.
+RELEASES: list = []
+
+
+def trimmed(mapper, holds: bool = False):
+    """A mapper that gives free memory back when its task ends; Spark keeps Python workers for later tasks. Unless it ``holds`` what RELEASES lets go of, that goes when its task begins."""
 
     @functools.wraps(mapper)
     def run(batches):
+        if not holds:
+            for release in RELEASES:
+                release()
         yield from mapper(batches)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only where the C library can

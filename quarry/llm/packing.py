@@ -45,7 +45,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int | None = END_ID, id
             yield pa.record_batch([pa.array([part] * n, pa.int32()), pa.array(starts, pa.int64()), batch.column(0), pa.array(counts, pa.int64()), pa.array(wides, pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "part_start", "doc_id", "n_tokens", "wide", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(trimmed(encode), _ENCODED), "encoded")
+    return materialize(rows.mapInArrow(trimmed(encode, holds=True), _ENCODED), "encoded")
 
 
 def partition_offsets(encoded: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    write_blobs(ordered.mapInArrow(trimmed(encode), "chunk binary"), out, "\n")
+    write_blobs(ordered.mapInArrow(trimmed(encode, holds=True), "chunk binary"), out, "\n")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -17,6 +17,8 @@ from array import array
 
 import numpy as np
 
+from .common import RELEASES
+
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Segments kept by a worker; a full cache stays as it is until it misses more than this share.
 CACHE_ENTRIES, STALE_SHARE = 250_000, 0.4
@@ -122,3 +124,6 @@ def slices(batches, rows: int = 1024):
 def encoder(path: str, ordinary: bool = False) -> SegmentEncoder:
     """One encoder per worker process and file."""
     return SegmentEncoder(path, ordinary)
+
+
+RELEASES.append(encoder.cache_clear)
