@@ -11,21 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Short notices of public licences, by SPDX identifier.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0. Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0. Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC0-1.0": "CC0 1.0 Universal Public Domain Dedication.",
-    "Proprietary": "Copyright. All rights reserved.",
-}
+#: Notices of public licences, by SPDX identifier. Every form is a template of its own; a licence's best one counts.
+TEMPLATES = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication."),
+    ("Proprietary", "All rights reserved."),
+    ("Proprietary", "Copyright. All rights reserved."),
+]
 
 LEAST_COSINE, FILE_SHARE = 0.5, 0.5
 BROADCAST_DIRECTORIES = 500_000
@@ -49,13 +55,13 @@ def score_lines(lines: DataFrame) -> DataFrame:
     keyed = lines.select(F.col("line").alias("key"), "line", "n")
     total = lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()[0]
     idf = keyed.select("n", F.explode(F.array_distinct(_terms(F.col("line")))).alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
-    templates = spark.createDataFrame(list(TEMPLATES.items()), "key string, line string")
+    templates = spark.createDataFrame([(f"{i} {name}", text) for i, (name, text) in enumerate(TEMPLATES)], "key string, line string")
     theirs = _weighted(templates, idf, f"{total}D")
-    theirs = theirs.join(theirs.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "key").select(F.col("key").alias("license"), "term", (F.col("w") / F.col("norm")).alias("t"))
+    theirs = theirs.join(theirs.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "key").select(F.col("key").alias("template"), "term", (F.col("w") / F.col("norm")).alias("t"))
     mine = _weighted(keyed, idf, f"{total}D")
     norms = mine.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = mine.join(F.broadcast(theirs), "term").groupBy("key", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))  # bounded by the fixed templates
-    scored = dots.join(norms, "key").select("key", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= LEAST_COSINE)
+    dots = mine.join(F.broadcast(theirs), "term").groupBy("key", "template").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))  # bounded by the fixed templates
+    scored = dots.join(norms, "key").select("key", F.substring_index("template", " ", -1).alias("license"), F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= LEAST_COSINE)
     best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     return best.select(F.col("key").alias("line"), "b.license", (-F.col("b.s")).alias("score"))
 

@@ -240,6 +240,21 @@ def test_licenses(spark, docs):
     assert licenses.scan_licenses(licenses.document_paths(_empty(docs))).count() == 0
 
 
+#: Every notice form of the tables, alone and between other lines.
+NOTICES = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+
+
+def _scanned(spark, texts):
+    rows = [(i, f"{i}/x", t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_every_notice_of_the_tables_is_found(spark):
+    got = _scanned(spark, [f"Some prose.\n{n}\nMore of it here." for n in NOTICES])
+    assert [(r.license, r.origin) for r in got] == [(name, "own") for name in NOTICES.values()]
+
+
 def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
