@@ -43,22 +43,21 @@ def _terms(text):
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?=\s|$)"), lambda t: t != "")
 
 
-def _weighted(lines: DataFrame, idf: DataFrame, n: str) -> DataFrame:
-    """(key, term, w): term weights tf * idf; terms that no line has get the largest idf."""
+def _weighted(lines: DataFrame, idf: DataFrame) -> DataFrame:
+    """(key, term, w): term weights tf * idf; terms that no template has get the largest idf."""
     counted = lines.select("key", F.explode(_terms(F.col("line"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
-    return counted.join(idf, "term", "left").select("key", "term", (F.col("tf") * (F.log((1 + F.expr(n)) / (1 + F.coalesce("df", F.lit(0)))) + 1)).alias("w"))
+    return counted.join(idf, "term", "left").select("key", "term", (F.col("tf") * (F.log((1 + F.lit(float(len(TEMPLATES)))) / (1 + F.coalesce("df", F.lit(0)))) + 1)).alias("w"))
 
 
 def score_lines(lines: DataFrame) -> DataFrame:
-    """(line, license, score): each distinct line of ``lines`` (line, n) with its best template of LEAST_COSINE or more; ties go to the first identifier. Document frequencies count all lines."""
+    """(line, license, score): each line of ``lines`` (line) with its best template of LEAST_COSINE or more; ties go to the first identifier. Document frequencies count the templates, so a score depends on nothing but the line."""
     spark: SparkSession = lines.sparkSession
-    keyed = lines.select(F.col("line").alias("key"), "line", "n")
-    total = lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()[0]
-    idf = keyed.select("n", F.explode(F.array_distinct(_terms(F.col("line")))).alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
+    keyed = lines.select(F.col("line").alias("key"), "line")
     templates = spark.createDataFrame([(f"{i} {name}", text) for i, (name, text) in enumerate(TEMPLATES)], "key string, line string")
-    theirs = _weighted(templates, idf, f"{total}D")
+    idf = templates.select(F.explode(F.array_distinct(_terms(F.col("line")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    theirs = _weighted(templates, idf)
     theirs = theirs.join(theirs.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "key").select(F.col("key").alias("template"), "term", (F.col("w") / F.col("norm")).alias("t"))
-    mine = _weighted(keyed, idf, f"{total}D")
+    mine = _weighted(keyed, F.broadcast(idf))
     norms = mine.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = mine.join(F.broadcast(theirs), "term").groupBy("key", "template").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))  # bounded by the fixed templates
     scored = dots.join(norms, "key").select("key", F.substring_index("template", " ", -1).alias("license"), F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= LEAST_COSINE)
@@ -76,7 +75,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     """
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     noticed = rows.select("doc_id", "path", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(_NOTICE)).withColumn("line", F.trim("line"))
-    scored = score_lines(noticed.groupBy("line").agg(F.count("*").alias("n")))
+    scored = score_lines(noticed.select("line").distinct())
     hits = noticed.join(scored, "line").select("doc_id", "path", "license", "score", F.size(_terms(F.col("line"))).alias("words"))
     own = hits.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.sum("words").alias("words"))
     base = rows.select("doc_id", "path", F.when(F.col("text").rlike(_NOTICE), F.size(F.split("text", r"\s+"))).alias("n_words"))

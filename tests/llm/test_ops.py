@@ -255,6 +255,15 @@ def test_every_notice_of_the_tables_is_found(spark):
     assert [(r.license, r.origin) for r in got] == [(name, "own") for name in NOTICES.values()]
 
 
+def test_a_score_does_not_depend_on_the_number_of_notices(spark):
+    rows = [(i, t) for i, t in enumerate([*NOTICES, "Copyright 2020 Anna. All rights reserved.", "Distributed under the BSD 3-Clause License, see there", "Under the Mozilla Public License, v. 2.0."])]
+    docs, seen = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for times in (1, 20, 1000):
+        many = docs.crossJoin(spark.range(times)).select("doc_id", F.lit(None).cast("string").alias("path"), "text")
+        seen.append({(r.doc_id, r.license, r.score) for r in licenses.scan_licenses(many).distinct().collect()})
+    assert seen[0] == seen[1] == seen[2] and [r[1] for r in sorted(seen[0])] == [*NOTICES.values(), "Proprietary", "BSD-3-Clause", "MPL-2.0"]
+
+
 def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
