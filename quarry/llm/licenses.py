@@ -1,17 +1,32 @@
-"""Licence scans: notices against templates by sparse TF-IDF cosine, then inheritance from directories.
-
-Every line that could be a notice is compared with all templates; equal lines are scored once. A file
-takes its best line's licence. A file most of whose words lie in matched lines counts as its
-directory's licence file, and so does one with a licence file's name. Files without a notice of their
+"""Licence scans: notices, headers and licence texts against templates by sparse TF-IDF cosine, then inheritance from directories.
+
+Compared are each line, each block of lines (between lines without a word, and as far as consecutive
+lines consist of a template's words, so that wrapped notices are whole) and the whole file. Whether a
+comparison can reach the least cosine is told from the templates' own words: by Cauchy-Schwarz, the
+shared ones hold at least the least cosine's square of the template's squared norm. A file takes its
+best comparison's licence. A file most of whose words lie in matched lines (of a matched block, those
+that consist of the template's words) counts as its directory's licence file, and so does one with a licence file's name. Files without a notice of their
 own inherit from the nearest directory above them that has a licence file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+import re
+from collections import Counter
+from importlib.resources import files
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .common import bound_batches, materialize, trimmed
 
-#: Notices of public licences, by SPDX identifier. Every form is a template of its own; a licence's best one counts.
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {lesser}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {lesser}General Public License for more details. You should have received a copy of the GNU {lesser}General Public License along with this program. If not, see https://www.gnu.org/licenses/."
+
+#: Notices, headers and texts of public licences, by SPDX identifier. Every form is a template of its own; a licence's best one counts.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -31,55 +46,139 @@ TEMPLATES = [
     ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication."),
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    *((f"{lesser[:1]}GPL-{version}.0", _GNU.format(lesser=lesser, version=version)) for lesser, version in (("", 3), ("", 2), ("Lesser ", 3))),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *((name, (files(__package__) / "license_texts" / f"{name}.txt").read_text("utf-8")) for name in ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0")),
 ]
 
 LEAST_COSINE, FILE_SHARE = 0.5, 0.5
+#: Lines of which this share of the squared norm lies in a template's words consist of them.
+LINE_SHARE = 0.5
+#: Says nothing beside a licence, so any other that is found counts before it.
+RESERVED = "Proprietary"
+#: One word is no notice: a line "Mit." is German prose.
+LEAST_SHARED = 2
 BROADCAST_DIRECTORIES = 500_000
-_NOTICE = r"(?i)licen[cs]|copyright|spdx|rights reserved|public domain|hereby granted|redistribution|creative commons|\bCC0\b"
 _LICENCE_FILE = r"(?i)(^|/)(licen[cs]es?|copying|notice|unlicense)(\.[a-z]+)?$"
-
-
-def _terms(text):
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?=\s|$)"), lambda t: t != "")
-
-
-def _weighted(lines: DataFrame, idf: DataFrame) -> DataFrame:
-    """(key, term, w): term weights tf * idf; terms that no template has get the largest idf."""
-    counted = lines.select("key", F.explode(_terms(F.col("line"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
-    return counted.join(idf, "term", "left").select("key", "term", (F.col("tf") * (F.log((1 + F.lit(float(len(TEMPLATES)))) / (1 + F.coalesce("df", F.lit(0)))) + 1)).alias("w"))
-
-
-def score_lines(lines: DataFrame) -> DataFrame:
-    """(line, license, score): each line of ``lines`` (line) with its best template of LEAST_COSINE or more; ties go to the first identifier. Document frequencies count the templates, so a score depends on nothing but the line."""
-    spark: SparkSession = lines.sparkSession
-    keyed = lines.select(F.col("line").alias("key"), "line")
-    templates = spark.createDataFrame([(f"{i} {name}", text) for i, (name, text) in enumerate(TEMPLATES)], "key string, line string")
-    idf = templates.select(F.explode(F.array_distinct(_terms(F.col("line")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    theirs = _weighted(templates, idf)
-    theirs = theirs.join(theirs.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "key").select(F.col("key").alias("template"), "term", (F.col("w") / F.col("norm")).alias("t"))
-    mine = _weighted(keyed, F.broadcast(idf))
-    norms = mine.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = mine.join(F.broadcast(theirs), "term").groupBy("key", "template").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))  # bounded by the fixed templates
-    scored = dots.join(norms, "key").select("key", F.substring_index("template", " ", -1).alias("license"), F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= LEAST_COSINE)
-    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    return best.select(F.col("key").alias("line"), "b.license", (-F.col("b.s")).alias("score"))
-
-
-def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
+_WORD = re.compile(r"[^\W_]+(?:\.+[^\W_]+)*")
+_ROWS = "license string, score double, words long, n_words long"
+
+
+def terms(text: str) -> list[str]:
+    """Lower-cased runs of letters and digits, also with dots inside."""
+    return _WORD.findall(text.lower())
+
+
+class Matcher:
+    """The templates' unit vectors of (1 + ln tf) * idf. Document frequencies count the templates, so a score depends on nothing but what is compared; terms that no template has get the largest idf."""
+
+    def __init__(self, templates: list[tuple[str, str]]):
+        self.names = [name for name, _ in templates]
+        counts = [Counter(terms(text)) for _, text in templates]
+        df = Counter(t for c in counts for t in c)
+        self.index = {t: i for i, t in enumerate(sorted(df))}
+        self.rarest = math.log(1 + len(templates)) + 1
+        self.idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in df.items()}
+        self.vectors = np.zeros((len(self.index), len(templates)))
+        for k, c in enumerate(counts):
+            for t, n in c.items():
+                self.vectors[self.index[t], k] = (1 + math.log(n)) * self.idf[t]
+        self.vectors /= np.sqrt((self.vectors**2).sum(0))
+        self.squares = self.vectors**2
+
+    def reach(self, found) -> np.ndarray:
+        """Templates that a unit with the terms ``found``, or a part of it, can match; the margin is for rounding."""
+        at = [self.index[t] for t in found if t in self.index]
+        return np.flatnonzero(self.squares[at].sum(0) >= LEAST_COSINE**2 - 1e-9)
+
+    def weigh(self, counts: Counter) -> tuple[np.ndarray, np.ndarray, float]:
+        """Places and weights of the terms that templates have, and the squared norm over all."""
+        weights = {t: (1 + math.log(n)) * self.idf.get(t, self.rarest) for t, n in counts.items()}
+        at = [t for t in weights if t in self.index]
+        return np.array([self.index[t] for t in at], np.intp), np.array([weights[t] for t in at]), math.fsum(w * w for w in weights.values())
+
+    def scan(self, text: str | None) -> tuple[str | None, float | None, int, int]:
+        """Licence, score, words in matched lines, words."""
+        lowered = text.lower() if text else ""
+        words = _WORD.findall(lowered)
+        possible = self.reach(set(words))
+        if not len(possible):
+            return None, None, 0, len(words)
+        lines = [Counter(_WORD.findall(line)) for line in lowered.split("\n")]
+        best, matched, weighed = None, set(), [self.weigh(c) for c in lines]
+
+        def consists(i: int, k: int) -> bool:
+            """Whether line i consists of template k's words."""
+            at, weights, square = weighed[i]
+            return len(at) > 0 and bool((weights**2)[self.vectors[at, k] > 0].sum() >= LINE_SHARE * square)
+
+        def compare(start: int, end: int, templates: np.ndarray, counts: Counter) -> None:
+            nonlocal best
+            at, weights, square = self.weigh(counts)
+            scores = weights @ self.vectors[np.ix_(at, templates)] / math.sqrt(square)
+            for k, score in zip(templates, scores.round(6), strict=True):
+                if score >= LEAST_COSINE and np.count_nonzero(self.vectors[at, k]) >= LEAST_SHARED:
+                    matched.update(i for i in range(start, end) if end - start == 1 or consists(i, k))
+                    found = (self.names[k] == RESERVED, -float(score), self.names[k])
+                    best = found if best is None else min(best, found)
+
+        def blocks(goes_on: list[bool], bridged: bool):
+            """Runs of two lines or more that go on; where ``bridged``, lines without a word don't end one."""
+            run = []
+            for i, on in enumerate([*goes_on, False]):
+                if on:
+                    run.append(i)
+                elif i == len(lines) or lines[i] or not bridged:
+                    if len(run) > 1:
+                        yield run[0], run[-1] + 1
+                    run = []
+
+        def compare_blocks(goes_on: list[bool], bridged: bool, templates: np.ndarray) -> None:
+            for start, end in blocks(goes_on, bridged):
+                counts = Counter()
+                for c in lines[start:end]:
+                    counts.update(c)
+                if len(some := np.intersect1d(templates, self.reach(counts))):
+                    compare(start, end, some, counts)
+
+        for i, counts in enumerate(lines):
+            if counts and len(some := self.reach(counts)):
+                compare(i, i + 1, some, counts)
+        if sum(map(bool, lines)) > 1:
+            compare(0, len(lines), possible, Counter(words))
+            compare_blocks([bool(c) for c in lines], False, possible)
+            for k in possible:
+                compare_blocks([consists(i, k) for i in range(len(lines))], True, np.array([k]))
+        if best is None:
+            return None, None, 0, len(words)
+        return best[2], -best[1], sum(lines[i].total() for i in matched), len(words)
+
+
+def scan_licenses(table: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """Per file: doc_id, path, license, score, origin (own, inherited or none), inherited_from (a directory).
 
-    Null or empty texts have no notice of their own; a null path has no directory and inherits
+    Texts are read once and whole, and stay where they are. Null or empty texts have no notice of their own; a null path has no directory and inherits
     nothing. Where a directory has several licence files, the best score and then the first
     identifier count. Repeated rows are reported once each; rows that share an id are one file. An
     empty table gives no rows; other columns are not read.
     """
-    rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
-    noticed = rows.select("doc_id", "path", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(_NOTICE)).withColumn("line", F.trim("line"))
-    scored = score_lines(noticed.select("line").distinct())
-    hits = noticed.join(scored, "line").select("doc_id", "path", "license", "score", F.size(_terms(F.col("line"))).alias("words"))
-    own = hits.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.sum("words").alias("words"))
-    base = rows.select("doc_id", "path", F.when(F.col("text").rlike(_NOTICE), F.size(F.split("text", r"\s+"))).alias("n_words"))
-    joined = base.join(own, "doc_id", "left").select("doc_id", "path", "n_words", "words", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    rows = table.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
+    bound_batches(rows.sparkSession)
+    matcher = Matcher(TEMPLATES)
+
+    def run(batches):
+        for batch in batches:
+            found = zip(*(matcher.scan(t) for t in batch.column(2).to_pylist()), strict=True) if batch.num_rows else [()] * 4
+            columns = [pa.array(x, kind) for x, kind in zip(found, (pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["doc_id", "path", "license", "score", "words", "n_words"])
+
+    schema = StructType(rows.schema.fields[:2] + rows.sparkSession.createDataFrame([], _ROWS).schema.fields)
+    scanned = materialize(rows.mapInArrow(trimmed(run), schema), "licenses")
+    order = F.struct((F.col("license") == RESERVED).alias("reserved"), (-F.col("score")).alias("s"), "license")
+    own = scanned.groupBy("doc_id").agg(F.min(F.when(F.col("license").isNotNull(), order)).alias("b"), F.sum("words").alias("words"), F.sum("n_words").alias("n_words")).filter("b IS NOT NULL")
+    # a row without an id is a file of its own
+    joined = scanned.alias("r").join(own.alias("o"), "doc_id", "left").select("doc_id", "path", *(F.coalesce(f"o.{c}", f"r.{c}").alias(c) for c in ("n_words", "words")), F.coalesce("b.license", "license").alias("license"), F.coalesce(-F.col("b.s"), "score").alias("score"))
     directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
     holds = joined.filter(F.col("license").isNotNull() & F.col("path").isNotNull() & ((F.col("words") >= FILE_SHARE * F.col("n_words")) | F.col("path").rlike(_LICENCE_FILE)))
     found = holds.groupBy(directory.alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))

@@ -1,8 +1,9 @@
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -264,6 +265,59 @@ def test_a_score_does_not_depend_on_the_number_of_notices(spark):
     assert seen[0] == seen[1] == seen[2] and [r[1] for r in sorted(seen[0])] == [*NOTICES.values(), "Proprietary", "BSD-3-Clause", "MPL-2.0"]
 
 
+def test_notices_without_a_keyword_wrapped_notices_and_whole_texts(spark):
+    texts = dict(licenses.TEMPLATES)  # of each licence the last form, where there is one its whole text
+    header = "# " + licenses._GNU.format(lesser="", version=2).replace(", ", ",\n# ")
+    rows = [
+        (0, "a/0", "Prose.\nThis work is under CC BY-NC 4.0"), (1, "b/1", "Prose goes first\nand then. This text stands here.\nThis work is licensed under the GNU\nGeneral Public License, version 3.\nMore prose"),
+        (2, "c/2", "MIT License\n\nCopyright (c) 2020 Anna\n\n" + texts["MIT"]), (3, "c/d/3", "code"), (4, "e/4", texts["GPL-3.0"]), (5, "e/5", "code"), (6, "f/6", header + "\nimport os\n" + "print(os)\n" * 300), (7, "f/7", "code"),
+        (8, "g/8", texts["BSD-3-Clause"]), (9, "h/9", "Mit.\nmit und von\nAll the rest"), (None, "i/10", "Released under the MIT License."),
+    ]
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {0: ("CC-BY-NC-4.0", "own"), 1: ("GPL-3.0", "own"), 2: ("MIT", "own"), 3: ("MIT", "inherited"), 4: ("GPL-3.0", "own"), 5: ("GPL-3.0", "inherited"), 6: ("GPL-2.0", "own"), 7: (None, "none"), 8: ("BSD-3-Clause", "own"), 9: (None, "none"), None: ("MIT", "own")}
+
+
+def _best_license(text):
+    """All templates against all lines, blocks and the file, without a test of what can match."""
+    forms = [Counter(licenses.terms(t)) for _, t in licenses.TEMPLATES]
+    df = Counter(t for c in forms for t in c)
+
+    def vector(counts):
+        return {t: (1 + math.log(n)) * (math.log((1 + len(forms)) / (1 + df[t])) + 1) for t, n in counts.items()}
+
+    lines = [Counter(licenses.terms(line)) for line in text.split("\n")]
+    words, best, matched = [i for i, c in enumerate(lines) if c], None, set()
+    for (name, _), form in zip(licenses.TEMPLATES, map(vector, forms), strict=True):
+        on = [bool(c) and sum(w * w for t, w in vector(c).items() if t in form) >= 0.5 * sum(w * w for w in vector(c).values()) for c in lines]
+        units = {(i, i + 1) for i in words} | {(0, len(lines))}
+        for i in words:
+            ends = [j for j in words if j > i and all(lines[i : j + 1])]
+            goes = [j for j in words if j > i and all(on[k] for k in words if i <= k <= j)]
+            units |= {(i, max(ends) + 1)} if ends and (i == 0 or not lines[i - 1]) else set()
+            units |= {(i, max(goes) + 1)} if goes and not any(on[k] for k in [k for k in words if k < i][-1:]) else set()
+        for start, end in units:
+            v = vector(sum(lines[start:end], Counter()))
+            norm = math.sqrt(sum(w * w for w in v.values()) * sum(w * w for w in form.values()))
+            score = round(sum(w * v.get(t, 0) for t, w in form.items()) / norm, 6) if v else 0
+            if score >= 0.5 and len(v.keys() & form.keys()) > 1:
+                matched |= {i for i in range(start, end) if end - start == 1 or on[i]}
+                found = (name == "Proprietary", -score, name)
+                best = found if best is None else min(best, found)
+    return (best and best[2], best and -best[1], sum(lines[i].total() for i in matched), sum(c.total() for c in lines))
+
+
+def test_license_candidates_lose_nothing():
+    rng, matcher = random.Random(5), licenses.Matcher(licenses.TEMPLATES)
+    assert matcher.scan("To thlystth the. The edea be are reea.\nReleased under the MIT License.") == ("MIT", 1.0, 5, 13)
+    pieces = [*NOTICES, *(t for _, t in licenses.TEMPLATES if len(t) < 2000), "This work is under CC BY-NC 4.0", "mit und von der", "# all of this code", "", "", "plain prose of the day"]
+    for _ in range(150):
+        text = "\n".join(rng.choice(pieces) for _ in range(rng.randrange(5)))
+        text = "".join(rng.choice("\n ") if c == " " and rng.random() < 0.1 else c for c in text)
+        kept = " ".join(w for w in text.split(" ") if rng.random() < 0.8)
+        for t in (text, kept):
+            assert matcher.scan(t) == pytest.approx(_best_license(t), abs=2e-6), t
+
+
 def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
