@@ -30,10 +30,10 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: those without a letter, and those without text."""
+    """Documents without text or without a letter go, and those that the decoder finds unlike all learned languages. Without a row to learn from, only the first go."""
     docs = _documents(docs)
-    told = langid.predict(docs, langid.train(docs), list(COLUMNS))
-    return told.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
+    told = langid.predict(docs, langid.train(docs), list(COLUMNS), with_unlike=True)
+    return told.filter(~F.col("unlike")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

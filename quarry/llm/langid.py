@@ -23,6 +23,8 @@ FEATURES = 4096
 SAMPLE_ROWS, MOST_LANGUAGES = 3200, 400
 #: A lead below this share of the nearest codeword's loss counts as ambiguous.
 AMBIGUOUS_LEAD = 0.05
+#: A text is unlike the learned languages where its nearest codeword's loss is above this share of the mean loss: an even mix of two languages has about a fifth, and clean texts of 100 letters (bytes) at most about half. Shorter ones can't be told and stay.
+UNLIKE_SHARE, LEAST_LETTERS = 0.6, 100
 
 _ROWS = "lang_pred string, score double, ambiguous boolean"
 
@@ -48,6 +50,11 @@ def features(text: str, size: int = FEATURES) -> np.ndarray:
     return np.sqrt(counts / max(1, counts.sum())).astype(np.float32)
 
 
+def letters(text: str) -> int:
+    """Bytes of the lower-cased text that ``features`` doesn't count as spaces."""
+    return int((_TABLE[np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)] != 32).sum())
+
+
 def code_table(n: int, seed: int = 7) -> np.ndarray:
     """Codewords of ±1, a row per language: all splits for up to 7, else the best of some random tables by least distance."""
     if n <= 1:
@@ -83,6 +90,12 @@ class Model:
         likely = np.exp(losses.min(1, keepdims=True) - losses)
         return [self.languages[i] for i in order[:, 0]], 1 / likely.sum(1), second - best < AMBIGUOUS_LEAD * np.maximum(best, 1e-9)
 
+    def unlike(self, x: np.ndarray) -> np.ndarray:
+        """Whether all codewords are about as far from a row. Between two languages an even mix is so, too, so fewer than three tell nothing."""
+        losses = self.losses(x)
+        return losses.min(1) > UNLIKE_SHARE * losses.mean(1) if losses.shape[1] > 2 else np.zeros(len(x), bool)
+
+
 
 def fit(x: np.ndarray, labels: list[str], rounds: int = 150, step: float = 40.0, decay: float = 1e-5) -> Model:
     """Logistic classifiers for all bits at once, by accelerated gradient steps; each language has the same total weight."""
@@ -129,12 +142,12 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id
     return fit(np.stack([np.frombuffer(r.x, np.float32) for r in got]), [r.lang for r in got])
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` with lang_pred, score and ambiguous. A null text, or one without a letter, is ``und`` with score 0; so is every text where there is no model."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", with_unlike: bool = False) -> DataFrame:
+    """The columns ``keep`` with lang_pred, score and ambiguous. A null text, or one without a letter, is ``und`` with score 0; so is every text where there is no model. ``with_unlike``: also whether a text has no letter or fits no learned language; without a model, only the first."""
     bound_batches(docs.sparkSession)
     sent = docs.select(*keep, *([] if text_col in keep else [text_col])).withColumn(text_col, F.col(text_col).cast("string"))
     at_text, fields = sent.columns.index(text_col), sent.schema.fields[: len(keep)]
-    out = docs.sparkSession.createDataFrame([], _ROWS).schema
+    out = docs.sparkSession.createDataFrame([], _ROWS + ", unlike boolean" * with_unlike).schema
 
     def run(batches):
         import regex
@@ -142,14 +155,22 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
         letter = regex.compile(r"\p{L}")
         for batch in batches:
             texts = batch.column(at_text).to_pylist()
-            real = [i for i, t in enumerate(texts) if model is not None and t and letter.search(t)]
+            lettered = [i for i, t in enumerate(texts) if t and letter.search(t)]
+            real = lettered if model is not None else []
+            unlike = [True] * len(texts)
+            for i in lettered:
+                unlike[i] = False
             names, scores, flags = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
             for at in range(0, len(real), 256):
                 some = real[at : at + 256]
-                for i, n, s, a in zip(some, *model.decide(np.stack([features(texts[i]) for i in some])), strict=True):
+                x = np.stack([features(texts[i]) for i in some])
+                for i, n, s, a in zip(some, *model.decide(x), strict=True):
                     names[i], scores[i], flags[i] = n, float(s), bool(a)
+                for i, u in zip(some, model.unlike(x) if with_unlike else (), strict=with_unlike):
+                    unlike[i] = bool(u) and letters(texts[i]) >= LEAST_LETTERS
             columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.record_batch([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names=[*keep, "lang_pred", "score", "ambiguous"])
+            told = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_()), pa.array(unlike, pa.bool_())]
+            yield pa.record_batch([*columns, *told[: len(out)]], names=[*keep, *out.names])
 
     from pyspark.sql.types import StructType
 
