@@ -19,8 +19,8 @@ from .common import bound_batches, trimmed
 
 UNDETERMINED = "und"
 FEATURES = 4096
-#: Labelled rows to fit on, shared evenly between the languages, and languages at most.
-SAMPLE_ROWS, MOST_LANGUAGES = 3200, 400
+#: Labelled rows to fit on, shared evenly between the languages, and rows of each language at least: every language is learned.
+SAMPLE_ROWS, LEAST_ROWS = 3200, 2
 #: A lead below this share of the nearest codeword's loss counts as ambiguous.
 AMBIGUOUS_LEAD = 0.05
 #: A text is unlike the learned languages where its nearest codeword's loss is above this share of the mean loss: an even mix of two languages has about a fifth, and clean texts of 100 letters (bytes) at most about half. Shorter ones can't be told and stay.
@@ -63,8 +63,18 @@ def code_table(n: int, seed: int = 7) -> np.ndarray:
         bits = [[1 if i == 0 or not (j >> (i - 1)) & 1 else -1 for j in range(1, 1 << (n - 1))] for i in range(n)]
         return np.asarray(bits, np.float32)
     rng, width = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n)))
-    tables = [t for t in (rng.choice([-1.0, 1.0], (n, width)) for _ in range(50)) if (np.abs(t.sum(0)) < n).all()]
-    return max(tables, key=lambda t: (width - (t @ t.T + (width + 1) * -2 * np.eye(n)).max()) / 2).astype(np.float32)
+    # where there are very many languages, fewer tables are tried and their distances taken in slices
+    tables = (t for t in (rng.choice([-1.0, 1.0], (n, width)) for _ in range(50 if n <= 400 else 3)) if (np.abs(t.sum(0)) < n).all())
+
+    def least(t: np.ndarray) -> float:
+        nearest = -np.inf
+        for at in range(0, n, 1024):
+            likeness = t[at : at + 1024] @ t.T
+            likeness[np.arange(len(likeness)), np.arange(at, at + len(likeness))] = -np.inf
+            nearest = max(nearest, likeness.max())
+        return (width - nearest) / 2
+
+    return max(tables, key=least).astype(np.float32)
 
 
 @dataclass
@@ -125,18 +135,18 @@ def fold_of(id_col: str = "doc_id"):
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fits on rows outside fold 0 that have text and language: of each language the same number, those whose id hashes lowest. None where there are no such rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), fold_of(id_col).alias("fold")).filter("fold != 0 AND lang IS NOT NULL AND text IS NOT NULL")
-    languages = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    languages = rows.select("lang").distinct().count()
     if not languages:
         return None
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= max(1, sample_rows // len(languages))).filter(F.col("lang").isin(languages)).select("doc_id", "lang").distinct()
+    chosen = rows.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= max(LEAST_ROWS, sample_rows // languages)).select("doc_id", "lang").distinct()
 
     def vectors(batches):
         for batch in batches:
             blobs = [features(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary())], names=["lang", "x"])
 
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(trimmed(vectors), "lang string, x binary")  # at most sample_rows rows
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(trimmed(vectors), "lang string, x binary")  # at most sample_rows rows, or LEAST_ROWS of each language
     got = sample.collect()
     got.sort(key=lambda r: (r.lang, bytes(r.x)))
     return fit(np.stack([np.frombuffer(r.x, np.float32) for r in got]), [r.lang for r in got])

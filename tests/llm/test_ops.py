@@ -318,6 +318,15 @@ def test_license_candidates_lose_nothing():
             assert matcher.scan(t) == pytest.approx(_best_license(t), abs=2e-6), t
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + 7 * (i % 410))}{chr(0x5E00 + 5 * (i % 410))} " * 20, f"l{i % 410}") for i in range(410 * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == sorted({r[2] for r in rows})
+    told = langid.predict(docs.filter("doc_id < 410"), model, ["lang"])
+    assert told.filter("lang = lang_pred").count() > 390
+
+
 def test_language_stage_rejects_by_the_decoder(spark):
     d = "/root/testdata/sf0.01"
     clean = spark.read.parquet(f"{d}/documents.parquet").select(*corpus_pipeline.COLUMNS)
