@@ -23,8 +23,8 @@ FEATURES = 4096
 SAMPLE_ROWS, LEAST_ROWS = 3200, 2
 #: A lead below this share of the nearest codeword's loss counts as ambiguous.
 AMBIGUOUS_LEAD = 0.05
-#: A text is unlike the learned languages where its nearest codeword's loss is above this share of the mean loss: an even mix of two languages has about a fifth, and clean texts of 100 letters (bytes) at most about half. Shorter ones can't be told and stay.
-UNLIKE_SHARE, LEAST_LETTERS = 0.6, 100
+#: A text is unlike the learned languages where its nearest codeword's loss is above this share of the mean loss: an even mix of two languages has about a fifth, and clean texts with very many repeats up to 0.853 (check_h). Shorter ones can't be told and stay.
+UNLIKE_SHARE, LEAST_LETTERS = 0.9, 100
 
 _ROWS = "lang_pred string, score double, ambiguous boolean"
 
