@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import read_blobs, write_blobs
-from .common import shared_path
+from .common import materialize, shared_path, slices, trimmed
 
 DICTIONARY_MAGIC, SKIP_MAGIC = 0x184D2A5D, 0x184D2A50
 SEPARATOR = struct.pack("<II", SKIP_MAGIC, 0).decode("ascii")
 DICTIONARY_BYTES, TRAINING_BYTES, LEVEL = 32 << 10, 4 << 20, 6
+#: Later copies up to this number (some 80 bytes each) are sent to the payloads; above it these move once.
+BROADCAST_REVISITS = 1_000_000
 WARC_DATE = "2000-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -37,16 +39,21 @@ def plan_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id"
     """(page_id, url, payload, refers_to): of equal payloads of ``least_bytes`` or more, the smallest page_id is the response; the others refer to it.
 
     Equality is that of SHA-1 and length. Digests are pre-aggregated before they meet, and only
-    payloads that occur more than once take part in the join. A null page_id is written without a
-    number and is never referred to.
+    payloads that occur more than once take part in the join. Payloads stay where they are while the
+    later copies are few enough to be sent to them. Rows that share a page_id are judged by their own
+    payloads; those that share the payload too are alike. A null page_id is written without a number
+    and is never referred to.
     """
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "utf-8")
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
-    keyed = rows.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").alias("size")).filter(F.col("size") >= least_bytes)
-    first = keyed.groupBy("digest", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
-    later = keyed.join(first, ["digest", "size"]).filter("page_id > first_id").select("page_id", F.col("first_id").alias("refers_to")).distinct()
-    return rows.join(later, "page_id", "left")
+    digest, size = F.sha1("payload").alias("digest"), F.length("payload").alias("size")
+    keyed = rows.select("page_id", digest, size).filter(F.col("size") >= least_bytes)
+    first = keyed.groupBy("digest", "size").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).filter("first_id < last_id").drop("last_id")
+    later = keyed.join(first, ["digest", "size"]).filter("page_id > first_id").select("page_id", "digest", "size", F.col("first_id").alias("refers_to")).distinct()
+    later = materialize(later, "revisits")
+    few = later.count() <= BROADCAST_REVISITS
+    return rows.select("*", digest, size).join(F.broadcast(later) if few else later, ["page_id", "digest", "size"], "left").drop("digest", "size")
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -111,13 +118,13 @@ def write_warc(pages: DataFrame, out: str, least_bytes: int = 0, training_bytes:
     """Writes a record per row of ``pages`` (page_id, url, html); null html is an empty payload.
 
     A task holds at most ``training_bytes`` of records, from which it learns its file's dictionary,
-    and one record beyond. Repeated page_ids are written once each; a page_id that occurs both as
-    the first and with another payload is judged by page_id. An empty table leaves no records.
+    and one record beyond. A file holds one input partition, so files follow the input's size.
+    Repeated rows are written once each. An empty table leaves no records.
     """
 
     def compress(batches):
         def records():
-            for batch in batches:
+            for batch in slices(batches, 256):
                 for row in batch.to_pylist():
                     yield _record(row["page_id"], row["url"], row["payload"], row["refers_to"])
 
@@ -132,7 +139,7 @@ def write_warc(pages: DataFrame, out: str, least_bytes: int = 0, training_bytes:
             yield pa.record_batch([pa.array(chunk, pa.binary())], names=["frame"])
 
     planned = plan_records(pages, least_bytes).select("page_id", "url", "payload", "refers_to")
-    write_blobs(planned.mapInArrow(compress, "frame binary"), out, SEPARATOR)
+    write_blobs(planned.mapInArrow(trimmed(compress), "frame binary"), out, SEPARATOR)
 
 
 def frame_end(buffer, at: int) -> int:
@@ -192,7 +199,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return read_blobs(spark, path).mapInArrow(parse, _ROWS)
+    return read_blobs(spark, path).mapInArrow(trimmed(parse), _ROWS)
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
