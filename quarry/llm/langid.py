@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, trimmed
+from .common import materialize, slices, trimmed
 
 UNDETERMINED = "und"
 FEATURES = 4096
@@ -132,29 +132,54 @@ def fold_of(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
+def sample_cuts(rows: DataFrame, sample_rows: int) -> DataFrame | None:
+    """(lang, cut): of each language in ``rows`` (lang, h) the hash up to which its rows are learned from; None without rows.
+
+    Each language has the same number of distinct hashes, or all it has. Rows far above the expected
+    cut are dropped where they are, so a language with very many rows sends few of them to be ranked;
+    a language that has too few below is ranked whole.
+    """
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")  # as many rows as the model has codewords
+    languages = counts.count()
+    if not languages:
+        return None
+    most = max(LEAST_ROWS, sample_rows // languages)
+    share = (most + 8 * np.sqrt(most) + 16) / F.col("n")
+    low = rows.join(F.broadcast(counts), "lang").filter(F.col("h") / 2.0**64 + 0.5 <= share).select("lang", "h").distinct()
+
+    def cuts(hashes: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+        return hashes.withColumn("rank", rank).filter(F.col("rank") <= most).groupBy("lang").agg(F.max("h").alias("cut"), F.count("*").alias("found"))
+
+    found = materialize(cuts(low), "cuts")
+    short = counts.join(found, "lang", "left").filter((F.coalesce("found", F.lit(0)) < most) & (F.coalesce("found", F.lit(0)) < F.col("n"))).select("lang")
+    if short.isEmpty():
+        return found.select("lang", "cut")
+    rest = cuts(rows.join(F.broadcast(short), "lang", "left_semi").distinct())
+    return found.join(F.broadcast(short), "lang", "left_anti").unionByName(rest).select("lang", "cut")
+
+
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fits on rows outside fold 0 that have text and language: of each language the same number, those whose id hashes lowest. None where there are no such rows."""
+    """Fits on rows outside fold 0 that have text and language: of each language the same number of distinct (id, text), those that hash lowest. None where there are no such rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), fold_of(id_col).alias("fold")).filter("fold != 0 AND lang IS NOT NULL AND text IS NOT NULL")
-    languages = rows.select("lang").distinct().count()
-    if not languages:
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    cuts = sample_cuts(rows.select("lang", "h"), sample_rows)
+    if cuts is None:
         return None
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= max(LEAST_ROWS, sample_rows // languages)).select("doc_id", "lang").distinct()
 
     def vectors(batches):
-        for batch in batches:
+        for batch in slices(batches, 256):
             blobs = [features(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary())], names=["lang", "x"])
 
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(trimmed(vectors), "lang string, x binary")  # at most sample_rows rows, or LEAST_ROWS of each language
-    got = sample.collect()
+    chosen = rows.join(F.broadcast(cuts), "lang").filter("h <= cut").dropDuplicates(["lang", "h"]).select("lang", "text")
+    got = chosen.mapInArrow(trimmed(vectors), "lang string, x binary").collect()  # at most sample_rows rows, or LEAST_ROWS of each language
     got.sort(key=lambda r: (r.lang, bytes(r.x)))
     return fit(np.stack([np.frombuffer(r.x, np.float32) for r in got]), [r.lang for r in got])
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", with_unlike: bool = False) -> DataFrame:
     """The columns ``keep`` with lang_pred, score and ambiguous. A null text, or one without a letter, is ``und`` with score 0; so is every text where there is no model. ``with_unlike``: also whether a text has no letter or fits no learned language; without a model, only the first."""
-    bound_batches(docs.sparkSession)
     sent = docs.select(*keep, *([] if text_col in keep else [text_col])).withColumn(text_col, F.col(text_col).cast("string"))
     at_text, fields = sent.columns.index(text_col), sent.schema.fields[: len(keep)]
     out = docs.sparkSession.createDataFrame([], _ROWS + ", unlike boolean" * with_unlike).schema
@@ -163,7 +188,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
         import regex
 
         letter = regex.compile(r"\p{L}")
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at_text).to_pylist()
             lettered = [i for i, t in enumerate(texts) if t and letter.search(t)]
             real = lettered if model is not None else []
