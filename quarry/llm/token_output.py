@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blobs import read_blobs, write_blobs
-from .common import shared_path, trimmed
-from .tokens import WORD_BPE, encoder, slices, tokenizer_path
+from .common import buckets_for, materialize, shared_path, slices, trimmed
+from .tokens import WORD_BPE, encoder, tokenizer_path
 
 MAGIC, RANK_BITS, SEGMENT_TOKENS, END_ID = b"QDAC1", 512, 1 << 20, 2
 #: magic, documents, ids, levels, bytes of what follows
@@ -109,7 +109,7 @@ def segments(content):
 
 
 def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id: int | None = END_ID, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the ids of every text in ascending doc_id order (nulls first, then by text), a file per key range.
+    """Writes the ids of every text in ascending doc_id order (nulls first, then by text), a file per key range; as many files as the input has partitions, unless ``files`` says otherwise, so a file stays as small as they.
 
     A null text is an empty document; repeated rows are written once each. An empty table leaves no
     ids. A document longer than a segment gets a segment of its own.
@@ -135,19 +135,13 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
             yield pa.record_batch([pa.array([encode_segment(doc_ids, documents)], pa.binary())], names=["chunk"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or buckets_for(rows, 1, 1)
     ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     write_blobs(ordered.mapInArrow(trimmed(encode, holds=True), "chunk binary"), out, "\n")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files alone: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
-    files = read_blobs(spark, path)
-
-    def total(batches):
-        for batch in batches:
-            totals = [sum(s.n_tokens for s in segments(c)) for c in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(totals, pa.int64())], names=["file_no", "total"])
 
     def decode(batches):
         for batch in batches:
@@ -160,10 +154,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.record_batch([pa.array([file_no] * len(sums), pa.int32()), pa.array(s.doc_ids, pa.int64()), pa.array(begins + at), pa.array(ends - begins), pa.array(sums, pa.int64())], names=["file_no", "doc_id", "file_start", "n_tokens", "ids_crc32"])
                     at += s.n_tokens
 
+    # files are read once: what a row says of its document is small and written, and the files' totals are taken from that
+    rows = materialize(read_blobs(spark, path).mapInArrow(trimmed(decode), "file_no int, doc_id long, file_start long, n_tokens long, ids_crc32 long"), "read")
+    totals = rows.groupBy("file_no").agg(F.max(F.col("file_start") + F.col("n_tokens")).alias("total"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    totals = files.mapInArrow(trimmed(total), "file_no int, total long")  # one row per file
-    bases = totals.select("file_no", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    rows = files.mapInArrow(trimmed(decode), "file_no int, doc_id long, file_start long, n_tokens long, ids_crc32 long")
+    bases = totals.select("file_no", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))  # one row per file
     return rows.join(F.broadcast(bases), "file_no").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
