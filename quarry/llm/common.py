@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -17,9 +18,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new temporary one, which then is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset and all runs in one process (tests), a new temporary one, which then is set; on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -30,19 +33,50 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage so that a lost executor costs no more than its own tasks."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows that an Arrow batch of a written step has at most: long texts and sets make batches large, as Spark counts their rows first.
+ARROW_ROWS = 1000
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Long texts and sets make Arrow batches large, as Spark counts their rows: bounds the rows of a batch, unless the session has a bound of its own."""
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS):
+    """Bounds the rows of Arrow batches for what runs inside, unless the session has a bound of its own, and leaves the session as it was."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, None) is None:
+    own = spark.conf.get(key, None) is None
+    if own:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.unset(key)
+
+
+def materialize(df: DataFrame, name: str, frees: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage so that a lost executor costs no more than its own tasks. ``frees``: what was shuffled for it is large, and its files go at once."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    with bounded_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    if frees:
+        free_shuffles(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that have ended. It does so once the driver's garbage collector meets their owners, which a driver with much memory may put off until the files of all steps lie side by side."""
+    for _ in range(2):  # the second finds what only the first one's finds held
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table._quarry_path
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 #: What a worker process may hold from task to task: functions that let go of it.
@@ -65,6 +99,13 @@ def trimmed(mapper, holds: bool = False):
     return run
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches of a bounded number of rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def buckets_for(df: DataFrame, factor: int = 2, least: int = 16) -> int:
     """A bucket count that follows the input: ``factor`` per input partition."""
     return max(least, factor * df.rdd.getNumPartitions())

@@ -95,6 +95,11 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORD
     return hits.filter(fits).select("doc_id", "text_key", "pos", *found).unionByName(ends)
 
 
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key): the rows that hold a window; text_key is xxhash64 of the text. A null doc_id stays null."""
+    return find_windows(docs, benchmark, width, id_col, text_col).filter("start IS NOT NULL").select("doc_id", "text_key").distinct()
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256, contaminated.
 

@@ -113,13 +113,6 @@ class SegmentEncoder:
         return self.encode_group([text])[0]
 
 
-def slices(batches, rows: int = 1024):
-    """Arrow batches of a bounded number of rows."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, ordinary: bool = False) -> SegmentEncoder:
     """One encoder per worker process and file."""
