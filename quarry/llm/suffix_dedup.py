@@ -7,7 +7,7 @@ the least rank at length 24 stands for it (equal windows choose alike), and posi
 other document has are unique and drop out with all windows they stand for. The windows that are left
 are doubled on to 50, paired with their position's rank, and reranked once more: each learns the
 smallest document that has it. Windows are equal where 48 bits of their position's rank, its place in
-them and 64 bits of their own rank are.
+them and 56 bits of their own rank are.
 
 Both rerankings are combined before they move: of the rows that a mapper packs together, a rank or
 window that several documents have is sent for one of them only, and the others are answered at once
@@ -190,7 +190,7 @@ def _runs_of(who: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _pack_windows(runs: tuple, ids, row_keys, buckets: int, name: int):
-    """(bucket, blob) of runs, dealt by their position's rank; a window takes 8 bytes."""
+    """(bucket, blob) of runs, dealt by their position's rank; a window takes 7 bytes."""
     key, doc, start, gap, count, ranks = runs
     bucket = bucket_of(key, buckets)
     first = np.cumsum(count) - count
@@ -202,7 +202,11 @@ def _pack_windows(runs: tuple, ids, row_keys, buckets: int, name: int):
         used = used.astype(np.int64)
         n = count[part]
         at = np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        arrays = (ids[used], row_keys[used], key[part] << KEY_BITS | local.astype(U64), ranks[at], start[part].astype(np.int64), used.astype(np.uint16), gap[part].astype(np.uint8), n.astype(np.uint8))
+        r = ranks[at]
+        arrays = (
+            ids[used], row_keys[used], key[part] << KEY_BITS | local.astype(U64), start[part].astype(np.uint32), (r >> U64(24)).astype(np.uint32),
+            (r >> U64(8)).astype(np.uint16), used.astype(np.uint16), r.astype(np.uint8), gap[part].astype(np.uint8), n.astype(np.uint8),
+        )
         yield int(bucket[part[0]]), b"".join([_WINDOWS.pack(len(used), len(part), len(at), name), *(a.tobytes() for a in arrays)])
 
 
@@ -214,14 +218,15 @@ class Windows:
         for blob in blobs:
             d, m, n, batch = _WINDOWS.unpack_from(blob)
             at, out = _WINDOWS.size, []
-            for kind, size in ((np.int64, d), (np.int64, d), (U64, m), (U64, n), (np.int64, m), (np.uint16, d), (np.uint8, m), (np.uint8, m)):
+            for kind, size in ((np.int64, d), (np.int64, d), (U64, m), (np.uint32, m), (np.uint32, n), (np.uint16, n), (np.uint16, d), (np.uint8, n), (np.uint8, m), (np.uint8, m)):
                 out.append(np.frombuffer(blob, kind, size, at))
                 at += out[-1].nbytes
-            doc, row, packed, rank, start, place, gap, count = out
+            doc, row, packed, start, high, middle, place, low, gap, count = out
+            rank = high.astype(U64) << U64(24) | middle.astype(U64) << U64(8) | low.astype(U64)
             run = np.repeat(np.arange(m), count)
             step = np.arange(n) - np.repeat(np.cumsum(count, dtype=np.int64) - count, count)
             who = (packed & LOCAL).astype(np.int32) + np.int32(known)
-            parts.append(((packed >> KEY_BITS)[run], (gap.astype(np.int16)[run] - step).astype(np.int16), rank, start[run] + step, who[run], doc, row, np.full(d, batch), place))
+            parts.append(((packed >> KEY_BITS)[run], (gap.astype(np.int16)[run] - step).astype(np.int16), rank, start.astype(np.int64)[run] + step, who[run], doc, row, np.full(d, batch), place))
             known += d
         columns: list = list(zip(*parts, strict=True)) if parts else [[np.empty(0, k)] for k in (U64, np.int16, U64, np.int64, np.int32, np.int64, np.int64, np.int64, np.uint16)]
         del parts
@@ -245,7 +250,7 @@ def repeated_windows(rows: DataFrame, anchors: DataFrame, buckets: int) -> DataF
                 if hit.any():
                     n, w = r.count[hit], r.window[hit]
                     at = np.repeat(w - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    held.add(r.key[hit], numbers[r.doc[hit]], r.start[hit] + offsets[r.doc[hit]], r.anchor[hit] - w, n, mix(r.r50[at]))
+                    held.add(r.key[hit], numbers[r.doc[hit]], r.start[hit] + offsets[r.doc[hit]], r.anchor[hit] - w, n, mix(r.r50[at]) >> U64(8))
                 if held.n >= PACK_WINDOWS:
                     yield sent_batch(held.take(ids, keys, buckets, name))
             if held.n:
