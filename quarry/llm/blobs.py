@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 
 def write_blobs(chunks: DataFrame, path: str, separator: str) -> None:
     """Writes the one binary column of ``chunks``, in row order, to a file per partition."""
-    chunks.select(F.col(chunks.columns[0]).cast("string").alias("value")).write.option("lineSep", separator).text(path)
+    with bounded_batches(chunks.sparkSession):
+        chunks.select(F.col(chunks.columns[0]).cast("string").alias("value")).write.option("lineSep", separator).text(path)
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
