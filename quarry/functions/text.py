@@ -44,9 +44,9 @@ def page_breaks(c: Column) -> Column:
 
 
 def encoding(c: Column) -> Column:
-    """Literal repairs, then NFC by the ICU library that Spark brings along."""
+    """Literal repairs, then NFC by the ICU library that Spark brings along. Null becomes empty."""
     fixed = reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), LITERALS, c)
-    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), fixed, F.lit(False))
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(fixed, F.lit("")), F.lit(False))
 
 
 def bullets(c: Column) -> Column:

@@ -1,14 +1,16 @@
-"""Rule-based query expansion. Rules are data: (rule_ord, pattern, terms)."""
+"""Rule-based query expansion. Rules are data, a table that a deployment loads: (order, pattern, terms)."""
 
 from __future__ import annotations
 
-import re
+import json
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A small general set; a deployment passes its own table.
+from ..functions import text as T
+
+#: A small general set of this repository's own, to show the form; a deployment passes its own table of terminology, units and conditions.
 RULES = [
     (0, r"\bdos(age|ing)\b", ["dose", "quantity", "ppm"]),
     (1, r"\btemp(erature)?\b", ["celsius", "heat"]),
@@ -16,33 +18,52 @@ RULES = [
     (3, r"\b(the|that)\b", ["this", "which"]),
     (4, r"ing\b", ["process", "action"]),
 ]
+_STATE = "struct<seen: array<string>, added: array<string>>"
+MESSAGE = "no rule applies"
+
+Rules = Sequence[tuple[int, str, list[str]]]
+
+
+def load_rules(spark: SparkSession, path: str) -> Rules:
+    """Rules from JSON lines with ``pattern`` and ``terms``, and optionally ``rule_ord`` (else their order) and ``group``, from any store that Spark reads. Rules are a fixed list, which every plan holds."""
+    rows = [json.loads(r.value) for r in spark.read.text(path).collect() if r.value.strip()]
+    return sorted((int(r.get("rule_ord", i)), str(r["pattern"]), [str(t) for t in r["terms"]]) for i, r in enumerate(rows))
+
 
+def added_terms(text: Column, rules: Rules = RULES, most: int = 3) -> Column:
+    """The terms that rules add, in the rules' order: those none of whose words is there already, ``most`` at most. None where nothing matches; null for null."""
+    if not rules:
+        return F.when(text.isNotNull(), F.array().cast("array<string>"))
+    lowered = F.lower(text)
+    table = F.array(*[F.struct(F.lit(f"(?iU){p}").alias("pattern"), F.array(*map(F.lit, t)).cast("array<string>").alias("terms")) for _, p, t in sorted(rules)])
 
-def expand_one(query: str, rules: list[tuple[int, str, list[str]]], most: int) -> str:
-    """Appends the rules' terms in order, but none of which a word is there already, and ``most`` at most."""
-    lowered = query.lower()
-    seen, added = set(lowered.split()), []
-    for _, pattern, terms in sorted(rules):
-        if re.search(pattern, lowered, re.IGNORECASE):
-            for term in terms:
-                if len(added) >= most:
-                    break
-                own = set(term.lower().split())
-                if not own & seen:
-                    added.append(term)
-                    seen |= own
-    return " ".join([query, *added])
+    def take(state: Column, term: Column) -> Column:
+        own = T.words(F.lower(term))
+        grown = F.struct(F.concat(state["seen"], own).alias("seen"), F.concat(state["added"], F.array(term)).alias("added")).cast(_STATE)
+        return F.when((F.size(state["added"]) >= most) | F.arrays_overlap(own, state["seen"]), state).otherwise(grown)
 
+    begin = F.struct(T.words(lowered).alias("seen"), F.array().alias("added")).cast(_STATE)
+    fold = F.aggregate(table, begin, lambda s, r: F.when(F.rlike(lowered, r["pattern"]), F.aggregate(r["terms"], s, take)).otherwise(s), lambda s: s["added"])
+    return F.when(text.isNotNull(), fold)
 
-def expand(queries: DataFrame, rules=RULES, most: int = 3, text: str = "text") -> DataFrame:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda q: expand_one(q, rules, most), na_action="ignore")
 
-    return queries.withColumn("expanded", run(text))
+def expand(queries: DataFrame, rules: Rules = RULES, most: int = 3, text: str = "text") -> DataFrame:
+    """Adds ``expanded``: the query and the added terms; the query as it is where there are none."""
+    return queries.withColumn("expanded", F.concat_ws(" ", F.col(text), added_terms(F.col(text), rules, most)))
 
 
-def matches(queries: DataFrame, rules=RULES, text: str = "text", key: str = "item_id") -> DataFrame:
+def expansion_terms(queries: DataFrame, rules: Rules = RULES, most: int = 3, text: str = "text") -> DataFrame:
+    """Adds ``terms``, the added terms as an array."""
+    return queries.withColumn("terms", added_terms(F.col(text), rules, most))
+
+
+def matches(queries: DataFrame, rules: Rules = RULES, text: str = "text", key: str = "item_id") -> DataFrame:
     """(key, rule_ord, terms): each query with every rule that it matches, and the rule's first three terms. Rules are a fixed list, so each is one predicate and nothing is joined."""
     hits = F.array(*[F.when(F.lower(F.col(text)).rlike("(?iU)" + p), F.struct(F.lit(o).cast("long").alias("rule_ord"), F.lit(" ".join(t[:3])).alias("terms"))) for o, p, t in rules])
     return queries.select(key, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select(key, "h.*")
+
+
+def explain(queries: DataFrame, rules: Rules = RULES, text: str = "text", key: str = "item_id") -> DataFrame:
+    """(key, explanation) of every query: the terms of its rules in order, or a message."""
+    said = matches(queries, rules, text, key).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_ord", "terms"))), lambda r: r["terms"]), "; ").alias("explanation"))
+    return queries.select(key).join(said, key, "left").withColumn("explanation", F.coalesce("explanation", F.lit(MESSAGE)))

@@ -8,15 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import Sized, sized
 
 K1, B = 1.5, 0.75
-#: A term table up to this number of rows is sent to all executors; above it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Broadcasts a side whose size is checked; a larger one is left to the planner."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,6 +38,27 @@ def idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
+def query_terms(queries: DataFrame, qkey: str = "item_id", qtext: str = "text") -> Sized:
+    """(query_id, term, qn) as a written table; a repeated word counts repeatedly."""
+    return sized(tokens(queries, qkey, qtext).groupBy(F.col(qkey).alias("query_id"), "term").agg(F.count("*").alias("qn")), "query-terms")
+
+
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+    """(term, key, tf, dl): how often a term stands in a document, and that document's length. ``wanted`` (term) restricts them while they are cut."""
+    w = T.words(F.lower(F.col(text)))
+    rows = docs.select(key, w.alias("w")).select(key, F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+    rows = rows if wanted is None else rows.join(wanted, "term", "left_semi")
+    return rows.groupBy("term", key, "dl").agg(F.count("*").alias("tf")).select("term", key, "tf", "dl")
+
+
+def scored(asked: Sized, posted: DataFrame, idfs: DataFrame, stats: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, bm25) of ``asked`` (query_id, term, qn) over postings, idf per term and one row of avgdl."""
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    terms = asked.side(asked.table.join(idfs.select("term", "idf"), "term"))
+    met = posted.join(terms, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    return met.groupBy("query_id", key).agg(F.round(F.sum(part * F.col("qn")), 9).alias("bm25"))
+
+
 @dataclass
 class Bm25:
     docs: DataFrame
@@ -52,14 +67,10 @@ class Bm25:
 
     def scores(self, queries: DataFrame, qkey: str = "item_id", qtext: str = "text") -> DataFrame:
         """(query_id, key, bm25) of documents that share a term; repeated query words count repeatedly. Only postings of query terms are built."""
-        asked = tokens(queries, qkey, qtext).groupBy(F.col(qkey).alias("query_id"), "term").agg(F.count("*").alias("qn"))
-        wanted = small(asked.select("term").distinct())
-        postings = term_freq(tokens(self.docs, self.key, self.text).join(wanted, "term", "left_semi"), self.key)
-        lengths = doc_len(self.docs, self.key, self.text)
-        stats = corpus_stats(lengths)
-        weighted = postings.join(small(idf(doc_freq(postings), stats)), "term").join(lengths, self.key).crossJoin(F.broadcast(stats.select("avgdl")))
-        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        return weighted.join(small(asked), "term").groupBy("query_id", self.key).agg(F.round(F.sum(part * F.col("qn")), 9).alias("bm25"))
+        asked = query_terms(queries, qkey, qtext)
+        posted = postings(self.docs, self.key, self.text, asked.side(asked.table.select("term").distinct()))
+        stats = corpus_stats(doc_len(self.docs, self.key, self.text))
+        return scored(asked, posted, idf(doc_freq(posted), stats), stats, self.key)
 
 
 def top(scores: DataFrame, k: int, score: str, key: str = "doc_id") -> DataFrame:
@@ -70,4 +81,4 @@ def top(scores: DataFrame, k: int, score: str, key: str = "doc_id") -> DataFrame
 def normalised(scores: DataFrame) -> DataFrame:
     """Adds bm25n: one positive score is divided by itself, several by their 95th percentile, clipped to 0 and 1."""
     positive = scores.filter("bm25 > 0").groupBy("query_id").agg(F.percentile("bm25", 0.95).alias("p95"))
-    return scores.join(small(positive), "query_id", "left").withColumn("bm25n", F.when(F.col("p95").isNull(), F.col("bm25")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("bm25") / F.col("p95")))))
+    return scores.join(positive, "query_id", "left").withColumn("bm25n", F.when(F.col("p95").isNull(), F.col("bm25")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("bm25") / F.col("p95")))))

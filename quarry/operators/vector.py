@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries are matched in blocks of this many against every row.
-QUERY_BLOCK, FLAT_ROWS, MOST_CELLS, MOST_PROBES, FIT_ROWS = 1024, 100, 50, 10, 100_000
+from ..shared import sized, written
+
+#: Queries are matched in blocks of this many against each batch of rows; so many are sent to the tasks at once.
+QUERY_BLOCK, MOST_QUERIES = 1024, 100_000
+#: Rows that one cell holds without an index; probes that are taken where recall isn't measured; rows that a k-means is fitted on per cell, at least FIT_ROWS in all.
+FLAT_ROWS, PROBES, FIT_ROWS, FIT_PER_CELL = 100, 10, 100_000, 40
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,70 +29,132 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
 
 
-def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, cosine, rank). Each block of queries is one matrix; a task keeps the k best of its rows per query, so k rows per query and task move."""
-    blocks = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q")).withColumn("block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_BLOCK))
-    found = None
-    for (block,) in sorted(map(tuple, blocks.select("block").distinct().collect())):
-        held = [(r.query_id, r.q) for r in blocks.filter(F.col("block") == block).collect()]  # QUERY_BLOCK rows
-        ids, matrix = np.asarray([h[0] for h in held]), np.asarray([h[1] for h in held], np.float64)
-
-        def best(batches, ids=ids, matrix=matrix):
-            keys, scores = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                column = batch.column(1)
-                v = np.asarray(column.flatten()).reshape(batch.num_rows, -1).astype(np.float64)
-                new = np.asarray(batch.column(0))
-                every = np.concatenate([keys, np.broadcast_to(new, (len(ids), len(new)))], 1)
-                score = np.concatenate([scores, matrix @ v.T], 1)
-                order = np.lexsort((every, -np.round(score, 9)), axis=1)[:, :k]
-                keys, scores = np.take_along_axis(every, order, 1), np.take_along_axis(score, order, 1)
-            if keys.size:
-                yield pa.record_batch([pa.array(np.repeat(ids, keys.shape[1])), pa.array(keys.ravel()), pa.array(scores.ravel())], names=["query_id", key, "cosine"])
-
-        part = rows.select(key, vector).mapInArrow(best, f"query_id long, {key} long, cosine double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], f"query_id long, {key} long, cosine double, rank long")
+def _best(found: DataFrame, k: int, key: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), key))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
-def cells(n: int) -> tuple[int, int]:
-    """Cells and probes for n rows; one cell holds a small table."""
-    if n <= FLAT_ROWS:
-        return 1, 1
-    c = min(int(math.sqrt(n)), MOST_CELLS)
-    return c, min(MOST_PROBES, c)
+def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, key, cosine, rank). The queries go to the tasks as one matrix, MOST_QUERIES at a time, so that many are met by one scan; a task keeps the k best of its rows per query, so k rows per query and task move."""
+    found = queries.sparkSession.createDataFrame([], f"query_id long, {key} long, cosine double")
+    held = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("q")).filter("query_id IS NOT NULL AND q IS NOT NULL")
+    last, full = None, True
+    while full:
+        part = held if last is None else held.filter(F.col("query_id") > last)
+        got = part.orderBy("query_id").limit(MOST_QUERIES).collect()
+        full = len(got) == MOST_QUERIES
+        if got:
+            last = got[-1].query_id
+            found = found.unionByName(_nearest(rows, np.asarray([r.query_id for r in got]), np.asarray([r.q for r in got], np.float64), k, key, vector))
+    return _best(found, k, key)
+
+
+def _nearest(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, key: str, vector: str) -> DataFrame:
+    """(query_id, key, cosine): the k best of each task's rows for each query."""
+
+    def best(batches):
+        keys, scores = np.full((len(ids), k), np.iinfo(np.int64).max), np.full((len(ids), k), -np.inf)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                v = np.asarray(part.column(1).flatten()).reshape(part.num_rows, -1).astype(np.float64)
+                new = np.asarray(part.column(0))
+                for a in range(0, len(ids), QUERY_BLOCK):
+                    z = min(a + QUERY_BLOCK, len(ids))
+                    every = np.concatenate([keys[a:z], np.broadcast_to(new, (z - a, len(new)))], 1)
+                    score = np.concatenate([scores[a:z], matrix[a:z] @ v.T], 1)
+                    order = np.lexsort((every, -np.round(score, 9)), axis=1)[:, :k]
+                    keys[a:z], scores[a:z] = np.take_along_axis(every, order, 1), np.take_along_axis(score, order, 1)
+        real = scores > -np.inf
+        if real.any():
+            yield pa.record_batch([pa.array(np.repeat(ids, real.sum(1))), pa.array(keys[real]), pa.array(scores[real])], names=["query_id", key, "cosine"])
+
+    known = rows.select(F.col(key).cast("long").alias(key), vector).filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    return known.mapInArrow(best, f"query_id long, {key} long, cosine double")
+
+
+def cells(n: int) -> int:
+    """Cells for n rows, growing with their root; one cell holds a small table."""
+    return 1 if n <= FLAT_ROWS else int(math.sqrt(n))
+
+
+def nearest_cells(centroids: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Cells of each query, the nearest first."""
+    unit = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-9)
+    return np.argsort(-(queries @ unit.T), 1, kind="stable")
+
+
+@dataclass
+class IvfIndex:
+    """Rows with their cell, and the cells' centroids. ``probes`` is what a search takes by default."""
+
+    assigned: DataFrame
+    centroids: np.ndarray
+    key: str
+    vector: str
+    probes: int
+
+    @property
+    def kind(self) -> str:
+        return "flat" if len(self.centroids) == 1 else "ivf"
+
+    def report(self) -> dict:
+        return {"index_type": self.kind, "nlist": len(self.centroids), "nprobe": self.probes}
+
+    def tuned(self, sample: DataFrame, k: int, recall: float) -> IvfIndex:
+        """As many probes as find ``recall`` of the true nearest k of ``sample``, a bounded set of queries; measured against all rows."""
+        got = sample.select(F.col(self.key).alias("q"), F.col(self.vector).alias("v")).collect()
+        if self.kind == "flat" or not got:
+            return self
+        truth = cosine_topk(sample, self.assigned, k, self.key, self.vector).join(self.assigned.select(self.key, "cell"), self.key)
+        place = np.argsort(nearest_cells(self.centroids, np.asarray([r.v for r in got], np.float64)), 1)
+        row = {r.q: i for i, r in enumerate(got)}
+        needed = np.sort([place[row[r.query_id], r.cell] + 1 for r in truth.select("query_id", "cell").collect()])
+        return IvfIndex(self.assigned, self.centroids, self.key, self.vector, int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]))
+
+    def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """(query_id, key, cosine, rank) over the ``probes`` nearest cells of each query, met by an equi-join on the cell and a part of it, so that a large cell is spread over tasks."""
+        probes, centroids = min(probes or self.probes, len(self.centroids)), self.centroids
+
+        def probe(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    near = nearest_cells(centroids, np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1).astype(np.float64))[:, :probes]
+                    yield pa.record_batch([pa.array(np.repeat(np.asarray(batch.column(0)), near.shape[1])), pa.array(near.ravel().astype(np.int32))], names=["query_id", "cell"])
 
+        vectors = queries.select(F.col(self.key).cast("long").alias("query_id"), F.col(self.vector).alias("q"))
+        asked = sized(vectors.mapInArrow(probe, "query_id long, cell int").join(vectors, "query_id"), "probes")
+        met = self.assigned.join(asked.side(), "cell").select("query_id", self.key, dot(F.col(self.vector), F.col("q")).alias("cosine"))
+        return _best(met, k, self.key)
 
-def ivf_assign(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", seed: int = 42):
-    """(rows with their cell, centroids). The index is fitted on at most FIT_ROWS rows, those whose key hashes lowest; every row is assigned."""
+
+def build_index(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", kind: str = "auto", seed: int = 42) -> IvfIndex:
+    """An index of ``kind`` flat, ivf or auto (flat for up to FLAT_ROWS rows). The centroids are fitted on a bounded sample, FIT_PER_CELL rows a cell and at least FIT_ROWS, those whose key hashes lowest; every row is assigned."""
     n = rows.count()
-    count, _ = cells(n)
+    count = 1 if kind == "flat" else max(2, cells(n)) if kind == "ivf" else cells(n)
+    if count == 1:
+        width = len((rows.select(vector).filter(F.col(vector).isNotNull()).first() or [[0.0]])[0])
+        return IvfIndex(rows.withColumn("cell", F.lit(0)), np.zeros((1, width)), key, vector, 1)
     vectors = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    fitted = vectors if n <= FIT_ROWS else vectors.orderBy(F.xxhash64(key)).limit(FIT_ROWS)
+    most = max(FIT_ROWS, FIT_PER_CELL * count)
+    fitted = vectors if n <= most else vectors.orderBy(F.xxhash64(key)).limit(most)
     model = KMeans(k=count, seed=seed, featuresCol="features", predictionCol="cell").fit(fitted)
-    return model.transform(vectors).drop("features"), np.asarray(model.clusterCenters())
+    centroids = np.asarray(model.clusterCenters())
+    return IvfIndex(model.transform(vectors).drop("features"), centroids, key, vector, min(PROBES, len(centroids)))
 
 
-def ivf_topk(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", share: float = 0.75) -> DataFrame:
-    """As ``cosine_topk`` over the nearest cells only: each query probes cells by an equi-join, at least ``share`` of them. Ten of 22 cells found 0.83 of the nearest ten on vectors without clusters."""
-    assigned, centroids = ivf_assign(rows, key, vector)
-    count, probes = cells(rows.count())
-    probes = max(probes, math.ceil(share * count))
-    unit = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-9)
+def ivf_assign(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", seed: int = 42):
+    """(rows with their cell, centroids)."""
+    index = build_index(rows, key, vector, seed=seed)
+    return index.assigned, index.centroids
 
-    def probe(batches):
-        for batch in batches:
-            if batch.num_rows:
-                q = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-                near = np.argsort(-(q @ unit.T), 1, kind="stable")[:, :probes]
-                yield pa.record_batch([pa.array(np.repeat(np.asarray(batch.column(0)), near.shape[1])), pa.array(near.ravel().astype(np.int32))], names=["query_id", "cell"])
 
-    asked = queries.select(key, vector).mapInArrow(probe, "query_id long, cell int").join(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q")), "query_id")
-    met = assigned.join(asked, "cell").select("query_id", key, dot(F.col(vector), F.col("q")).alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), key))
-    return met.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+def ivf_topk(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", recall: float = 0.95, sample: int = 64) -> DataFrame:
+    """As ``cosine_topk`` over the nearest cells only, as many as find ``recall`` of the true neighbours of ``sample`` rows, those whose key hashes lowest with another seed than the fit's."""
+    index = written_index(build_index(rows, key, vector))
+    return index.tuned(index.assigned.orderBy(F.xxhash64(F.lit("recall"), key)).limit(sample).drop("cell"), k, recall).search(queries, k)
+
+
+def written_index(index: IvfIndex) -> IvfIndex:
+    """The index with its assignment kept as a table."""
+    return IvfIndex(written(index.assigned, "cells"), index.centroids, index.key, index.vector, index.probes)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from ..functions import text as T
 from ..operators import evaluate, expand, ranking
 
+#: Stand-ins for a deployment's product names.
+PRODUCTS = ("anan", "edou", "wherer")
 #: Literal rows that the tables lack.
 FIXTURES = [
     "applica-\ntion of gluco-\nse", "50-55\n°C and 10000U/\ng", "< 15\n%", "2\ngum", "a\fb", "It’s “x” – 3×4 ≤ 5 µ • é", "‣ one ● two",
@@ -38,6 +40,7 @@ def _encoding(c: str) -> str:
 
 
 _W = r"[\p{L}\p{N}_]"
+#: The rules of the cleaning steps once more, in the other engine's syntax.
 _BOILER = [
     (rf"(?i)TECH{_W}*\s*(?:ICAL\s+)?DATA\s+SHEET[^\n]{{0,30}}", ""), (r"(?im)^\s*FOOD\s+SAF(?:E)?TY\s+DATA\s*$", ""),
     (r"(?im)^\s*(?:Page\s+\d+\s+of\s+\d+|-\s*\d+\s*-)\s*$", ""), (r"(?m)^\s*[-=_]{4,}\s*$", ""),
@@ -146,7 +149,7 @@ SQL["non_repeated_lines_anti"] = _L + _R + "SELECT doc_id, count(*) AS n_lines F
 SQL["neighbour_lines"] = _L + " SELECT doc_id, CAST(i AS BIGINT) AS i, coalesce(lag(s = '') OVER w, true) AS prev_blank, coalesce(lead(s = '') OVER w, true) AS next_blank FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)"
 
 _TOK = f"tok AS (SELECT doc_id, unnest({_words('lower(text)')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), dl AS (SELECT doc_id, len({_words('lower(text)')}) AS dl FROM documents), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), idf AS (SELECT term, df, ln((n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE)) + 1) AS idf FROM df, st)"
-_BM = _TOK + f", qt AS (SELECT item_id AS query_id, term, count(*) AS qn FROM (SELECT item_id, unnest({_words('lower(text)')}) AS term FROM benchmark) GROUP BY ALL), bm AS (SELECT query_id, doc_id, round(sum(qn * idf * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl))), 6) AS bm25 FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL)"
+_BM = _TOK + f", qt AS (SELECT item_id AS query_id, term, count(*) AS qn FROM (SELECT item_id, unnest({_words('lower(text)')}) AS term FROM benchmark) GROUP BY ALL), bm AS (SELECT query_id, doc_id, round(round(sum(qn * idf * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl))), 9), 6) AS bm25 FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL)"
 _TOP = ", top AS (SELECT * FROM (SELECT query_id, doc_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM bm) WHERE rank <= 3)"
 _P95 = ", p95 AS (SELECT query_id, quantile_cont(bm25, 0.95) AS p95 FROM bm WHERE bm25 > 0 GROUP BY query_id)"
 SQL["tokens"] = f"WITH {_TOK} SELECT term, count(*) AS n FROM tok GROUP BY term"
@@ -161,10 +164,11 @@ SQL["p95_scores"] = f"WITH {_BM}{_P95} SELECT query_id, round(p95, 6) AS p95 FRO
 SQL["bm25_norm"] = f"WITH {_BM}{_P95} SELECT query_id, doc_id, round(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), bm25 / p95)), 6) AS bm25n FROM bm JOIN p95 USING (query_id)"
 
 
-def _tfidf(features: int, least: int, p: str = "t") -> str:
+def _tfidf(features: int, least: int, p: str = "t", docs: str = "documents", key: str = "doc_id", asked: str = "benchmark", digits: int = 6) -> str:
     g = lambda t, k: f"(SELECT k, term, count(*) AS tf FROM (SELECT k, w[i] AS term FROM x UNION ALL SELECT k, w[i] || ' ' || w[i + 1] FROM x WHERE i < len(w)) GROUP BY ALL)".replace("FROM x", f"FROM (SELECT {k} AS k, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT {k}, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda z: length(z) >= {least}) AS w FROM {t})) y")
     unit = lambda name, src: f"{name}0 AS (SELECT k, g.term, (1 + ln(tf)) * idf AS raw FROM {src} g JOIN {p}v USING (term)), {name} AS (SELECT k, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY k)) AS w FROM {name}0)"
-    return f"{p}g AS {g('documents', 'doc_id')}, {p}v AS (SELECT term, ln((CAST(1 AS DOUBLE) + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM (SELECT term, sum(tf) AS n, count(*) AS df FROM {p}g GROUP BY term ORDER BY n DESC, term LIMIT {features})), {p}h AS {g('benchmark', 'item_id')}, {unit(p + 'd', p + 'g')}, {unit(p + 'q', p + 'h')}, {p}cos AS (SELECT q.k AS query_id, d.k AS doc_id, round(sum(q.w * d.w), 6) AS cosine FROM {p}q q JOIN {p}d d USING (term) GROUP BY ALL), {p}pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank FROM {p}cos) WHERE rank <= 30)"
+    zeros = f"SELECT item_id, {key}, CAST(0 AS DOUBLE) FROM {asked}, (SELECT {key} FROM {docs} ORDER BY {key} LIMIT 30)"
+    return f"{p}g AS {g(docs, key)}, {p}v AS (SELECT term, ln((CAST(1 AS DOUBLE) + (SELECT count(*) FROM {docs})) / (1 + df)) + 1 AS idf FROM (SELECT term, sum(tf) AS n, count(*) AS df FROM {p}g GROUP BY term ORDER BY n DESC, term LIMIT {features})), {p}h AS {g(asked, 'item_id')}, {unit(p + 'd', p + 'g')}, {unit(p + 'q', p + 'h')}, {p}cos AS (SELECT q.k AS query_id, d.k AS {key}, round(sum(q.w * d.w), {digits}) AS cosine FROM {p}q q JOIN {p}d d USING (term) GROUP BY ALL), {p}all AS (SELECT query_id, {key}, max(cosine) AS cosine FROM (SELECT * FROM {p}cos UNION ALL {zeros}) GROUP BY ALL), {p}pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, {key}) AS rank FROM {p}all) WHERE rank <= 30)"
 
 
 _TF, _BASE = _tfidf(2000, 1), _tfidf(5000, 2)
@@ -191,17 +195,18 @@ def _mmr(same: str, other: str) -> str:
 SQL["mmr_rerank"], SQL["mmr_classic"] = _mmr("1.0", "0.4"), _mmr("1.0", "1.0")
 
 _ASKED = "asked AS (SELECT item_id, text FROM benchmark UNION ALL SELECT CAST(conv_id * 1000 + turn + 1000000 AS BIGINT), text FROM conversations)"
-_any = lambda terms: "(" + " OR ".join(f"contains(lower(text), {lit(t)})" for t in terms) + ")"
+_any = lambda terms: "(" + " OR ".join(f"contains(lower(text), {lit(t)})" for t in terms) + ")" if terms else "false"
 _n = f"len({_words('lower(text)')})"
-_KIND = f"CASE WHEN {_any(ranking.PRODUCTS)} THEN 'product' WHEN regexp_matches(lower(text), {lit(ranking.QUANTITY)}) THEN 'numeric' WHEN {_n} <= 3 THEN 'product' WHEN {_n} > 8 THEN 'long' ELSE 'plain' END"
+_kind = lambda products: f"CASE WHEN {_any(products)} THEN 'product' WHEN regexp_matches(lower(text), {lit(ranking.QUANTITY)}) THEN 'numeric' WHEN {_n} <= 3 THEN 'product' WHEN {_n} > 8 THEN 'long' ELSE 'plain' END"
 _pick = lambda i: "CAST(CASE kind " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in ranking.WEIGHTS.items()) + " END AS DOUBLE)"
-SQL["query_weights"] = f"WITH {_ASKED} SELECT item_id, {_pick(0)} AS w_cosine, {_pick(1)} AS w_bm25, {_pick(2)} AS w_quality FROM (SELECT item_id, {_KIND} AS kind FROM asked)"
+SQL["query_weights"] = f"WITH {_ASKED} SELECT item_id, {_pick(0)} AS w_cosine, {_pick(1)} AS w_bm25, {_pick(2)} AS w_quality FROM (SELECT item_id, {_kind(PRODUCTS)} AS kind FROM asked)"
 _conn = "[" + ", ".join(map(lit, ranking.CONNECTIVES)) + "]"
-SQL["query_lambda"] = f"WITH {_ASKED} SELECT item_id, CAST(CASE WHEN {_any(ranking.PRECISE_PRODUCTS)} OR {_n} <= 3 THEN 0.9 WHEN list_has_any({_words('lower(text)')}, {_conn}) THEN 0.55 WHEN {_n} > 8 THEN 0.6 ELSE 0.7 END AS DOUBLE) AS mmr_lambda FROM asked"
+_lambda = lambda products: f"CAST(CASE WHEN {_any(products)} OR {_n} <= 3 THEN 0.9 WHEN list_has_any({_words('lower(text)')}, {_conn}) THEN 0.55 WHEN {_n} > 8 THEN 0.6 ELSE 0.7 END AS DOUBLE)"
+SQL["query_lambda"] = f"WITH {_ASKED} SELECT item_id, {_lambda(PRODUCTS)} AS mmr_lambda FROM asked"
 
 _D = "CAST({} AS DOUBLE)"
-_HY = f"""{_BM.replace("), 6) AS bm25", "), 9) AS bm25")}{_P95}, {_TF.replace('round(sum(q.w * d.w), 6)', 'round(sum(q.w * d.w), 9)')},
-qw AS (SELECT item_id AS query_id, {_pick(0)} AS wc, {_pick(1)} AS wb, {_pick(2)} AS wq FROM (SELECT item_id, {_KIND} AS kind FROM benchmark)),
+_HY = f"""{_BM.replace("round(round(sum(qn", "round(sum(qn").replace("), 9), 6) AS bm25", "), 9) AS bm25")}{_P95}, {_tfidf(2000, 1, digits=9)},
+qw AS (SELECT item_id AS query_id, {_pick(0)} AS wc, {_pick(1)} AS wb, {_pick(2)} AS wq FROM (SELECT item_id, {_kind(())} AS kind FROM benchmark)),
 ql AS (SELECT doc_id, {_quality('w', 'text')} AS quality FROM (SELECT doc_id, text, {_words('text')} AS w FROM documents)),
 hy0 AS (SELECT query_id, doc_id, (cosine + 1) / 2 AS cosine, greatest({_D.format(0)}, least({_D.format(1)}, coalesce(bm25 / p95, {_D.format(0)}))) AS bm25n, quality FROM tpool LEFT JOIN bm USING (query_id, doc_id) LEFT JOIN p95 USING (query_id) JOIN ql USING (doc_id)),
 hy1 AS (SELECT *, round(wc * cosine + wb * bm25n + wq * quality, 6) AS final FROM hy0 JOIN qw USING (query_id)),
@@ -213,7 +218,23 @@ SQL["result_table"] = f"WITH {_HY} SELECT query_id, rank AS \"Rang\", left(sourc
 
 _RULES = " UNION ALL ".join(f"SELECT item_id, CAST({o} AS BIGINT) AS rule_ord, {lit(' '.join(t[:3]))} AS terms FROM asked WHERE regexp_matches(lower(text), {lit('(?i)' + p)})" for o, p, t in expand.RULES)
 SQL["query_rule_matches"] = f"WITH {_ASKED} {_RULES}"
-SQL["explain_expansion"] = f"WITH asked AS (SELECT item_id, text FROM benchmark), m AS ({_RULES}) SELECT item_id, string_agg(terms, '; ' ORDER BY rule_ord) AS explanation FROM m GROUP BY item_id"
+SQL["explain_expansion"] = f"WITH asked AS (SELECT item_id, text FROM benchmark), m AS ({_RULES}) SELECT item_id, coalesce(string_agg(terms, '; ' ORDER BY rule_ord), {lit(expand.MESSAGE)}) AS explanation FROM asked LEFT JOIN m USING (item_id) GROUP BY item_id"
+
+
+def _expanded(most: int, name: str) -> str:
+    """CTEs that add the rules' terms one by one; the last is (item_id, text, added)."""
+    steps = [(p, t) for _, p, terms in sorted(expand.RULES) for t in terms]
+    out, last = [f"{name}0 AS (SELECT item_id, text, {_words('lower(text)')} AS seen, CAST([] AS VARCHAR[]) AS added FROM benchmark)"], f"{name}0"
+    for i, (p, t) in enumerate(steps, 1):
+        own = "[" + ", ".join(map(lit, t.lower().split())) + "]"
+        fits = f"regexp_matches(lower(text), {lit('(?i)' + p)}) AND len(added) < {most} AND NOT list_has_any(seen, {own})"
+        out.append(f"{name}{i} AS MATERIALIZED (SELECT item_id, text, CASE WHEN {fits} THEN list_concat(seen, {own}) ELSE seen END AS seen, CASE WHEN {fits} THEN list_append(added, {lit(t)}) ELSE added END AS added FROM {last})")
+        last = f"{name}{i}"
+    return ", ".join([*out, f"{name} AS (SELECT item_id, concat_ws(' ', text, nullif(array_to_string(added, ' '), '')) AS text, added FROM {last})"])
+
+
+SQL["expand_query"] = f"WITH {_expanded(3, 'xp')} SELECT item_id, text AS expanded FROM xp"
+SQL["expansion_terms"] = f"WITH {_expanded(8, 'xp')} SELECT item_id, CAST(len(added) AS BIGINT) AS n_terms, array_to_string(added, '|') AS terms FROM xp"
 
 _REL = ", rel AS (SELECT b.item_id AS query_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
 
@@ -238,15 +259,43 @@ SQL["grid_search"] = _GS + "SELECT * FROM gz"
 SQL["composite_leaderboard"] = _GS + "SELECT w_cosine, w_bm25, w_quality, score FROM gz ORDER BY score DESC, w_cosine, w_bm25 LIMIT 20"
 
 
-def _excerpt(least: int, score: str, most: int, end: str) -> str:
+def _excerpt(least: int, score: str, most: int, end: str, cut: str) -> str:
     return f"""WITH {_BM}{_TOP}, p AS (SELECT query_id, doc_id, replace(d.text, chr(10), ' ') AS t, list_distinct({_words('lower(b.text)')}) AS w FROM top JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id),
 sx AS (SELECT query_id, doc_id, i, s FROM (SELECT query_id, doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS s FROM (SELECT query_id, doc_id, list_filter(list_transform(string_split(t, '.'), lambda x: trim(x)), lambda x: length(x) > {least}) AS ls FROM p))),
 sc AS (SELECT sx.*, {score} AS n FROM sx JOIN p USING (query_id, doc_id)),
 bs AS (SELECT query_id, doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY n DESC, i) AS r FROM sc) WHERE r = 1),
 ex AS (SELECT p.query_id, p.doc_id, coalesce(s, trim(t)) AS s FROM p LEFT JOIN bs USING (query_id, doc_id))
-SELECT query_id, doc_id, CASE WHEN length(s) > {most} THEN left(s, {most}) || '{end}' ELSE s END AS excerpt FROM ex"""
+SELECT query_id, doc_id, CASE WHEN length(s) > {most} THEN {cut} || '{end}' ELSE s END AS excerpt FROM (SELECT *, left(s, {most}) AS l FROM ex)"""
 
 
-SQL["best_excerpt_cli"] = _excerpt(20, "len(list_filter(w, lambda x: contains(lower(s), x)))", 200, "…")
-SQL["best_excerpt_ui"] = _excerpt(0, "len(list_filter(string_split_regex(lower(s), '\\s+'), lambda x: list_contains(w, x)))", 300, "...")
+SQL["best_excerpt_cli"] = _excerpt(20, "len(list_filter(w, lambda x: contains(lower(s), x)))", 200, "…", "CASE WHEN contains(l, ' ') THEN left(l, 200 - strpos(reverse(l), ' ')) ELSE l END")
+SQL["best_excerpt_ui"] = _excerpt(0, "len(list_filter(string_split_regex(lower(s), '\\s+'), lambda x: list_contains(w, x)))", 300, "...", "l")
 SQL["query_history"] = "SELECT text FROM (SELECT text, min((conv_id, turn)) AS asked_at FROM conversations WHERE role = 'user' GROUP BY text) ORDER BY asked_at DESC LIMIT 10"
+
+SQL["term_maps"] = f"WITH {_TOK} SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_terms, CAST(coalesce(a, 0) AS BIGINT) AS n_the, CAST(coalesce(m, 0) AS BIGINT) AS most FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(CASE WHEN term = 'the' THEN tf END) AS a, max(tf) AS m FROM tf GROUP BY doc_id) USING (doc_id)"
+_LB = f"{_NN}, hit AS (SELECT n.query_id, n.rank, v.label = q.label AS ok FROM nn n JOIN embeddings v ON v.vec_id = n.vec_id JOIN embeddings q ON q.vec_id = n.query_id WHERE n.rank <= 3)"
+SQL["ndcg_once"] = f"WITH {_LB} SELECT query_id, round(coalesce(sum(CASE WHEN ok THEN 1 / log2(rank + {_D.format(1)}) END), {_D.format(0)}), 4) AS every_result, round(coalesce(1 / log2(min(CASE WHEN ok THEN rank END) + {_D.format(1)}), {_D.format(0)}), 4) AS first_only FROM hit GROUP BY query_id"
+
+_CTX = f"cx AS (SELECT row_number() OVER (ORDER BY ck.doc_id, chunk_ord) AS cid, ck.doc_id, chunk_ord, ck.quality_score AS quality, ck.text AS raw, concat_ws(' | ', concat_ws('. ', nullif(d.source, ''), array_to_string({_words('d.text')}[1:35], ' ')), ck.text) AS text FROM ck JOIN documents d USING (doc_id))"
+_CBM = f"""ctf AS (SELECT cid, term, count(*) AS tf FROM (SELECT cid, unnest({_words('lower(raw)')}) AS term FROM cx) GROUP BY ALL), cdl AS (SELECT cid, len({_words('lower(raw)')}) AS dl FROM cx), cst AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM cdl),
+cidf AS (SELECT term, ln((n - df + {_D.format(0.5)}) / (df + {_D.format(0.5)}) + 1) AS idf FROM (SELECT term, count(*) AS df FROM ctf GROUP BY term), cst),
+cq AS (SELECT item_id AS query_id, term, count(*) AS qn FROM (SELECT item_id, unnest({_words('lower(text)')}) AS term FROM nr) GROUP BY ALL),
+cbm AS (SELECT query_id, cid, round(sum(qn * idf * tf * {_D.format(2.5)} / (tf + {_D.format(1.5)} * ({_D.format(0.25)} + {_D.format(0.75)} * dl / avgdl))), 9) AS bm25 FROM cq JOIN ctf USING (term) JOIN cidf USING (term) JOIN cdl USING (cid), cst GROUP BY ALL),
+cp95 AS (SELECT query_id, quantile_cont(bm25, 0.95) AS p95 FROM cbm WHERE bm25 > 0 GROUP BY query_id)"""
+
+
+def _search() -> str:
+    w = f"CAST(CASE WHEN a.doc_id = b.doc_id THEN {ranking.SAME_DOCUMENT} ELSE {ranking.OTHER_DOCUMENT} END AS DOUBLE)"
+    step = lambda k: f"sv{k} AS (SELECT n.query_id, n.cid, n.rank, round(n.lam * n.score - (1 - n.lam) * max(s.sim), 9) AS v FROM sr n JOIN sm s ON s.query_id = n.query_id AND s.x = n.cid JOIN sp{k - 1} p ON p.query_id = n.query_id AND p.cid = s.y WHERE (n.query_id, n.cid) NOT IN (SELECT query_id, cid FROM sp{k - 1}) GROUP BY ALL), sp{k} AS (SELECT * FROM sp{k - 1} UNION ALL SELECT query_id, cid, {k} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, rank) AS r FROM sv{k}) WHERE r = 1)".replace("n.lam *", "n.lam *").replace("GROUP BY ALL)", "GROUP BY n.query_id, n.cid, n.rank, n.lam, n.score)", 1)
+    return f"""WITH RECURSIVE {_CHUNKS}, {_CTX}, {_expanded(3, 'fr')}, {_expanded(8, 'nr')}, {_tfidf(2000, 1, 's', 'cx', 'cid', 'fr', 9)}, {_CBM},
+sw AS (SELECT item_id AS query_id, {_pick(0)} AS wc, {_pick(1)} AS wb, {_pick(2)} AS wq, lam FROM (SELECT item_id, {_kind(())} AS kind, {_lambda(())} AS lam FROM benchmark)),
+ss0 AS (SELECT p.query_id, p.cid, doc_id, chunk_ord, quality, lam, wc, wb, wq, (cosine + 1) / 2 AS cosine, greatest({_D.format(0)}, least({_D.format(1)}, coalesce(bm25 / p95, {_D.format(0)}))) AS bm25n FROM spool p JOIN cx USING (cid) JOIN sw USING (query_id) LEFT JOIN cbm USING (query_id, cid) LEFT JOIN cp95 USING (query_id)),
+ss1 AS (SELECT *, round(wc * cosine + wb * bm25n + wq * quality, 6) AS score FROM ss0),
+sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, round(cosine, 9) DESC, cid) AS rank FROM ss1),
+dots AS (SELECT x, y, sum(a.w * b.w) AS dot FROM (SELECT DISTINCT m.cid AS x, o.cid AS y FROM sr m JOIN sr o USING (query_id)) JOIN sd a ON a.k = x JOIN sd b ON b.k = y AND b.term = a.term GROUP BY x, y),
+sm AS (SELECT a.query_id, a.cid AS x, b.cid AS y, {w} * coalesce(dot, {_D.format(0)}) AS sim FROM sr a JOIN sr b USING (query_id) LEFT JOIN dots ON x = a.cid AND y = b.cid),
+sp1 AS (SELECT query_id, cid, 1 AS k FROM sr WHERE rank = 1), {step(2)}, {step(3)}
+SELECT query_id, CAST(k AS BIGINT) AS rank, doc_id, CAST(doc_id AS VARCHAR) || '_chunk' || CAST(chunk_ord AS VARCHAR) AS chunk_id, round(cosine, 4) AS cosine, round(bm25n, 4) AS bm25, quality, round(score + 1e-9, 4) AS score, printf('cosine=%.3f bm25=%.3f quality=%.3f', cosine, bm25n, quality) AS explanation FROM sp3 JOIN sr USING (query_id, cid)"""
+
+
+SQL["search_full"] = _search()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk, evaluate, expand, lexical, ranking, tfidf, vector
+from ..shared import sized, written
 from ..sources import loaders
 from . import oracle
 
@@ -217,41 +218,35 @@ def bm25_norm(spark, d):
 
 @query
 def candidate_scores_left(spark, d):
-    cos = lexical.top(_cosine(spark, d), 30, "cosine").select("query_id", "doc_id")
+    cos = _pool(spark, d).select("query_id", "doc_id")
     return cos.join(_bm25(spark, d), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
 
 
-def _cosine(spark, d, features=tfidf.FEATURES, least=1):
-    c = tfidf.cosine(_docs(spark, d), table(spark, d, "benchmark"), features, least)
-    return c.withColumn("cosine", F.round("cosine", 6))
+def _pool(spark, d, features=tfidf.FEATURES, least=1):
+    docs, asked = _docs(spark, d), table(spark, d, "benchmark")
+    c = tfidf.cosine(docs, asked, features, least)
+    return tfidf.pool(c.withColumn("cosine", F.round("cosine", 6)), asked, docs, ranking.pool_size(3))
 
 
 @query
 def tfidf_weights(spark, d):
-    docs = _docs(spark, d)
-    counted = tfidf.grams(docs)
-    return tfidf.weights(counted, tfidf.vocabulary(counted, docs.count())).select("doc_id", "term", F.round("w", 6).alias("w"))
+    return tfidf.weights(*tfidf.fitted(_docs(spark, d))).select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
 @query
 def baseline_tfidf(spark, d):
-    docs = _docs(spark, d)
-    counted = tfidf.grams(docs, least_chars=2)
-    return tfidf.weights(counted, tfidf.vocabulary(counted, docs.count(), tfidf.BASELINE_FEATURES)).select("doc_id", "term", F.round("w", 6).alias("w"))
+    return tfidf.weights(*tfidf.fitted(_docs(spark, d), tfidf.BASELINE_FEATURES, least_chars=2)).select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
 @query
 def baseline_topk(spark, d):
-    best = lexical.top(_cosine(spark, d, tfidf.BASELINE_FEATURES, 2), 3, "cosine")
-    texts = _docs(spark, d).select("doc_id", "text").join(lexical.small(best.select("doc_id").distinct()), "doc_id", "left_semi")
-    return best.join(texts, "doc_id").select("query_id", "rank", "doc_id", F.round("cosine", 4).alias("score"), F.trim(F.replace(F.left("text", F.lit(300)), F.lit("\n"), F.lit(" "))).alias("text"))
+    best = sized(_pool(spark, d, tfidf.BASELINE_FEATURES, 2).filter("rank <= 3"), "best")
+    return _docs(spark, d).select("doc_id", "text").join(best.side(), "doc_id").select("query_id", "rank", "doc_id", F.round("cosine", 4).alias("score"), F.trim(F.replace(F.left("text", F.lit(300)), F.lit("\n"), F.lit(" "))).alias("text"))
 
 
 @query
 def random_projection(spark, d):
-    docs = _docs(spark, d)
-    counted = tfidf.grams(docs)
-    vocab = tfidf.vocabulary(counted, docs.count())
+    counted, vocab = tfidf.fitted(_docs(spark, d))
     return tfidf.projected(tfidf.weights(counted, vocab), vocab)
 
 
@@ -319,17 +314,17 @@ def _asked(spark, d):
 
 @query
 def query_weights(spark, d):
-    return ranking.query_weights(_asked(spark, d)).select("item_id", "w_cosine", "w_bm25", "w_quality")
+    return ranking.query_weights(_asked(spark, d), oracle.PRODUCTS).select("item_id", "w_cosine", "w_bm25", "w_quality")
 
 
 @query
 def query_lambda(spark, d):
-    return _asked(spark, d).select("item_id", ranking.query_lambda(F.col("text")).alias("mmr_lambda"))
+    return _asked(spark, d).select("item_id", ranking.query_lambda(F.col("text"), oracle.PRODUCTS).alias("mmr_lambda"))
 
 
 @query
 def candidate_pool(spark, d):
-    return lexical.top(_cosine(spark, d), ranking.pool_size(3), "cosine")
+    return _pool(spark, d)
 
 
 def _hybrid(spark, d, weights=None):
@@ -361,7 +356,7 @@ def result_table(spark, d):
 def search_full(spark, d):
     from ..session import Engine
 
-    return Engine(_docs(spark, d)).search(table(spark, d, "benchmark"))
+    return Engine.build(_docs(spark, d)).search(table(spark, d, "benchmark"))
 
 
 @query
@@ -369,6 +364,12 @@ def expand_query(spark, d):
     return expand.expand(table(spark, d, "benchmark")).select("item_id", "expanded")
 
 
+@query
+def expansion_terms(spark, d):
+    out = expand.expansion_terms(table(spark, d, "benchmark"), most=8)
+    return out.select("item_id", F.size("terms").cast("long").alias("n_terms"), F.array_join("terms", "|").alias("terms"))
+
+
 @query
 def query_rule_matches(spark, d):
     return expand.matches(_asked(spark, d))
@@ -376,14 +377,29 @@ def query_rule_matches(spark, d):
 
 @query
 def explain_expansion(spark, d):
-    return expand.matches(table(spark, d, "benchmark")).groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_ord", "terms"))), lambda r: r["terms"]), "; ").alias("explanation"))
+    return expand.explain(table(spark, d, "benchmark"))
 
 
 def _relevant(spark, d):
-    """Documents that hold an item's text verbatim, proposed by BM25's best and checked by containment."""
-    docs, items = _docs(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    found = docs.select("doc_id", "text").join(lexical.small(items), F.contains("text", "passage"))
-    return found.select("query_id", "doc_id")
+    """(query_id, doc_id): documents that hold an item's text verbatim.
+
+    A word between others of a passage stands between blanks wherever the passage does, so documents
+    meet a passage by its rarest such word and are then searched for it. Passages of fewer than three
+    words have none; they are looked for in every document, as a list that the plan holds.
+    """
+    docs = _docs(spark, d).select("doc_id", "text")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")).filter("passage IS NOT NULL")
+    w = T.words(F.col("passage"))
+    inner = sized(items.select("query_id", "passage", F.explode(F.array_distinct(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))).alias("word")), "passages")
+    found = docs.select("doc_id", "text", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
+    often = found.select("word").join(inner.side(inner.table.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rarest = inner.table.join(often, "word").groupBy("query_id", "passage").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    met = found.join(inner.side(rarest), "word").filter(F.contains("text", "passage")).select("query_id", "doc_id")
+    short = items.filter(F.size(w) < 3).collect()
+    if short:
+        listed = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.passage).alias("passage")) for r in short])
+        met = met.unionByName(docs.select(F.explode(F.filter(listed, lambda p: F.contains(F.col("text"), p["passage"]))).alias("p"), "doc_id").select("p.query_id", "doc_id"))
+    return written(met, "relevant")
 
 
 def _graded(spark, d, results):
@@ -415,7 +431,7 @@ def first_relevant_rank(spark, d):
 @query
 def metric_deltas(spark, d):
     a = evaluate.metrics(_graded(spark, d, lexical.top(_bm25(spark, d), 3, "bm25")))
-    b = evaluate.metrics(_graded(spark, d, lexical.top(_cosine(spark, d), 3, "cosine")))
+    b = evaluate.metrics(_graded(spark, d, _pool(spark, d).filter("rank <= 3")))
     names = ["hit1", "hit3", "mrr", "ndcg3"]
     both = a.select(*[F.col(n).alias(f"a_{n}") for n in names]).crossJoin(b.select(*[F.col(n).alias(f"b_{n}") for n in names]))  # one row each
     return both.select(*[F.round(F.col(f"a_{n}") - F.col(f"b_{n}"), 6).alias(f"d_{n}") for n in names])
@@ -435,7 +451,7 @@ def grid_cross(spark, d):
 @query
 def grid_search(spark, d):
     """Candidates are scored once; each weight triple only ranks them anew."""
-    base = _hybrid(spark, d).select("query_id", "doc_id", "cosine", "bm25n", "quality")
+    base = written(_hybrid(spark, d).select("query_id", "doc_id", "cosine", "bm25n", "quality"), "candidates")
     g = F.broadcast(weight_grid(spark, d))  # 70 rows
     final = F.round(F.col("w_cosine") * F.col("cosine") + F.col("w_bm25") * F.col("bm25n") + F.col("w_quality") * F.col("quality"), 6)
     names = ["w_cosine", "w_bm25", "w_quality"]
@@ -461,7 +477,7 @@ def _with_excerpt(spark, d, column):
 
 @query
 def best_excerpt_cli(spark, d):
-    return _with_excerpt(spark, d, evaluate.excerpt(F.col("text"), F.col("query"), 20, False, 200, "…"))
+    return _with_excerpt(spark, d, evaluate.excerpt(F.col("text"), F.col("query"), 20, False, 200, "…", at_word=True))
 
 
 @query
@@ -469,6 +485,26 @@ def best_excerpt_ui(spark, d):
     return _with_excerpt(spark, d, evaluate.excerpt(F.col("text"), F.col("query"), 0, True, 300, "..."))
 
 
+@query
+def term_maps(spark, d):
+    """Of each document's map from term to count: its size, a look-up with a default, and its largest value."""
+    tf = lexical.term_freq(lexical.tokens(_docs(spark, d)))
+    maps = tf.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("m"))
+    held = _docs(spark, d).select("doc_id").join(maps, "doc_id", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<string,bigint>")))
+    return held.select("doc_id", F.size("m").cast("long").alias("n_terms"), F.coalesce(F.try_element_at("m", F.lit("the")), F.lit(0)).cast("long").alias("n_the"), F.coalesce(F.array_max(F.map_values("m")), F.lit(0)).cast("long").alias("most"))
+
+
+@query
+def ndcg_once(spark, d):
+    """Gains of results that name the same document (here: label) again and again, each counted and only the first."""
+    v = _vectors(spark, d).select("vec_id", F.col("label").alias("doc"))
+    found = vector.cosine_topk(_vector_queries(spark, d), _vectors(spark, d), 3).join(v, "vec_id").select("query_id", F.col("doc").cast("long").alias("doc_id"), "rank")
+    relevant = v.select(F.col("vec_id").alias("query_id"), F.col("doc").cast("long").alias("doc_id"))
+    asked = _vector_queries(spark, d).select(F.col("vec_id").alias("query_id"))
+    gains = [evaluate.graded(found, relevant, asked, once=o).select("query_id", F.round(F.coalesce("gain", F.lit(0.0)), 4).alias(n)) for n, o in (("every_result", False), ("first_only", True))]
+    return gains[0].join(gains[1], "query_id")
+
+
 @query
 def query_history(spark, d):
     c = table(spark, d, "conversations").filter("role = 'user'")

@@ -1,17 +1,29 @@
-"""The search facade: one lazy plan for a batch of queries, a result cache, and an index on disk."""
+"""The search facade: an index that is written once, a plan over it for a batch of queries, and a result cache.
+
+The index holds chunks, BM25's postings and idf, and the TF-IDF vocabulary and weights (or an encoder's
+vectors) as Parquet tables. Postings and weights are dealt to folders by their term's hash, so a search
+reads the folders of the terms that are asked for.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import json
+import time
 from collections import OrderedDict
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import chunk, expand, lexical, ranking, tfidf
+from .operators import chunk, encode, expand, lexical, ranking, tfidf, vector
+from .shared import shared_path, sized
 from .sources import loaders
 
 TOP_K, MOST_CHARS, CACHE_SIZE = 3, 500, 100
+#: Chunks that a folder of postings stands for; folders at most.
+FOLDER_CHUNKS, MOST_FOLDERS = 200_000, 4096
+KEY = ["doc_id", "chunk_ord"]
 
 
 class QueryCache:
@@ -40,67 +52,194 @@ class QueryCache:
         self.held.clear()
 
 
+def chunk_id():
+    return F.concat(F.col("doc_id").cast("string"), F.lit("_chunk"), F.col("chunk_ord").cast("string")).alias("chunk_id")
+
+
 class Engine:
-    """Hybrid search over chunks of ``docs`` (doc_id, text, and a title column)."""
+    """Hybrid search over the chunks of documents (doc_id, text, and a title column), from an index in ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str, encoder: Callable[[], encode.Encoder] | None = None):
+        """Opens an index. ``encoder`` is the one that it was built with, if any."""
+        self.spark, self.path, self.encoder, self.cache = spark, path, encoder, QueryCache()
+        self.config = json.loads(spark.read.text(f"{path}/config", wholetext=True).first().value)
+        if bool(encoder) != self.config["encoded"]:
+            raise ValueError("an index with vectors needs its encoder, and one without has none")
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    @staticmethod
+    def settings(title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoded: bool = False) -> dict:
+        return {"title": title, "contextual": contextual, "features": features, "encoded": encoded, "least": chunk.MIN_WORDS, "most": chunk.MAX_WORDS, "overlap": chunk.OVERLAP, "prefix": chunk.PREFIX_WORDS}
 
-    def __init__(self, docs: DataFrame, title: str = "source", chunks: DataFrame | None = None):
-        self.docs, self.title, self.cache = docs, title, QueryCache()
-        key = (F.col("doc_id") * 1_000_000 + F.col("chunk_ord")).alias("chunk_id")
-        self.chunks = chunks if chunks is not None else chunk.chunk(docs).select(key, "*")
+    @staticmethod
+    def fingerprint(docs: DataFrame, config: dict) -> str:
+        """Of ids, titles, whole texts and all settings."""
+        whole = F.concat_ws("\x1f", F.coalesce(F.col(config["title"]).cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+        return loaders.corpus_fingerprint(docs.withColumn("text", whole), json.dumps(config, sort_keys=True)).first().fingerprint
 
-    def save(self, path: str) -> None:
-        """Writes the chunks and the corpus' fingerprint as Parquet."""
-        self.chunks.write.parquet(f"{path}/chunks")
-        loaders.corpus_fingerprint(self.docs).write.parquet(f"{path}/_fingerprint")
+    @classmethod
+    def build(cls, docs: DataFrame, path: str | None = None, title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoder: Callable[[], encode.Encoder] | None = None) -> Engine:
+        """Writes an index of ``docs``. ``contextual``: what is compared by cosine is a chunk after its document's title and first words."""
+        spark, config = docs.sparkSession, cls.settings(title, contextual, features, bool(encoder))
+        path = path or shared_path(spark, "index")
+        made = chunk.chunk(docs)
+        titled = docs.select("doc_id", F.col(title).cast("string").alias("title"))
+        made.join(titled, "doc_id").write.parquet(f"{path}/chunks")
+        chunks = spark.read.parquet(f"{path}/chunks").withColumn("chunk_id", chunk_id())
+        n = chunks.count()
+        folders = min(MOST_FOLDERS, n // FOLDER_CHUNKS + 1)
+
+        def dealt(table: DataFrame, name: str) -> None:
+            by = table.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int"))
+            (by if folders == 1 else by.repartition("folder")).write.partitionBy("folder").parquet(f"{path}/{name}")
+
+        dealt(lexical.postings(chunks, "chunk_id"), "postings")
+        posted = spark.read.parquet(f"{path}/postings")
+        stats = chunks.select(F.col("chunk_id"), F.col("word_count").alias("dl"))
+        lexical.idf(lexical.doc_freq(posted), lexical.corpus_stats(stats)).write.parquet(f"{path}/idf")
+        texts = chunk.contextual(chunks, docs, title).select(chunk_id(), F.col("context").alias("text")) if contextual else chunks.select("chunk_id", "text")
+        if encoder:
+            encode.encode(texts, encoder).select("chunk_id", "vector").write.parquet(f"{path}/vectors")
+        else:
+            counted, vocab = tfidf.fitted(texts, features, "chunk_id")
+            vocab.write.parquet(f"{path}/vocabulary")
+            dealt(tfidf.weights(counted, spark.read.parquet(f"{path}/vocabulary"), "chunk_id"), "weights")
+        config |= {"folders": folders, "n_docs_loaded": docs.count(), "fingerprint": cls.fingerprint(docs, cls.settings(title, contextual, features, bool(encoder)))}
+        spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.text(f"{path}/config")
+        return cls(spark, path, encoder)
 
     @classmethod
-    def load(cls, docs: DataFrame, path: str, title: str = "source") -> Engine:
-        """Reads a saved index; raises ValueError where it was made from other documents."""
-        spark = docs.sparkSession
-        if spark.read.parquet(f"{path}/_fingerprint").first() != loaders.corpus_fingerprint(docs).first():
-            raise ValueError(f"the index in {path} was made from other documents")
-        return cls(docs, title, spark.read.parquet(f"{path}/chunks"))
-
-    def search(self, queries: DataFrame, k: int = TOP_K, use_mmr: bool = True, use_expansion: bool = True, weights: tuple | None = None, rules=expand.RULES) -> DataFrame:
+    def load(cls, docs: DataFrame, path: str, title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoder: Callable[[], encode.Encoder] | None = None) -> Engine:
+        """Opens a saved index; raises ValueError where it was made from other documents, titles or settings."""
+        engine = cls(docs.sparkSession, path, encoder)
+        if engine.config["fingerprint"] != cls.fingerprint(docs, cls.settings(title, contextual, features, bool(encoder))):
+            raise ValueError(f"the index in {path} was made from other documents or settings")
+        return engine
+
+    @classmethod
+    def open(cls, docs: DataFrame, path: str, reindex: bool = False, **settings) -> Engine:
+        """The saved index where it is valid, else a new one in a folder beside it that is named by the fingerprint."""
+        mark = cls.fingerprint(docs, cls.settings(**{k: v for k, v in settings.items() if k != "encoder"}, encoded=bool(settings.get("encoder"))))
+        place = f"{path.rstrip('/')}/{mark}" + (f"-{int(time.time() * 1000)}" if reindex else "")
+        try:
+            return cls.load(docs, place, **settings)
+        except Exception:  # no index, or one that can't be read: it is built anew
+            return cls.build(docs, place, **settings)
+
+    def chunks(self) -> DataFrame:
+        return self._table("chunks").withColumn("chunk_id", chunk_id())
+
+    def _wanted(self, name: str, terms: DataFrame) -> DataFrame:
+        """The rows of a dealt table in the folders of ``terms``, a broadcast or larger side."""
+        table, folders = self._table(name), self.config["folders"]
+        if folders == 1:
+            return table
+        asked = terms.select(F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int").alias("folder")).distinct()
+        return table.join(F.broadcast(asked), "folder", "left_semi")  # MOST_FOLDERS rows at most
+
+    def _nearest(self, queries: DataFrame, size: int) -> DataFrame:
+        """(query_id, doc_id, chunk_ord, chunk_id, cosine): the pool of each query."""
+        keys = self._table("chunks").select(*KEY)
+        if self.encoder:
+            asked = encode.encode(queries.select(F.col("item_id").alias("chunk_id"), "text"), self.encoder).select("chunk_id", "vector")
+            numbered = self.chunks().select("chunk_id", *KEY, F.xxhash64("chunk_id").alias("n"))
+            found = vector.cosine_topk(asked.select(F.col("chunk_id").alias("n"), "vector"), self._table("vectors").join(numbered.select("chunk_id", "n"), "chunk_id"), size, "n", "vector")
+            return found.join(numbered, "n").select("query_id", *KEY, "chunk_id", "cosine")
+        theirs = sized(tfidf.query_weights(queries, self._table("vocabulary")), "query-weights")
+        met = self._wanted("weights", theirs.table).join(theirs.side(), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("cosine"))
+        place = [F.split("chunk_id", "_chunk")[0].cast("long").alias("doc_id"), F.split("chunk_id", "_chunk")[1].cast("long").alias("chunk_ord")]
+        return tfidf.pool(met.select("query_id", *place, "cosine"), queries, keys, size, key=KEY).drop("rank").withColumn("chunk_id", chunk_id())
+
+    def search(self, queries: DataFrame, k: int = TOP_K, use_mmr: bool = True, use_expansion: bool = True, weights: tuple | None = None, rules: expand.Rules = expand.RULES, products: Sequence[str] = ranking.PRODUCTS) -> DataFrame:
         """(query_id, rank, doc_id, chunk_id, cosine, bm25, quality, score, explanation) for (item_id, text).
 
         Cosine takes the query with up to 3 added terms, BM25 with up to 8; weights and the diversity
-        parameter follow the query as it was asked. The rank is the order of selection.
+        parameter follow the query as it was asked. The rank is the order of selection. Only the index
+        is read; ``k`` 0 means TOP_K.
         """
+        k = k or TOP_K
         asked = queries.select("item_id", "text")
         far, near = (expand.expand(asked, rules, n).select("item_id", F.col("expanded").alias("text")) if use_expansion else asked for n in (3, 8))
-        context = chunk.contextual(self.chunks, self.docs, self.title).select((F.col("doc_id") * 1_000_000 + F.col("chunk_ord")).alias("chunk_id"), F.col("context").alias("text"))
-        pool = lexical.top(tfidf.cosine(context, far, key="chunk_id"), ranking.pool_size(k), "cosine", "chunk_id").drop("rank")
-        bm = lexical.normalised(lexical.Bm25(self.chunks, "chunk_id").scores(near)).select("query_id", "chunk_id", "bm25n")
-        w = ranking.query_weights(asked, weights=weights).select(F.col("item_id").alias("query_id"), "w_cosine", "w_bm25", "w_quality", ranking.query_lambda(F.col("text")).alias("lambda"))
-        rows = pool.join(bm, ["query_id", "chunk_id"], "left").join(lexical.small(w), "query_id")
-        rows = rows.join(self.chunks.select("chunk_id", "doc_id", "quality_score", "text"), "chunk_id").withColumns({"cosine": (F.col("cosine") + 1) / 2, "bm25n": F.coalesce("bm25n", F.lit(0.0))})
-        rows = rows.withColumn("score", F.round(F.col("w_cosine") * F.col("cosine") + F.col("w_bm25") * F.col("bm25n") + F.col("w_quality") * F.col("quality_score"), 6))
-        order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("cosine"), "chunk_id"))
+        pool = sized(self._nearest(far, ranking.pool_size(k)), "pool")
+        words = lexical.query_terms(near)
+        posted = self._wanted("postings", words.table)
+        stats = self._table("chunks").agg(F.avg("word_count").alias("avgdl"))
+        bm = lexical.normalised(lexical.scored(words, posted, self._table("idf"), stats, "chunk_id")).select("query_id", "chunk_id", "bm25n")
+        w = ranking.query_weights(asked, products, weights).select(F.col("item_id").alias("query_id"), "w_cosine", "w_bm25", "w_quality", ranking.query_lambda(F.col("text"), products).alias("lambda"))
+        rows = bm.join(pool.side(), ["query_id", "chunk_id"], "right").join(pool.side(w), "query_id")
+        rows = self._table("chunks").select(*KEY, "quality_score").join(pool.side(rows), KEY).withColumns({"cosine": (F.col("cosine") + 1) / 2, "bm25n": F.coalesce("bm25n", F.lit(0.0))})
+        rows = rows.withColumn("score", ranking.combine(rows, "quality_score"))
+        order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.round("cosine", 9)), *KEY))
         rows = rows.withColumn("rank", order.cast("long"))
         if use_mmr:
-            hashed = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.size(F.filter(F.col("h"), lambda x: x == i)).cast("double"))
-            vectors = rows.withColumn("h", F.transform(F.split(F.lower("text"), r"\s+"), lambda x: F.pmod(F.hash(x), F.lit(256)))).withColumn("vector", hashed)
-            norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-            vectors = vectors.withColumn("norm", norm).withColumn("vector", F.transform("vector", lambda x: x / F.greatest(F.col("norm"), F.lit(1e-9))))
-            picked = ranking.mmr(vectors.select("query_id", "chunk_id", "score", "rank", "vector", "lambda", "doc_id"), k, key="chunk_id", doc="doc_id")
-            rows = rows.drop("rank").join(picked, ["query_id", "chunk_id"])
+            ranked = sized(rows, "ranked")
+            pooled = ranked.side(ranked.table.select("chunk_id").distinct())
+            if self.encoder:
+                vectors = self._table("vectors").join(pooled, "chunk_id", "left_semi")
+            else:
+                vectors = self._table("weights").join(pooled, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("vector"))
+            met = ranked.table.join(vectors, "chunk_id", "left")
+            picked = ranking.mmr(met.select("query_id", "chunk_id", "score", "rank", "vector", "lambda", "doc_id"), k, key="chunk_id", doc="doc_id")
+            rows = ranked.table.drop("rank").join(picked, ["query_id", "chunk_id"])
         else:
             rows = rows.filter(F.col("rank") <= k)
         said = F.format_string("cosine=%.3f bm25=%.3f quality=%.3f", "cosine", "bm25n", "quality_score")
         return rows.select("query_id", "rank", "doc_id", "chunk_id", F.round("cosine", 4).alias("cosine"), F.round("bm25n", 4).alias("bm25"), F.col("quality_score").alias("quality"), F.round("score", 4).alias("score"), said.alias("explanation"))
 
-    def ask(self, query: str, k: int = TOP_K, **options) -> list:
-        """Rows for one question, through the cache. The question has 1 to 500 characters, k is 1 to 10."""
+    def ask(self, query: str, k: int = TOP_K, use_cache: bool = True, **options) -> list:
+        """Rows for one question with title and text, through the cache. The question has 1 to 500 characters, k is 1 to 10 or 0 for the default."""
         query = query.strip()
         if not query or len(query) > MOST_CHARS:
             raise ValueError(f"a question has 1 to {MOST_CHARS} characters")
-        if not 1 <= k <= 10:
+        if not 0 <= k <= 10:
             raise ValueError("k is 1 to 10")
-        key = QueryCache.key(query, k=k, **options)
-        found = self.cache.get(key)
+        key = QueryCache.key(query, k=k or TOP_K, **options)
+        found = self.cache.get(key) if use_cache else None
         if found is None:
-            one = self.docs.sparkSession.createDataFrame([(0, query)], "item_id long, text string")
-            found = self.search(one, k, **options).orderBy("rank").collect()
+            one = self.spark.createDataFrame([(0, query)], "item_id long, text string")
+            best = self.search(one, k, **options)
+            found = self.chunks().select("chunk_id", "title", "text").join(F.broadcast(best), "chunk_id").orderBy("rank").collect()  # k rows
             self.cache.set(key, found)
         return found
+
+    def response(self, query: str, k: int = TOP_K, **options) -> dict:
+        """What a front shows of a question: results, measured time, and whether they come from the cache."""
+        began, cached = time.time(), len(self.cache.held)
+        hit = self.cache.get(QueryCache.key(query.strip(), k=k or TOP_K, **options)) is not None
+        rows = self.ask(query, k, **options)
+        items = [{"rank": r["rank"], "doc_title": r.title, "text": (r.text or "").replace("\n", " ").strip(), "cosine_score": r.cosine, "bm25_score": r.bm25, "final_score": r.score} for r in rows]
+        return {"query": query.strip(), "results": items, "search_time_ms": round(1000 * (time.time() - began), 2), "from_cache": hit and cached > 0}
+
+    def stats(self) -> dict:
+        """Counts and means of the index, and how it searches."""
+        c = self._table("chunks").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d"), F.avg("quality_score").alias("q"), F.avg("word_count").alias("w")).first()
+        if self.encoder:
+            norm = self._table("vectors").agg(F.avg(F.sqrt(vector.dot(F.col("vector"), F.col("vector"))))).first()[0]
+            width = self._table("vectors").agg(F.max(F.size("vector"))).first()[0]
+        else:
+            norm = self._table("weights").groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).agg(F.avg("norm")).first()[0]
+            width = self._table("vocabulary").count()
+        return {
+            "n_chunks": c.n, "n_docs": c.d, "avg_quality": round(c.q or 0.0, 3), "avg_words": round(c.w or 0.0, 1), "mean_norm": round(norm or 0.0, 4), "embedding_dim": width, "vocabulary": self._table("idf").count(),
+            "index_type": "flat" if self.encoder else "inverted", "model": "encoder" if self.encoder else "TF-IDF", "real_embeddings": bool(self.encoder), "cache_lru_size": len(self.cache.held), "reranking": "cosine + BM25 + quality", "diversification": "MMR",
+        }
+
+
+def evaluate_engine(engine: Engine, questions: DataFrame, k: int = TOP_K) -> dict:
+    """Hit rates, reciprocal rank, NDCG and mean time of questions (id, query, expected array of doc_ids), asked one by one without the cache; a bounded list."""
+    from .operators import evaluate
+
+    rows, took, found = questions.collect(), 0.0, []
+    for i, r in enumerate(rows):
+        began = time.time()
+        found += [(i, int(x.doc_id), int(x["rank"])) for x in engine.ask(r.query, k, use_cache=False)]
+        took += 1000 * (time.time() - began)
+    spark = engine.spark
+    results = spark.createDataFrame(found, "query_id long, doc_id long, rank long")
+    relevant = spark.createDataFrame([(i, int(d)) for i, r in enumerate(rows) for d in set(r.expected or [])], "query_id long, doc_id long")
+    every = spark.createDataFrame([(i,) for i in range(len(rows))], "query_id long")
+    m = evaluate.metrics(evaluate.graded(results, relevant, every)).first().asDict()
+    positive = sum(bool(r.expected) for r in rows)
+    return m | {"avg_time_ms": round(took / max(len(rows), 1), 2), "n_positive": positive, "n_negative": len(rows) - positive}

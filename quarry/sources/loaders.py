@@ -7,11 +7,12 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 _DOCS = "file string, id string, title string, content string, error string"
-FINGERPRINT_CHARS = 200
 
 
 def slug(name: str) -> str:
@@ -41,8 +42,16 @@ def parse_file(path: str, content: bytes, pdf: Callable[[bytes], str] | None) ->
         return [(name, None, None, None, f"{type(e).__name__}: {e}")]
 
 
-def load_folder(spark: SparkSession, folder: str, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
-    """(file, id, title, content, error) of the .txt, .json and .pdf files right in ``folder``, which must exist. Other files are skipped; a file that can't be read is a row with its error. Repeated ids get a number in file order."""
+def load_folder(spark: SparkSession, folder: str, pdf: Callable[[bytes], str] | None = None, clean_pdf: bool = True) -> DataFrame:
+    """(file, id, title, content, error) of the .txt, .json and .pdf files right in ``folder``; FileNotFoundError where there is none.
+
+    Other files are rows with neither id nor error, which ``folder_summary`` counts as skipped and
+    whose content is never read. A file that can't be read is a row with its error. Repeated ids get a
+    number in file order. ``pdf`` extracts a PDF's text, which is cleaned as the others aren't.
+    """
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        raise FileNotFoundError(folder)
 
     def parse(batches):
         for batch in batches:
@@ -50,21 +59,46 @@ def load_folder(spark: SparkSession, folder: str, pdf: Callable[[bytes], str] |
             yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(5)], names=["file", "id", "title", "content", "error"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    docs = files.filter(F.lower("path").rlike(r"\.(txt|json|pdf)$")).select("path", "content").mapInArrow(parse, _DOCS)
-    n = F.row_number().over(Window.partitionBy("id").orderBy("file"))
-    return docs.withColumn("id", F.when((n > 1) & F.col("id").isNotNull(), F.concat_ws("_", "id", n.cast("string"))).otherwise(F.col("id")))
+    known = F.lower("path").rlike(r"\.(txt|json|pdf)$")
+    docs = files.filter(known).select("path", "content").mapInArrow(parse, _DOCS)
+    if clean_pdf:
+        docs = docs.withColumn("content", F.when(F.lower("file").endswith(".pdf"), T.clean(F.col("content"))).otherwise(F.col("content")))
+    n = F.row_number().over(Window.partitionBy("id").orderBy("file", F.xxhash64("content")))
+    docs = docs.withColumn("id", F.when((n > 1) & F.col("id").isNotNull(), F.concat_ws("_", "id", n.cast("string"))).otherwise(F.col("id")))
+    skipped = files.filter(~known).select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), *(F.lit(None).cast("string").alias(c) for c in ("id", "title", "content", "error")))
+    return docs.unionByName(skipped).orderBy("file", "id")
 
 
-def json_documents(rows: DataFrame, column: str = "json") -> DataFrame:
-    """title and content of JSON objects in a column, by the first key that isn't empty."""
-    get = lambda k: F.nullif(F.get_json_object(column, f"$.{k}"), F.lit(""))
-    return rows.withColumns({"title": F.coalesce(get("title"), get("name"), get("titre")), "content": F.coalesce(get("content"), get("text"), get("texte"), get("body"), F.lit(""))})
+def folder_summary(loaded: DataFrame) -> DataFrame:
+    """(n_docs, n_words, words_per_doc, n_skipped, n_errors, errors) of ``load_folder``."""
+    held = loaded.filter("id IS NOT NULL").withColumn("text", F.col("content"))
+    rest = loaded.agg(F.count(F.when(F.col("id").isNull() & F.col("error").isNull(), 1)).alias("n_skipped"), F.count("error").alias("n_errors"), F.sort_array(F.collect_list(F.concat_ws(": ", F.when(F.col("error").isNotNull(), F.col("file")), "error"))).alias("errors"))
+    return load_summary(held).crossJoin(rest.withColumn("errors", F.filter("errors", lambda x: x != "")))  # one row each
 
 
-def load_summary(docs: DataFrame, text: str = "text") -> DataFrame:
-    from ..functions.text import words
+def export_text(docs: DataFrame, path: str, text: str = "content") -> None:
+    """Writes the texts, in order of file and id, as text files."""
+    docs.filter(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("value")).write.text(path)
+
+
+def _truthy(value: Column) -> Column:
+    """A variant as a string, or null where it is empty: "", 0, false, null, [] or {}."""
+    kind, said = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    number = F.try_variant_get(value, "$", "double")
+    empty = F.when(kind == "STRING", said == "").when(kind == "BOOLEAN", said == "false").when(kind.startswith("ARRAY"), said == "[]").when(kind.startswith("OBJECT"), said == "{}").when(kind == "VOID", True).otherwise(F.coalesce(number == 0, F.lit(False)))
+    return F.when(value.isNotNull() & ~empty, F.when(kind == "BOOLEAN", F.initcap(said)).otherwise(said))
 
-    n = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size(words(F.coalesce(F.col(text), F.lit(""))))), F.lit(0)).cast("long").alias("n_words"))
+
+def json_documents(rows: DataFrame, column: str = "json", stem: str = "document") -> DataFrame:
+    """id, title and content of JSON objects in a column, by the first key that isn't empty (in JSON: "", 0, false, null, [] and {} are). Without an id, title or content: a slug of ``stem``, ``stem``, and the empty text."""
+    item = F.try_parse_json(column)
+    get = lambda k: _truthy(F.try_variant_get(item, f"$.{k}", "variant"))
+    first = lambda *keys: F.coalesce(*map(get, keys))
+    return rows.withColumns({"id": F.coalesce(get("id"), F.lit(slug(stem))), "title": F.coalesce(first("title", "name", "titre"), F.lit(stem)), "content": F.coalesce(first("content", "text", "texte", "body"), F.lit(""))})
+
+
+def load_summary(docs: DataFrame, text: str = "text") -> DataFrame:
+    n = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size(T.words(F.coalesce(F.col(text), F.lit(""))))), F.lit(0)).cast("long").alias("n_words"))
     return n.withColumn("words_per_doc", F.expr("n_words div greatest(n_docs, 1)"))
 
 

@@ -1,4 +1,7 @@
+import json
 import os
+import threading
+import urllib.request
 
 import duckdb
 import numpy as np
@@ -7,9 +10,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quarry.functions import text as T
-from quarry.operators import chunk, evaluate, expand, lexical, ranking, vector
+from quarry import session
+from quarry.__main__ import Service, main, serve
+from quarry.operators import chunk, encode, evaluate, expand, lexical, ranking, vector
 from quarry.plans import registry
-from quarry.session import Engine, QueryCache
+from quarry.session import Engine, QueryCache, evaluate_engine
 from quarry.sources import loaders
 
 SF = "/root/testdata/sf0.001"
@@ -27,7 +32,7 @@ def _norm(v):
     return "NULL" if v is None or v != v else repr(v + 0.0) if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", ["clean_full", "chunks", "bm25_topk", "bm25_norm", "tfidf_weights", "cosine_topk", "mmr_rerank", "ir_metrics", "query_weights", "corpus_fingerprint"])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     got = registry.queries()[name](spark, SF)
     cols = sorted(got.columns)
@@ -48,12 +53,13 @@ def test_cleaning(spark, step, given, want):
     assert _one(spark, T.STEPS[step], given) == want
 
 
-def test_chunk_rules():
-    assert list(chunk.chunks_of(["a b c"])) == []
-    long = [" ".join(["w"] * 50) + "." for _ in range(5)]
-    got = list(chunk.chunks_of(long))
-    assert all(n >= 30 for *_, n, _ in got) and [g[0] for g in got] == sorted({g[0] for g in got})
-    assert next(chunk.chunks_of([" ".join(["w"] * 300)]))[3] == 300
+def test_chunk_rules(spark):
+    texts = ["A b c.", None, "", " ".join(["W " + "w " * 48 + "w."] * 5), "W " + "w " * 299 + "w."]
+    rows = chunk.chunk(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows} == {3, 4} and all(r.word_count >= 30 for r in rows)
+    long = sorted((r.chunk_ord, r.start_pos) for r in rows if r.doc_id == 3)
+    assert [o for o, _ in long] == list(range(len(long))) and [x for _, x in long] == sorted({x for _, x in long})
+    assert [r.word_count for r in rows if r.doc_id == 4] == [301]
 
 
 def test_percentile_normalisation(spark):
@@ -64,9 +70,17 @@ def test_percentile_normalisation(spark):
     assert lexical.normalised(alone).first().bm25n == 1.0
 
 
-def test_expansion():
-    assert expand.expand_one("staff price", [(0, "af", ["fungal amylase", "price list"])], 3) == "staff price fungal amylase"
-    assert expand.expand_one("x", [(0, "x", ["a", "b", "c", "d"])], 2) == "x a b"
+def test_expansion(spark, tmp_path):
+    def run(query, rules, most):
+        return expand.expand(spark.createDataFrame([(query,)], "text string"), rules, most).first().expanded
+
+    assert run("staff price", [(0, "af", ["fungal amylase", "price list"])], 3) == "staff price fungal amylase"
+    assert run("x", [(0, "x", ["a", "b", "c", "d"])], 2) == "x a b"
+    assert run("y", [(0, "x", ["a"])], 2) == run("y", [], 2) == "y"
+    (tmp_path / "rules.json").write_text('{"pattern": "b", "terms": ["two"]}\n{"pattern": "a", "terms": ["one"], "rule_ord": -1, "group": "units"}\n')
+    rules = expand.load_rules(spark, str(tmp_path / "rules.json"))
+    assert rules == [(-1, "a", ["one"]), (0, "b", ["two"])] and run("a b", rules, 3) == "a b one two"
+    assert expand.expansion_terms(spark.createDataFrame([("a",), (None,)], "text string"), rules).collect()[0].terms == ["one"]
 
 
 def test_weight_grid_has_70_triples():
@@ -85,6 +99,21 @@ def test_ivf_recall(spark):
     exact = {(r.query_id, r.vec_id) for r in vector.cosine_topk(q, rows, 10).collect()}
     near = {(r.query_id, r.vec_id) for r in vector.ivf_topk(q, rows, 10).collect()}
     assert len(exact & near) / len(exact) >= 0.9
+    index = vector.build_index(rows)
+    assert index.report() == {"index_type": "ivf", "nlist": 22, "nprobe": 10} and vector.build_index(rows, kind="flat").kind == "flat"
+    assert {(r.query_id, r.vec_id) for r in index.search(q, 10, 22).collect()} == exact
+    assert vector.cells(100) == 1 and vector.cells(10**8) == 10**4
+
+
+def test_vector_search_in_parts_and_empty(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    q = rows.filter("vec_id % 5 = 0")
+    found = lambda: sorted((r.query_id, r["rank"], r.vec_id, round(r.cosine, 9)) for r in vector.cosine_topk(q, rows, 4).collect())
+    want = found()
+    monkeypatch.setattr(vector, "MOST_QUERIES", 3)
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 2)
+    assert found() == want
+    assert vector.cosine_topk(q.filter("false"), rows, 4).count() == vector.cosine_topk(q, rows.filter("false"), 4).count() == 0
 
 
 def test_cache_keys_hold_all_parameters():
@@ -95,17 +124,96 @@ def test_cache_keys_hold_all_parameters():
     assert c.get("a") is None and c.get("c") == "c"
 
 
-def test_engine_save_load_and_ask(spark, tmp_path):
+def test_engine_index_and_ask(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    Engine(docs).save(str(tmp_path / "index"))
-    engine = Engine.load(docs, str(tmp_path / "index"))
+    path = str(tmp_path / "index")
+    built = Engine.build(docs, path)
+    engine = Engine.load(docs, path)
     got = engine.ask("the and that of", k=2)
-    assert [r["rank"] for r in got] == list(range(1, len(got) + 1)) and len(got) <= 2
-    assert engine.ask("the and that of", k=2) is got
+    assert [r["rank"] for r in got] == list(range(1, len(got) + 1)) and len(got) == 2
+    assert engine.ask("the and that of", k=2) is got and engine.response("the and that of", 2)["from_cache"]
+    assert len(engine.ask("zzzz", k=0)) == 3  # a question that matches nothing is answered all the same
     with pytest.raises(ValueError):
         engine.ask("  ")
+    for other, settings in ((docs.limit(3), {}), (docs, {"contextual": False}), (docs.withColumn("source", F.lit("x")), {})):
+        with pytest.raises(ValueError):
+            Engine.load(other, path, **settings)
+    stats = built.stats()
+    assert stats["n_chunks"] == built.chunks().count() and stats["mean_norm"] == 1.0 and stats["index_type"] == "inverted"
+    again = Engine.open(docs, str(tmp_path / "many"))
+    assert Engine.open(docs, str(tmp_path / "many")).path == again.path != Engine.open(docs, str(tmp_path / "many"), reindex=True).path
+    asked = spark.createDataFrame([(1, "the and that of"), (2, "la maison de la")], "item_id long, text string")
+    one = sorted(map(tuple, built.search(asked).collect()))
+    plain = Engine.build(docs, contextual=False)
+    assert len(one) == 6 and len(plain.search(asked, 2, use_mmr=False, use_expansion=False).collect()) == 4
+    found = evaluate_engine(built, spark.createDataFrame([(1, "the and that of", [got[0].doc_id]), (2, "nothing of it", [])], "id long, query string, expected array<long>"))
+    assert (found["n_positive"], found["n_negative"], found["n"]) == (1, 1, 2) and found["avg_time_ms"] > 0
+
+
+def test_folders_of_postings_change_nothing(spark, monkeypatch):
+    docs, asked = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = sorted(map(tuple, Engine.build(docs).search(asked).collect()))
+    monkeypatch.setattr(session, "FOLDER_CHUNKS", 100)
+    many = Engine.build(docs)
+    assert many.config["folders"] > 3 and sorted(map(tuple, many.search(asked).collect())) == want
+
+
+def test_engine_with_an_encoder(spark):
+    class Letters:  # local, so that it travels to the workers by value
+        dimensions = 26
+
+        def encode(self, texts):
+            import numpy as np
+
+            return np.asarray([[t.lower().count(chr(97 + i)) for i in range(26)] for t in texts], float)
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    engine = Engine.build(docs, encoder=Letters)
+    asked = spark.createDataFrame([(1, "the and that of")], "item_id long, text string")
+    got = engine.search(asked).collect()
+    assert len(got) == 3 and engine.stats()["embedding_dim"] == 26 and engine.stats()["mean_norm"] == pytest.approx(1, abs=1e-4)
+    assert encode.encode_single(Letters(), "aab").tolist() == pytest.approx([2 / 5**0.5, 1 / 5**0.5, *[0] * 24])
     with pytest.raises(ValueError):
-        Engine.load(docs.limit(3), str(tmp_path / "index"))
+        Engine(spark, engine.path)
+
+
+def test_fronts(spark, tmp_path, capsys):
+    (tmp_path / "docs").mkdir()
+    for i in range(4):
+        (tmp_path / "docs" / f"d{i}.txt").write_text(f"Document {i} speaks of {'wheat flour and dough' if i % 2 else 'river water and stones'}. " * 12)
+    (tmp_path / "docs" / "x.bin").write_text("x")
+    index = str(tmp_path / "index")
+    assert main(["--data", str(tmp_path / "docs"), "--index", index], ["wheat flour dough", ":stats", ":clear", ":help", "", "x" * 600, ":quit", "never"]) == 0
+    said = capsys.readouterr().out
+    assert "'n_skipped': 1" in said and "#1 d" in said and "n_docs: 4" in said and "cache cleared" in said and "error" in said and "never" not in said
+    assert main(["--data", str(tmp_path / "no"), "--index", index], []) == 1
+    assert Service().answer("GET", "/health")[0] == 503
+    loaded = loaders.load_folder(spark, str(tmp_path / "docs")).filter("id IS NOT NULL").select(F.xxhash64("id").alias("doc_id"), "title", F.col("content").alias("text"))
+    service = Service(Engine.open(loaded, index, title="title"), 1.5)
+    status, body = service.answer("POST", "/search", b'{"query": " wheat flour ", "top_k": 2}')
+    assert status == 200 and body["query"] == "wheat flour" and [r["rank"] for r in body["results"]] == [1, 2] and not body["from_cache"]
+    assert service.answer("POST", "/search", b'{"query": "wheat flour", "top_k": 2}')[1]["from_cache"]
+    assert [service.answer("POST", "/search", b)[0] for b in (b"", b"{", b'{"query": " "}', b'{"query": "x", "top_k": 11}', b'{"query": "x", "top_k": true}')] == [422] * 5
+    assert service.answer("GET", "/health") == (200, {"status": "ok", "n_chunks": 4, "n_docs": 4, "model": "TF-IDF", "startup_time_s": 1.5})
+    assert service.answer("GET", "/stats")[1]["diversification"] == "MMR" and service.answer("GET", "/")[0] == 200 and service.answer("GET", "/x")[0] == 404
+    server = serve(service, 0)
+    threading.Thread(target=server.handle_request).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}/health", timeout=60) as r:
+        assert json.load(r)["status"] == "ok"
+    server.server_close()
+
+
+def test_metric_deltas_and_repeated_documents(spark):
+    assert evaluate.deltas({"mrr": 0.5, "hit1": 0.3, "avg_time_ms": 10.0}, {"mrr": 0.5004, "hit1": 0.2, "avg_time_ms": 20.0}) == {"mrr": (-0.0004, "equal"), "hit1": (0.1, "better"), "time_ratio": 2.0}
+    found = spark.createDataFrame([(1, 7, 1), (1, 7, 2), (1, 7, 3)], "query_id long, doc_id long, rank long")
+    relevant, asked = spark.createDataFrame([(1, 7)], "query_id long, doc_id long"), spark.createDataFrame([(1,)], "query_id long")
+    assert [evaluate.graded(found, relevant, asked, once=o).select(evaluate.ndcg()).first()[0] for o in (False, True)] == pytest.approx([2.1309, 1.0], abs=1e-4)
+
+
+def test_json_truthiness(spark):
+    given = ['{"title": 0, "name": "N", "content": [], "body": "B"}', '{"title": "0", "text": false, "texte": 7, "id": 5}', "[1]", None, '{"name": null, "titre": true, "content": {}}']
+    got = loaders.json_documents(spark.createDataFrame([(i, g) for i, g in enumerate(given)], "k int, json string"), stem="My File").orderBy("k").collect()
+    assert [(r.id, r.title, r.content) for r in got] == [("my_file", "N", "B"), ("5", "0", "7"), ("my_file", "My File", ""), ("my_file", "My File", ""), ("my_file", "True", "")]
 
 
 def test_folder(spark, tmp_path):
@@ -117,7 +225,16 @@ def test_folder(spark, tmp_path):
     got = {(r.file, r.id): r for r in loaders.load_folder(spark, str(tmp_path)).collect()}
     assert got[("b.txt", "b")].content == "hello �"
     assert (got[("a.json", "a_0")].title, got[("a.json", "a_2")].content) == ("N", "B")
-    assert got[("c.json", None)].error and got[("d.pdf", None)].error and len(got) == 5
+    assert got[("c.json", None)].error and got[("d.pdf", None)].error and len(got) == 6
+    loaded = loaders.load_folder(spark, str(tmp_path), lambda raw: "Page 1 of 2\nThe text • of it")
+    assert [r.file for r in loaded.collect()] == sorted(r.file for r in loaded.collect())
+    said = loaders.folder_summary(loaded).first()
+    assert (said.n_docs, said.n_skipped, said.n_errors, [e[:6] for e in said.errors]) == (4, 1, 1, ["c.json"])
+    assert loaded.filter("file = 'd.pdf'").first().content == "The text - of it"
+    loaders.export_text(loaded, str(tmp_path / "out"))
+    assert "The text - of it" in {r.value for r in spark.read.text(str(tmp_path / "out")).collect()}
+    with pytest.raises(FileNotFoundError):
+        loaders.load_folder(spark, str(tmp_path / "none"))
 
 
 def test_entry(spark):
