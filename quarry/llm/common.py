@@ -5,32 +5,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import tempfile
 import time
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset and all runs in one process (tests), a new temporary one, which then is set; on a cluster it must be set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from ..shared import shared_path
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+U64 = np.uint64
 
 
 #: Rows that an Arrow batch of a written step has at most: long texts and sets make batches large, as Spark counts their rows first.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk, evaluate, expand, lexical, ranking, tfidf, vector
-from ..shared import sized, written
+from ..shared import sized, spread, written
 from ..sources import loaders
 from . import oracle
 
@@ -26,7 +26,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _cleanable(spark, d):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import chunk, encode, expand, lexical, ranking, tfidf, vector
-from .shared import shared_path, sized
+from .shared import shared_path, sized, spread
 from .sources import loaders
 
 TOP_K, MOST_CHARS, CACHE_SIZE = 3, 500, 100
@@ -83,7 +83,7 @@ class Engine:
     def build(cls, docs: DataFrame, path: str | None = None, title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoder: Callable[[], encode.Encoder] | None = None) -> Engine:
         """Writes an index of ``docs``. ``contextual``: what is compared by cosine is a chunk after its document's title and first words."""
         spark, config = docs.sparkSession, cls.settings(title, contextual, features, bool(encoder))
-        path = path or shared_path(spark, "index")
+        path, docs = path or shared_path(spark, "index"), spread(docs.select("doc_id", title, "text"))
         made = chunk.chunk(docs)
         titled = docs.select("doc_id", F.col(title).cast("string").alias("title"))
         made.join(titled, "doc_id").write.parquet(f"{path}/chunks")
