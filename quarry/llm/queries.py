@@ -75,6 +75,48 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(cov.n, 0) AS
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+#: Base32 digits of the SHA-1, eight for each ten hex digits.
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+q AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(1 + 10 * (j // 8) AS BIGINT), 10) AS BIGINT) >> (35 - 5 * (j % 8))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM q
+"""
+
+_SHINGLES = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+#: Words hold no blank, so that a shingle is its words with blanks between.
+OP5_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SHINGLES} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id != b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+m AS (SELECT u, min(v) AS least_id FROM r GROUP BY u)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.least_id, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.u = d.doc_id
+"""
+
+#: Bytes as pairs of hex digits. Texts are cut into overlapping parts first, as a substring is looked for from the start.
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT doc_id, k, substr(h, 2 * k + 1, 2 * 1049) AS t FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0), 1000)) AS k FROM d)),
+w AS (SELECT doc_id, k + i AS pos, substr(t, 2 * i + 1, 100) AS s FROM (SELECT doc_id, k, t, unnest(range(0, len(t) // 2 - 49)) AS i FROM part)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) != max(doc_id)),
+hit AS (SELECT doc_id, pos FROM w JOIN f USING (s) WHERE f.first < doc_id),
+mark AS (SELECT doc_id, pos, coalesce(CAST(pos > lag(pos) OVER o + 50 AS INT), 1) AS fresh FROM hit WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+run AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS number FROM mark),
+span AS (SELECT doc_id, min(pos) AS a, max(pos) + 50 AS b FROM run GROUP BY doc_id, number),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS behind FROM span),
+cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * behind + 1, 2 * (a - behind)), '' ORDER BY a) AS kept FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_warc": OP2_SQL, "op5_jaccard": OP5_SQL, "op8_suffix_dedup": OP8_SQL}

@@ -5,12 +5,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import decontam, exchange, fingerprint, langid, licenses, ngram_join, packing, suffix_dedup, token_counts, token_output, tokens, warc
+from quarry.llm import decontam, exchange, fingerprint, langid, licenses, ngram_join, packing, queries, suffix_dedup, token_counts, token_output, tokens, warc
 
 BASE = "the quick brown fox jumps over the lazy dog while nine old men sing songs about rivers and seven hills far away from home "
 ROWS = [
@@ -346,3 +347,15 @@ def test_pipeline(spark):
         docs = stage(spark, docs, d)
         assert tuple(docs.columns) == corpus_pipeline.COLUMNS
     assert corpus_pipeline.run(spark, d).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_has_the_same_rows(spark, name):
+    d = "/root/testdata/sf0.001"
+    base = duckdb.connect()
+    for table in ("documents", "benchmark", "pages"):
+        base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{d}/{table}.parquet'")
+    want = base.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, d).select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
