@@ -353,7 +353,7 @@ def test_pipeline(spark):
 def test_sql_has_the_same_rows(spark, name):
     d = "/root/testdata/sf0.001"
     base = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "labels"):
         base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{d}/{table}.parquet'")
     want = base.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in want.description]
