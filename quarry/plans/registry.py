@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunk, evaluate, expand, lexical, ranking, tfidf, vector
+from ..operators import chunk, evaluate, expand, lexical, passages, ranking, tfidf, vector
 from ..shared import sized, spread, written
 from ..sources import loaders
 from . import oracle
@@ -113,8 +113,7 @@ def chunks(spark, d):
 
 @query
 def contextual_text(spark, d):
-    docs = _docs(spark, d)
-    return chunk.contextual(chunk.chunk(docs), docs).select("doc_id", "chunk_ord", F.md5(F.col("context").cast("binary")).alias("digest"))
+    return chunk.contextual(_docs(spark, d)).select("doc_id", "chunk_ord", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
 @query
@@ -381,25 +380,7 @@ def explain_expansion(spark, d):
 
 
 def _relevant(spark, d):
-    """(query_id, doc_id): documents that hold an item's text verbatim.
-
-    A word between others of a passage stands between blanks wherever the passage does, so documents
-    meet a passage by its rarest such word and are then searched for it. Passages of fewer than three
-    words have none; they are looked for in every document, as a list that the plan holds.
-    """
-    docs = _docs(spark, d).select("doc_id", "text")
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")).filter("passage IS NOT NULL")
-    w = T.words(F.col("passage"))
-    inner = sized(items.select("query_id", "passage", F.explode(F.array_distinct(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))).alias("word")), "passages")
-    found = docs.select("doc_id", "text", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
-    often = found.select("word").join(inner.side(inner.table.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    rarest = inner.table.join(often, "word").groupBy("query_id", "passage").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
-    met = found.join(inner.side(rarest), "word").filter(F.contains("text", "passage")).select("query_id", "doc_id")
-    short = items.filter(F.size(w) < 3).collect()
-    if short:
-        listed = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.passage).alias("passage")) for r in short])
-        met = met.unionByName(docs.select(F.explode(F.filter(listed, lambda p: F.contains(F.col("text"), p["passage"]))).alias("p"), "doc_id").select("p.query_id", "doc_id"))
-    return written(met, "relevant")
+    return passages.holding(_docs(spark, d), table(spark, d, "benchmark"))
 
 
 def _graded(spark, d, results):

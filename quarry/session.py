@@ -99,7 +99,7 @@ class Engine:
         posted = spark.read.parquet(f"{path}/postings")
         stats = chunks.select(F.col("chunk_id"), F.col("word_count").alias("dl"))
         lexical.idf(lexical.doc_freq(posted), lexical.corpus_stats(stats)).write.parquet(f"{path}/idf")
-        texts = chunk.contextual(chunks, docs, title).select(chunk_id(), F.col("context").alias("text")) if contextual else chunks.select("chunk_id", "text")
+        texts = chunk.contextual(docs, title).select(chunk_id(), F.col("context").alias("text")) if contextual else chunks.select("chunk_id", "text")
         if encoder:
             encode.encode(texts, encoder).select("chunk_id", "vector").write.parquet(f"{path}/vectors")
         else:
