@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..shared import Sized, sized
+from ..shared import Sized, sized, written
+from . import quantile
 
 K1, B = 1.5, 0.75
 
@@ -78,7 +79,13 @@ def top(scores: DataFrame, k: int, score: str, key: str = "doc_id") -> DataFrame
     return scores.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
+def p95(scores: DataFrame) -> DataFrame:
+    """(query_id, p95): the 95th percentile of each query's positive scores, exact, without a task that holds a query's scores."""
+    return quantile.percentile(scores.filter("bm25 > 0"), "query_id", "bm25", 0.95).select("query_id", F.col("percentile").alias("p95"))
+
+
 def normalised(scores: DataFrame) -> DataFrame:
     """Adds bm25n: one positive score is divided by itself, several by their 95th percentile, clipped to 0 and 1."""
-    positive = scores.filter("bm25 > 0").groupBy("query_id").agg(F.percentile("bm25", 0.95).alias("p95"))
-    return scores.join(positive, "query_id", "left").withColumn("bm25n", F.when(F.col("p95").isNull(), F.col("bm25")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("bm25") / F.col("p95")))))
+    scores = written(scores, "scores")
+    positive = sized(p95(scores), "p95")
+    return scores.join(positive.side(), "query_id", "left").withColumn("bm25n", F.when(F.col("p95").isNull(), F.col("bm25")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("bm25") / F.col("p95")))))

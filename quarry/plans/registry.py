@@ -207,7 +207,7 @@ def bm25_all(spark, d):
 
 @query
 def p95_scores(spark, d):
-    return _bm25(spark, d).filter("bm25 > 0").groupBy("query_id").agg(F.round(F.percentile("bm25", 0.95), 6).alias("p95"))
+    return lexical.p95(written(_bm25(spark, d), "scores")).select("query_id", F.round("p95", 6).alias("p95"))
 
 
 @query
