@@ -58,3 +58,16 @@ class Sized:
 def sized(df: DataFrame, name: str) -> Sized:
     table = written(df, name)
     return Sized(table, table.count() <= BROADCAST_ROWS)
+
+
+def dealt(df: DataFrame, column: str, path: str, sort: str | None = None) -> None:
+    """Writes ``df`` in a folder per value of ``column``. Rows of a folder come together, but a large folder's rows are split over tasks, so that one value with a large share of the rows holds up no task. ``sort`` orders a file's rows."""
+    together = df.hint("rebalance", F.col(column))
+    (together.sortWithinPartitions(column, sort) if sort else together).write.partitionBy(column).parquet(path)
+
+
+def in_folders(table: DataFrame, column: str, wanted: DataFrame, most: int) -> DataFrame:
+    """The rows of a dealt table in the folders that ``wanted`` names, of ``most`` that there are: the few numbers become a partition filter of the scan."""
+    if most == 1:
+        return table
+    return table.filter(F.col(column).isin([r[0] for r in wanted.select(column).distinct().limit(most).collect()]))
