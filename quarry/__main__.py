@@ -5,6 +5,9 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import threading
+import time
+from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import SparkSession
@@ -17,10 +20,27 @@ HELP = "a question, or :stats, :clear, :help, :quit"
 
 
 class Service:
-    """The HTTP front's answers as (status, body). Without an engine it isn't ready."""
+    """The HTTP front's answers as (status, body). Without an engine it isn't ready, and says so."""
 
     def __init__(self, engine: Engine | None = None, startup_s: float = 0.0):
-        self.engine, self.startup_s = engine, startup_s
+        self.engine, self.startup_s, self.failed = engine, startup_s, ""
+
+    def start(self, build: Callable[[], Engine]) -> threading.Thread:
+        """Builds or opens the index in the background, so that the port answers at once."""
+
+        def run() -> None:
+            began = time.time()
+            try:
+                engine = build()
+            except Exception as e:  # told to whoever asks; the front stays up
+                self.failed = f"{type(e).__name__}: {e}"
+            else:
+                self.startup_s = round(time.time() - began, 3)
+                self.engine = engine
+
+        thread = threading.Thread(target=run, name="index", daemon=True)
+        thread.start()
+        return thread
 
     def answer(self, method: str, path: str, body: bytes = b"") -> tuple[int, dict]:
         if (method, path) == ("GET", "/"):
@@ -28,14 +48,14 @@ class Service:
         if (method, path) not in {("POST", "/search"), ("GET", "/health"), ("GET", "/stats")}:
             return 404, {"detail": "not found"}
         if self.engine is None:
-            return 503, {"detail": "the index is not ready yet"}
+            return 503, {"detail": f"the index could not be built: {self.failed}" if self.failed else "the index is not ready yet"}
         try:
             if path == "/search":
                 return self._search(body)
             stats = self.engine.stats()
             if path == "/health":
                 stats = {"status": "ok", **{k: stats[k] for k in ("n_chunks", "n_docs", "model")}}
-            return 200, stats | {"startup_time_s": self.startup_s}
+            return 200, stats | {"startup_time_s": self.startup_s}  # fixed interface names
         except Exception as e:  # a front answers, whatever happens behind it
             return 500, {"detail": f"{type(e).__name__}: {e}"}
 
@@ -74,14 +94,14 @@ def respond(engine: Engine, line: str) -> str | None:
     """What the prompt says to a line; None ends it."""
     line = line.strip()
     command = line.lower()
-    if command in {"q", "quit", "exit", ":quit"}:
+    if command == ":quit":
         return None
-    if command in {":stats", ":stat"}:
+    if command == ":stats":
         return "\n".join(f"{k}: {v}" for k, v in engine.stats().items())
-    if command in {":clear", ":cache"}:
+    if command == ":clear":
         engine.cache.clear()
         return "cache cleared"
-    if command in {":help", ":h", "?"}:
+    if command == ":help":
         return HELP
     if not line:
         return ""
@@ -108,9 +128,13 @@ def main(args: list[str] | None = None, lines=sys.stdin) -> int:
         return 1
     print(loaders.folder_summary(loaded).first().asDict())
     docs = loaded.filter("id IS NOT NULL").select(F.xxhash64("id").alias("doc_id"), "title", F.col("content").alias("text"))
-    engine = Engine.open(docs, given.index, given.reindex, title="title")
+    build = lambda: Engine.open(docs, given.index, given.reindex, title="title")
     if given.serve:
-        serve(Service(engine), given.serve).serve_forever()
+        service = Service()
+        server = serve(service, given.serve)
+        service.start(build)
+        server.serve_forever()
+    engine = build()
     for line in lines:
         said = respond(engine, line)
         if said is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable
 from typing import Protocol
 
@@ -19,6 +20,15 @@ class Encoder(Protocol):
         """A row per text."""
 
 
+def identity(make: Callable[[], Encoder] | None) -> str | None:
+    """What tells an encoder from others, for an index that depends on it: its maker's ``identity``, such as a model's name and version, or else the maker's own name with its arguments."""
+    if make is None or getattr(make, "identity", None):
+        return make and str(make.identity)
+    if isinstance(make, functools.partial):
+        return f"{identity(make.func)}{make.args}{sorted(make.keywords.items())}"
+    return f"{make.__module__}.{make.__qualname__}"
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows of length 1; zero rows stay zero."""
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)

@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..shared import Sized, sized, written
+from ..shared import Sized, keys_of, sized, written
 from . import quantile
 
 K1, B = 1.5, 0.75
 
 
-def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(key), F.explode(T.words(F.lower(F.col(text)))).alias("term"))
+def tokens(docs: DataFrame, key: str | Sequence[str] = "doc_id", text: str = "text") -> DataFrame:
+    return docs.select(*keys_of(key), F.explode(T.words(F.lower(F.col(text)))).alias("term"))
 
 
-def term_freq(toks: DataFrame, key: str = "doc_id") -> DataFrame:
-    return toks.groupBy(key, "term").agg(F.count("*").alias("tf"))
+def term_freq(toks: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
+    return toks.groupBy(*keys_of(key), "term").agg(F.count("*").alias("tf"))
 
 
 def doc_freq(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def doc_len(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(key), F.size(T.words(F.lower(F.col(text)))).cast("long").alias("dl"))
+def doc_len(docs: DataFrame, key: str | Sequence[str] = "doc_id", text: str = "text") -> DataFrame:
+    return docs.select(*keys_of(key), F.size(T.words(F.lower(F.col(text)))).cast("long").alias("dl"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -44,26 +45,27 @@ def query_terms(queries: DataFrame, qkey: str = "item_id", qtext: str = "text")
     return sized(tokens(queries, qkey, qtext).groupBy(F.col(qkey).alias("query_id"), "term").agg(F.count("*").alias("qn")), "query-terms")
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+def postings(docs: DataFrame, key: str | Sequence[str] = "doc_id", text: str = "text", wanted: DataFrame | None = None) -> DataFrame:
     """(term, key, tf, dl): how often a term stands in a document, and that document's length. ``wanted`` (term) restricts them while they are cut."""
     w = T.words(F.lower(F.col(text)))
-    rows = docs.select(key, w.alias("w")).select(key, F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+    keys = keys_of(key)
+    rows = docs.select(*keys, w.alias("w")).select(*keys, F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
     rows = rows if wanted is None else rows.join(wanted, "term", "left_semi")
-    return rows.groupBy("term", key, "dl").agg(F.count("*").alias("tf")).select("term", key, "tf", "dl")
+    return rows.groupBy("term", *keys, "dl").agg(F.count("*").alias("tf")).select("term", *keys, "tf", "dl")
 
 
-def scored(asked: Sized, posted: DataFrame, idfs: DataFrame, stats: DataFrame, key: str = "doc_id") -> DataFrame:
+def scored(asked: Sized, posted: DataFrame, idfs: DataFrame, stats: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
     """(query_id, key, bm25) of ``asked`` (query_id, term, qn) over postings, idf per term and one row of avgdl."""
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     terms = asked.side(asked.table.join(idfs.select("term", "idf"), "term"))
     met = posted.join(terms, "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    return met.groupBy("query_id", key).agg(F.round(F.sum(part * F.col("qn")), 9).alias("bm25"))
+    return met.groupBy("query_id", *keys_of(key)).agg(F.round(F.sum(part * F.col("qn")), 9).alias("bm25"))
 
 
 @dataclass
 class Bm25:
     docs: DataFrame
-    key: str = "doc_id"
+    key: str | Sequence[str] = "doc_id"
     text: str = "text"
 
     def scores(self, queries: DataFrame, qkey: str = "item_id", qtext: str = "text") -> DataFrame:
@@ -74,7 +76,7 @@ class Bm25:
         return scored(asked, posted, idf(doc_freq(posted), stats), stats, self.key)
 
 
-def top(scores: DataFrame, k: int, score: str, key: str = "doc_id") -> DataFrame:
+def top(scores: DataFrame, k: int, score: str, key: str | Sequence[str] = "doc_id") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), F.asc(key)))
     return scores.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..shared import sized
 
 #: Bins of a histogram; values of a group that are sorted at most, more are divided into bins first.
-BINS, SORTED = 1024, 50_000
+BINS, SORTED = 1024, 5_000
 
 
 def _wanted(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:

@@ -2,40 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import sized, written
+from ..shared import keys_of, sized, written
 
 FEATURES, BASELINE_FEATURES, DIMENSIONS = 2000, 5000, 384
 
 
-def terms(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 1) -> DataFrame:
+def terms(docs: DataFrame, key: str | Sequence[str] = "doc_id", text: str = "text", least_chars: int = 1) -> DataFrame:
     """(key, term): single words and neighbouring pairs, as often as they stand. Texts without words have no rows."""
     w = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.length(x) >= least_chars)
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return docs.select(F.col(key), w.alias("w")).filter(F.size("w") > 0).select(key, F.explode(F.concat("w", pairs)).alias("term"))
+    return docs.select(*keys_of(key), w.alias("w")).filter(F.size("w") > 0).select(*keys_of(key), F.explode(F.concat("w", pairs)).alias("term"))
 
 
-def fitted(docs: DataFrame, features: int = FEATURES, key: str = "doc_id", text: str = "text", least_chars: int = 1) -> tuple[DataFrame, DataFrame]:
+def fitted(docs: DataFrame, features: int = FEATURES, key: str | Sequence[str] = "doc_id", text: str = "text", least_chars: int = 1) -> tuple[DataFrame, DataFrame]:
     """(key, term, tf) and (term, idf) of the most frequent terms; ties go to the first in order. ``features`` terms.
 
     Terms are counted over the corpus first, so that only those of the vocabulary are counted per document.
     """
     every = terms(docs, key, text, least_chars)
     best = written(every.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(features), "vocabulary")
-    counted = written(every.join(F.broadcast(best.select("term")), "term").groupBy(key, "term").agg(F.count("*").alias("tf")), "term-counts")  # bounded by the number of features
+    counted = written(every.join(F.broadcast(best.select("term")), "term").groupBy(*keys_of(key), "term").agg(F.count("*").alias("tf")), "term-counts")  # bounded by the number of features
     n_docs = docs.count()
     return counted, counted.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def weights(counted: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
+def weights(counted: DataFrame, vocab: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
     """(key, term, w): unit vectors of (1 + ln tf) * idf."""
-    raw = counted.join(F.broadcast(vocab), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))  # bounded by the number of features
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
+    keys = keys_of(key)
+    raw = counted.join(F.broadcast(vocab), "term").select(*keys, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))  # bounded by the number of features
+    norms = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return raw.join(norms, keys).select(*keys, "term", (F.col("raw") / F.col("norm")).alias("w"))
 
 
 def query_weights(queries: DataFrame, vocab: DataFrame, key: str = "item_id", text: str = "text", least_chars: int = 1) -> DataFrame:
@@ -43,27 +46,28 @@ def query_weights(queries: DataFrame, vocab: DataFrame, key: str = "item_id", te
     return weights(counted, vocab, key).select(F.col(key).alias("query_id"), "term", F.col("w").alias("qw"))
 
 
-def matched(weighted: DataFrame, theirs: DataFrame, key: str = "doc_id") -> DataFrame:
+def matched(weighted: DataFrame, theirs: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
     """(query_id, key, cosine) of documents that share a feature with a query, to nine decimals, so that equal texts tie."""
     asked = sized(theirs, "query-weights")
-    return weighted.join(asked.side(), "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("cosine"))
+    return weighted.join(asked.side(), "term").groupBy("query_id", *keys_of(key)).agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("cosine"))
 
 
-def cosine(docs: DataFrame, queries: DataFrame, features: int = FEATURES, least_chars: int = 1, qkey: str = "item_id", key: str = "doc_id") -> DataFrame:
+def cosine(docs: DataFrame, queries: DataFrame, features: int = FEATURES, least_chars: int = 1, qkey: str = "item_id", key: str | Sequence[str] = "doc_id") -> DataFrame:
     """As ``matched``, with the documents' own vocabulary."""
     counted, vocab = fitted(docs, features, key, least_chars=least_chars)
     return matched(weights(counted, vocab, key), query_weights(queries, vocab, qkey, least_chars=least_chars), key)
 
 
-def pool(found: DataFrame, queries: DataFrame, keys: DataFrame, size: int, qkey: str = "item_id", key: str | list[str] = "doc_id") -> DataFrame:
+def pool(found: DataFrame, queries: DataFrame, keys: DataFrame, size: int, qkey: str = "item_id", key: str | Sequence[str] = "doc_id") -> DataFrame:
     """(query_id, key, cosine, rank): the ``size`` best of each query. Documents that share nothing with it have cosine 0 and fill up in order of key; at most ``size`` of them can be asked for."""
-    keys_of = [key] if isinstance(key, str) else key
+    cols = keys_of(key)
     asked = queries.select(F.col(qkey).alias("query_id")).distinct()
-    first = F.broadcast(keys.select(*keys_of).distinct().orderBy(*keys_of).limit(size))  # a pool's size
+    first = F.broadcast(keys.select(*cols).distinct().orderBy(*cols).limit(size))  # a pool's size
     zeros = asked.crossJoin(first).withColumn("cosine", F.lit(0.0))
-    every = found.select("query_id", *keys_of, "cosine").unionByName(zeros).groupBy("query_id", *keys_of).agg(F.max("cosine").alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), *keys_of))
-    return every.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= size)
+    rank = lambda: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), *cols))
+    best = found.select("query_id", *cols, "cosine").withColumn("rank", rank()).filter(F.col("rank") <= size).drop("rank")
+    every = best.unionByName(zeros).groupBy("query_id", *cols).agg(F.max("cosine").alias("cosine"))  # only the best can be in the pool
+    return every.withColumn("rank", rank().cast("long")).filter(F.col("rank") <= size)
 
 
 def projection(features: int, dimensions: int = DIMENSIONS, seed: int = 42) -> np.ndarray:
@@ -72,7 +76,7 @@ def projection(features: int, dimensions: int = DIMENSIONS, seed: int = 42) -> n
     return m / np.linalg.norm(m, axis=0, keepdims=True)
 
 
-def projected(weighted: DataFrame, vocab: DataFrame, dimensions: int = DIMENSIONS, key: str = "doc_id") -> DataFrame:
+def projected(weighted: DataFrame, vocab: DataFrame, dimensions: int = DIMENSIONS, key: str | Sequence[str] = "doc_id") -> DataFrame:
     """(key, embedding): unit vectors of the projected weights; a zero vector stays zero."""
     terms = sorted(r.term for r in vocab.select("term").collect())  # one per feature
     matrix, place = projection(len(terms), dimensions), {t: i for i, t in enumerate(terms)}

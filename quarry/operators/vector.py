@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from ..shared import dealt, in_folders, shared_path, written
+from ..shared import dealt, in_folders, keys_of, shared_path, written
 
 #: Rows and queries of a block; bytes of query blocks that are sent to all executors, above it blocks are joined by shuffle; queries whose best rows a task holds before it passes them on.
 ROW_BLOCK, QUERY_BLOCK, MOST_BYTES, HELD = 2048, 1024, 128 << 20, 100_000
@@ -37,10 +37,6 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
 
 
-def _keys(key: str | Sequence[str]) -> list[str]:
-    return [key] if isinstance(key, str) else list(key)
-
-
 def _best(found: DataFrame, k: int, keys: list[str]) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), *keys))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
@@ -142,7 +138,7 @@ def _asked(queries: DataFrame, key: str, vector: str) -> DataFrame:
 
 def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, key: str | Sequence[str] = "vec_id", vector: str = "embedding", query_key: str | None = None) -> DataFrame:
     """(query_id, key, cosine, rank) over all rows, which are read once for any number of queries; k rows per query and task move. ``key`` may be several columns; ties go to the smaller key. Vectors have one width. Rows and queries without a key or a vector are passed over."""
-    keys = _keys(key)
+    keys = keys_of(key)
     asked = _asked(queries, query_key or keys[0], vector)
     few = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     blocks = _blocks(asked.repartition(few), "q").drop("by")
@@ -180,7 +176,7 @@ class IvfIndex:
 
     def tuned(self, sample: DataFrame, k: int, recall: float = RECALL) -> IvfIndex:
         """As many probes as find ``recall`` of the true nearest k of ``sample``, a bounded set of queries; measured against all rows."""
-        keys = _keys(self.key)
+        keys = keys_of(self.key)
         if self.kind == "flat":
             return self
         asked = written(_asked(sample.withColumn("_q", F.monotonically_increasing_id()), "_q", self.vector), "sample")
@@ -189,7 +185,7 @@ class IvfIndex:
         return replace(self, probes=needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) if needed else self
 
     def _probed(self, queries: DataFrame, probes: int | None, query_key: str | None) -> DataFrame:
-        asked = written(_asked(queries, query_key or _keys(self.key)[0], self.vector).filter("query_id IS NOT NULL AND q IS NOT NULL"), "asked")
+        asked = written(_asked(queries, query_key or keys_of(self.key)[0], self.vector).filter("query_id IS NOT NULL AND q IS NOT NULL"), "asked")
         near = self.nearest_cells(asked, min(probes or self.probes, self.n_cells))
         return written(near.select("query_id", "cell").join(asked, "query_id"), "probes")
 
@@ -205,7 +201,7 @@ class IvfIndex:
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, query_key: str | None = None) -> DataFrame:
         """(query_id, key, cosine, rank) over the ``probes`` nearest cells of each query. Of a kept index only the folders of cells that some query probes are read, and a cell's blocks meet the queries that probe it, wherever they are read."""
-        keys = _keys(self.key)
+        keys = keys_of(self.key)
         probed = self._probed(queries, probes, query_key)
         blocks = _blocks(probed.repartition("cell").sortWithinPartitions("cell"), "q", "cell")
         rows = packed(self._in_cells(probed), keys, self.vector, ROW_BLOCK, "r", "cell")
@@ -236,7 +232,7 @@ def build_index(rows: DataFrame, key: str | Sequence[str] = "vec_id", vector: st
         return IvfIndex(rows.withColumn("cell", F.lit(0)), zero.select(F.lit(0).cast("long").alias("cell"), "centroid"), 1, key, vector, 1)
     vectors = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
     most = max(FIT_ROWS, FIT_PER_CELL * count)
-    fitted = vectors if n <= most else vectors.orderBy(F.xxhash64(*_keys(key))).limit(most)
+    fitted = vectors if n <= most else vectors.orderBy(F.xxhash64(*keys_of(key))).limit(most)
     model = KMeans(k=count, seed=seed, featuresCol="features", predictionCol="cell").fit(fitted)
     centroids = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], _CENTROIDS)  # the root of the rows
     return IvfIndex(model.transform(vectors).drop("features"), centroids, centroids.count(), key, vector, min(PROBES, count))
@@ -245,7 +241,7 @@ def build_index(rows: DataFrame, key: str | Sequence[str] = "vec_id", vector: st
 def kept_index(rows: DataFrame, key: str | Sequence[str] = "vec_id", vector: str = "embedding", path: str | None = None, k: int = 10, recall: float = RECALL, sample: int = SAMPLE, kind: str = "auto", seed: int = 42) -> IvfIndex:
     """An index that is written to ``path``, with as many probes as find ``recall`` of the true neighbours of ``sample`` rows, those whose key hashes lowest with another seed than the fit's."""
     index = build_index(rows, key, vector, kind, seed).write(path or shared_path(rows.sparkSession, "cells"))
-    return index.tuned(index.assigned.orderBy(F.xxhash64(F.lit("recall"), *_keys(key))).limit(sample).drop("cell"), k, recall)
+    return index.tuned(index.assigned.orderBy(F.xxhash64(F.lit("recall"), *keys_of(key))).limit(sample).drop("cell"), k, recall)
 
 
 def ivf_assign(rows: DataFrame, key: str | Sequence[str] = "vec_id", vector: str = "embedding", seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -1,61 +1,128 @@
 """The search facade: an index that is written once, a plan over it for a batch of queries, and a result cache.
 
-The index holds chunks, BM25's postings and idf, and the TF-IDF vocabulary and weights (or an encoder's
-vectors) as Parquet tables. Postings and weights are dealt to folders by their term's hash, so a search
-reads the folders of the terms that are asked for.
+The index is a folder of Parquet tables. What is looked up by term (BM25's postings and idf, TF-IDF
+weights) is dealt to folders by the term's hash, what is looked up by chunk (texts, and the forward
+vectors that results are compared by) by the chunk's, an encoder's vectors by their cell; a search reads
+only folders that it asks for. The manifest is written last: with settings, counts, statistics and the
+tables' schemas. A folder without one is a build that didn't end, and is never read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import logging
+import threading
 import time
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
+from concurrent.futures import Future
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .operators import chunk, encode, expand, lexical, ranking, tfidf, vector
-from .shared import shared_path, sized, spread
+from .shared import dealt, in_folders, shared_path, sized, spread
 from .sources import loaders
 
+LOG = logging.getLogger(__name__)
 TOP_K, MOST_CHARS, CACHE_SIZE = 3, 500, 100
-#: Chunks that a folder of postings stands for; folders at most.
-FOLDER_CHUNKS, MOST_FOLDERS = 200_000, 4096
+#: Chunks that a folder of the index stands for, and characters that a chunk is counted with for that; folders at most.
+FOLDER_CHUNKS, CHUNK_CHARS, MOST_FOLDERS = 200_000, 600, 4096
+#: First chunks in order, which fill a pool where too few match.
+HEADS = 1000
 KEY = ["doc_id", "chunk_ord"]
 
 
 class QueryCache:
-    """Least recently used results, keyed by every parameter."""
+    """Least recently used results, keyed by every parameter; equal questions at the same time are answered once. Safe to use from many threads."""
 
     def __init__(self, size: int = CACHE_SIZE):
-        self.size, self.held = size, OrderedDict()
+        self.size, self.held, self.flights, self.lock = size, OrderedDict(), {}, threading.RLock()
 
     @staticmethod
     def key(query: str, **params) -> str:
         return hashlib.md5(repr((query.lower().strip(), sorted(params.items()))).encode()).hexdigest()
 
     def get(self, key: str):
-        if key in self.held:
-            self.held.move_to_end(key)
-            return self.held[key]
-        return None
+        with self.lock:
+            if key in self.held:
+                self.held.move_to_end(key)
+                return self.held[key]
+            return None
 
     def set(self, key: str, value) -> None:
-        self.held[key] = value
-        self.held.move_to_end(key)
-        if len(self.held) > self.size:
-            self.held.popitem(last=False)
+        with self.lock:
+            self.held[key] = value
+            self.held.move_to_end(key)
+            while len(self.held) > self.size:
+                self.held.popitem(last=False)
+
+    def once(self, key: str, make: Callable):
+        """(value, whether it was there or on its way already). A failure is told to all who wait, and not kept."""
+        with self.lock:
+            found = self.get(key)
+            if found is not None:
+                return found, True
+            flight = self.flights.get(key)
+            mine = flight is None
+            if mine:
+                flight = self.flights[key] = Future()
+        if not mine:
+            return flight.result(), True
+        try:
+            value = make()
+            self.set(key, value)
+            flight.set_result(value)
+            return value, False
+        except BaseException as e:
+            flight.set_exception(e)
+            raise
+        finally:
+            with self.lock:
+                self.flights.pop(key, None)
 
     def clear(self) -> None:
-        self.held.clear()
+        with self.lock:
+            self.held.clear()
 
 
-def chunk_id():
+def chunk_id() -> Column:
     return F.concat(F.col("doc_id").cast("string"), F.lit("_chunk"), F.col("chunk_ord").cast("string")).alias("chunk_id")
 
 
+def _folder(of: str, folders: int) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(folders)).cast("int").alias("folder")
+
+
+def _ended(spark: SparkSession, place: str) -> list[str]:
+    """Folders below ``place`` with a manifest, the newest first: they are named by time."""
+    glob = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{place}/*/config/_SUCCESS")
+    found = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob)
+    return sorted((f"{place}/{f.getPath().getParent().getParent().getName()}" for f in found or []), reverse=True)
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """Chunks of documents (doc_id, title, text) with their title and prefix; (doc_id, chunk_ord) is unique.
+
+    Rows that share a doc_id are one document: equal ones count once, and the chunks of others are
+    numbered on in the order of their texts' hashes. Rows without a doc_id can't be cited and have none.
+    """
+    docs = docs.filter("doc_id IS NOT NULL").withColumn("prefix", chunk.prefix("title"))
+    again = sized(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    keep = ("title", "prefix")
+    if again.table.isEmpty():
+        return chunk.chunk(docs, keep=keep)
+    once = chunk.chunk(docs.join(again.side(), "doc_id", "left_anti"), keep=keep)
+    copies = docs.join(again.side(), "doc_id", "left_semi").dropDuplicates(["doc_id", "title", "text"]).withColumn("copy", F.xxhash64("title", "text"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("copy", "chunk_ord")) - 1
+    return once.unionByName(chunk.chunk(copies, keep=(*keep, "copy")).withColumn("chunk_ord", order.cast("long")).drop("copy"))
+
+
 class Engine:
     """Hybrid search over the chunks of documents (doc_id, text, and a title column), from an index in ``path``."""
 
@@ -63,15 +130,16 @@ class Engine:
         """Opens an index. ``encoder`` is the one that it was built with, if any."""
         self.spark, self.path, self.encoder, self.cache = spark, path, encoder, QueryCache()
         self.config = json.loads(spark.read.text(f"{path}/config", wholetext=True).first().value)
-        if bool(encoder) != self.config["encoded"]:
-            raise ValueError("an index with vectors needs its encoder, and one without has none")
+        if encode.identity(encoder) != self.config["encoder"]:
+            raise ValueError("an index is searched with the encoder that it was built with")
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(StructType.fromJson(self.config["tables"][name]["schema"])).parquet(f"{self.path}/{name}")
 
     @staticmethod
-    def settings(title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoded: bool = False) -> dict:
-        return {"title": title, "contextual": contextual, "features": features, "encoded": encoded, "least": chunk.MIN_WORDS, "most": chunk.MAX_WORDS, "overlap": chunk.OVERLAP, "prefix": chunk.PREFIX_WORDS}
+    def settings(title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoder: Callable | None = None) -> dict:
+        """All that an index depends on but the documents."""
+        return {"title": title, "contextual": contextual, "features": features, "encoder": encode.identity(encoder), "least": chunk.MIN_WORDS, "most": chunk.MAX_WORDS, "overlap": chunk.OVERLAP, "prefix": chunk.PREFIX_WORDS}
 
     @staticmethod
     def fingerprint(docs: DataFrame, config: dict) -> str:
@@ -80,106 +148,127 @@ class Engine:
         return loaders.corpus_fingerprint(docs.withColumn("text", whole), json.dumps(config, sort_keys=True)).first().fingerprint
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str | None = None, title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoder: Callable[[], encode.Encoder] | None = None) -> Engine:
-        """Writes an index of ``docs``. ``contextual``: what is compared by cosine is a chunk after its document's title and first words."""
-        spark, config = docs.sparkSession, cls.settings(title, contextual, features, bool(encoder))
-        path, docs = path or shared_path(spark, "index"), spread(docs.select("doc_id", title, "text"))
-        made = chunk.chunk(docs)
-        titled = docs.select("doc_id", F.col(title).cast("string").alias("title"))
-        made.join(titled, "doc_id").write.parquet(f"{path}/chunks")
-        chunks = spark.read.parquet(f"{path}/chunks").withColumn("chunk_id", chunk_id())
-        n = chunks.count()
-        folders = min(MOST_FOLDERS, n // FOLDER_CHUNKS + 1)
-
-        def dealt(table: DataFrame, name: str) -> None:
-            by = table.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int"))
-            (by if folders == 1 else by.repartition("folder")).write.partitionBy("folder").parquet(f"{path}/{name}")
-
-        dealt(lexical.postings(chunks, "chunk_id"), "postings")
-        posted = spark.read.parquet(f"{path}/postings")
-        stats = chunks.select(F.col("chunk_id"), F.col("word_count").alias("dl"))
-        lexical.idf(lexical.doc_freq(posted), lexical.corpus_stats(stats)).write.parquet(f"{path}/idf")
-        texts = chunk.contextual(docs, title).select(chunk_id(), F.col("context").alias("text")) if contextual else chunks.select("chunk_id", "text")
+    def build(cls, docs: DataFrame, path: str | None = None, title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoder: Callable[[], encode.Encoder] | None = None, mark: str | None = None) -> Engine:
+        """Writes an index of ``docs`` into the new folder ``path``. ``contextual``: what is compared by cosine is a chunk after its document's title and first words. ``mark`` is the fingerprint, where it is known."""
+        began, spark, config = time.time(), docs.sparkSession, cls.settings(title, contextual, features, encoder)
+        path, docs = path or shared_path(spark, "index"), spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(title).cast("string").alias(title), "text"))
+        tables: dict = {}
+
+        def kept(df: DataFrame, name: str, by: str | None = None, sort: str | None = None) -> DataFrame:
+            if by:
+                df = df.withColumn("folder", _folder(by, config["folders"]))
+                dealt(df, "folder", f"{path}/{name}", sort or by)
+            else:
+                df.write.parquet(f"{path}/{name}")
+            out = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+            tables[name] = {"schema": out.schema.jsonValue(), "rows": out.count()}
+            return out
+
+        size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+        config["folders"] = min(MOST_FOLDERS, size.chars // (FOLDER_CHUNKS * CHUNK_CHARS) + 1)
+        chunks = kept(cut(docs.withColumn("title", F.col(title))).withColumn("chunk_id", chunk_id()), "chunks", "chunk_id")
+        kept(chunks.select(*KEY).orderBy(*KEY).limit(HEADS), "heads")
+        posted = kept(lexical.postings(chunks, KEY), "postings", "term")
+        n = chunks.agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.avg("word_count").alias("avg_words"), F.avg("quality_score").alias("avg_quality")).first().asDict()
+        config |= n | {"n_docs_loaded": size.n}
+        stats = spark.range(1).select(F.lit(n["n_chunks"]).alias("n"))
+        kept(lexical.idf(lexical.doc_freq(posted), stats), "idf", "term")
+        texts = chunks.select(*KEY, "chunk_id", (F.concat_ws(" | ", "prefix", "text") if contextual else F.col("text")).alias("text"))
         if encoder:
-            encode.encode(texts, encoder).select("chunk_id", "vector").write.parquet(f"{path}/vectors")
+            vectors = kept(encode.encode(texts, encoder).select(*KEY, "chunk_id", "vector"), "forward", "chunk_id")
+            cells = vector.kept_index(vectors.drop("folder", "chunk_id"), KEY, "vector", f"{path}/cells", ranking.pool_size(TOP_K))
+            config["cells"] = {"schema": cells.assigned.schema.jsonValue(), "n_cells": cells.n_cells, "probes": cells.probes}
+            shape = vectors.agg(F.avg(F.sqrt(vector.dot(F.col("vector"), F.col("vector")))).alias("mean_norm"), F.max(F.size("vector")).alias("dimensions"))
         else:
-            counted, vocab = tfidf.fitted(texts, features, "chunk_id")
-            vocab.write.parquet(f"{path}/vocabulary")
-            dealt(tfidf.weights(counted, spark.read.parquet(f"{path}/vocabulary"), "chunk_id"), "weights")
-        config |= {"folders": folders, "n_docs_loaded": docs.count(), "fingerprint": cls.fingerprint(docs, cls.settings(title, contextual, features, bool(encoder)))}
-        spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.text(f"{path}/config")
+            counted, vocab = tfidf.fitted(texts, features, KEY)
+            vocab = kept(vocab, "vocabulary")
+            weights = kept(tfidf.weights(counted, vocab, KEY), "weights", "term")
+            kept(weights.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("vector")).withColumn("chunk_id", chunk_id()), "forward", "chunk_id")  # a chunk's terms
+            norms = weights.groupBy(*KEY).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+            shape = norms.agg(F.avg("norm").alias("mean_norm"), F.lit(tables["vocabulary"]["rows"]).alias("dimensions"))
+        config |= shape.first().asDict() | {"tables": tables, "fingerprint": mark or cls.fingerprint(docs, cls.settings(title, contextual, features, encoder)), "indexing_time_s": round(time.time() - began, 3)}
+        spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.text(f"{path}/config")  # what makes it an index
         return cls(spark, path, encoder)
 
+    def verify(self) -> Engine:
+        """Raises where a table can't be read or hasn't the rows that the manifest says."""
+        for name, said in self.config["tables"].items():
+            found = self._table(name).count()
+            if found != said["rows"]:
+                raise ValueError(f"{name} has {found} rows instead of {said['rows']}")
+        if self.encoder and self._cells().assigned.count() != self.config["n_chunks"]:
+            raise ValueError("vectors are missing")
+        return self
+
     @classmethod
     def load(cls, docs: DataFrame, path: str, title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoder: Callable[[], encode.Encoder] | None = None) -> Engine:
         """Opens a saved index; raises ValueError where it was made from other documents, titles or settings."""
         engine = cls(docs.sparkSession, path, encoder)
-        if engine.config["fingerprint"] != cls.fingerprint(docs, cls.settings(title, contextual, features, bool(encoder))):
+        if engine.config["fingerprint"] != cls.fingerprint(docs, cls.settings(title, contextual, features, encoder)):
             raise ValueError(f"the index in {path} was made from other documents or settings")
         return engine
 
     @classmethod
     def open(cls, docs: DataFrame, path: str, reindex: bool = False, **settings) -> Engine:
-        """The saved index where it is valid, else a new one in a folder beside it that is named by the fingerprint."""
-        mark = cls.fingerprint(docs, cls.settings(**{k: v for k, v in settings.items() if k != "encoder"}, encoded=bool(settings.get("encoder"))))
-        place = f"{path.rstrip('/')}/{mark}" + (f"-{int(time.time() * 1000)}" if reindex else "")
-        try:
-            return cls.load(docs, place, **settings)
-        except Exception:  # no index, or one that can't be read: it is built anew
-            return cls.build(docs, place, **settings)
+        """The newest index of these documents, settings and encoder below ``path`` that is whole, else a new one. Builds that didn't end and damaged ones are passed over and left where they are."""
+        spark, mark = docs.sparkSession, cls.fingerprint(docs, cls.settings(**settings))
+        place = f"{path.rstrip('/')}/{mark}"
+        for found in [] if reindex else _ended(spark, place):
+            try:
+                return cls(spark, found, settings.get("encoder")).verify()
+            except (PySparkException, Py4JError, ValueError, KeyError) as e:
+                LOG.warning("the index in %s can't be used and is built anew: %s", found, e)
+        return cls.build(docs, f"{place}/{time.time_ns()}-{uuid.uuid4().hex[:8]}", mark=mark, **settings)
 
     def chunks(self) -> DataFrame:
-        return self._table("chunks").withColumn("chunk_id", chunk_id())
+        return self._table("chunks")
+
+    def _wanted(self, name: str, keys: DataFrame, key: str) -> DataFrame:
+        """The rows of a dealt table in the folders of ``keys``."""
+        return in_folders(self._table(name), "folder", keys.select(_folder(key, self.config["folders"])), self.config["folders"])
 
-    def _wanted(self, name: str, terms: DataFrame) -> DataFrame:
-        """The rows of a dealt table in the folders of ``terms``, a broadcast or larger side."""
-        table, folders = self._table(name), self.config["folders"]
-        if folders == 1:
-            return table
-        asked = terms.select(F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int").alias("folder")).distinct()
-        return table.join(F.broadcast(asked), "folder", "left_semi")  # MOST_FOLDERS rows at most
+    def _cells(self) -> vector.IvfIndex:
+        c = self.config["cells"]
+        return vector.open_index(self.spark, f"{self.path}/cells", StructType.fromJson(c["schema"]), c["n_cells"], KEY, "vector", c["probes"])
 
-    def _nearest(self, queries: DataFrame, size: int) -> DataFrame:
+    def _nearest(self, queries: DataFrame, size: int, exact: bool) -> DataFrame:
         """(query_id, doc_id, chunk_ord, chunk_id, cosine): the pool of each query."""
-        keys = self._table("chunks").select(*KEY)
         if self.encoder:
-            asked = encode.encode(queries.select(F.col("item_id").alias("chunk_id"), "text"), self.encoder).select("chunk_id", "vector")
-            numbered = self.chunks().select("chunk_id", *KEY, F.xxhash64("chunk_id").alias("n"))
-            found = vector.cosine_topk(asked.select(F.col("chunk_id").alias("n"), "vector"), self._table("vectors").join(numbered.select("chunk_id", "n"), "chunk_id"), size, "n", "vector")
-            return found.join(numbered, "n").select("query_id", *KEY, "chunk_id", "cosine")
+            asked = encode.encode(queries, self.encoder).select("item_id", "vector")
+            cells = self._cells()
+            found = vector.cosine_topk(asked, cells.assigned, size, KEY, "vector", "item_id") if exact else cells.search(asked, size, query_key="item_id")
+            return found.drop("rank").withColumn("chunk_id", chunk_id())
         theirs = sized(tfidf.query_weights(queries, self._table("vocabulary")), "query-weights")
-        met = self._wanted("weights", theirs.table).join(theirs.side(), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("cosine"))
-        place = [F.split("chunk_id", "_chunk")[0].cast("long").alias("doc_id"), F.split("chunk_id", "_chunk")[1].cast("long").alias("chunk_ord")]
-        return tfidf.pool(met.select("query_id", *place, "cosine"), queries, keys, size, key=KEY).drop("rank").withColumn("chunk_id", chunk_id())
+        met = self._wanted("weights", theirs.table, "term").join(theirs.side(), "term").groupBy("query_id", *KEY).agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("cosine"))
+        heads = self._table("heads") if size <= HEADS else self.chunks()
+        return tfidf.pool(met, queries, heads, size, key=KEY).drop("rank").withColumn("chunk_id", chunk_id())
 
-    def search(self, queries: DataFrame, k: int = TOP_K, use_mmr: bool = True, use_expansion: bool = True, weights: tuple | None = None, rules: expand.Rules = expand.RULES, products: Sequence[str] = ranking.PRODUCTS) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = TOP_K, use_mmr: bool = True, use_expansion: bool = True, weights: tuple | None = None, rules: expand.Rules = expand.RULES, products: Sequence[str] = ranking.PRODUCTS, exact: bool = False) -> DataFrame:
         """(query_id, rank, doc_id, chunk_id, cosine, bm25, quality, score, explanation) for (item_id, text).
 
         Cosine takes the query with up to 3 added terms, BM25 with up to 8; weights and the diversity
         parameter follow the query as it was asked. The rank is the order of selection. Only the index
-        is read; ``k`` 0 means TOP_K.
+        is read, and of it the folders of the terms and chunks that are asked for; ``k`` 0 means TOP_K.
+        With an encoder, the nearest cells are searched, or all vectors with ``exact``. An item_id is
+        asked once: where its text isn't the same in all its rows, the smallest counts.
         """
         k = k or TOP_K
-        asked = queries.select("item_id", "text")
+        asked = queries.groupBy("item_id").agg(F.min("text").alias("text"))
         far, near = (expand.expand(asked, rules, n).select("item_id", F.col("expanded").alias("text")) if use_expansion else asked for n in (3, 8))
-        pool = sized(self._nearest(far, ranking.pool_size(k)), "pool")
+        pool = sized(self._nearest(far, ranking.pool_size(k), exact), "pool")
         words = lexical.query_terms(near)
-        posted = self._wanted("postings", words.table)
-        stats = self._table("chunks").agg(F.avg("word_count").alias("avgdl"))
-        bm = lexical.normalised(lexical.scored(words, posted, self._table("idf"), stats, "chunk_id")).select("query_id", "chunk_id", "bm25n")
+        posted, idf = (self._wanted(t, words.table, "term") for t in ("postings", "idf"))
+        stats = self.spark.range(1).select(F.lit(self.config["avg_words"]).cast("double").alias("avgdl"))
+        bm = lexical.normalised(lexical.scored(words, posted, idf, stats, KEY)).select("query_id", *KEY, "bm25n")
         w = ranking.query_weights(asked, products, weights).select(F.col("item_id").alias("query_id"), "w_cosine", "w_bm25", "w_quality", ranking.query_lambda(F.col("text"), products).alias("lambda"))
-        rows = bm.join(pool.side(), ["query_id", "chunk_id"], "right").join(pool.side(w), "query_id")
-        rows = self._table("chunks").select(*KEY, "quality_score").join(pool.side(rows), KEY).withColumns({"cosine": (F.col("cosine") + 1) / 2, "bm25n": F.coalesce("bm25n", F.lit(0.0))})
+        rows = bm.join(pool.side(), ["query_id", *KEY], "right").join(pool.side(w), "query_id")
+        rows = self._wanted("chunks", pool.table, "chunk_id").select("chunk_id", "quality_score").join(pool.side(rows), "chunk_id").withColumns({"cosine": (F.col("cosine") + 1) / 2, "bm25n": F.coalesce("bm25n", F.lit(0.0))})
         rows = rows.withColumn("score", ranking.combine(rows, "quality_score"))
         order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.round("cosine", 9)), *KEY))
         rows = rows.withColumn("rank", order.cast("long"))
         if use_mmr:
             ranked = sized(rows, "ranked")
-            pooled = ranked.side(ranked.table.select("chunk_id").distinct())
-            if self.encoder:
-                vectors = self._table("vectors").join(pooled, "chunk_id", "left_semi")
-            else:
-                vectors = self._table("weights").join(pooled, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("vector"))
+            vectors = self._wanted("forward", ranked.table, "chunk_id").select("chunk_id", "vector").join(ranked.side(ranked.table.select("chunk_id").distinct()), "chunk_id", "left_semi")
             met = ranked.table.join(vectors, "chunk_id", "left")
             picked = ranking.mmr(met.select("query_id", "chunk_id", "score", "rank", "vector", "lambda", "doc_id"), k, key="chunk_id", doc="doc_id")
             rows = ranked.table.drop("rank").join(picked, ["query_id", "chunk_id"])
@@ -188,42 +277,38 @@ class Engine:
         said = F.format_string("cosine=%.3f bm25=%.3f quality=%.3f", "cosine", "bm25n", "quality_score")
         return rows.select("query_id", "rank", "doc_id", "chunk_id", F.round("cosine", 4).alias("cosine"), F.round("bm25n", 4).alias("bm25"), F.col("quality_score").alias("quality"), F.round("score", 4).alias("score"), said.alias("explanation"))
 
-    def ask(self, query: str, k: int = TOP_K, use_cache: bool = True, **options) -> list:
-        """Rows for one question with title and text, through the cache. The question has 1 to 500 characters, k is 1 to 10 or 0 for the default."""
+    def ask(self, query: str, k: int = TOP_K, use_cache: bool = True, said: Callable[[bool], None] | None = None, **options) -> list:
+        """Rows for one question with title and text, through the cache. The question has 1 to 500 characters, k is 1 to 10 or 0 for the default. ``said`` is told whether the answer was there already."""
         query = query.strip()
         if not query or len(query) > MOST_CHARS:
             raise ValueError(f"a question has 1 to {MOST_CHARS} characters")
         if not 0 <= k <= 10:
             raise ValueError("k is 1 to 10")
         key = QueryCache.key(query, k=k or TOP_K, **options)
-        found = self.cache.get(key) if use_cache else None
-        if found is None:
-            one = self.spark.createDataFrame([(0, query)], "item_id long, text string")
-            best = self.search(one, k, **options)
-            found = self.chunks().select("chunk_id", "title", "text").join(F.broadcast(best), "chunk_id").orderBy("rank").collect()  # k rows
-            self.cache.set(key, found)
+        found, held = self.cache.once(key, lambda: self._found(query, k, options)) if use_cache else (self._found(query, k, options), False)
+        if said:
+            said(held)
         return found
 
+    def _found(self, query: str, k: int, options: dict) -> list:
+        one = self.spark.createDataFrame([(0, query)], "item_id long, text string")
+        best = sized(self.search(one, k, **options), "best")
+        return self._wanted("chunks", best.table, "chunk_id").select("chunk_id", "title", "text").join(best.side(), "chunk_id").orderBy("rank").collect()  # k rows
+
     def response(self, query: str, k: int = TOP_K, **options) -> dict:
         """What a front shows of a question: results, measured time, and whether they come from the cache."""
-        began, cached = time.time(), len(self.cache.held)
-        hit = self.cache.get(QueryCache.key(query.strip(), k=k or TOP_K, **options)) is not None
-        rows = self.ask(query, k, **options)
+        began, hits = time.time(), []
+        rows = self.ask(query, k, said=hits.append, **options)
         items = [{"rank": r["rank"], "doc_title": r.title, "text": (r.text or "").replace("\n", " ").strip(), "cosine_score": r.cosine, "bm25_score": r.bm25, "final_score": r.score} for r in rows]
-        return {"query": query.strip(), "results": items, "search_time_ms": round(1000 * (time.time() - began), 2), "from_cache": hit and cached > 0}
+        return {"query": query.strip(), "results": items, "search_time_ms": round(1000 * (time.time() - began), 2), "from_cache": hits[0]}
 
     def stats(self) -> dict:
-        """Counts and means of the index, and how it searches."""
-        c = self._table("chunks").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d"), F.avg("quality_score").alias("q"), F.avg("word_count").alias("w")).first()
-        if self.encoder:
-            norm = self._table("vectors").agg(F.avg(F.sqrt(vector.dot(F.col("vector"), F.col("vector"))))).first()[0]
-            width = self._table("vectors").agg(F.max(F.size("vector"))).first()[0]
-        else:
-            norm = self._table("weights").groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).agg(F.avg("norm")).first()[0]
-            width = self._table("vocabulary").count()
+        """Counts and means of the index as its manifest has them, and how it searches. Fixed interface names."""
+        c, cells = self.config, self.config.get("cells")
+        index = {"index_type": "inverted"} if not cells else {"index_type": "flat" if cells["n_cells"] == 1 else "ivf", "nlist": cells["n_cells"], "nprobe": cells["probes"]}
         return {
-            "n_chunks": c.n, "n_docs": c.d, "avg_quality": round(c.q or 0.0, 3), "avg_words": round(c.w or 0.0, 1), "mean_norm": round(norm or 0.0, 4), "embedding_dim": width, "vocabulary": self._table("idf").count(),
-            "index_type": "flat" if self.encoder else "inverted", "model": "encoder" if self.encoder else "TF-IDF", "real_embeddings": bool(self.encoder), "cache_lru_size": len(self.cache.held), "reranking": "cosine + BM25 + quality", "diversification": "MMR",
+            "n_chunks": c["n_chunks"], "n_docs": c["n_docs"], "avg_quality": round(c["avg_quality"] or 0.0, 3), "avg_words": round(c["avg_words"] or 0.0, 1), "mean_norm": round(c["mean_norm"] or 0.0, 4), "embedding_dim": c["dimensions"] or 0, "vocabulary": c["tables"]["idf"]["rows"],
+            **index, "model": "encoder" if self.encoder else "TF-IDF", "real_embeddings": bool(self.encoder), "cache_lru_size": len(self.cache.held), "reranking": "cosine + BM25 + quality", "diversification": "MMR", "indexing_time_s": c["indexing_time_s"],
         }
 
 

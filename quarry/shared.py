@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def keys_of(key: str | Sequence[str]) -> list[str]:
+    """The columns of a key that is one column or several."""
+    return [key] if isinstance(key, str) else list(key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset and all runs in one process (tests), a new temporary one, which then is set; on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,12 +1,16 @@
+import functools
 import json
 import os
 import re
 import threading
+import urllib.error
 import urllib.request
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -128,7 +132,7 @@ def test_kept_cells_of_a_table_with_structure(spark, tmp_path):
     assert _found(again.search(q, 10)) == _found(index.search(q, 10))
 
 
-@pytest.mark.parametrize("limits", [(3, 2, 4), (1, 1, 1), (64, 7, 1000)])
+@pytest.mark.parametrize("limits", [(13, 5, 4), (64, 7, 1000)])
 def test_vector_search_in_blocks_and_empty(spark, monkeypatch, limits):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = rows.unionByName(rows.filter("vec_id < 30").withColumn("vec_id", F.col("vec_id") + 100_000))  # ties
@@ -168,7 +172,7 @@ def test_engine_index_and_ask(spark, tmp_path):
     engine = Engine.load(docs, path)
     got = engine.ask("the and that of", k=2)
     assert [r["rank"] for r in got] == list(range(1, len(got) + 1)) and len(got) == 2
-    assert engine.ask("the and that of", k=2) is got and engine.response("the and that of", 2)["from_cache"]
+    assert engine.ask("the and that of", k=2) is got and engine.response("the and that of", 2)["from_cache"] and not engine.response("the and that", 2)["from_cache"]
     assert len(engine.ask("zzzz", k=0)) == 3  # a question that matches nothing is answered all the same
     with pytest.raises(ValueError):
         engine.ask("  ")
@@ -195,23 +199,140 @@ def test_folders_of_postings_change_nothing(spark, monkeypatch):
     assert many.config["folders"] > 3 and sorted(map(tuple, many.search(asked).collect())) == want
 
 
-def test_engine_with_an_encoder(spark):
-    class Letters:  # local, so that it travels to the workers by value
-        dimensions = 26
+def _maker(shift, dims=26):
+    """An encoder by letters, local, so that it travels to the workers by value."""
+
+    class Letters:
+        dimensions = dims
 
         def encode(self, texts):
             import numpy as np
 
-            return np.asarray([[t.lower().count(chr(97 + i)) for i in range(26)] for t in texts], float)
+            return np.asarray([[t.lower().count(chr(97 + (i + shift) % 26)) for i in range(dims)] for t in texts], float)
+
+    Letters.identity = f"letters-{shift}-{dims}"
+    return Letters
+
 
+def test_engine_with_an_encoder(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    engine = Engine.build(docs, encoder=Letters)
-    asked = spark.createDataFrame([(1, "the and that of")], "item_id long, text string")
-    got = engine.search(asked).collect()
-    assert len(got) == 3 and engine.stats()["embedding_dim"] == 26 and engine.stats()["mean_norm"] == pytest.approx(1, abs=1e-4)
-    assert encode.encode_single(Letters(), "aab").tolist() == pytest.approx([2 / 5**0.5, 1 / 5**0.5, *[0] * 24])
-    with pytest.raises(ValueError):
-        Engine(spark, engine.path)
+    make = _maker(0)
+    engine = Engine.build(docs, encoder=make)
+    asked = spark.createDataFrame([(1, "the and that of"), (2, "la maison de la")], "item_id long, text string")
+    got, exact = engine.search(asked).collect(), engine.search(asked, exact=True).collect()
+    stats = engine.stats()
+    assert len(got) == len(exact) == 6 and stats["embedding_dim"] == 26 and stats["mean_norm"] == pytest.approx(1, abs=1e-4)
+    assert (stats["index_type"], stats["nlist"]) == ("ivf", vector.cells(stats["n_chunks"])) and 1 <= stats["nprobe"] <= stats["nlist"]
+    near, all_ = (set(map(tuple, engine._nearest(asked, 30, e).select("query_id", "chunk_id").collect())) for e in (False, True))
+    assert len(near & all_) >= 0.9 * len(all_) == 54
+    assert encode.encode_single(make(), "aab").tolist() == pytest.approx([2 / 5**0.5, 1 / 5**0.5, *[0] * 24])
+    for other in (None, _maker(1)):
+        with pytest.raises(ValueError):
+            Engine(spark, engine.path, other)
+
+
+def test_another_encoder_gets_another_index(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    made = [Engine.open(docs, str(tmp_path), encoder=m) for m in (_maker(0), _maker(1), _maker(0, 5), _maker(0), None)]
+    assert made[0].path == made[3].path and len({e.path for e in made}) == 4
+    assert encode.identity(None) is None and encode.identity(functools.partial(_maker, 1)) != encode.identity(functools.partial(_maker, 2))
+
+
+@pytest.mark.parametrize("last", ["chunks", "heads", "postings", "idf", "vocabulary", "weights", "forward"])
+def test_a_build_that_ends_early_is_never_read(spark, tmp_path, monkeypatch, last):
+    """Killed after any table, it is followed by a build that succeeds."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+
+    def until(write):
+        def run(*args, **settings):
+            out = write(*args, **settings)
+            if str(args[-1] if isinstance(args[-1], str) else args[2]).endswith(f"/{last}") or (len(args) > 2 and str(args[2]).endswith(f"/{last}")):
+                raise KeyboardInterrupt
+            return out
+
+        return run
+
+    with monkeypatch.context() as m:
+        m.setattr(session, "dealt", until(session.dealt))
+        m.setattr(DataFrameWriter, "parquet", until(DataFrameWriter.parquet))
+        with pytest.raises(KeyboardInterrupt):
+            Engine.open(docs, str(tmp_path))
+    engine = Engine.open(docs, str(tmp_path))
+    assert len(engine.ask("the house of it")) == 3 and Engine.open(docs, str(tmp_path)).path == engine.path
+    assert len([p for p in os.listdir(os.path.dirname(engine.path)) if not p.startswith(".")]) == 2
+
+
+def test_a_damaged_index_is_built_anew(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    first = Engine.open(docs, str(tmp_path))
+    folder = first.path.removeprefix("file:")
+    victim = next(os.path.join(d, f) for d, _, files in os.walk(f"{folder}/postings") for f in files if f.endswith(".parquet"))
+    os.remove(victim)
+    second = Engine.open(docs, str(tmp_path))
+    assert second.path != first.path and Engine.open(docs, str(tmp_path)).path == second.path
+    with open(f"{second.path.removeprefix('file:')}/config/part-torn.txt", "w") as f:
+        f.write("{")
+    assert len(Engine.open(docs, str(tmp_path)).ask("the house")) == 3
+
+
+def test_repeated_ids_and_empty_corpora(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
+    long = docs.orderBy(F.desc(F.length("text"))).limit(2)
+    a, b = (r.text for r in long.collect())
+    once = Engine.build(spark.createDataFrame([(1, "s", a)], docs.schema)).stats()["n_chunks"]
+    both = Engine.build(spark.createDataFrame([(1, "s", a), (2, "s", b)], docs.schema)).stats()["n_chunks"]
+    many = Engine.build(spark.createDataFrame([(1, "s", a)] * 3 + [(1, "s", b), (None, "s", a), (2, "s", None)], docs.schema))
+    assert many.stats()["n_chunks"] == both > once > 1 and many.stats()["n_docs"] == 1
+    assert many.chunks().select("chunk_id").distinct().count() == both and [r[0] for r in many.chunks().select("chunk_ord").orderBy("chunk_ord").collect()] == list(range(both))
+    asked = spark.createDataFrame([(1, "the and of"), (1, "the and of"), (1, "zzz"), (2, None)], "item_id long, text string")
+    for mmr in (True, False):
+        got = many.search(asked, 2, use_mmr=mmr).collect()
+        assert sorted((r.query_id, r["rank"]) for r in got) == [(1, 1), (1, 2), (2, 1), (2, 2)] and len({(r.query_id, r.chunk_id) for r in got}) == 4
+    for make in (None, _maker(0)):
+        none = Engine.build(docs.filter("false"), encoder=make)
+        assert none.search(asked).count() == 0 and none.ask("the house") == [] and none.stats()["n_chunks"] == 0 and none.verify() is none
+
+
+def test_every_table_of_the_index_is_read_by_folder(spark, monkeypatch):
+    """Plans of what a search reads have a partition filter on each dealt table."""
+    monkeypatch.setattr(session, "FOLDER_CHUNKS", 20)
+    engine = Engine.build(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert engine.config["folders"] > 20
+    seen = {}
+
+    def spy(table, column, wanted, most):
+        out = in_folders(table, column, wanted, most)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        seen[re.search(r"/(\w+)/folder=", out.inputFiles()[0]).group(1)] = bool(re.search(r"PartitionFilters: \[[^\]]*folder#\d+ IN|PartitionFilters: \[[^\]]*folder#\d+ = ", plan))
+        return out
+
+    from quarry.shared import in_folders
+
+    monkeypatch.setattr(session, "in_folders", spy)
+    assert len(engine.ask("the and that of the river")) == 3
+    assert seen == dict.fromkeys(("weights", "postings", "idf", "chunks", "forward"), True)
+
+
+def test_equal_questions_at_once_share_a_search():
+    cache, made, gate = QueryCache(), [], threading.Event()
+
+    def make():
+        made.append(1)
+        gate.wait(20)
+        return ["found"]
+
+    def fails():
+        raise OSError("gone")
+
+    with ThreadPoolExecutor(16) as pool:
+        flights = [pool.submit(cache.once, "k", make) for _ in range(16)]
+        gate.set()
+        assert sorted(f.result()[1] for f in flights) == [False] + [True] * 15 and len(made) == 1
+        for _ in range(2):  # a failure isn't kept
+            with pytest.raises(OSError):
+                cache.once("other", fails)
+        list(pool.map(lambda i: (cache.set(str(i), i), cache.get(str(i - 1))), range(2000)))
+    assert len(cache.held) == cache.size
 
 
 def test_fronts(spark, tmp_path, capsys):
@@ -233,10 +354,31 @@ def test_fronts(spark, tmp_path, capsys):
     assert [service.answer("POST", "/search", b)[0] for b in (b"", b"{", b'{"query": " "}', b'{"query": "x", "top_k": 11}', b'{"query": "x", "top_k": true}')] == [422] * 5
     assert service.answer("GET", "/health") == (200, {"status": "ok", "n_chunks": 4, "n_docs": 4, "model": "TF-IDF", "startup_time_s": 1.5})
     assert service.answer("GET", "/stats")[1]["diversification"] == "MMR" and service.answer("GET", "/")[0] == 200 and service.answer("GET", "/x")[0] == 404
-    server = serve(service, 0)
-    threading.Thread(target=server.handle_request).start()
-    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}/health", timeout=60) as r:
-        assert json.load(r)["status"] == "ok"
+    starting, gate = Service(), threading.Event()
+    server = serve(starting, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    place = f"http://127.0.0.1:{server.server_address[1]}"
+    building = starting.start(lambda: gate.wait(60) and service.engine)
+    with pytest.raises(urllib.error.HTTPError, match="503"):
+        urllib.request.urlopen(f"{place}/health", timeout=60)
+    gate.set()
+    building.join(60)
+    asked, searched = service.engine._found, []
+    service.engine._found = lambda *a: (searched.append(a), asked(*a))[1]
+
+    def post(i):
+        with urllib.request.urlopen(urllib.request.Request(f"{place}/search", b'{"query": "river stones"}'), timeout=120) as r:
+            return r.status, [x["doc_title"] for x in json.load(r)["results"]]
+
+    with ThreadPoolExecutor(16) as pool:
+        answers = list(pool.map(post, range(16)))
+    assert len(searched) == 1 and answers == [answers[0]] * 16 and answers[0][0] == 200
+    with urllib.request.urlopen(f"{place}/health", timeout=60) as r:
+        assert json.load(r)["startup_time_s"] == starting.startup_s > 0
+    server.shutdown()
+    broken = Service()
+    broken.start(lambda: 1 // 0).join(60)
+    assert broken.answer("GET", "/health")[0] == 503 and "ZeroDivisionError" in broken.answer("GET", "/health")[1]["detail"]
     server.server_close()
 
 
