@@ -88,6 +88,34 @@ def test_expansion(spark, tmp_path):
     assert expand.expansion_terms(spark.createDataFrame([("a",), (None,)], "text string"), rules).collect()[0].terms == ["one"]
 
 
+def test_literals_of_rules():
+    given = {r"\bflour\b": "flour", r"ing\b": "ing", r"\bdos(age|ing)\b": "dos", r"a|b": "", r"colou?r": "colo", r"[abc]def{2}g": "de", r"x*": "", r"(?:abc)": "", r"fungal\s+amylase": "amylase", r"ab+c": "ab", r"[]x]yz": "yz", "": ""}
+    assert {p: expand.required(p) for p in given} == given
+
+
+def test_a_hundred_rules(spark):
+    """Generated rules of every form give what each pattern by itself gives."""
+    words = ["flour", "dough", "wheat", "amylase", "dose", "ppm", "acid", "water", "heat", "salt"]
+    rules = [(i, [rf"\b{w}\b", rf"{w}s?\b", rf"({w}|x{i})", rf"\d+\s*{w}", rf"^{w}", rf"{w[:3]}\w*", rf"[{w[0]}]{w[1:]}", rf"{w}.*{words[i % 7]}", rf"(?:{w})+", rf"{w}{{1,2}}"][i // 10], [f"term{i}", f"{w} more"]) for i, w in enumerate(words * 10)]
+    texts = ["Flour and dough", "10 ppm of amylase", "wheats", "x31 nothing", "acid water heat salt flour", "", None, "AMYLASE dose Dose", "doughs flo wheatx"]
+    got = {r.item_id: r.rule_ord for r in expand.matches(spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"), rules).groupBy("item_id").agg(F.sort_array(F.collect_list("rule_ord")).alias("rule_ord")).collect()}
+    want = {i: [o for o, p, _ in rules if re.search(p, (t or "").lower())] for i, t in enumerate(texts) if t is not None}
+    assert got == {i: o for i, o in want.items() if o}
+    terms = expand.expansion_terms(spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"), rules, 4).collect()
+    for r in terms:
+        if r.text is None:
+            assert r.terms is None
+            continue
+        seen, added = r.text.lower().split(), []
+        for o in want[r.item_id]:
+            for t in rules[o][2]:
+                if len(added) < 4 and not set(t.split()) & set(seen):
+                    seen, added = seen + t.split(), [*added, t]
+        assert r.terms == added
+    none = spark.createDataFrame([(1, "flour")], "item_id long, text string")
+    assert expand.matches(none, []).count() == 0 and expand.explain(none, []).first().explanation == expand.MESSAGE
+
+
 def test_weight_grid_has_70_triples():
     assert len(evaluate.weight_grid()) == 70
 
