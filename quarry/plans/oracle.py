@@ -252,7 +252,7 @@ SQL["ndcg"] = f"WITH {_BM}{_TOP}{_graded('top')} SELECT query_id, round({_NDCG},
 SQL["first_relevant_rank"] = f"WITH {_BM}{_TOP}{_graded('top')} SELECT query_id, first FROM gr"
 SQL["metric_deltas"] = f"SELECT round(a.hit1 - b.hit1, 6) AS d_hit1, round(a.hit3 - b.hit3, 6) AS d_hit3, round(a.mrr - b.mrr, 6) AS d_mrr, round(a.ndcg3 - b.ndcg3, 6) AS d_ndcg3 FROM (WITH {_BM}{_TOP}{_graded('top')} SELECT {_MET} FROM gr) a, (WITH {_TF}{_graded('tpool')} SELECT {_MET} FROM gr) b"
 _GRID = "grid AS (" + " UNION ALL ".join(f"SELECT CAST({a} AS DOUBLE) AS w_cosine, CAST({b} AS DOUBLE) AS w_bm25, CAST({q} AS DOUBLE) AS w_quality" for a, b, q in evaluate.weight_grid()) + ")"
-SQL["weight_grid"] = "SELECT CAST(c / 100.0 AS DOUBLE) AS w_cosine, CAST(b / 100.0 AS DOUBLE) AS w_bm25, CAST((100 - c - b) / 100.0 AS DOUBLE) AS w_quality FROM range(40, 101, 5) x(c), range(0, 61, 5) y(b) WHERE 100 - c - b BETWEEN 0 AND 30"
+SQL["weight_grid"] = f"WITH g AS (SELECT CAST(c / 100.0 AS DOUBLE) AS w_cosine, CAST(b / 100.0 AS DOUBLE) AS w_bm25, CAST((100 - c - b) / 100.0 AS DOUBLE) AS w_quality FROM range(40, 101, 5) x(c), range(0, 61, 5) y(b) WHERE 100 - c - b BETWEEN 0 AND 30), o AS (SELECT {_pick(0)} AS w_cosine, {_pick(1)} AS w_bm25, {_pick(2)} AS w_quality FROM (SELECT {_kind(())} AS kind FROM benchmark)) SELECT g.*, (SELECT count(*) FROM o WHERE o.w_cosine = g.w_cosine AND o.w_bm25 = g.w_bm25 AND o.w_quality = g.w_quality) AS n_questions FROM g"
 SQL["grid_cross"] = f"WITH {_GRID} SELECT item_id, count(*) AS n FROM benchmark, grid GROUP BY item_id"
 _GS = f"WITH {_HY}, {_GRID}, gf AS (SELECT hy0.query_id, doc_id, w_cosine, w_bm25, w_quality, round(w_cosine * cosine + w_bm25 * bm25n + w_quality * quality, 6) AS final FROM hy0, grid), gk AS (SELECT *, row_number() OVER (PARTITION BY query_id, w_cosine, w_bm25, w_quality ORDER BY final DESC, doc_id) AS rank FROM gf){_REL}, nr AS (SELECT query_id, count(*) AS n_relevant FROM rel GROUP BY query_id), ht AS (SELECT query_id, w_cosine, w_bm25, w_quality, min(rank) AS first, sum(1 / log2(rank + {_D.format(1)})) AS gain FROM gk JOIN rel USING (query_id, doc_id) WHERE rank <= 3 GROUP BY ALL), gr AS (SELECT item_id AS query_id, g.*, coalesce(n_relevant, 0) AS n_relevant, first, gain FROM benchmark CROSS JOIN grid g LEFT JOIN nr ON nr.query_id = item_id LEFT JOIN ht ON ht.query_id = item_id AND ht.w_cosine = g.w_cosine AND ht.w_bm25 = g.w_bm25 AND ht.w_quality = g.w_quality), gs AS (SELECT w_cosine, w_bm25, w_quality, {_MET} FROM gr GROUP BY ALL), gz AS (SELECT *, round({_D.format(0.5)} * mrr + {_D.format(0.3)} * hit1 + {_D.format(0.2)} * hit3, 4) AS score FROM gs) "
 SQL["grid_search"] = _GS + "SELECT * FROM gz"

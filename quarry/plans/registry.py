@@ -418,14 +418,20 @@ def metric_deltas(spark, d):
     return both.select(*[F.round(F.col(f"a_{n}") - F.col(f"b_{n}"), 6).alias(f"d_{n}") for n in names])
 
 
+def _grid(spark):
+    return spark.createDataFrame(evaluate.weight_grid(), "w_cosine double, w_bm25 double, w_quality double")
+
+
 @query
 def weight_grid(spark, d):
-    return spark.createDataFrame(evaluate.weight_grid(), "w_cosine double, w_bm25 double, w_quality double")
+    """Every triple of the grid, and how many questions have these weights of their own."""
+    own = ranking.query_weights(table(spark, d, "benchmark")).groupBy("w_cosine", "w_bm25", "w_quality").agg(F.count("*").alias("n_questions"))
+    return _grid(spark).join(own, ["w_cosine", "w_bm25", "w_quality"], "left").fillna({"n_questions": 0})
 
 
 @query
 def grid_cross(spark, d):
-    g = weight_grid(spark, d)
+    g = _grid(spark)
     return table(spark, d, "benchmark").crossJoin(F.broadcast(g)).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
@@ -433,7 +439,7 @@ def grid_cross(spark, d):
 def grid_search(spark, d):
     """Candidates are scored once; each weight triple only ranks them anew."""
     base = written(_hybrid(spark, d).select("query_id", "doc_id", "cosine", "bm25n", "quality"), "candidates")
-    g = F.broadcast(weight_grid(spark, d))  # 70 rows
+    g = F.broadcast(_grid(spark))  # 70 rows
     final = F.round(F.col("w_cosine") * F.col("cosine") + F.col("w_bm25") * F.col("bm25n") + F.col("w_quality") * F.col("quality"), 6)
     names = ["w_cosine", "w_bm25", "w_quality"]
     rank = F.row_number().over(Window.partitionBy("query_id", *names).orderBy(F.desc("final"), "doc_id"))
@@ -495,9 +501,11 @@ def query_history(spark, d):
 
 @query
 def index_metrics(spark, d):
-    docs = _docs(spark, d)
-    c = chunk.chunk(docs)
-    return c.agg(F.count("*").alias("n_chunks"), F.round(F.avg("quality_score"), 6).alias("avg_quality")).crossJoin(docs.agg(F.count("*").alias("n_docs")))
+    """What building an index says of it."""
+    from ..session import Engine
+
+    engine = Engine.build(_docs(spark, d))
+    return engine.chunks().agg(F.count("*").alias("n_chunks"), F.round(F.avg("quality_score"), 6).alias("avg_quality"), F.lit(engine.config["n_docs_loaded"]).cast("long").alias("n_docs"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -47,7 +47,7 @@ def load_folder(spark: SparkSession, folder: str, pdf: Callable[[bytes], str] |
 
     Other files are rows with neither id nor error, which ``folder_summary`` counts as skipped and
     whose content is never read. A file that can't be read is a row with its error. Repeated ids get a
-    number in file order. ``pdf`` extracts a PDF's text, which is cleaned as the others aren't.
+    number in file order, after two underscores, which no file's own slug has. ``pdf`` extracts a PDF's text, which is cleaned as the others aren't.
     """
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
@@ -63,8 +63,8 @@ def load_folder(spark: SparkSession, folder: str, pdf: Callable[[bytes], str] |
     docs = files.filter(known).select("path", "content").mapInArrow(parse, _DOCS)
     if clean_pdf:
         docs = docs.withColumn("content", F.when(F.lower("file").endswith(".pdf"), T.clean(F.col("content"))).otherwise(F.col("content")))
-    n = F.row_number().over(Window.partitionBy("id").orderBy("file", F.xxhash64("content")))
-    docs = docs.withColumn("id", F.when((n > 1) & F.col("id").isNotNull(), F.concat_ws("_", "id", n.cast("string"))).otherwise(F.col("id")))
+    n = F.row_number().over(Window.partitionBy(F.coalesce("id", "file")).orderBy("file", F.xxhash64("content")))
+    docs = docs.withColumn("id", F.when((n > 1) & F.col("id").isNotNull(), F.concat_ws("__", "id", n.cast("string"))).otherwise(F.col("id")))
     skipped = files.filter(~known).select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), *(F.lit(None).cast("string").alias(c) for c in ("id", "title", "content", "error")))
     return docs.unionByName(skipped).orderBy("file", "id")
 
@@ -89,12 +89,13 @@ def _truthy(value: Column) -> Column:
     return F.when(value.isNotNull() & ~empty, F.when(kind == "BOOLEAN", F.initcap(said)).otherwise(said))
 
 
-def json_documents(rows: DataFrame, column: str = "json", stem: str = "document") -> DataFrame:
-    """id, title and content of JSON objects in a column, by the first key that isn't empty (in JSON: "", 0, false, null, [] and {} are). Without an id, title or content: a slug of ``stem``, ``stem``, and the empty text."""
+def json_documents(rows: DataFrame, column: str = "json", stem: str = "document", index: str | None = None) -> DataFrame:
+    """id, title and content of JSON objects in a column, by the first key that isn't empty (in JSON: "", 0, false, null, [] and {} are). Without an id, title or content: a slug of ``stem``, ``stem``, and the empty text; where there is a column ``index``, id and title end in its number, as items of one file do."""
     item = F.try_parse_json(column)
     get = lambda k: _truthy(F.try_variant_get(item, f"$.{k}", "variant"))
     first = lambda *keys: F.coalesce(*map(get, keys))
-    return rows.withColumns({"id": F.coalesce(get("id"), F.lit(slug(stem))), "title": F.coalesce(first("title", "name", "titre"), F.lit(stem)), "content": F.coalesce(first("content", "text", "texte", "body"), F.lit(""))})
+    numbered = lambda name: F.concat_ws("_", F.lit(name), F.col(index).cast("string")) if index else F.lit(name)
+    return rows.withColumns({"id": F.coalesce(get("id"), numbered(slug(stem))), "title": F.coalesce(first("title", "name", "titre"), numbered(stem)), "content": F.coalesce(first("content", "text", "texte", "body"), F.lit(""))})
 
 
 def load_summary(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -423,6 +423,23 @@ def test_json_truthiness(spark):
     assert [(r.id, r.title, r.content) for r in got] == [("my_file", "N", "B"), ("5", "0", "7"), ("my_file", "My File", ""), ("my_file", "My File", ""), ("my_file", "True", "")]
 
 
+def test_json_items_are_numbered(spark):
+    rows = spark.createDataFrame([(0, '{"text": "T"}'), (1, '{"id": 5, "name": "N"}'), (2, "{}")], "k int, json string")
+    got = loaders.json_documents(rows, stem="My File", index="k").orderBy("k").collect()
+    assert [(r.id, r.title) for r in got] == [("my_file_0", "My File_0"), ("5", "N"), ("my_file_2", "My File_2")]
+
+
+def test_repeated_ids_of_files(spark, tmp_path):
+    for name in ("a.txt", "A.txt", "a_2.txt", "a.json"):
+        (tmp_path / name).write_text('{"id": "a", "text": "x"}' if name.endswith("json") else name)
+    assert {r.file: r.id for r in loaders.load_folder(spark, str(tmp_path)).collect()} == {"A.txt": "a", "a.json": "a__2", "a.txt": "a__3", "a_2.txt": "a_2"}
+
+
+def test_more_letterheads(spark):
+    given = spark.createDataFrame([("ACME GmbH\nPage 1 of 2\nbody",)], "t string")
+    assert given.select(T.boilerplate(F.col("t"), [r"(?m)^ACME.*$"])).first()[0].strip() == "body"
+
+
 def test_folder(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b" hello \xff ")
     (tmp_path / "a.json").write_text('[{"name": "N", "text": "T"}, 3, {"title": "", "body": "B"}]')
