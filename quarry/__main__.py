@@ -122,7 +122,7 @@ def main(args: list[str] | None = None, lines=sys.stdin) -> int:
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("quarry").getOrCreate()
     try:
-        loaded = loaders.load_folder(spark, given.data)
+        loaded = loaders.load_folder(spark, given.data, ordered=False)
     except FileNotFoundError as e:
         print(e, file=sys.stderr)
         return 1

@@ -109,6 +109,8 @@ _c, _last = _chain(list(T.STEPS), "documents")
 SQL["clean_report"] = f"WITH {_c} SELECT d.doc_id, CAST(length(d.text) AS BIGINT) AS raw_chars, CAST(length(c.text) AS BIGINT) AS clean_chars, CAST(len({_words('d.text')}) AS BIGINT) AS raw_words, CAST(len({_words('c.text')}) AS BIGINT) AS clean_words FROM documents d JOIN {_last} c USING (doc_id)"
 SQL["scan_documents"] = "SELECT doc_id, source, CAST(length(text) AS BIGINT) AS n FROM documents"
 SQL["json_coalesce"] = "SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, nullif(role, '') AS title, coalesce(text, '') AS content FROM conversations"
+SQL["json_items"] = "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(i AS BIGINT) AS item_index, CASE WHEN i % 3 = 0 THEN 'line ' || i ELSE 'doc_' || doc_id || '_' || i END AS id, CASE WHEN i % 2 = 0 THEN 'even' ELSE 'Doc ' || doc_id || '_' || i END AS title, md5(coalesce(nullif(x, ''), 'empty')) AS digest FROM (SELECT doc_id, unnest(lines) AS x, unnest(range(len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))"
+SQL["unique_ids"] = "SELECT CAST(doc_id AS BIGINT) AS doc_id, source || CASE WHEN n > 1 THEN '__' || n ELSE '' END AS id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)"
 SQL["load_summary"] = f"SELECT count(*) AS n_docs, CAST(sum(len({_words('text')})) AS BIGINT) AS n_words, CAST(sum(len({_words('text')})) // greatest(count(*), 1) AS BIGINT) AS words_per_doc FROM documents"
 _part = lambda at: f"CAST(coalesce(sum(CAST(('0x' || substr(h, {at}, 15)) AS BIGINT)::HUGEINT), 0) AS VARCHAR)"
 SQL["corpus_fingerprint"] = f"SELECT left(sha256(concat_ws('|', {_part(1)}, {_part(16)}, {_part(31)}, '{{}}')), 12) AS fingerprint FROM (SELECT sha256(concat_ws('|', CAST(doc_id AS VARCHAR), text)) AS h FROM documents)"

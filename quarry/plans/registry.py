@@ -71,6 +71,21 @@ def json_coalesce(spark, d):
     return out.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "title", "content")
 
 
+@query
+def json_items(spark, d):
+    """The lines of every document as objects of one JSON array, by turns with and without an id, a title and a text."""
+    line = lambda x, i: F.struct(F.when(i % 3 == 0, F.concat(F.lit("line "), i.cast("string"))).alias("id"), F.when(i % 2 == 0, F.lit("")).alias("title"), F.when(i % 2 == 0, F.lit("even")).alias("name"), x.alias("text"), F.lit("empty").alias("body"))
+    rows = _docs(spark, d).select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("stem"), F.to_json(F.transform(F.split("text", "\n"), line)).alias("json"))
+    return loaders.json_items(rows).select("doc_id", F.col("item_index").cast("long").alias("item_index"), "id", "title", F.md5("content").alias("digest"))
+
+
+@query
+def unique_ids(spark, d):
+    """Documents under the name of their source, numbered by doc_id: few names, one of them with a large share of the rows."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("id"))
+    return loaders.unique_ids(docs, ["doc_id"])
+
+
 @query
 def load_summary(spark, d):
     return loaders.load_summary(_docs(spark, d))

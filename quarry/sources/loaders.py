@@ -2,71 +2,125 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import sized, written
 
-_DOCS = "file string, id string, title string, content string, error string"
+#: Bytes of the largest file that is read; a larger one, which no row can hold, is a row with an error.
+LARGEST_FILE = 2_000_000_000
+#: What Python's ``str.strip`` takes off.
+_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_DOC = ["file", "item_index", "id", "title", "content", "error"]
 
 
-def slug(name: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
-
-
-def normalize_item(item: dict, stem: str, index: int) -> tuple[str, str, str]:
-    """id, title, content of a JSON object; empty values count as missing."""
-    pick = lambda *keys: next((item[k] for k in keys if item.get(k)), None)
-    return str(pick("id") or f"{slug(stem)}_{index}"), str(pick("title", "name", "titre") or f"{stem}_{index}"), str(pick("content", "text", "texte", "body") or "")
+def _files(spark: SparkSession, folder: str, kind: str | None = None) -> DataFrame:
+    """(file, stem, length, content) of the files right in ``folder``; of one kind, where other files are left out when the folder is listed. Without ``content`` in what is selected, no file is opened."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        raise FileNotFoundError(folder)
+    alike = system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, "*=*"))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", str(any(f.isDirectory() for f in alike)).lower())  # else files beside a folder named like a partition aren't listed
+    if kind:
+        read = read.option("pathGlobFilter", "*." + "".join(f"[{c}{c.upper()}]" for c in kind))
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    inside = F.regexp_replace("path", "/[^/]*$", "") == system.makeQualified(root).toString().rstrip("/")
+    return read.load(folder).filter(inside).select(name.alias("file"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), "length", "content")
 
 
-def parse_file(path: str, content: bytes, pdf: Callable[[bytes], str] | None) -> list[tuple]:
-    name = path.rsplit("/", 1)[-1]
-    stem, kind = name.rsplit(".", 1)[0], name.rsplit(".", 1)[-1].lower()
-    try:
-        if kind == "txt":
-            return [(name, slug(stem), stem, content.decode("utf-8", "replace").strip(), None)]
-        if kind == "json":
-            root = json.loads(content.decode("utf-8", "replace"))
-            items = [root] if isinstance(root, dict) else root if isinstance(root, list) else []
-            return [(name, *normalize_item(x, stem, i), None) for i, x in enumerate(items) if isinstance(x, dict)]
-        if pdf is None:
-            raise ImportError("no PDF text extractor was given")
-        return [(name, slug(stem), stem, pdf(content), None)]
-    except Exception as e:  # one bad file must not end the load: it becomes a row with its error
-        return [(name, None, None, None, f"{type(e).__name__}: {e}")]
+def _fields(item: Column, stem: Column, index: Column | None) -> dict[str, Column]:
+    """id, title and content of a JSON object by the first key that isn't empty."""
+    get = lambda k: _truthy(F.try_variant_get(item, f"$.{k}", "variant"))
+    first = lambda *keys: F.coalesce(*map(get, keys))
+    numbered = lambda name: F.concat_ws("_", name, index.cast("string")) if index is not None else name
+    return {"id": F.coalesce(get("id"), numbered(T.slugify(stem))), "title": F.coalesce(first("title", "name", "titre"), numbered(stem)), "content": F.coalesce(first("content", "text", "texte", "body"), F.lit(""))}
 
 
-def load_folder(spark: SparkSession, folder: str, pdf: Callable[[bytes], str] | None = None, clean_pdf: bool = True) -> DataFrame:
-    """(file, id, title, content, error) of the .txt, .json and .pdf files right in ``folder``; FileNotFoundError where there is none.
+def json_items(rows: DataFrame, column: str = "json", stem: str = "stem") -> DataFrame:
+    """The objects in each row's JSON text, an array of them or one object: the row's columns but ``column``, with item_index, id, title, content and error.
 
-    Other files are rows with neither id nor error, which ``folder_summary`` counts as skipped and
-    whose content is never read. A file that can't be read is a row with its error. Repeated ids get a
-    number in file order, after two underscores, which no file's own slug has. ``pdf`` extracts a PDF's text, which is cleaned as the others aren't.
+    ``item_index`` is the place in the array, others than objects counted (but dropped, as are roots of another kind).
+    Keys are taken as in ``json_documents``, with the column ``stem`` and the number where they are missing. A text that isn't JSON, or has
+    more after it, is a row with its error; so is one in which an object repeats a key or is over 128 MB large. A null text gives no row.
+    Values are written as JSON writes them, numbers without a fraction of zeros. Parsed in the JVM, each object as a value of its own.
     """
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
-        raise FileNotFoundError(folder)
+    whole, first = F.concat(F.lit("["), F.col(column), F.lit("]")), F.left(F.ltrim(F.col(column), F.lit(" \t\n\r")), F.lit(1))
+    one = F.transform(F.from_json(whole, "array<variant>"), lambda v: F.array(v))
+    roots = F.when(first == "[", F.from_json(whole, "array<array<variant>>")).otherwise(one)  # a single root, or it isn't JSON
+    others = [c for c in rows.columns if c not in {column, "item_index", "id", "title", "content", "error"}]
+    held = rows.filter(F.col(column).isNotNull()).select(*others, roots.alias("__roots"))
+    held = held.select(*others, F.when(F.size("__roots") == 1, F.get("__roots", F.lit(0))).alias("__items"))
+    held = held.select(*others, F.when(F.col("__items").isNull(), F.lit("ValueError: not one JSON value")).alias("error"), F.posexplode_outer("__items").alias("item_index", "__item"))
+    held = held.filter(F.col("error").isNotNull() | F.schema_of_variant("__item").startswith("OBJECT"))
+    found = {k: F.when(F.col("error").isNull(), v).alias(k) for k, v in _fields(F.col("__item"), F.col(stem), F.col("item_index")).items()}
+    return held.select(*others, "item_index", *found.values(), "error")
+
+
+def unique_ids(docs: DataFrame, place: Sequence[str] = ("file", "item_index")) -> DataFrame:
+    """``docs`` with no ``id`` twice: later ones, by ``place``, which tells rows apart and has no nulls where there is an id, get a number after two underscores. Rows without an id stay as they are.
+
+    Only ids and places are shuffled and ranked, in ranges of (id, place), so that an id that most rows
+    share is numbered by many tasks; texts meet the few new ids in a join. Where a new id is another's own, it is numbered again.
+    """
+    names, changed = docs.filter("id IS NOT NULL").select("id", *place), False
+    names = written(names, "ids")
+    while True:
+        again = sized(names.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "ids-again")
+        if again.table.isEmpty():
+            break
+        met = names.join(again.side(), "id", "left_semi")
+        ranged = written(met.repartitionByRange("id", *place).withColumn("part", F.spark_partition_id()), "ids-ranged")
+        before = ranged.groupBy("id", "part").agg(F.count("*").alias("n"))
+        before = before.select("id", "part", F.coalesce(F.sum("n").over(Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        n = F.row_number().over(Window.partitionBy("id", "part").orderBy(*place)) + F.col("before")
+        fresh = ranged.join(before, ["id", "part"]).select(F.when(n > 1, F.concat_ws("__", "id", n.cast("string"))).otherwise(F.col("id")).alias("id"), *place)
+        names, changed = written(names.join(again.side(), "id", "left_anti").select("id", *place).unionByName(fresh), "ids"), True
+    if not changed:
+        return docs
+    old = docs.filter("id IS NOT NULL").select(F.col("id").alias("old"), *place)
+    new = sized(names.join(old, list(place)).filter("id != old").select(*place, F.col("id").alias("new")), "ids-new")
+    return docs.join(new.side(), list(place), "left").withColumn("id", F.coalesce("new", "id")).select(*docs.columns)
+
+
+def load_folder(spark: SparkSession, folder: str, pdf: Callable[[bytes], str] | None = None, clean_pdf: bool = True, ordered: bool = True) -> DataFrame:
+    """(file, item_index, id, title, content, error) of the .txt, .json and .pdf files right in ``folder``; FileNotFoundError where there is none.
+
+    ``item_index`` is an object's place in its JSON file, else 0. Other files are rows with neither id nor error, which ``folder_summary``
+    counts as skipped; they are never opened. A file that can't be decoded, or is over LARGEST_FILE, is a row with its error. Repeated ids get a
+    number in file order (``unique_ids``). ``pdf`` extracts a PDF's text, which is cleaned as the others aren't; it runs once, into a table in the shared folder, and is all that runs in Python.
+    Empty files and those whose names begin with a dot or an underscore are not seen, as Spark's readers have it. ``ordered`` sorts rows by file and place, which moves all texts.
+    """
+    none = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
+    fits = F.col("length") <= LARGEST_FILE  # the scan leaves others closed
+    read = lambda kind: _files(spark, folder, kind).filter(fits)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
 
-    def parse(batches):
+    def extract(batches):
         for batch in batches:
-            rows = [r for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in parse_file(p, c, pdf)]
-            yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(5)], names=["file", "id", "title", "content", "error"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    known = F.lower("path").rlike(r"\.(txt|json|pdf)$")
-    docs = files.filter(known).select("path", "content").mapInArrow(parse, _DOCS)
-    if clean_pdf:
-        docs = docs.withColumn("content", F.when(F.lower("file").endswith(".pdf"), T.clean(F.col("content"))).otherwise(F.col("content")))
-    n = F.row_number().over(Window.partitionBy(F.coalesce("id", "file")).orderBy("file", F.xxhash64("content")))
-    docs = docs.withColumn("id", F.when((n > 1) & F.col("id").isNotNull(), F.concat_ws("__", "id", n.cast("string"))).otherwise(F.col("id")))
-    skipped = files.filter(~known).select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), *(F.lit(None).cast("string").alias(c) for c in ("id", "title", "content", "error")))
-    return docs.unionByName(skipped).orderBy("file", "id")
+            for i in range(batch.num_rows):  # a file at a time
+                said = error = None
+                try:
+                    if pdf is None:
+                        raise ImportError("no PDF text extractor was given")
+                    said = pdf(batch.column(2)[i].as_py())
+                except Exception as e:  # one bad file must not end the load: it becomes a row with its error
+                    error = f"{type(e).__name__}: {e}"
+                yield pa.record_batch([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([said], pa.string()), pa.array([error], pa.string())], names=["file", "stem", "content", "error"])
+
+    plain = read("txt").select("file", F.lit(0).alias("item_index"), T.slugify(F.col("stem")).alias("id"), F.col("stem").alias("title"), F.trim(text, F.lit(_SPACE)).alias("content"), *none("error"))
+    items = json_items(read("json").select("file", "stem", text.alias("json"))).select(*_DOC)
+    shown = written(read("pdf").select("file", "stem", "content").mapInArrow(extract, "file string, stem string, content string, error string"), "pdf-texts")
+    good = F.col("error").isNull()
+    shown = shown.select("file", F.lit(0).alias("item_index"), F.when(good, T.slugify(F.col("stem"))).alias("id"), F.when(good, F.col("stem")).alias("title"), (T.clean(F.col("content")) if clean_pdf else F.col("content")).alias("content"), "error")
+    every, known = _files(spark, folder), F.lower("file").rlike(r"\.(txt|json|pdf)$")
+    rest = every.filter(~known | ~fits).select("file", F.lit(0).alias("item_index"), *none("id", "title", "content"), F.when(known, F.concat_ws(" ", F.lit("ValueError: file of"), F.col("length").cast("string"), F.lit("bytes"))).alias("error"))
+    docs = unique_ids(plain.unionByName(items).unionByName(shown)).unionByName(rest)
+    return docs.orderBy("file", "item_index") if ordered else docs
 
 
 def folder_summary(loaded: DataFrame) -> DataFrame:
@@ -77,7 +131,7 @@ def folder_summary(loaded: DataFrame) -> DataFrame:
 
 
 def export_text(docs: DataFrame, path: str, text: str = "content") -> None:
-    """Writes the texts, in order of file and id, as text files."""
+    """Writes the texts as text files."""
     docs.filter(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("value")).write.text(path)
 
 
@@ -91,11 +145,7 @@ def _truthy(value: Column) -> Column:
 
 def json_documents(rows: DataFrame, column: str = "json", stem: str = "document", index: str | None = None) -> DataFrame:
     """id, title and content of JSON objects in a column, by the first key that isn't empty (in JSON: "", 0, false, null, [] and {} are). Without an id, title or content: a slug of ``stem``, ``stem``, and the empty text; where there is a column ``index``, id and title end in its number, as items of one file do."""
-    item = F.try_parse_json(column)
-    get = lambda k: _truthy(F.try_variant_get(item, f"$.{k}", "variant"))
-    first = lambda *keys: F.coalesce(*map(get, keys))
-    numbered = lambda name: F.concat_ws("_", F.lit(name), F.col(index).cast("string")) if index else F.lit(name)
-    return rows.withColumns({"id": F.coalesce(get("id"), numbered(slug(stem))), "title": F.coalesce(first("title", "name", "titre"), numbered(stem)), "content": F.coalesce(first("content", "text", "texte", "body"), F.lit(""))})
+    return rows.withColumns(_fields(F.try_parse_json(column), F.lit(stem), F.col(index) if index else None))
 
 
 def load_summary(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -435,6 +435,77 @@ def test_repeated_ids_of_files(spark, tmp_path):
     assert {r.file: r.id for r in loaders.load_folder(spark, str(tmp_path)).collect()} == {"A.txt": "a", "a.json": "a__2", "a.txt": "a__3", "a_2.txt": "a_2"}
 
 
+def test_ids_of_files_are_unique_at_once_and_again(spark):
+    # "a" is repeated, and what its second row would be called is another's own id, twice
+    given = [("f1", 0, "a"), ("f2", 0, "a"), ("f3", 0, "a__2"), ("f4", 0, "a__2"), ("f5", 0, "b"), ("f6", 0, None), ("f7", 0, None), *[("g", i, "hot") for i in range(400)]]
+    docs = spark.createDataFrame(given, "file string, item_index int, id string").repartition(7)
+    got = {(r.file, r.item_index): r.id for r in loaders.unique_ids(docs).collect()}
+    ids = [v for v in got.values() if v is not None]
+    assert len(got) == len(given) and len(ids) == len(set(ids)) == len(given) - 2
+    assert (got["f1", 0], got["f5", 0], got["f6", 0], got["f7", 0]) == ("a", "b", None, None)
+    assert [got["g", i] for i in range(400)] == ["hot", *[f"hot__{i}" for i in range(2, 401)]]
+    once = spark.createDataFrame([("f", 0, "x")], "file string, item_index int, id string")
+    assert loaders.unique_ids(once) is once
+
+
+JSON_TEXTS = [
+    '[{"id": 7, "name": "N", "text": "T"}, 3, null, [1], {"title": "", "body": "B"}, {}]', ' \n{"titre": "R", "texte": true}\t', "[]", "5", '"x"', "null", "", "[", '{"a": 1}, {"b": 2}', "[1] x",
+    '[{"id": "é", "content": {"a": [1]}}]', '[{"id": 0, "title": false, "content": "c"}]', "\ufeff{}", "[[{}]]", '{"text": "%s"}' % ("long " * 300_000), None,
+]
+
+
+def brute_items(text, stem):
+    """json_items of one text, by Python's parser."""
+    if text is None:
+        return []
+    try:
+        root = json.loads(text)
+    except ValueError:
+        return [(None, None, None, None, True)]
+    out = []
+    for i, item in enumerate(root if isinstance(root, list) else [root]):
+        if isinstance(item, dict):
+            said = lambda v: json.dumps(v, separators=(",", ":")) if isinstance(v, dict | list) else str(v)
+            pick = lambda *keys: next((said(item[k]) for k in keys if item.get(k)), None)  # noqa: B023, E731
+            slug = "_".join(w for w in re.split("[^a-z0-9]+", stem.lower()) if w)
+            out.append((i, pick("id") or f"{slug}_{i}", pick("title", "name", "titre") or f"{stem}_{i}", pick("content", "text", "texte", "body") or "", False))
+    return out
+
+
+def test_json_items_against_python(spark):
+    # columns of the same names as the results' are replaced, others come along
+    rows = spark.createDataFrame([(i, t, f"My File {i}", "mine") for i, t in enumerate(JSON_TEXTS)], "k int, json string, stem string, title string")
+    found = loaders.json_items(rows)
+    assert found.columns == ["k", "stem", "item_index", "id", "title", "content", "error"] and "ArrowEvalPython" not in found._jdf.queryExecution().toString()
+    got = sorted(((r.k, r.item_index, r.id, r.title, r.content, r.error is not None) for r in found.collect()), key=str)
+    assert got == sorted(((i, *r) for i, t in enumerate(JSON_TEXTS) for r in brute_items(t, f"My File {i}")), key=str)
+    assert loaders.json_items(rows.limit(0)).count() == 0
+    repeated = spark.createDataFrame([('[{"a": 1, "a": 2}]', "s")], "json string, stem string")
+    assert loaders.json_items(repeated).first().error
+
+
+def test_folder_without_python(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.TXT").write_text("\u2003 a text \x1f\n", newline="")
+    (tmp_path / "b.json").write_text("\n".join(["[", ",".join(json.dumps({"id": f"i{i % 3}", "text": f"t{i}"}) for i in range(6)), "]"]))
+    (tmp_path / "c.json").write_text("[1, 2]")
+    (tmp_path / "d.txt").write_text(" ")
+    (tmp_path / "lang=de").mkdir()
+    (tmp_path / "lang=de" / "e.txt").write_text("not right in the folder")
+    (tmp_path / "other").write_text("x" * 1000)
+    monkeypatch.setattr(loaders, "LARGEST_FILE", 500)
+    (tmp_path / "big.txt").write_text("x" * (loaders.LARGEST_FILE + 1))
+    loaded = loaders.load_folder(spark, str(tmp_path), ordered=False)
+    got = {(r.file, r.item_index): (r.id, r.content, r.error) for r in loaded.collect()}
+    ids = ["i0", "i1", "i2", "i0__2", "i1__2", "i2__2"]
+    assert got == {("a.TXT", 0): ("a", "a text", None), ("d.txt", 0): ("d", "", None), ("other", 0): (None, None, None), ("big.txt", 0): (None, None, f"ValueError: file of {loaders.LARGEST_FILE + 1} bytes"), **{("b.json", i): (k, f"t{i}", None) for i, k in enumerate(ids)}}
+    plan = loaded._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" not in plan
+    counts = loaders.folder_summary(loaded).first()
+    assert (counts.n_docs, counts.n_skipped, counts.n_errors) == (8, 1, 1)
+    (tmp_path / "none").mkdir()
+    assert loaders.load_folder(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_more_letterheads(spark):
     given = spark.createDataFrame([("ACME GmbH\nPage 1 of 2\nbody",)], "t string")
     assert given.select(T.boilerplate(F.col("t"), [r"(?m)^ACME.*$"])).first()[0].strip() == "body"
