@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, trimmed
 from .tokens import BYTE_BPE, SegmentEncoder, encoder, tokenizer_path
 
 LEAF_CHARS = 256
@@ -129,20 +130,23 @@ def count_under_edits(docs: DataFrame, edits=standard_edits, path: str | None =
     """Per row: doc_id, n_tokens of the whole text, n_tokens_edited after ``edits(text)`` (start, stop, new), n_chars_edited, n_chars_reencoded by the edits.
 
     Special tokens' strings are ordinary text. Null is the empty text; a null doc_id stays null;
-    repeated rows are counted once each. An empty table gives no rows.
+    repeated rows are counted once each. An empty table gives no rows; other columns are never read.
+    Texts are read whole, one at a time. A leaf ends where a pre-token does, so a very long text without
+    blanks is one leaf, which each edit encodes again.
     """
     path = path or tokenizer_path(BYTE_BPE)
 
     def count(batches):
         enc = encoder(path, True)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
-            for text in batch.column(1).to_pylist():
-                tree = CountTree(text or "", enc, leaf_chars)
+            for value in batch.column(1):  # one text and its tree at a time
+                text = value.as_py() or ""
+                tree = CountTree(text, enc, leaf_chars)
                 before, tree.reencoded = tree.n_tokens, 0
-                for start, stop, new in edits(text or ""):
+                for start, stop, new in edits(text):
                     tree.edit(start, stop, new)
                 rows.append((before, tree.n_tokens, tree.n_chars, tree.reencoded))
             yield pa.record_batch([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4))], names=[f.split()[0] for f in _OUT.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(count, _OUT)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(count), _OUT)

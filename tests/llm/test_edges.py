@@ -84,6 +84,22 @@ def test_token_counts_of_the_query(documents):
         assert (r.n_tokens, r.n_tokens_edited, r.n_chars_edited) == (len(enc.whole(text)) // 4, len(enc.whole(edited)) // 4, len(edited))
 
 
+def test_token_counts_of_long_texts(spark):
+    enc = tokens.SegmentEncoder(tokens.tokenizer_path(tokens.BYTE_BPE), True)
+    long, solid = "".join(f"word{i % 977} and\n" for i in range(150_000)), "xyÄ9" * 5_000  # with and without blanks
+    given = [(1, long), (2, solid), (2, solid), (None, "x y"), (None, None), (3, ""), *[(10 + i, "few words") for i in range(1500)]]
+    rows = spark.createDataFrame([(i, t, -1, "e") for i, t in given], "doc_id long, text string, n_tokens long, rows string").coalesce(1)
+    got = token_counts.count_under_edits(rows).collect()
+    want = []
+    for i, text in given:
+        text = edited = text or ""
+        for start, stop, new in token_counts.standard_edits(text):
+            edited = edited[: max(0, start)] + new + edited[max(start, stop) :]
+        want.append((i, len(enc.whole(text)) // 4, len(enc.whole(edited)) // 4, len(edited)))
+    assert sorted(((r.doc_id, r.n_tokens, r.n_tokens_edited, r.n_chars_edited) for r in got), key=str) == sorted(want, key=str)
+    assert next(r.n_chars_reencoded for r in got if r.doc_id == 1) < len(long) // 5
+
+
 def _canonical(text):
     return " ".join(unicodedata.normalize("NFKC", text).lower().split())
 
