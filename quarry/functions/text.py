@@ -13,6 +13,7 @@ LITERALS = [
     ("µ", "μ"), ("×", "x"), ("≤", "<="), ("≥", ">="), ("", "-"), ("", "-"), ("", "-"), ("", "-"),
     ("â\u0080\u0099", "'"), ("Ã©", "é"), ("Ã¨", "è"), ("Ãª", "ê"), ("Ã ", "à"), ("Ã´", "ô"), ("Ã¼", "ü"),
 ]
+#: Characters that become a dash.
 BULLETS = "[‣⁃⁌⁍∙▪●◦⮚-⮝]"
 #: Title lines, page numbers and rules. Letterheads are the caller's, as further patterns.
 BOILERPLATE = [
@@ -28,6 +29,7 @@ BROKEN = [
 ]
 UNITS = [(r"(?U)°\s+([CFKc])", "°$1"), (r"(?U)(\d)\s+-\s+(\d)", "$1-$2"), (r"(?U)(\d)\s+%", "$1%"), (r"(?U)\s*/\s*", "/"), (r"(?U)([<>])\s+(\d)", "$1$2")]
 HEADER_CHARS, HEADER_REPEATS = 80, 3
+#: Letters that a hyphen may part, and lines that say nothing.
 _LETTER, _JUNK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"(?U)^[\s\d\-–—=_.•·*#|/\\()]*$"
 
 
