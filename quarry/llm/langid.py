@@ -23,8 +23,10 @@ FEATURES = 4096
 SAMPLE_ROWS, LEAST_ROWS = 3200, 2
 #: A lead below this share of the nearest codeword's loss counts as ambiguous.
 AMBIGUOUS_LEAD = 0.05
-#: A text is unlike the learned languages where its nearest codeword's loss is above this share of the mean loss: an even mix of two languages has about a fifth, and clean texts with very many repeats up to 0.853 (check_h). Shorter ones can't be told and stay.
-UNLIKE_SHARE, LEAST_LETTERS = 0.9, 100
+#: Of held-out labelled texts that the decoder names rightly, the share that may lie beyond the distance that ``unlike_bound`` starts from; and the bins in which distances from 0 to 1 are counted.
+BEYOND, BINS = 1e-5, 1000
+#: The distance of texts of fewer letters isn't told.
+LEAST_LETTERS = 100
 
 _ROWS = "lang_pred string, score double, ambiguous boolean"
 
@@ -100,11 +102,10 @@ class Model:
         likely = np.exp(losses.min(1, keepdims=True) - losses)
         return [self.languages[i] for i in order[:, 0]], 1 / likely.sum(1), second - best < AMBIGUOUS_LEAD * np.maximum(best, 1e-9)
 
-    def unlike(self, x: np.ndarray) -> np.ndarray:
-        """Whether all codewords are about as far from a row. Between two languages an even mix is so, too, so fewer than three tell nothing."""
+    def distance(self, x: np.ndarray) -> np.ndarray:
+        """The nearest codeword's loss as a share of the mean loss, 0 to 1: near 1, all codewords are about as far. Between two languages an even mix is so, too, so fewer than three tell nothing and give 0."""
         losses = self.losses(x)
-        return losses.min(1) > UNLIKE_SHARE * losses.mean(1) if losses.shape[1] > 2 else np.zeros(len(x), bool)
-
+        return losses.min(1) / np.maximum(losses.mean(1), 1e-30) if losses.shape[1] > 2 else np.zeros(len(x))
 
 
 def fit(x: np.ndarray, labels: list[str], rounds: int = 150, step: float = 40.0, decay: float = 1e-5) -> Model:
@@ -178,11 +179,11 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id
     return fit(np.stack([np.frombuffer(r.x, np.float32) for r in got]), [r.lang for r in got])
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", with_unlike: bool = False) -> DataFrame:
-    """The columns ``keep`` with lang_pred, score and ambiguous. A null text, or one without a letter, is ``und`` with score 0; so is every text where there is no model. ``with_unlike``: also whether a text has no letter or fits no learned language; without a model, only the first."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", with_distance: bool = False) -> DataFrame:
+    """The columns ``keep`` with lang_pred, score and ambiguous. A null text, or one without a letter, is ``und`` with score 0; so is every text where there is no model. ``with_distance``: also its distance from the learned languages, null for texts without a letter and 0 where it can't be told (no model, fewer than three languages, few letters)."""
     sent = docs.select(*keep, *([] if text_col in keep else [text_col])).withColumn(text_col, F.col(text_col).cast("string"))
     at_text, fields = sent.columns.index(text_col), sent.schema.fields[: len(keep)]
-    out = docs.sparkSession.createDataFrame([], _ROWS + ", unlike boolean" * with_unlike).schema
+    out = docs.sparkSession.createDataFrame([], _ROWS + ", distance double" * with_distance).schema
 
     def run(batches):
         import regex
@@ -192,19 +193,19 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
             texts = batch.column(at_text).to_pylist()
             lettered = [i for i, t in enumerate(texts) if t and letter.search(t)]
             real = lettered if model is not None else []
-            unlike = [True] * len(texts)
+            far: list[float | None] = [None] * len(texts)
             for i in lettered:
-                unlike[i] = False
+                far[i] = 0.0
             names, scores, flags = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
             for at in range(0, len(real), 256):
                 some = real[at : at + 256]
                 x = np.stack([features(texts[i]) for i in some])
                 for i, n, s, a in zip(some, *model.decide(x), strict=True):
                     names[i], scores[i], flags[i] = n, float(s), bool(a)
-                for i, u in zip(some, model.unlike(x) if with_unlike else (), strict=with_unlike):
-                    unlike[i] = bool(u) and letters(texts[i]) >= LEAST_LETTERS
+                for i, d in zip(some, model.distance(x) if with_distance else (), strict=with_distance):
+                    far[i] = float(d) if letters(texts[i]) >= LEAST_LETTERS else 0.0
             columns = [batch.column(i) for i in range(len(keep))]
-            told = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_()), pa.array(unlike, pa.bool_())]
+            told = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_()), pa.array(far, pa.float64())]
             yield pa.record_batch([*columns, *told[: len(out)]], names=[*keep, *out.names])
 
     from pyspark.sql.types import StructType
@@ -212,6 +213,27 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
     return sent.mapInArrow(trimmed(run), StructType(fields + out.fields))
 
 
+def unlike_bound(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """The distance above which a text is unlike the learned languages, from labelled rows of ``docs`` that the model wasn't fitted on (fold 0).
+
+    Half way between 1, where no codeword is nearer than another, and the distance that a share of at
+    most ``BEYOND`` of the rightly named held-out texts exceeds. Rows named wrongly say nothing about
+    their language. Distances are counted in ``BINS`` equal bins, so no more than these reach the
+    driver. Where no held-out row can be told, 1: then no text is unlike.
+    """
+    if model is None or len(model.languages) < 3:
+        return 1.0
+    held = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), fold_of(id_col).alias("fold")).filter("fold = 0 AND lang IS NOT NULL AND text IS NOT NULL")
+    told = predict(held, model, ["lang"], with_distance=True).filter("lang = lang_pred AND distance > 0")
+    bins = told.groupBy(F.least(F.ceil(F.col("distance") * BINS), F.lit(BINS)).alias("bin")).agg(F.count("*").alias("n")).collect()
+    beyond, allowed = 0, BEYOND * sum(r.n for r in bins)
+    for row in sorted(bins, key=lambda r: -r.bin):
+        beyond += row.n
+        if beyond > allowed:
+            return (1 + row.bin / BINS) / 2
+    return 1.0
+
+
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, ambiguous.
 

@@ -274,6 +274,30 @@ def test_language_accuracy_and_plain_decoder(spark):
         assert name == model.languages[int(np.argmin(losses))] and score == pytest.approx(1 / sum(np.exp(min(losses) - v) for v in losses), rel=1e-3)
 
 
+def test_bound_for_unlike_texts_comes_from_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs)
+    far = []
+    for r in docs.filter("crc32(cast(doc_id as string)) % 5 = 0 AND lang IS NOT NULL AND text IS NOT NULL").collect():
+        x = langid.features(r.text)[None]
+        losses = model.losses(x)[0]
+        if langid.letters(r.text) >= langid.LEAST_LETTERS and model.decide(x)[0] == [r.lang]:
+            far.append(losses.min() / losses.mean())
+    bound = langid.unlike_bound(docs, model)
+    assert bound == pytest.approx((1 + max(far)) / 2, abs=1 / langid.BINS)
+    # labels that the decoder doesn't confirm, unlabelled rows and rows of other folds move nothing
+    noise = [(i, "qwzx kjvv pbgh xxq wqz " * 20, "en" if i % 2 else None) for i in range(-300, 0)]
+    more = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([r for r in noise if model.decide(langid.features(r[1])[None])[0] != [r[2]]], "doc_id long, text string, lang string"))
+    assert langid.unlike_bound(more, model) == bound
+    assert langid.unlike_bound(docs.filter("false"), model) == langid.unlike_bound(docs.withColumn("lang", F.lit(None)), model) == langid.unlike_bound(docs, None) == 1.0
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_clean_documents_pass_the_language_stage(spark, table):
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    assert corpus_pipeline.language(spark, docs, table).count() == docs.filter(r"text RLIKE '\\p{L}'").count()
+
+
 def test_clashing_columns_change_nothing(spark, odd):
     plain = odd.select("doc_id", "text", "lang")
     assert _all(langid.identify(odd)) == _all(langid.identify(plain))
