@@ -31,14 +31,14 @@ def _without(docs: DataFrame, gone: DataFrame, same) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or without a letter go, and those that the decoder finds unlike all learned languages. A null lang becomes the predicted one.
+    """Documents without text or without a letter go, and those that lie beyond ``langid.unlike_bound`` of this corpus from all learned languages. A null lang becomes the predicted one.
 
     Without a row to learn from, only the first go, and lang stays. Rows are judged by their text
     alone: a null doc_id and repeated rows are judged as others are. An empty table stays empty.
     """
     docs = _documents(docs)
     model = langid.train(docs)
-    told = langid.predict(docs, model, list(COLUMNS), with_unlike=True).filter(~F.col("unlike"))
+    told = langid.predict(docs, model, list(COLUMNS), with_distance=True).filter(F.col("distance") <= langid.unlike_bound(docs, model))
     return told.withColumn("lang", F.coalesce("lang", F.when(F.lit(model is not None), F.col("lang_pred")))).select(*COLUMNS)
 
 
