@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import buckets_for, materialize
 
 #: Repeated digests up to this number are sent to the executors (about 60 MB); above it the join shuffles.
 BROADCAST_DIGESTS = 1_000_000
@@ -68,13 +68,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_fingerprints(canons, {"fingerprint": "canon"}, found).select("doc_id", "fingerprint")
 
 
-def _previous(ids: DataFrame) -> DataFrame:
+def _previous(ids: DataFrame, ranges: int) -> DataFrame:
     """(doc_id, quarter) -> (doc_id, prev_id, prev_quarter) in ascending doc_id order; the last comes before the first.
 
-    Ordered in key ranges; only the last row of each range meets the others in one task.
+    Ordered in so many key ranges; only the last row of each range meets the others in one task.
     """
-    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(ids.repartitionByRange(n, "doc_id").withColumn("range", F.spark_partition_id()), "ranges")
+    ranged = materialize(ids.repartitionByRange(ranges, "doc_id").withColumn("range", F.spark_partition_id()), "ranges")
     lasts = ranged.groupBy("range").agg(F.max(F.struct("doc_id", "quarter")).alias("last"))
     order = Window.orderBy("range")
     before = lasts.select("range", F.coalesce(F.lag("last").over(order), F.max("last").over(Window.partitionBy())).alias("before"))
@@ -98,7 +97,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     collided = collisions_or_none(canons.select("canon", digest(F.col("canon")).alias("fingerprint")))
     placed = rows.filter("doc_id IS NOT NULL")
     ids = placed.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).alias("quarter"))
-    link = materialize(_previous(ids), "links")
+    link = materialize(_previous(ids, buckets_for(placed, 1)), "links")  # ranges follow the input, so each stays as small as its partitions
     few = link.count() <= BROADCAST_LINKS  # then whole texts move once, else twice
     heads = placed.join(F.broadcast(link) if few else link, "doc_id").select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("prev_quarter").cast("int")).alias("head"), canonical(F.col("text")).alias("next_canon"))
     heads = with_fingerprints(heads, {"next_fingerprint": "next_canon"}, collided).drop("next_canon")
