@@ -109,7 +109,7 @@ def segments(content):
 
 
 def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id: int | None = END_ID, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the ids of every text in ascending doc_id order (nulls first, then by text), a file per key range; at least as many files as the input has partitions, unless ``files`` says otherwise, so a file stays as small as they.
+    """Writes the ids of every text in ascending doc_id order (nulls first; rows that share a doc_id by a hash of their text), a file per key range; at least as many files as the input has partitions, unless ``files`` says otherwise, so a file stays as small as they. Rows that share a doc_id, or the text too, may lie in several files.
 
     A null text is an empty document; repeated rows are written once each. An empty table leaves no
     ids. A document longer than a segment gets a segment of its own.
@@ -136,7 +136,8 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     files = files or max(buckets_for(rows, 1, 1), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    placed = rows.withColumns({"h": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    ordered = placed.repartitionByRange(files, "doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     write_blobs(ordered.mapInArrow(trimmed(encode, holds=True), "chunk binary"), out, "\n")
 
 
