@@ -38,7 +38,7 @@ def base32_sha1(payload: bytes) -> str:
 def plan_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, url, payload, refers_to): of equal payloads of ``least_bytes`` or more, the smallest page_id is the response; the others refer to it.
 
-    Equality is that of SHA-1 and length. Digests are pre-aggregated before they meet, and only
+    Equality is that of SHA-256 and length, as SHA-1, which the records carry, has known collisions. Digests are pre-aggregated before they meet, and only
     payloads that occur more than once take part in the join. Payloads stay where they are while the
     later copies are few enough to be sent to them. Rows that share a page_id are judged by their own
     payloads; those that share the payload too are alike. A null page_id is written without a number
@@ -47,7 +47,7 @@ def plan_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id"
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "utf-8")
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
-    digest, size = F.sha1("payload").alias("digest"), F.length("payload").alias("size")
+    digest, size = F.unhex(F.sha2("payload", 256)).alias("digest"), F.length("payload").alias("size")
     keyed = rows.select("page_id", digest, size).filter(F.col("size") >= least_bytes)
     first = keyed.groupBy("digest", "size").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).filter("first_id < last_id").drop("last_id")
     later = keyed.join(first, ["digest", "size"]).filter("page_id > first_id").select("page_id", "digest", "size", F.col("first_id").alias("refers_to")).distinct()
