@@ -74,6 +74,64 @@ def test_token_files_hold_the_library_ids(odd):
         at += r.n_tokens
 
 
+def test_one_id_with_most_rows_lies_in_many_files(spark, tmp_path):
+    long = "".join(f"word{i % 977} and\n" for i in range(150_000))
+    rows = [*[(5, "twin")] * 1500, *[(5, f"text {i}") for i in range(500)], *[(None, None)] * 1000, (1, "first"), (9, "last"), (9, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    token_output.write_token_files(docs, str(tmp_path / "t"), files=8)
+    enc = tokens.SegmentEncoder(tokens.tokenizer_path(tokens.WORD_BPE)).tokenizer
+    want = []
+    for i, t in rows:
+        ids = np.asarray([*enc.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, len(ids), zlib.crc32(ids.tobytes())))
+    got = sorted(token_output.read_token_files(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    files = token_output.read_blobs(spark, str(tmp_path / "t")).collect()
+    holders = [f.file_no for f in files if any(5 in s.doc_ids for s in token_output.segments(f.content))]
+    assert len(holders) > 3
+
+
+def test_long_texts(spark):
+    """op2, op3, op4, op6 and op9: a text of many megabytes among short ones, repeated and empty ones."""
+    long = "".join(f"the word {i % 977} and the house of {i % 91}\n" for i in range(100_000))
+    rows = [(1, long), (2, long), (3, "the cat"), (4, ""), (5, None), (6, "le chat"), (7, long[:-1]), *[(10 + i, f"the house {i} and the words") for i in range(30)]]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    texts = {i: t or "" for i, t in rows}
+    got = {r.page_id: r for r in warc.warc_round_trip(docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"))).collect()}
+    assert {i: (r.payload_bytes, r.payload_digest) for i, r in got.items()} == {i: (len(t), warc.base32_sha1(t.encode())) for i, t in texts.items()}
+    assert {i for i, r in got.items() if r.record_type == "revisit"} == {2, 5} and (got[2].refers_to, got[5].refers_to) == (1, 4)
+    ids = {i: np.asarray([*tokens.SegmentEncoder(tokens.tokenizer_path(tokens.BYTE_BPE)).tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in texts.items()}
+    pieces = packing.pack(docs).collect()
+    assert all(zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes()) == p.ids_crc32 for p in pieces)
+    assert sum(p.length for p in pieces) == sum(map(len, ids.values()))
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()} == {i: "en" if t else "und" for i, t in texts.items()}
+    prints = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs).collect()}
+    for i, text, edited, after in _edits(list(texts.items())):
+        r = prints[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.near_edited, r.near_next) == (float(_canonical(text) == _canonical(edited)), float(_canonical(text) == _canonical(after)))
+    licensed = docs.withColumn("text", F.when(F.col("doc_id") == 1, F.concat("text", F.lit("\nReleased under the MIT License."))).otherwise(F.col("text")))
+    found = {r.doc_id: r.license for r in licenses.scan_licenses(licenses.document_paths(licensed.withColumn("source", F.col("doc_id").cast("string")))).collect()}
+    assert found[1] == "MIT" and found[3] is None
+
+
+def test_fingerprints_of_repeated_and_null_ids(odd):
+    """Rows that share a doc_id have the same next document, whose smallest text is taken; those without one have an empty next."""
+    ids = sorted({i for i, _ in ROWS if i is not None})
+    head = {i: min((t or "") for j, t in ROWS if j == i) for i in ids}
+    follow = dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+    want = []
+    for i, t in ROWS:
+        text, after = t or "", head[follow[i]] if i is not None else ""
+        n = len(text) // 4
+        edited = text[: len(text) - n] + after[:n]
+        want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), float(_canonical(text) == _canonical(edited))))
+    got = fingerprint.edited_fingerprints(odd).collect()
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_token_counts_of_the_query(documents):
     enc = tokens.SegmentEncoder(tokens.tokenizer_path(tokens.BYTE_BPE), True)
     texts = {r.doc_id: r.text for r in documents.collect()}
