@@ -32,11 +32,10 @@ SCHEMAS = {"results": RESULTS, "questions": QUESTIONS, "metrics": METRICS}
 def ranked(name: str, docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, doc_id, score) of a pipeline: TF-IDF cosine alone, BM25 alone, or both with quality."""
     if name == "baseline":
-        cosine = tfidf.cosine(docs, asked, tfidf.BASELINE_FEATURES, 2).withColumn("cosine", F.round("cosine", 6))
+        cosine = tfidf.nearest(docs, asked, ranking.pool_size(k), tfidf.BASELINE_FEATURES, 2, digits=6)
         found = tfidf.pool(cosine, asked, docs, ranking.pool_size(k)).withColumnRenamed("cosine", "score")
     elif name == "bm25":
-        scores = lexical.Bm25(docs).scores(asked).withColumn("score", F.round("bm25", 6))
-        found = lexical.top(scores, k, "score")
+        found = lexical.Bm25(docs).fit(asked, digits=6).top(k).withColumnRenamed("bm25", "score")
     elif name == "hybrid":
         found = ranking.hybrid(docs, asked, k).withColumnRenamed("final", "score")
     else:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..shared import Sized, keys_of, sized, written
-from . import quantile
+from . import quantile, sparse
 
 K1, B = 1.5, 0.75
 
@@ -68,16 +69,75 @@ class Bm25:
     key: str | Sequence[str] = "doc_id"
     text: str = "text"
 
-    def scores(self, queries: DataFrame, qkey: str = "item_id", qtext: str = "text") -> DataFrame:
-        """(query_id, key, bm25) of documents that share a term; repeated query words count repeatedly. Only postings of query terms are built."""
+    def fit(self, queries: DataFrame, qkey: str = "item_id", qtext: str = "text", digits: int = 9) -> Fit:
+        """The scores of queries, to ``digits`` decimals, of documents that share a term; repeated query words count repeatedly. Only postings of query terms are built, in a row per document."""
         asked = query_terms(queries, qkey, qtext)
-        posted = postings(self.docs, self.key, self.text, asked.side(asked.table.select("term").distinct()))
-        stats = corpus_stats(doc_len(self.docs, self.key, self.text))
-        return scored(asked, posted, idf(doc_freq(posted), stats), stats, self.key)
+        if not asked.few:
+            posted = postings(self.docs, self.key, self.text, asked.side(asked.table.select("term").distinct()))
+            stats = corpus_stats(doc_len(self.docs, self.key, self.text))
+            joined = scored(asked, posted, idf(doc_freq(posted), stats), stats, self.key)
+            return Fit(keys_of(self.key), None, written(joined.withColumn("bm25", F.round("bm25", digits)), "scores"))
+        keys, rows = keys_of(self.key), asked.table.collect()
+        terms = sorted({r.term for r in rows})
+        words = self.docs.select(*keys, T.words(F.lower(F.col(self.text))).alias("w")).withColumn("dl", F.size("w").cast("long"))
+        counts = written(sparse.counted(words, [*keys, "dl"], sparse.Vocabulary(terms)), "postings")
+        n, avgdl = counts.agg(F.count("*"), F.avg("dl")).first()
+        again = sparse.shared_keys(counts, keys)
+        counts = written(sparse.merged(counts, [*keys, "dl"]), "postings") if again else counts
+        df = np.zeros(len(terms))
+        for r in counts.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).collect():  # one per term of a query
+            df[r["at"]] = r["df"]
+        idfs, place = np.log((n - df + 0.5) / (df + 0.5) + 1), {t: i for i, t in enumerate(terms)}
+
+        def value(at: np.ndarray, tf: np.ndarray, row: np.ndarray, batch) -> np.ndarray:
+            dl = np.asarray(batch.column(batch.schema.names.index("dl")).fill_null(0))[row]
+            return idfs[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+        if again:  # a document's rows of different lengths add up
+            counts, value = written(sparse.valued(counts, keys, value), "values"), lambda at, v, row, batch: v
+        return Fit(keys, sparse.Scores(counts, keys, [(r.query_id, place[r.term], r.qn) for r in rows], len(terms), value, digits, queries.schema[qkey].dataType), None)
+
+    def scores(self, queries: DataFrame, qkey: str = "item_id", qtext: str = "text") -> DataFrame:
+        """(query_id, key, bm25) of all documents that share a term."""
+        return self.fit(queries, qkey, qtext).pairs()
+
+
+@dataclass
+class Fit:
+    """BM25 of documents for queries: by rows of postings, or as a table of pairs where the queries are too many to be sent to all tasks."""
+
+    keys: list[str]
+    scores: sparse.Scores | None
+    joined: DataFrame | None
+
+    def pairs(self) -> DataFrame:
+        """(query_id, key, bm25)."""
+        return self._named(self.scores.pairs()) if self.scores else self.joined
+
+    def _named(self, found: DataFrame) -> DataFrame:
+        return found.withColumnRenamed("score", "bm25")
+
+    def top(self, k: int) -> DataFrame:
+        """(query_id, key, bm25, rank) of the ``k`` best documents of each query."""
+        return self._named(self.scores.top(k)) if self.scores else top(self.joined, k, "bm25", self.keys)
+
+    def of(self, pool: Sized) -> DataFrame:
+        """(query_id, key, bm25) of the pairs in a pool (query_id, key) that score."""
+        if self.scores:
+            return self._named(self.scores.of(pool.table, pool.side))
+        return self.joined.join(pool.side(pool.table.select("query_id", *self.keys)), ["query_id", *self.keys], "left_semi")
+
+    def p95(self) -> DataFrame:
+        """(query_id, p95), as ``p95``."""
+        return self.scores.percentile(0.95).select("query_id", F.col("percentile").alias("p95")) if self.scores else p95(self.joined)
+
+    def normalised(self, pool: Sized | None = None) -> DataFrame:
+        """As ``normalised``, of all pairs or of those in a pool."""
+        return _clipped(self.of(pool) if pool else self.pairs(), sized(self.p95(), "p95"))
 
 
 def top(scores: DataFrame, k: int, score: str, key: str | Sequence[str] = "doc_id") -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), F.asc(key)))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), *keys_of(key)))
     return scores.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
@@ -89,5 +149,8 @@ def p95(scores: DataFrame) -> DataFrame:
 def normalised(scores: DataFrame) -> DataFrame:
     """Adds bm25n: one positive score is divided by itself, several by their 95th percentile, clipped to 0 and 1."""
     scores = written(scores, "scores")
-    positive = sized(p95(scores), "p95")
+    return _clipped(scores, sized(p95(scores), "p95"))
+
+
+def _clipped(scores: DataFrame, positive: Sized) -> DataFrame:
     return scores.join(positive.side(), "query_id", "left").withColumn("bm25n", F.when(F.col("p95").isNull(), F.col("bm25")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("bm25") / F.col("p95")))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import sized
+from ..shared import Sized, sized
 
 #: Bins of a histogram; values of a group that are sorted at most, more are divided into bins first.
 BINS, SORTED = 1024, 5_000
@@ -13,7 +13,12 @@ BINS, SORTED = 1024, 5_000
 
 def _wanted(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
     """(by, n, position, rank, below, low, high) for the one or two ranks between which a percentile lies; at first among all values."""
-    of = rows.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).withColumn("position", F.lit(p) * (F.col("n") - 1))
+    return wanted(rows.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")), by, p)
+
+
+def wanted(of: DataFrame, by: str, p: float) -> DataFrame:
+    """As ``_wanted``, of groups' counts and bounds (by, n, low, high)."""
+    of = of.withColumn("position", F.lit(p) * (F.col("n") - 1))
     ranks = F.array_distinct(F.array(F.floor("position"), F.ceil("position")))
     return of.select(by, "n", "position", F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), "low", "high")
 
@@ -25,10 +30,15 @@ def _narrowed(rows: DataFrame, by: str, value: str, state: DataFrame) -> DataFra
     place = F.when(span > 0, F.least(F.floor((half(value) - half("low")) / span * BINS), F.lit(BINS - 1))).otherwise(0)
     inside = rows.join(state, by).filter((v >= F.col("low")) & (v <= F.col("high")))
     bins = inside.groupBy(by, "n", "position", "rank", "below", place.alias("bin")).agg(F.count("*").alias("inside"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return held(bins, by)
+
+
+def held(bins: DataFrame, by: str) -> DataFrame:
+    """Of counted bins (by, n, position, rank, below, bin, inside, low, high), the one that holds each rank."""
     upto = F.sum("inside").over(Window.partitionBy(by, "rank").orderBy("bin")) + F.col("below")
     counted = bins.withColumn("upto", upto)
-    held = counted.filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("inside") <= F.col("rank")))
-    return held.select(by, "n", "position", "rank", (F.col("upto") - F.col("inside")).alias("below"), "inside", "low", "high")
+    found = counted.filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("inside") <= F.col("rank")))
+    return found.select(by, "n", "position", "rank", (F.col("upto") - F.col("inside")).alias("below"), "inside", "low", "high")
 
 
 def percentile(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
@@ -44,8 +54,12 @@ def percentile(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
     large = lambda t: not t.filter((F.col("inside") > SORTED) & (F.col("low") < F.col("high"))).isEmpty()
     while large(state.table):
         state = sized(_narrowed(rows, by, value, state.side()), "ranks")
+    return ended(rows, by, value, state, state.table.filter("low < high"))
+
+
+def ended(rows: DataFrame, by: str, value: str, state: Sized, open_: DataFrame) -> DataFrame:
+    """(by, n, percentile) from ranges that hold few values or one, and the rows in them."""
     v = F.col(value)
-    open_ = state.table.filter("low < high")
     counts = rows.join(state.side(open_), by).filter((v >= F.col("low")) & (v <= F.col("high"))).groupBy(by, "n", "position", "rank", "below", value).agg(F.count("*").alias("k"))
     upto = F.sum("k").over(Window.partitionBy(by, "rank").orderBy(value)) + F.col("below")
     sorted_ = counts.withColumn("upto", upto).filter(F.col("upto") > F.col("rank")).groupBy(by, "n", "position", "rank").agg(F.min(value).alias("at"))

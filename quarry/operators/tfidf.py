@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..shared import keys_of, sized, written
+from ..shared import Sized, keys_of, sized, written
+from . import sparse
 
 FEATURES, BASELINE_FEATURES, DIMENSIONS = 2000, 5000, 384
+#: Words that are counted with their ties, a feature.
+TIED = 5
 
 
 def terms(docs: DataFrame, key: str | Sequence[str] = "doc_id", text: str = "text", least_chars: int = 1) -> DataFrame:
@@ -21,16 +27,125 @@ def terms(docs: DataFrame, key: str | Sequence[str] = "doc_id", text: str = "tex
     return docs.select(*keys_of(key), w.alias("w")).filter(F.size("w") > 0).select(*keys_of(key), F.explode(F.concat("w", pairs)).alias("term"))
 
 
-def fitted(docs: DataFrame, features: int = FEATURES, key: str | Sequence[str] = "doc_id", text: str = "text", least_chars: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(key, term, tf) and (term, idf) of the most frequent terms; ties go to the first in order. ``features`` terms.
-
-    Terms are counted over the corpus first, so that only those of the vocabulary are counted per document.
+@dataclass
+class Fitted:
+    """Documents as rows (key, at, n) of counted terms, with the terms of a vocabulary and their idf by number."""
+
+    rows: DataFrame
+    keys: list[str]
+    terms: list[str]
+    idf: np.ndarray
+
+    def vocabulary(self) -> DataFrame:
+        """(term, idf) of the terms that stand in a document."""
+        return self.rows.sparkSession.createDataFrame([(t, float(i)) for t, i in zip(self.terms, self.idf, strict=True) if i == i], "term string, idf double")
+
+    def unit(self):
+        """The weights of a batch's terms, (1 + ln tf) * idf at length 1 a row."""
+        idf = self.idf
+
+        def value(at: np.ndarray, n: np.ndarray, row: np.ndarray, batch) -> np.ndarray:
+            raw = (1 + np.log(n)) * idf[at]
+            return raw / np.sqrt(np.bincount(row, raw * raw, batch.num_rows))[row]
+
+        return value
+
+    def _each(self, out, ddl: str) -> DataFrame:
+        keys, value = self.keys, self.unit()
+
+        def run(batches):
+            for batch in batches:
+                for first in range(0, batch.num_rows, sparse.ROWS):
+                    part = batch.slice(first, sparse.ROWS)
+                    sizes, at, n = sparse.lists(part, len(keys))
+                    row = np.repeat(np.arange(len(sizes)), sizes)
+                    yield out([part.column(i) for i in range(len(keys))], sizes, row, at, value(at, n, row, part))
+
+        return self.rows.select(*keys, "at", "n").mapInArrow(run, StructType([*[self.rows.schema[k] for k in keys], *StructType.fromDDL(ddl).fields]))
+
+    def weights(self) -> DataFrame:
+        """(key, term, w): unit vectors of (1 + ln tf) * idf."""
+        keys, terms = self.keys, self.terms
+        return self._each(lambda k, sizes, row, at, w: pa.record_batch([*[c.take(pa.array(row)) for c in k], pa.array(terms, pa.string()).take(pa.array(at)), pa.array(w)], names=[*keys, "term", "w"]), "term string, w double")
+
+    def vectors(self) -> DataFrame:
+        """(key, vector): the weights of a document in order of term; documents without a term have none."""
+        keys, terms = self.keys, self.terms
+        place = np.argsort(np.argsort(np.array([t.encode() for t in terms], object)))
+
+        def out(k, sizes, row, at, w):
+            order = np.lexsort((place[at], row))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()).take(pa.array(at[order])), pa.array(w[order])], names=["term", "w"])
+            return pa.record_batch([*k, sparse.arrays(sizes, pairs)], names=[*keys, "vector"])
+
+        return self._each(out, "vector array<struct<term: string, w: double>>").filter(F.size("vector") > 0)
+
+    def projected(self, dimensions: int = DIMENSIONS) -> DataFrame:
+        """(key, embedding): unit vectors of the projected weights of documents with a term; a zero vector stays zero."""
+        keys, used = self.keys, sorted(t for t, i in zip(self.terms, self.idf, strict=True) if i == i)
+        place = {t: i for i, t in enumerate(used)}
+        at_of = np.array([place.get(t, 0) for t in self.terms], np.int64)
+
+        def out(k, sizes, row, at, w):
+            matrix = projection(len(used), dimensions)
+            found = np.empty((len(sizes), dimensions))
+            for first in range(0, len(sizes), 128):
+                here = (row >= first) & (row < first + 128)
+                dense = np.zeros((min(128, len(sizes) - first), len(used)))
+                dense[row[here] - first, at_of[at[here]]] = w[here]
+                found[first : first + 128] = dense @ matrix
+            norm = np.linalg.norm(found, axis=1, keepdims=True)
+            found /= np.where(norm == 0, 1.0, norm)
+            some = pa.array(np.flatnonzero(sizes))
+            lists = sparse.arrays(np.full(len(sizes), dimensions), pa.array(found.ravel()))
+            return pa.record_batch([*[c.take(some) for c in k], lists.take(some)], names=[*keys, "embedding"])
+
+        return self._each(out, "embedding array<double>")
+
+    def scores(self, queries: DataFrame, qkey: str = "item_id", least_chars: int = 1, digits: int = 9) -> tuple[sparse.Scores | None, Sized]:
+        """The cosine of queries and documents that share a feature, unless the queries are too many to be sent to all tasks; and the queries' weights."""
+        asked = sized(query_weights(queries, self.vocabulary(), qkey, least_chars=least_chars), "query-weights")
+        if not asked.few:
+            return None, asked
+        number = {t: i for i, t in enumerate(self.terms)}
+        rows = [(r.query_id, number[r.term], r.qw) for r in asked.table.collect()]
+        return sparse.Scores(self.rows, self.keys, rows, len(self.terms), self.unit(), digits, queries.schema[qkey].dataType), asked
+
+
+def words(docs: DataFrame, keys: list[str], text: str, least_chars: int) -> DataFrame:
+    """(keys, w): the words of every document."""
+    return docs.select(*keys, F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.length(x) >= least_chars).alias("w"))
+
+
+def fitted(docs: DataFrame, features: int = FEATURES, key: str | Sequence[str] = "doc_id", text: str = "text", least_chars: int = 1, unique: bool = False) -> Fitted:
+    """The ``features`` most frequent terms of documents; ties go to the first in order. ``unique``: no two documents share a key.
+
+    A pair is no more frequent than its words. So words are counted first, and pairs only of words
+    that are as frequent as the last of as many words, which no pair of others can reach. Where too many words
+    are that frequent, all pairs are counted.
     """
-    every = terms(docs, key, text, least_chars)
-    best = written(every.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(features), "vocabulary")
-    counted = written(every.join(F.broadcast(best.select("term")), "term").groupBy(*keys_of(key), "term").agg(F.count("*").alias("tf")), "term-counts")  # bounded by the number of features
+    keys, spark = keys_of(key), docs.sparkSession
+    rows = words(docs, keys, text, least_chars)
+    most = lambda df, n: df.orderBy(F.desc("n"), "term").limit(n)
+    often = most(rows.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("n")), TIED * features).collect()  # bounded by the number of features
+    least = often[features - 1].n if len(often) >= features else 1
+    known = [r.term for r in often if r.n >= least]
+    if len(often) == TIED * features and often[-1].n >= least:
+        best = most(terms(docs, key, text, least_chars).groupBy("term").agg(F.count("*").alias("n")), features).collect()
+        known = sorted({w for r in best for w in r.term.split(" ")})
+        rows = sparse.numbered(rows, keys, known)
+    else:
+        rows = written(sparse.numbered(rows, keys, known), "numbered")
+        singles = spark.createDataFrame([(r.term, r.n) for r in often], "term string, n bigint")
+        best = most(singles.unionByName(sparse.word_pairs(rows, known).filter(F.col("n") >= least)), features).collect()
+    chosen = [r.term for r in best]
+    counts = sparse.counted(rows, keys, sparse.Vocabulary(chosen, True, known))
+    counts = written(counts if unique or not sparse.shared_keys(docs, keys) else sparse.merged(counts, keys), "term-counts")
     n_docs = docs.count()
-    return counted, counted.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+    df = np.full(len(chosen), np.nan)
+    for r in counts.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).collect():  # one per feature
+        df[r["at"]] = r["df"]
+    return Fitted(counts, keys, chosen, np.log((1.0 + n_docs) / (1 + df)) + 1)
 
 
 def weights(counted: DataFrame, vocab: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
@@ -46,16 +161,18 @@ def query_weights(queries: DataFrame, vocab: DataFrame, key: str = "item_id", te
     return weights(counted, vocab, key).select(F.col(key).alias("query_id"), "term", F.col("w").alias("qw"))
 
 
-def matched(weighted: DataFrame, theirs: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
+def matched(weighted: DataFrame, asked: Sized, key: str | Sequence[str] = "doc_id") -> DataFrame:
     """(query_id, key, cosine) of documents that share a feature with a query, to nine decimals, so that equal texts tie."""
-    asked = sized(theirs, "query-weights")
     return weighted.join(asked.side(), "term").groupBy("query_id", *keys_of(key)).agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("cosine"))
 
 
-def cosine(docs: DataFrame, queries: DataFrame, features: int = FEATURES, least_chars: int = 1, qkey: str = "item_id", key: str | Sequence[str] = "doc_id") -> DataFrame:
-    """As ``matched``, with the documents' own vocabulary."""
-    counted, vocab = fitted(docs, features, key, least_chars=least_chars)
-    return matched(weights(counted, vocab, key), query_weights(queries, vocab, qkey, least_chars=least_chars), key)
+def nearest(docs: DataFrame, queries: DataFrame, size: int, features: int = FEATURES, least_chars: int = 1, qkey: str = "item_id", key: str | Sequence[str] = "doc_id", digits: int = 9) -> DataFrame:
+    """(query_id, key, cosine) of the ``size`` documents that are nearest to a query and share a feature with it, with the documents' own vocabulary; cosines count by ``digits`` decimals."""
+    found = fitted(docs, features, key, least_chars=least_chars)
+    scores, asked = found.scores(queries, qkey, least_chars, digits)
+    if scores is None:
+        return matched(found.weights(), asked, key).withColumn("cosine", F.round("cosine", digits))
+    return scores.top(size).select("query_id", *keys_of(key), F.col("score").alias("cosine"))
 
 
 def pool(found: DataFrame, queries: DataFrame, keys: DataFrame, size: int, qkey: str = "item_id", key: str | Sequence[str] = "doc_id") -> DataFrame:
@@ -70,24 +187,8 @@ def pool(found: DataFrame, queries: DataFrame, keys: DataFrame, size: int, qkey:
     return every.withColumn("rank", rank().cast("long")).filter(F.col("rank") <= size)
 
 
+@functools.lru_cache(2)
 def projection(features: int, dimensions: int = DIMENSIONS, seed: int = 42) -> np.ndarray:
     """Gaussian columns of unit length."""
     m = np.random.RandomState(seed).randn(features, dimensions)
     return m / np.linalg.norm(m, axis=0, keepdims=True)
-
-
-def projected(weighted: DataFrame, vocab: DataFrame, dimensions: int = DIMENSIONS, key: str | Sequence[str] = "doc_id") -> DataFrame:
-    """(key, embedding): unit vectors of the projected weights; a zero vector stays zero."""
-    terms = sorted(r.term for r in vocab.select("term").collect())  # one per feature
-    matrix, place = projection(len(terms), dimensions), {t: i for i, t in enumerate(terms)}
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for pairs in batch.column(1).to_pylist():
-                v = np.asarray([p["w"] for p in pairs]) @ matrix[[place[p["term"]] for p in pairs]]
-                n = np.linalg.norm(v)
-                out.append((v / (n if n else 1.0)).tolist())
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=[key, "embedding"])
-
-    return weighted.groupBy(key).agg(F.collect_list(F.struct("term", "w")).alias("pairs")).mapInArrow(run, f"{key} long, embedding array<double>")

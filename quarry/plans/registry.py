@@ -204,17 +204,17 @@ def bm25_idf(spark, d):
 
 
 def _bm25(spark, d):
-    return lexical.Bm25(_docs(spark, d)).scores(table(spark, d, "benchmark")).withColumn("bm25", F.round("bm25", 6))
+    return lexical.Bm25(_docs(spark, d)).fit(table(spark, d, "benchmark"), digits=6)
 
 
 @query
 def bm25_topk(spark, d):
-    return lexical.top(_bm25(spark, d), 3, "bm25")
+    return _bm25(spark, d).top(3)
 
 
 @query
 def bm25_all(spark, d):
-    s = _bm25(spark, d)
+    s = _bm25(spark, d).pairs()
     every = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
     n = _docs(spark, d).agg(F.count("*").alias("n"))
     return s.groupBy("query_id").agg(F.count("*").alias("n_matched"), F.round(F.sum("bm25"), 3).alias("total")).join(every, "query_id", "right").crossJoin(F.broadcast(n)).select("query_id", F.coalesce("n_matched", F.lit(0)).alias("n_matched"), (F.col("n") - F.coalesce("n_matched", F.lit(0))).alias("n_zero"), F.coalesce("total", F.lit(0.0)).alias("total"))
@@ -222,34 +222,34 @@ def bm25_all(spark, d):
 
 @query
 def p95_scores(spark, d):
-    return lexical.p95(written(_bm25(spark, d), "scores")).select("query_id", F.round("p95", 6).alias("p95"))
+    return _bm25(spark, d).p95().select("query_id", F.round("p95", 6).alias("p95"))
 
 
 @query
 def bm25_norm(spark, d):
-    return lexical.normalised(_bm25(spark, d)).select("query_id", "doc_id", F.round("bm25n", 6).alias("bm25n"))
+    return _bm25(spark, d).normalised().select("query_id", "doc_id", F.round("bm25n", 6).alias("bm25n"))
 
 
 @query
 def candidate_scores_left(spark, d):
-    cos = _pool(spark, d).select("query_id", "doc_id")
-    return cos.join(_bm25(spark, d), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    pool = sized(_pool(spark, d).select("query_id", "doc_id"), "pool")
+    return pool.table.join(_bm25(spark, d).of(pool), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
 
 
 def _pool(spark, d, features=tfidf.FEATURES, least=1):
     docs, asked = _docs(spark, d), table(spark, d, "benchmark")
-    c = tfidf.cosine(docs, asked, features, least)
-    return tfidf.pool(c.withColumn("cosine", F.round("cosine", 6)), asked, docs, ranking.pool_size(3))
+    c = tfidf.nearest(docs, asked, ranking.pool_size(3), features, least, digits=6)
+    return tfidf.pool(c, asked, docs, ranking.pool_size(3))
 
 
 @query
 def tfidf_weights(spark, d):
-    return tfidf.weights(*tfidf.fitted(_docs(spark, d))).select("doc_id", "term", F.round("w", 6).alias("w"))
+    return tfidf.fitted(_docs(spark, d)).weights().select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
 @query
 def baseline_tfidf(spark, d):
-    return tfidf.weights(*tfidf.fitted(_docs(spark, d), tfidf.BASELINE_FEATURES, least_chars=2)).select("doc_id", "term", F.round("w", 6).alias("w"))
+    return tfidf.fitted(_docs(spark, d), tfidf.BASELINE_FEATURES, least_chars=2).weights().select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
 @query
@@ -260,8 +260,7 @@ def baseline_topk(spark, d):
 
 @query
 def random_projection(spark, d):
-    counted, vocab = tfidf.fitted(_docs(spark, d))
-    return tfidf.projected(tfidf.weights(counted, vocab), vocab)
+    return tfidf.fitted(_docs(spark, d)).projected()
 
 
 def _vectors(spark, d):
@@ -405,28 +404,28 @@ def _graded(spark, d, results):
 
 @query
 def relevant_hits_semi(spark, d):
-    return lexical.top(_bm25(spark, d), 3, "bm25").join(_relevant(spark, d), ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "rank")
+    return _bm25(spark, d).top(3).join(_relevant(spark, d), ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "rank")
 
 
 @query
 def ir_metrics(spark, d):
-    return evaluate.metrics(_graded(spark, d, lexical.top(_bm25(spark, d), 3, "bm25")))
+    return evaluate.metrics(_graded(spark, d, _bm25(spark, d).top(3)))
 
 
 @query
 def ndcg(spark, d):
-    g = _graded(spark, d, lexical.top(_bm25(spark, d), 3, "bm25"))
+    g = _graded(spark, d, _bm25(spark, d).top(3))
     return g.select("query_id", F.round(evaluate.ndcg(), 4).alias("ndcg"))
 
 
 @query
 def first_relevant_rank(spark, d):
-    return _graded(spark, d, lexical.top(_bm25(spark, d), 3, "bm25")).select("query_id", "first")
+    return _graded(spark, d, _bm25(spark, d).top(3)).select("query_id", "first")
 
 
 @query
 def metric_deltas(spark, d):
-    a = evaluate.metrics(_graded(spark, d, lexical.top(_bm25(spark, d), 3, "bm25")))
+    a = evaluate.metrics(_graded(spark, d, _bm25(spark, d).top(3)))
     b = evaluate.metrics(_graded(spark, d, _pool(spark, d).filter("rank <= 3")))
     names = ["hit1", "hit3", "mrr", "ndcg3"]
     both = a.select(*[F.col(n).alias(f"a_{n}") for n in names]).crossJoin(b.select(*[F.col(n).alias(f"b_{n}") for n in names]))  # one row each
@@ -472,7 +471,7 @@ def composite_leaderboard(spark, d):
 
 
 def _with_excerpt(spark, d, column):
-    best = lexical.top(_bm25(spark, d), 3, "bm25").select("query_id", "doc_id")
+    best = _bm25(spark, d).top(3).select("query_id", "doc_id")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return best.join(q, "query_id").join(_docs(spark, d).select("doc_id", "text"), "doc_id").select("query_id", "doc_id", column.alias("excerpt"))
 

@@ -180,11 +180,11 @@ class Engine:
             config["cells"] = {"schema": cells.assigned.schema.jsonValue(), "n_cells": cells.n_cells, "probes": cells.probes}
             shape = vectors.agg(F.avg(F.sqrt(vector.dot(F.col("vector"), F.col("vector")))).alias("mean_norm"), F.max(F.size("vector")).alias("dimensions"))
         else:
-            counted, vocab = tfidf.fitted(texts, features, KEY)
-            vocab = kept(vocab, "vocabulary")
-            weights = kept(tfidf.weights(counted, vocab, KEY), "weights", "term")
-            kept(weights.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("vector")).withColumn("chunk_id", chunk_id()), "forward", "chunk_id")  # a chunk's terms
-            norms = weights.groupBy(*KEY).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+            found = tfidf.fitted(texts, features, KEY, unique=True)
+            kept(found.vocabulary(), "vocabulary")
+            kept(found.weights(), "weights", "term")
+            forward = kept(found.vectors().withColumn("chunk_id", chunk_id()), "forward", "chunk_id")  # a chunk's terms
+            norms = forward.select(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])).alias("norm"))
             shape = norms.agg(F.avg("norm").alias("mean_norm"), F.lit(tables["vocabulary"]["rows"]).alias("dimensions"))
         config |= shape.first().asDict() | {"tables": tables, "fingerprint": mark or cls.fingerprint(docs, cls.settings(title, contextual, features, encoder)), "indexing_time_s": round(time.time() - began, 3)}
         spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.text(f"{path}/config")  # what makes it an index
