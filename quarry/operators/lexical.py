@@ -55,6 +55,13 @@ def postings(docs: DataFrame, key: str | Sequence[str] = "doc_id", text: str = "
     return rows.groupBy("term", *keys, "dl").agg(F.count("*").alias("tf")).select("term", *keys, "tf", "dl")
 
 
+def row_postings(docs: DataFrame, key: str | Sequence[str] = "doc_id", text: str = "text") -> DataFrame:
+    """As ``postings`` of documents that share no key: each is counted in its row, and nothing moves."""
+    keys = keys_of(key)
+    words = docs.select(*keys, T.words(F.lower(F.col(text))).alias("w")).withColumn("dl", F.size("w").cast("long"))
+    return sparse.terms_of(words, [*keys, "dl"]).select("term", *keys, "tf", "dl")
+
+
 def scored(asked: Sized, posted: DataFrame, idfs: DataFrame, stats: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
     """(query_id, key, bm25) of ``asked`` (query_id, term, qn) over postings, idf per term and one row of avgdl."""
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .operators import chunk, encode, expand, lexical, ranking, tfidf, vector
-from .shared import dealt, in_folders, shared_path, sized, spread
+from .operators import chunk, encode, expand, lexical, ranking, sparse, tfidf, vector
+from .shared import Sized, dealt, in_folders, shared_path, sized, spread
 from .sources import loaders
 
 LOG = logging.getLogger(__name__)
@@ -35,6 +35,8 @@ TOP_K, MOST_CHARS, CACHE_SIZE = 3, 500, 100
 FOLDER_CHUNKS, CHUNK_CHARS, MOST_FOLDERS = 200_000, 600, 4096
 #: First chunks in order, which fill a pool where too few match.
 HEADS = 1000
+#: Questions from which on a search reads all chunks in order, and no longer what their terms have in the folders: their words are in most chunks.
+MANY = 16
 KEY = ["doc_id", "chunk_ord"]
 
 
@@ -168,7 +170,7 @@ class Engine:
         config["folders"] = min(MOST_FOLDERS, size.chars // (FOLDER_CHUNKS * CHUNK_CHARS) + 1)
         chunks = kept(cut(docs.withColumn("title", F.col(title))).withColumn("chunk_id", chunk_id()), "chunks", "chunk_id")
         kept(chunks.select(*KEY).orderBy(*KEY).limit(HEADS), "heads")
-        posted = kept(lexical.postings(chunks, KEY), "postings", "term")
+        posted = kept(lexical.row_postings(chunks, KEY), "postings", "term")
         n = chunks.agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.avg("word_count").alias("avg_words"), F.avg("quality_score").alias("avg_quality")).first().asDict()
         config |= n | {"n_docs_loaded": size.n}
         stats = spark.range(1).select(F.lit(n["n_chunks"]).alias("n"))
@@ -231,6 +233,18 @@ class Engine:
         c = self.config["cells"]
         return vector.open_index(self.spark, f"{self.path}/cells", StructType.fromJson(c["schema"]), c["n_cells"], KEY, "vector", c["probes"])
 
+    def _many(self, queries: DataFrame) -> bool:
+        return queries.limit(MANY).count() == MANY
+
+    def _bm25(self, queries: DataFrame, pool: Sized) -> DataFrame:
+        """(query_id, doc_id, chunk_ord, bm25n) of the pool's chunks that have a word of the question."""
+        if self._many(queries):
+            return lexical.Bm25(self.chunks(), KEY).fit(queries).normalised(pool).select("query_id", *KEY, "bm25n")
+        words = lexical.query_terms(queries)
+        posted, idf = (self._wanted(t, words.table, "term") for t in ("postings", "idf"))
+        stats = self.spark.range(1).select(F.lit(self.config["avg_words"]).cast("double").alias("avgdl"))
+        return lexical.normalised(lexical.scored(words, posted, idf, stats, KEY)).select("query_id", *KEY, "bm25n")
+
     def _nearest(self, queries: DataFrame, size: int, exact: bool) -> DataFrame:
         """(query_id, doc_id, chunk_ord, chunk_id, cosine): the pool of each query."""
         if self.encoder:
@@ -239,8 +253,14 @@ class Engine:
             found = vector.cosine_topk(asked, cells.assigned, size, KEY, "vector", "item_id") if exact else cells.search(asked, size, query_key="item_id")
             return found.drop("rank").withColumn("chunk_id", chunk_id())
         theirs = sized(tfidf.query_weights(queries, self._table("vocabulary")), "query-weights")
-        met = self._wanted("weights", theirs.table, "term").join(theirs.side(), "term").groupBy("query_id", *KEY).agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("cosine"))
         heads = self._table("heads") if size <= HEADS else self.chunks()
+        if theirs.few and self._many(queries):
+            rows = theirs.table.collect()
+            terms = sorted({r.term for r in rows})
+            place = {t: i for i, t in enumerate(terms)}
+            scores = sparse.Scores(sparse.of_vectors(self._table("forward"), KEY, terms), KEY, [(r.query_id, place[r.term], r.qw) for r in rows], len(terms), lambda at, w, row, batch: w, 9, queries.schema["item_id"].dataType)
+            return tfidf.pool(scores.top(size).withColumnRenamed("score", "cosine"), queries, heads, size, key=KEY).drop("rank").withColumn("chunk_id", chunk_id())
+        met = self._wanted("weights", theirs.table, "term").join(theirs.side(), "term").groupBy("query_id", *KEY).agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("cosine"))
         return tfidf.pool(met, queries, heads, size, key=KEY).drop("rank").withColumn("chunk_id", chunk_id())
 
     def search(self, queries: DataFrame, k: int = TOP_K, use_mmr: bool = True, use_expansion: bool = True, weights: tuple | None = None, rules: expand.Rules = expand.RULES, products: Sequence[str] = ranking.PRODUCTS, exact: bool = False) -> DataFrame:
@@ -256,10 +276,7 @@ class Engine:
         asked = queries.groupBy("item_id").agg(F.min("text").alias("text"))
         far, near = (expand.expand(asked, rules, n).select("item_id", F.col("expanded").alias("text")) if use_expansion else asked for n in (3, 8))
         pool = sized(self._nearest(far, ranking.pool_size(k), exact), "pool")
-        words = lexical.query_terms(near)
-        posted, idf = (self._wanted(t, words.table, "term") for t in ("postings", "idf"))
-        stats = self.spark.range(1).select(F.lit(self.config["avg_words"]).cast("double").alias("avgdl"))
-        bm = lexical.normalised(lexical.scored(words, posted, idf, stats, KEY)).select("query_id", *KEY, "bm25n")
+        bm = self._bm25(near, pool)
         w = ranking.query_weights(asked, products, weights).select(F.col("item_id").alias("query_id"), "w_cosine", "w_bm25", "w_quality", ranking.query_lambda(F.col("text"), products).alias("lambda"))
         rows = bm.join(pool.side(), ["query_id", *KEY], "right").join(pool.side(w), "query_id")
         rows = self._wanted("chunks", pool.table, "chunk_id").select("chunk_id", "quality_score").join(pool.side(rows), "chunk_id").withColumns({"cosine": (F.col("cosine") + 1) / 2, "bm25n": F.coalesce("bm25n", F.lit(0.0))})
