@@ -41,22 +41,48 @@ def _all(c: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), rules, c)
 
 
+def only(c: Column, needed, step) -> Column:
+    """``step`` of texts that have what it needs at least, a cheap test; of others it would change nothing."""
+    return let(c, lambda x: F.when(needed(x), step(x)).otherwise(x))
+
+
+def _has(*parts: str):
+    return lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(p)) for p in parts])
+
+
+def _foreign(x: Column) -> Column:
+    return F.octet_length(x) != F.length(x)
+
+
+def _each(c: Column, rules: list[tuple[str, str]], needed: list[tuple]) -> Column:
+    """As ``_all``; each rule runs on texts with one of its literals."""
+    step = lambda x, rule, parts: only(x, _has(*parts), lambda y: F.regexp_replace(y, rule[0], rule[1]))
+    return reduce(lambda x, r: step(x, *r), zip(rules, needed, strict=True), c)
+
+
+#: What a text must have for each of BOILERPLATE.
+_BOILERPLATE = [
+    lambda x: F.contains(F.upper(x), F.lit("TECH")), lambda x: F.contains(F.upper(x), F.lit("FOOD")),
+    lambda x: F.contains(x, F.lit("-")) | F.contains(F.upper(x), F.lit("PAGE")), lambda x: x.rlike("[-=_]{4}"),
+]
+
+
 def page_breaks(c: Column) -> Column:
     return F.replace(c, F.lit("\f"), F.lit("\n\n"))
 
 
 def encoding(c: Column) -> Column:
     """Literal repairs, then NFC by the ICU library that Spark brings along. Null becomes empty."""
-    fixed = reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), LITERALS, c)
-    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(fixed, F.lit("")), F.lit(False))
+    fixed = lambda c: reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), LITERALS, c)
+    return only(F.coalesce(c, F.lit("")), _foreign, lambda x: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), fixed(x), F.lit(False)))
 
 
 def bullets(c: Column) -> Column:
-    return F.regexp_replace(c, BULLETS, "-")
+    return only(c, _foreign, lambda x: F.regexp_replace(x, BULLETS, "-"))
 
 
 def boilerplate(c: Column, more: list[str] | None = None) -> Column:
-    return _all(c, [(p, "") for p in [*(more or []), *BOILERPLATE]])
+    return reduce(lambda x, r: only(x, r[1], lambda y: F.regexp_replace(y, r[0], "")), zip(BOILERPLATE, _BOILERPLATE, strict=True), _all(c, [(p, "") for p in more or []]))
 
 
 def let(value: Column, body) -> Column:
@@ -73,11 +99,11 @@ def repeated_headers(c: Column, repeats: int = HEADER_REPEATS) -> Column:
 
 
 def hyphenation(c: Column) -> Column:
-    return F.regexp_replace(c, "(?U)(\\w)-\n([a-zà-öø-ÿ])", "$1$2")
+    return only(c, _has("-\n"), lambda x: F.regexp_replace(x, "(?U)(\\w)-\n([a-zà-öø-ÿ])", "$1$2"))
 
 
 def broken_values(c: Column) -> Column:
-    return _all(c, BROKEN)
+    return _each(c, BROKEN, [("\n",), ("/\n",)])
 
 
 def isolated_lines(c: Column) -> Column:
@@ -104,11 +130,11 @@ def join_of(lines: Column, join) -> Column:
 
 
 def units(c: Column) -> Column:
-    return _all(c, UNITS)
+    return _each(c, UNITS, [("°",), ("-",), ("%",), ("/",), ("<", ">")])
 
 
 def whitespace(c: Column) -> Column:
-    return strip(_all(F.replace(c, F.lit("\t"), F.lit(" ")), [(" {2,}", " "), (r"(?mUd)^\s+$", ""), ("\n{3,}", "\n\n")]))
+    return strip(_each(F.replace(c, F.lit("\t"), F.lit(" ")), [(" {2,}", " "), (r"(?mUd)^\s+$", ""), ("\n{3,}", "\n\n")], [("  ",), ("\n",), ("\n\n\n",)]))
 
 
 STEPS = {

@@ -76,3 +76,10 @@ def test_scores_of_all_pairs_do_not_move(spark):
     before = moved()
     assert evaluate.ranked("bm25", docs, asked, 3).count() == 300
     assert moved() - before < 1_000_000
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    docs = spark.createDataFrame([*enumerate(_words(50, 8)), (99, None), (98, "A a")], DOCS)
+    found, names = lexical.row_postings(docs), ["term", "doc_id", "tf", "dl"]
+    assert sorted(found.select(names).collect()) == sorted(lexical.postings(docs).select(names).collect())
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
