@@ -86,8 +86,8 @@ class Bm25:
             return Fit(keys_of(self.key), None, written(joined.withColumn("bm25", F.round("bm25", digits)), "scores"))
         keys, rows = keys_of(self.key), asked.table.collect()
         terms = sorted({r.term for r in rows})
-        words = self.docs.select(*keys, T.words(F.lower(F.col(self.text))).alias("w")).withColumn("dl", F.size("w").cast("long"))
-        counts = written(sparse.counted(words, [*keys, "dl"], sparse.Vocabulary(terms)), "postings")
+        texts = self.docs.select(*keys, F.col(self.text).alias("w"))
+        counts = written(sparse.counted(texts, keys, sparse.Vocabulary(terms), sparse.Cut(sparse.UNBLANK), "dl"), "postings")
         n, avgdl = counts.agg(F.count("*"), F.avg("dl")).first()
         again = sparse.shared_keys(counts, keys)
         counts = written(sparse.merged(counts, [*keys, "dl"]), "postings") if again else counts

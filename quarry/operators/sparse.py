@@ -8,7 +8,9 @@ stated size (``shared.Sized``); the documents stay a table of any size.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,17 @@ from . import quantile
 
 #: Scores, and products that are summed to them, that a step of a task holds; distinct pairs of words that a task counts before it passes them on.
 CELLS, HELD = 1_000_000, 1_000_000
-#: Rows that a step of a task takes.
-ROWS = 1024
+#: Rows and bytes of text that a step of a task takes, and cells of a table of counts.
+ROWS, BYTES, DENSE = 1024, 8_000_000, 8_000_000
+#: Bytes that stand in words: all but Java's white space; or letters, digits, underscores and what isn't ASCII.
+UNBLANK = np.array([b not in b"\t\n\x0b\f\r " for b in range(256)])
+WORD = np.array([b >= 128 or chr(b).isalnum() or b == ord("_") for b in range(256)])
+#: Lower case of ASCII, and of the second byte of U+00C0 to U+00FF.
+_LOWER = bytes(range(256)).lower()
+_LATIN = np.array([b + 0x20 if 0x80 <= b <= 0x9E and b != 0x97 else b for b in range(256)], np.uint8)
+#: First bytes, and the second ones with which they are no letter or number: of Latin-1 and of general punctuation.
+_SIGNS = [(0xC2, np.array([b not in b"\xaa\xb2\xb3\xb5\xb9\xba\xbc\xbd\xbe" for b in range(256)])), (0xC3, np.array([b in b"\x97\xb7" for b in range(256)])), (0xE2, np.array([b == 0x80 for b in range(256)]))]
+_NO_WORD = re.compile(r"[^\x00-\x7F\w]")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -61,30 +72,149 @@ class Vocabulary:
         self.codes, self.code_of = (np.array(x, np.int64) for x in (zip(*sorted(codes), strict=True) if codes else ((), ())))
 
 
+@dataclass
+class Cut:
+    """How texts are cut into words in their tasks: lower-cased unless ``lower`` is False, then runs of the bytes ``inside``, of ``least`` characters at least.
+
+    Bytes are enough for ASCII, Latin-1 and general punctuation (U+2000 to U+203F); texts with other
+    characters are lower-cased and blanked by Python's Unicode tables first. These agree with Spark's but for
+    characters that came after Unicode 13, which count as letters here.
+    """
+
+    inside: np.ndarray
+    least: int = 1
+    lower: bool = True
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """How many words each text has, and all words; a null text has none."""
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
+        data, ends = raw(texts)
+        if not len(data):
+            return np.zeros(len(texts), np.int64), pa.array([], pa.string())
+        letters = self.inside is WORD or bool((self.inside == WORD).all())
+        if self.lower or letters:
+            odd = np.flatnonzero(data >= 0xC4)
+            odd = odd[(data[odd] != 0xE2) | (data[np.minimum(odd + 1, len(data) - 1)] != 0x80)]
+            if len(odd):
+                data, ends = raw(self._plain(texts, np.unique(np.searchsorted(ends, odd, "right") - 1), letters))
+        if self.lower:
+            data = np.frombuffer(bytearray(data).translate(_LOWER), np.uint8)
+            at = np.flatnonzero(data[:-1] == 0xC3) + 1
+            data[at] = _LATIN[data[at]]
+        held = np.frombuffer(bytearray(data).translate(self.inside.astype(np.uint8).tobytes()), bool)
+        if letters:
+            for lead, sign in _SIGNS:
+                at = np.flatnonzero(data[:-1] == lead)
+                at = at[sign[data[at + 1]]]
+                held[at] = held[at + 1] = False
+                if lead == 0xE2:
+                    held[np.minimum(at + 2, len(data) - 1)] = False
+        edge = np.empty(len(data) + 1, bool)  # whether a word may not go on from the byte before
+        edge[0] = edge[-1] = True
+        np.logical_not(held[:-1], out=edge[1:-1])
+        edge[ends] = True
+        starts = np.flatnonzero(held & edge[:-1])
+        np.logical_not(held, out=edge[:-1])
+        edge[ends] = True
+        stops = np.flatnonzero(held & edge[1:]) + 1
+        if self.least > 1:
+            later = np.concatenate([[0], np.cumsum((data & 0xC0) == 0x80)])  # bytes that are not a character's first
+            enough = stops - starts - (later[stops] - later[starts]) >= self.least
+            gone = np.zeros(len(data) + 1, np.int8)
+            gone[starts[~enough]] += 1
+            gone[stops[~enough]] -= 1
+            held &= np.cumsum(gone[:-1]) == 0
+            starts, stops = starts[enough], stops[enough]
+        upto = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(upto), pa.py_buffer(np.compress(held, data)))
+        return np.diff(np.searchsorted(starts, ends)), words
+
+    def _plain(self, texts: pa.Array, rows: np.ndarray, letters: bool) -> pa.Array:
+        """``texts``, of which some ``rows`` have characters of other scripts: these lower-cased, and blanks for what is no letter or digit."""
+        held = texts.cast(pa.binary()).to_pylist()
+        for i in rows:
+            text = held[i].decode(errors="replace")
+            text = text.lower() if self.lower else text
+            held[i] = (_NO_WORD.sub(" ", text) if letters else text).encode()
+        return pa.array(held, pa.binary()).cast(pa.string())
+
+
+def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts without nulls, and where each one begins and the last ends."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return data[ends[0] : ends[-1]], ends - ends[0]
+
+
 def _type(ddl: str) -> list[StructField]:
     return StructType.fromDDL(ddl).fields
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], text: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded rows, and where the column ``text`` holds texts, of bounded bytes or one row."""
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
+        texts = None if text is None or not pa.types.is_string(batch.column(text).type) else batch.column(text)
+        if texts is None:
+            yield from (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
+            continue
+        upto, at = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))]), 0
+        while at < batch.num_rows:
+            last = max(at + 1, min(at + ROWS, int(np.searchsorted(upto, upto[at] + BYTES, "right")) - 1))
+            yield batch.slice(at, last - at)
+            at = last
 
 
 def _keep(rows: DataFrame, keys: list[str], more: str) -> StructType:
     return StructType([*[rows.schema[k] for k in keys], *_type(more)])
 
 
-def numbered(rows: DataFrame, keys: list[str], words: Sequence[str]) -> DataFrame:
-    """(keys, w) with the number of each word of the arrays ``w``, -1 for one that is not in ``words``."""
+def word_counts(rows: DataFrame, cut: Cut) -> DataFrame:
+    """(term, n): how often each word stands in the texts ``w``. Counted in a task first, so that few rows a word move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(words, pa.string())
-        for batch in _parts(batches):
-            n, flat = _flat(batch.column(len(keys)))
-            yield pa.record_batch([*batch.columns[: len(keys)], arrays(n, pc.fill_null(pc.index_in(flat, value_set=known), -1))], names=[*keys, "w"])
+        fresh, held = [], 0
+        for batch in _parts(batches, 0):
+            coded = cut(batch.column(0))[1].dictionary_encode()
+            n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
+            fresh.append(pa.table([coded.dictionary, pa.array(n, pa.int64())], names=["term", "k"]))
+            held += len(n)
+            if held > HELD:
+                fresh = [summed(fresh)]
+                held = fresh[0].num_rows
+                if held > HELD // 2:
+                    yield from fresh[0].to_batches()
+                    fresh, held = [], 0
+        if fresh:
+            yield from summed(fresh).to_batches()
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("term").aggregate([("k", "sum")]).select(["term", "k_sum"]).rename_columns(["term", "k"])
+
+    return rows.select("w").mapInArrow(run, "term string, k bigint").groupBy("term").agg(F.sum("k").alias("n"))
+
+
+def holders(rows: DataFrame, key: str, asked: list[tuple], cut: Cut, id_type) -> DataFrame:
+    """(query_id, key) of texts ``w`` that hold a passage; ``asked`` are (query_id, passage, a word of it), and only texts with this word are searched."""
+    fields = [StructField("query_id", id_type), rows.schema[key]]
+    words = sorted({a[2] for a in asked})
+    place, of = {w: i for i, w in enumerate(words)}, [[] for _ in words]
+    for q, passage, w in asked:
+        of[place[w]].append((q, passage.encode()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, size = pa.array(words, pa.string()), len(words)
+        for batch in _parts(batches, 1):
+            _, row, number = rowed(batch.column(1), cut, known)
+            there = number >= 0
+            data, ends = raw(pc.fill_null(batch.column(1), ""))
+            found, data = [], data.tobytes()
+            for c in np.unique(row[there] * size + number[there]).tolist():
+                r, w = divmod(c, size)
+                found += [(q, r) for q, passage in of[w] if data.find(passage, ends[r], ends[r + 1]) >= 0]
+            yield pa.record_batch([pa.array([f[0] for f in found], to_arrow_type(id_type)), batch.column(0).take(pa.array([f[1] for f in found], pa.int64()))], names=["query_id", key])
 
-    return rows.select(*keys, "w").mapInArrow(run, _keep(rows, keys, "w array<int>"))
+    return rows.select(key, "w").mapInArrow(run, StructType(fields))
 
 
 def _pairs(row: np.ndarray, number: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,21 +223,31 @@ def _pairs(row: np.ndarray, number: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return row[:-1][near], (number[:-1] * n + number[1:])[near]
 
 
-def _rowed(words: pa.Array, known: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, number) of all words of rows; -1 for a word that is not ``known``."""
-    n, flat = _flat(words)
-    flat = flat if pa.types.is_integer(flat.type) else pc.fill_null(pc.index_in(flat, value_set=known), -1)
-    return np.repeat(np.arange(len(n)), n), np.asarray(flat).astype(np.int64)
+def rowed(texts: pa.Array, cut: Cut, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(how many words each text has; row, number of all words); -1 for a word that is not ``known``."""
+    n, words = cut(texts)
+    return n, np.repeat(np.arange(len(n)), n), np.asarray(pc.fill_null(pc.index_in(words, value_set=known), -1)).astype(np.int64)
+
 
+def tallied(codes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes, in order, and how often each occurs: in a table of ``cells``, or sorted where that were large."""
+    if cells > DENSE:
+        return np.unique(codes, return_counts=True)
+    n = np.bincount(codes, minlength=1)
+    every = np.flatnonzero(n)
+    return every, n[every]
 
-def counted(rows: DataFrame, keys: list[str], vocabulary: Vocabulary) -> DataFrame:
-    """(keys, at, n): the numbers of a row's terms, in order, and how often each stands in its words ``w``, numbered or not. Every row has one."""
+
+def counted(rows: DataFrame, keys: list[str], vocabulary: Vocabulary, cut: Cut, length: str | None = None) -> DataFrame:
+    """(keys, at, n): the numbers of a row's terms, in order, and how often each stands in its text ``w``; ``length`` names a column for the number of its words, null for no text. Every row has one."""
+    names = [*keys, *([length] if length else []), "at", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(vocabulary.words, pa.string())
         size = max(1, len(vocabulary.terms))
-        for batch in _parts(batches):
-            row, number = _rowed(batch.column(len(keys)), known)
+        for batch in _parts(batches, len(keys)):
+            texts = batch.column(len(keys))
+            lengths, row, number = rowed(texts, cut, known)
             at = vocabulary.single[number]
             found = [(row[at >= 0], at[at >= 0])]
             if len(vocabulary.codes):
@@ -115,11 +255,27 @@ def counted(rows: DataFrame, keys: list[str], vocabulary: Vocabulary) -> DataFra
                 i = np.minimum(np.searchsorted(vocabulary.codes, code), len(vocabulary.codes) - 1)
                 there = vocabulary.codes[i] == code
                 found.append((r[there], vocabulary.code_of[i[there]]))
-            every, n = np.unique(np.concatenate([r * size + t for r, t in found]), return_counts=True)
+            every, n = tallied(np.concatenate([r * size + t for r, t in found]), batch.num_rows * size)
             sizes = np.bincount(every // size, minlength=batch.num_rows)
-            yield pa.record_batch([*batch.columns[: len(keys)], arrays(sizes, pa.array(every % size, pa.int32())), arrays(sizes, pa.array(n, pa.int64()))], names=[*keys, "at", "n"])
+            more = [pa.array(lengths, pa.int64(), mask=np.asarray(texts.is_null()))] if length else []
+            yield pa.record_batch([*batch.columns[: len(keys)], *more, arrays(sizes, pa.array(every % size, pa.int32())), arrays(sizes, pa.array(n, pa.int64()))], names=names)
 
-    return rows.select(*keys, "w").mapInArrow(run, _keep(rows, keys, "at array<int>, n array<bigint>"))
+    return rows.select(*keys, "w").mapInArrow(run, _keep(rows, keys, (f"{length} bigint, " if length else "") + "at array<int>, n array<bigint>"))
+
+
+def rows_with(rows: DataFrame, words: list[str], cut: Cut) -> DataFrame:
+    """(at, n): the numbers of ``words``, and how many texts ``w`` have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, size, n = pa.array(words, pa.string()), len(words), np.zeros(len(words), np.int64)
+        for batch in _parts(batches, 0):
+            _, row, number = rowed(batch.column(0), cut, known)
+            there = number >= 0
+            n += np.bincount(np.unique(row[there] * size + number[there]) % size, minlength=size)
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(at), pa.array(n[at])], names=["at", "k"])
+
+    return rows.select("w").mapInArrow(run, "at bigint, k bigint").groupBy("at").agg(F.sum("k").alias("n"))
 
 
 def terms_of(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,32 +309,41 @@ def of_vectors(rows: DataFrame, keys: list[str], terms: Sequence[str]) -> DataFr
     return rows.select(*keys, "vector").mapInArrow(run, _keep(rows, keys, "at array<int>, n array<double>"))
 
 
-def word_pairs(rows: DataFrame, words: list[str]) -> DataFrame:
-    """(term, n) of pairs of neighbouring words in numbered rows; counted in a task first, so that few rows a pair move."""
+def word_pairs(rows: DataFrame, words: list[str], cut: Cut) -> DataFrame:
+    """(term, n) of pairs of ``words`` that stand side by side in the texts ``w``; counted in a task first, so that few rows a pair move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, codes, counts, fresh, held = max(1, len(words)), np.empty(0, np.int64), np.empty(0, np.int64), [], 0
-        send = lambda: pa.record_batch([pa.array(codes // size), pa.array(codes % size), pa.array(counts)], names=["a", "b", "k"])
-
-        def merge():
-            new, k = np.unique(np.concatenate([np.empty(0, np.int64), *fresh]), return_counts=True)
-            every, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
-            return every, np.bincount(where, np.concatenate([counts, k]), len(every)).astype(np.int64)
-
-        for batch in _parts(batches):
-            fresh.append(_pairs(*_rowed(batch.column(0)), size)[1])
+        known, size = pa.array(words, pa.string()), max(1, len(words))
+        send = lambda codes, counts: pa.record_batch([pa.array(codes), pa.array(counts)], names=["pair", "k"])
+        codes, counts, fresh, held = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+        for batch in _parts(batches, 0):
+            fresh.append(_pairs(*rowed(batch.column(0), cut, known)[1:], size)[1])
             held += len(fresh[-1])
-            if held > HELD:
-                (codes, counts), fresh, held = merge(), [], 0
+            if held > 4 * HELD:
+                codes, counts = _added(codes, counts, *tallied(np.concatenate(fresh), size * size))
+                fresh, held = [], 0
                 if len(codes) > HELD:
-                    yield send()
+                    yield send(codes, counts)
                     codes, counts = codes[:0], counts[:0]
-        codes, counts = merge()
-        yield send()
+        if fresh:
+            codes, counts = _added(codes, counts, *tallied(np.concatenate(fresh), size * size))
+        yield send(codes, counts)
 
-    n = rows.select("w").mapInArrow(run, "a bigint, b bigint, k bigint").groupBy("a", "b").agg(F.sum("k").alias("n"))
+    n = rows.select("w").mapInArrow(run, "pair bigint, k bigint").groupBy("pair").agg(F.sum("k").alias("n"))
     names = F.broadcast(rows.sparkSession.createDataFrame(list(enumerate(words)), "i bigint, word string"))  # as many as are counted
-    return n.join(names.select(F.col("i").alias("a"), F.col("word").alias("x")), "a").join(names.select(F.col("i").alias("b"), F.col("word").alias("y")), "b").select(F.concat_ws(" ", "x", "y").alias("term"), "n")
+    of = n.select(F.expr(f"pair div {max(1, len(words))}").alias("a"), (F.col("pair") % max(1, len(words))).alias("b"), "n")
+    return of.join(names.select(F.col("i").alias("a"), F.col("word").alias("x")), "a").join(names.select(F.col("i").alias("b"), F.col("word").alias("y")), "b").select(F.concat_ws(" ", "x", "y").alias("term"), "n")
+
+
+def _added(codes: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two tallies, each in order, as one."""
+    if not len(codes):
+        return more, n
+    both = np.concatenate([codes, more])
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    return both[first], np.add.reduceat(np.concatenate([counts, n])[order], first)
 
 
 def shared_keys(docs: DataFrame, keys: list[str]) -> bool:

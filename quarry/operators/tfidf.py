@@ -112,11 +112,6 @@ class Fitted:
         return sparse.Scores(self.rows, self.keys, rows, len(self.terms), self.unit(), digits, queries.schema[qkey].dataType), asked
 
 
-def words(docs: DataFrame, keys: list[str], text: str, least_chars: int) -> DataFrame:
-    """(keys, w): the words of every document."""
-    return docs.select(*keys, F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.length(x) >= least_chars).alias("w"))
-
-
 def fitted(docs: DataFrame, features: int = FEATURES, key: str | Sequence[str] = "doc_id", text: str = "text", least_chars: int = 1, unique: bool = False) -> Fitted:
     """The ``features`` most frequent terms of documents; ties go to the first in order. ``unique``: no two documents share a key.
 
@@ -125,21 +120,19 @@ def fitted(docs: DataFrame, features: int = FEATURES, key: str | Sequence[str] =
     are that frequent, all pairs are counted.
     """
     keys, spark = keys_of(key), docs.sparkSession
-    rows = words(docs, keys, text, least_chars)
+    rows, cut = docs.select(*keys, F.col(text).alias("w")), sparse.Cut(sparse.WORD, least_chars)
     most = lambda df, n: df.orderBy(F.desc("n"), "term").limit(n)
-    often = most(rows.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("n")), TIED * features).collect()  # bounded by the number of features
+    often = most(sparse.word_counts(rows, cut), TIED * features).collect()  # bounded by the number of features
     least = often[features - 1].n if len(often) >= features else 1
     known = [r.term for r in often if r.n >= least]
     if len(often) == TIED * features and often[-1].n >= least:
         best = most(terms(docs, key, text, least_chars).groupBy("term").agg(F.count("*").alias("n")), features).collect()
         known = sorted({w for r in best for w in r.term.split(" ")})
-        rows = sparse.numbered(rows, keys, known)
     else:
-        rows = written(sparse.numbered(rows, keys, known), "numbered")
         singles = spark.createDataFrame([(r.term, r.n) for r in often], "term string, n bigint")
-        best = most(singles.unionByName(sparse.word_pairs(rows, known).filter(F.col("n") >= least)), features).collect()
+        best = most(singles.unionByName(sparse.word_pairs(rows, known, cut).filter(F.col("n") >= least)), features).collect()
     chosen = [r.term for r in best]
-    counts = sparse.counted(rows, keys, sparse.Vocabulary(chosen, True, known))
+    counts = sparse.counted(rows, keys, sparse.Vocabulary(chosen, True, known), cut)
     counts = written(counts if unique or not sparse.shared_keys(docs, keys) else sparse.merged(counts, keys), "term-counts")
     n_docs = docs.count()
     df = np.full(len(chosen), np.nan)

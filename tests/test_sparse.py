@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from jobs import evaluate
-from quarry.operators import lexical, quantile, tfidf
+from quarry.operators import lexical, passages, quantile, sparse, tfidf
 
 DOCS = "doc_id long, text string"
 ASKED = "item_id long, text string"
@@ -83,3 +85,30 @@ def test_postings_are_counted_in_their_rows(spark):
     found, names = lexical.row_postings(docs), ["term", "doc_id", "tf", "dl"]
     assert sorted(found.select(names).collect()) == sorted(lexical.postings(docs).select(names).collect())
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_cut_as_by_their_pattern():
+    r = random.Random(9)
+    signs = "abB_9éÉÀ×÷ªß²°«—’ \t\n.-,"
+    for t in range(200):
+        letters = signs + ("中Σσ≠\u0300ŒКк\U0001f600\U00010400" if t % 2 else "")
+        texts = [None if r.random() < 0.1 else "".join(r.choice(letters) for _ in range(r.randint(0, 12))) for _ in range(r.randint(0, 9))]
+        column = pa.array(["x y", *texts, "q"], pa.string()).slice(1, len(texts))
+        for inside, pattern in ((sparse.UNBLANK, r"[^\t\n\x0b\f\r ]+"), (sparse.WORD, r"\w+")):
+            for least, lower in ((1, True), (2, True), (1, False)):
+                n, words = sparse.Cut(inside, least, lower)(column)
+                want = [[w for w in re.findall(pattern, ((x or "").lower() if lower else x or "")) if len(w) >= least] for x in texts]
+                assert n.tolist() == [len(w) for w in want] and words.to_pylist() == [x for w in want for x in w]
+
+
+def test_passages_are_searched_where_their_rarest_word_stands(spark):
+    rows = [(i, f"{t} x{i % 7} marked passage y{i % 7} {t}") for i, t in enumerate(_words(4000, 10))] + [(None, "x1 marked passage y1"), (5000, None)]
+    asked = [(1, "x1 marked passage y1"), (2, "x2 marked passage y3"), (3, "marked passage"), (4, None), (5, "passage y1 "), (6, "p")]
+    docs = spark.createDataFrame(rows, DOCS)
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = moved()
+    found = passages.holding(docs, spark.createDataFrame(asked[:2] + asked[3:4], ASKED))
+    assert sorted(map(tuple, found.collect())) == sorted((1, d) for d, t in rows if d is not None and t and asked[0][1] in t)
+    assert moved() - before < 30_000
+    found = passages.holding(docs.filter("doc_id < 300"), spark.createDataFrame(asked, ASKED))
+    assert sorted(map(tuple, found.collect())) == sorted((q, d) for q, p in asked if p for d, t in rows[:300] if p in t)
