@@ -15,6 +15,8 @@ overwrite), so running it again gives the same tables, and pipelines can be meas
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,15 +31,31 @@ METRICS = "n long, hit1 double, hit3 double, mrr double, ndcg3 double, composite
 SCHEMAS = {"results": RESULTS, "questions": QUESTIONS, "metrics": METRICS}
 
 
-def ranked(name: str, docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+class Steps:
+    """What pipelines of one run have in common, found when the first of them asks for it."""
+
+    def __init__(self, docs: DataFrame, asked: DataFrame):
+        self.docs, self.asked = docs, asked
+
+    @functools.cached_property
+    def words(self) -> DataFrame:
+        return tfidf.word_counts(self.docs)
+
+    @functools.cached_property
+    def bm25(self) -> lexical.Fit:
+        return lexical.Bm25(self.docs).fit(self.asked)
+
+
+def ranked(name: str, docs: DataFrame, asked: DataFrame, k: int, steps: Steps | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score) of a pipeline: TF-IDF cosine alone, BM25 alone, or both with quality."""
+    steps = steps or Steps(docs, asked)
     if name == "baseline":
-        cosine = tfidf.nearest(docs, asked, ranking.pool_size(k), tfidf.BASELINE_FEATURES, 2, digits=6)
+        cosine = tfidf.nearest(docs, asked, ranking.pool_size(k), tfidf.BASELINE_FEATURES, 2, digits=6, counts=steps.words)
         found = tfidf.pool(cosine, asked, docs, ranking.pool_size(k)).withColumnRenamed("cosine", "score")
     elif name == "bm25":
-        found = lexical.Bm25(docs).fit(asked, digits=6).top(k).withColumnRenamed("bm25", "score")
+        found = steps.bm25.rounded(6).top(k).withColumnRenamed("bm25", "score")
     elif name == "hybrid":
-        found = ranking.hybrid(docs, asked, k).withColumnRenamed("final", "score")
+        found = ranking.hybrid(docs, asked, k, counts=steps.words, bm25=steps.bm25).withColumnRenamed("final", "score")
     else:
         raise ValueError(f"pipeline {name!r} is none of {', '.join(PIPELINES)}")
     return found.filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
@@ -59,9 +77,10 @@ def run(spark: SparkSession, config: dict) -> dict:
     relevant = passages.holding(docs, asked.filter("text != ''"))
     said = {"documents": docs.count(), "questions": every.count(), "relevant": relevant.count()}
     LOG.info("evaluate read %s from %s and %s", said, config["documents"], config["questions"])
+    steps = Steps(docs, asked)
     for name in config["pipelines"]:
         marks = relevant.withColumn("relevant", F.lit(True))
-        found = ranked(name, docs, asked, config["top_k"]).join(marks, ["query_id", "doc_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+        found = ranked(name, docs, asked, config["top_k"], steps).join(marks, ["query_id", "doc_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
         results = _write(found.select("query_id", "rank", "doc_id", "score", "relevant"), config, "results", name)
         grades = evaluate.graded(results, relevant, every, once=True)
         _write(grades.select("query_id", "n_relevant", "first", F.round(evaluate.ndcg(config["top_k"]), 4).alias("ndcg")), config, "questions", name)

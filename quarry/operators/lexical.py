@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -117,6 +118,14 @@ class Fit:
     scores: sparse.Scores | None
     joined: DataFrame | None
 
+    def rounded(self, digits: int) -> Fit:
+        """The same scores to fewer decimals."""
+        if self.scores:
+            scores = copy.copy(self.scores)
+            scores.rows, scores.digits = self.scores.rows, digits
+            return Fit(self.keys, scores, None)
+        return Fit(self.keys, None, self.joined.withColumn("bm25", F.round("bm25", digits)))
+
     def pairs(self) -> DataFrame:
         """(query_id, key, bm25)."""
         return self._named(self.scores.pairs()) if self.scores else self.joined

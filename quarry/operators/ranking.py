@@ -57,11 +57,11 @@ def combine(rows: DataFrame, quality: str = "quality") -> Column:
     return F.round(F.col("w_cosine") * F.col("cosine") + F.col("w_bm25") * F.col("bm25n") + F.col("w_quality") * F.col(quality), 6)
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, k: int = 3, weights: tuple | None = None, products: Sequence[str] = PRODUCTS, qkey: str = "item_id", key: str = "doc_id") -> DataFrame:
-    """(query_id, key, cosine, bm25n, quality, final, rank): the pool of nearest documents by cosine, rescored. Quality is computed for pooled documents only."""
-    cos = tfidf.pool(tfidf.nearest(docs, queries, pool_size(k), qkey=qkey, key=key), queries, docs, pool_size(k), qkey, key).drop("rank")
+def hybrid(docs: DataFrame, queries: DataFrame, k: int = 3, weights: tuple | None = None, products: Sequence[str] = PRODUCTS, qkey: str = "item_id", key: str = "doc_id", counts: DataFrame | None = None, bm25: lexical.Fit | None = None) -> DataFrame:
+    """(query_id, key, cosine, bm25n, quality, final, rank): the pool of nearest documents by cosine, rescored. Quality is computed for pooled documents only. ``counts`` and ``bm25``: the documents' words (``tfidf.word_counts``) and scores, where they are at hand."""
+    cos = tfidf.pool(tfidf.nearest(docs, queries, pool_size(k), qkey=qkey, key=key, counts=counts), queries, docs, pool_size(k), qkey, key).drop("rank")
     pool = sized(cos, "pool")
-    bm = lexical.Bm25(docs, key).fit(queries, qkey).normalised(pool)
+    bm = (bm25 or lexical.Bm25(docs, key).fit(queries, qkey)).normalised(pool)
     w = query_weights(queries.select(F.col(qkey).alias("query_id"), "text"), products, weights).drop("text")
     pooled = bm.select("query_id", key, "bm25n").join(pool.side(), ["query_id", key], "right")
     wanted = pool.side(pool.table.select(key).distinct())

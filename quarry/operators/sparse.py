@@ -330,7 +330,7 @@ def word_pairs(rows: DataFrame, words: list[str], cut: Cut) -> DataFrame:
         yield send(codes, counts)
 
     n = rows.select("w").mapInArrow(run, "pair bigint, k bigint").groupBy("pair").agg(F.sum("k").alias("n"))
-    names = F.broadcast(rows.sparkSession.createDataFrame(list(enumerate(words)), "i bigint, word string"))  # as many as are counted
+    names = F.broadcast(rows.sparkSession.createDataFrame(pa.table({"i": pa.array(range(len(words)), pa.int64()), "word": pa.array(words, pa.string())})))  # as many as are counted
     of = n.select(F.expr(f"pair div {max(1, len(words))}").alias("a"), (F.col("pair") % max(1, len(words))).alias("b"), "n")
     return of.join(names.select(F.col("i").alias("a"), F.col("word").alias("x")), "a").join(names.select(F.col("i").alias("b"), F.col("word").alias("y")), "b").select(F.concat_ws(" ", "x", "y").alias("term"), "n")
 

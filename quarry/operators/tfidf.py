@@ -38,7 +38,8 @@ class Fitted:
 
     def vocabulary(self) -> DataFrame:
         """(term, idf) of the terms that stand in a document."""
-        return self.rows.sparkSession.createDataFrame([(t, float(i)) for t, i in zip(self.terms, self.idf, strict=True) if i == i], "term string, idf double")
+        held = [(t, float(i)) for t, i in zip(self.terms, self.idf, strict=True) if i == i]
+        return self.rows.sparkSession.createDataFrame(pa.table({"term": pa.array([t for t, _ in held], pa.string()), "idf": pa.array([i for _, i in held], pa.float64())}))
 
     def unit(self):
         """The weights of a batch's terms, (1 + ln tf) * idf at length 1 a row."""
@@ -112,8 +113,13 @@ class Fitted:
         return sparse.Scores(self.rows, self.keys, rows, len(self.terms), self.unit(), digits, queries.schema[qkey].dataType), asked
 
 
-def fitted(docs: DataFrame, features: int = FEATURES, key: str | Sequence[str] = "doc_id", text: str = "text", least_chars: int = 1, unique: bool = False) -> Fitted:
-    """The ``features`` most frequent terms of documents; ties go to the first in order. ``unique``: no two documents share a key.
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n) of all words of documents, from which several vocabularies can be chosen."""
+    return written(sparse.word_counts(docs.select(F.col(text).alias("w")), sparse.Cut(sparse.WORD)), "word-counts")
+
+
+def fitted(docs: DataFrame, features: int = FEATURES, key: str | Sequence[str] = "doc_id", text: str = "text", least_chars: int = 1, unique: bool = False, counts: DataFrame | None = None) -> Fitted:
+    """The ``features`` most frequent terms of documents; ties go to the first in order. ``unique``: no two documents share a key. ``counts``: their words, as ``word_counts``.
 
     A pair is no more frequent than its words. So words are counted first, and pairs only of words
     that are as frequent as the last of as many words, which no pair of others can reach. Where too many words
@@ -122,23 +128,24 @@ def fitted(docs: DataFrame, features: int = FEATURES, key: str | Sequence[str] =
     keys, spark = keys_of(key), docs.sparkSession
     rows, cut = docs.select(*keys, F.col(text).alias("w")), sparse.Cut(sparse.WORD, least_chars)
     most = lambda df, n: df.orderBy(F.desc("n"), "term").limit(n)
-    often = most(sparse.word_counts(rows, cut), TIED * features).collect()  # bounded by the number of features
+    single = sparse.word_counts(rows, cut) if counts is None else counts.filter(F.length("term") >= least_chars)
+    often = most(single, TIED * features).collect()  # bounded by the number of features
     least = often[features - 1].n if len(often) >= features else 1
     known = [r.term for r in often if r.n >= least]
     if len(often) == TIED * features and often[-1].n >= least:
         best = most(terms(docs, key, text, least_chars).groupBy("term").agg(F.count("*").alias("n")), features).collect()
         known = sorted({w for r in best for w in r.term.split(" ")})
     else:
-        singles = spark.createDataFrame([(r.term, r.n) for r in often], "term string, n bigint")
+        singles = spark.createDataFrame(pa.table({"term": pa.array([r.term for r in often], pa.string()), "n": pa.array([r.n for r in often], pa.int64())}))
         best = most(singles.unionByName(sparse.word_pairs(rows, known, cut).filter(F.col("n") >= least)), features).collect()
     chosen = [r.term for r in best]
-    counts = sparse.counted(rows, keys, sparse.Vocabulary(chosen, True, known), cut)
-    counts = written(counts if unique or not sparse.shared_keys(docs, keys) else sparse.merged(counts, keys), "term-counts")
+    rows = sparse.counted(rows, keys, sparse.Vocabulary(chosen, True, known), cut)
+    rows = written(rows if unique or not sparse.shared_keys(docs, keys) else sparse.merged(rows, keys), "term-counts")
     n_docs = docs.count()
     df = np.full(len(chosen), np.nan)
-    for r in counts.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).collect():  # one per feature
+    for r in rows.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).collect():  # one per feature
         df[r["at"]] = r["df"]
-    return Fitted(counts, keys, chosen, np.log((1.0 + n_docs) / (1 + df)) + 1)
+    return Fitted(rows, keys, chosen, np.log((1.0 + n_docs) / (1 + df)) + 1)
 
 
 def weights(counted: DataFrame, vocab: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
@@ -159,9 +166,9 @@ def matched(weighted: DataFrame, asked: Sized, key: str | Sequence[str] = "doc_i
     return weighted.join(asked.side(), "term").groupBy("query_id", *keys_of(key)).agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("cosine"))
 
 
-def nearest(docs: DataFrame, queries: DataFrame, size: int, features: int = FEATURES, least_chars: int = 1, qkey: str = "item_id", key: str | Sequence[str] = "doc_id", digits: int = 9) -> DataFrame:
+def nearest(docs: DataFrame, queries: DataFrame, size: int, features: int = FEATURES, least_chars: int = 1, qkey: str = "item_id", key: str | Sequence[str] = "doc_id", digits: int = 9, counts: DataFrame | None = None) -> DataFrame:
     """(query_id, key, cosine) of the ``size`` documents that are nearest to a query and share a feature with it, with the documents' own vocabulary; cosines count by ``digits`` decimals."""
-    found = fitted(docs, features, key, least_chars=least_chars)
+    found = fitted(docs, features, key, least_chars=least_chars, counts=counts)
     scores, asked = found.scores(queries, qkey, least_chars, digits)
     if scores is None:
         return matched(found.weights(), asked, key).withColumn("cosine", F.round("cosine", digits))

@@ -11,7 +11,7 @@ import pytest
 
 from jobs import common, evaluate, ingest, queries
 from quarry.functions import text as T
-from quarry.operators import chunk
+from quarry.operators import chunk, lexical, sparse
 
 SF = "/root/testdata/sf0.001"
 REPO = Path(__file__).resolve().parents[1]
@@ -140,3 +140,18 @@ def test_configuration_and_command_line(spark, tmp_path):
     done = subprocess.run(command, cwd=REPO, capture_output=True, text=True, timeout=300, check=False)
     assert done.returncode == 0 and "'documents': 1" in done.stderr, done.stderr[-2000:]
     assert ingest.stored(spark, f"{tmp_path}/out", "documents").count() == 1
+
+
+def test_pipelines_of_a_run_share_their_steps(spark, tmp_path, monkeypatch):
+    """Each pipeline counted the words and scored the documents anew before."""
+    calls = []
+    for owner, name in ((sparse, "word_counts"), (lexical.Bm25, "fit")):
+        monkeypatch.setattr(owner, name, lambda *a, f=getattr(owner, name), n=name, **k: (calls.append(n), f(*a, **k))[1])
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 3} gamma a b{i}") for i in range(20)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "alpha beta1 gamma"), (2, "b7")], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/d")
+    asked.write.parquet(f"{tmp_path}/q")
+    evaluate.run(spark, {"documents": f"{tmp_path}/d", "questions": f"{tmp_path}/q", "output": f"{tmp_path}/out"})
+    assert sorted(calls) == ["fit", "word_counts"]
+    rows = _rows(evaluate.stored(spark, f"{tmp_path}/out").filter("pipeline = 'bm25'"), "query_id", "rank", "doc_id", "score")
+    assert rows == _rows(evaluate.ranked("bm25", docs, asked, 3), "query_id", "rank", "doc_id", "score")
