@@ -92,9 +92,7 @@ class Bm25:
         n, avgdl = counts.agg(F.count("*"), F.avg("dl")).first()
         again = sparse.shared_keys(counts, keys)
         counts = written(sparse.merged(counts, [*keys, "dl"]), "postings") if again else counts
-        df = np.zeros(len(terms))
-        for r in counts.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).collect():  # one per term of a query
-            df[r["at"]] = r["df"]
+        df = sparse.held_by(counts, len(terms))
         idfs, place = np.log((n - df + 0.5) / (df + 0.5) + 1), {t: i for i, t in enumerate(terms)}
 
         def value(at: np.ndarray, tf: np.ndarray, row: np.ndarray, batch) -> np.ndarray:

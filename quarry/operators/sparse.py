@@ -70,6 +70,9 @@ class Vocabulary:
             else:
                 codes.append((place[s[0]] * len(self.words) + place[s[1]], i))
         self.codes, self.code_of = (np.array(x, np.int64) for x in (zip(*sorted(codes), strict=True) if codes else ((), ())))
+        self.before, self.behind = np.zeros((2, len(self.words) + 1), bool)  # which words stand in a pair, first and second
+        if codes:
+            self.before[self.codes // len(self.words)] = self.behind[self.codes % len(self.words)] = True
 
 
 @dataclass
@@ -217,10 +220,10 @@ def holders(rows: DataFrame, key: str, asked: list[tuple], cut: Cut, id_type) ->
     return rows.select(key, "w").mapInArrow(run, StructType(fields))
 
 
-def _pairs(row: np.ndarray, number: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, code) of known words that stand side by side in a row."""
-    near = (row[1:] == row[:-1]) & (number[1:] >= 0) & (number[:-1] >= 0)
-    return row[:-1][near], (number[:-1] * n + number[1:])[near]
+def _pairs(row: np.ndarray, number: np.ndarray, n: int, before: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of words that stand side by side in a row, where ``before`` and ``behind`` (per word) allow the first and the second."""
+    near = np.flatnonzero(before[:-1] & behind[1:] & (row[1:] == row[:-1]))
+    return row[near], number[near] * n + number[near + 1]
 
 
 def rowed(texts: pa.Array, cut: Cut, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,12 +233,14 @@ def rowed(texts: pa.Array, cut: Cut, known: pa.Array) -> tuple[np.ndarray, np.nd
 
 
 def tallied(codes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different codes, in order, and how often each occurs: in a table of ``cells``, or sorted where that were large."""
-    if cells > DENSE:
-        return np.unique(codes, return_counts=True)
-    n = np.bincount(codes, minlength=1)
-    every = np.flatnonzero(n)
-    return every, n[every]
+    """The different codes, in order, and how often each occurs: in a table of ``cells``, or sorted where that were large or mostly empty."""
+    if cells <= min(DENSE, 4 * len(codes)):
+        n = np.bincount(codes, minlength=1)
+        every = np.flatnonzero(n)
+        return every, n[every]
+    codes = np.sort(codes.astype(np.int32) if cells < 2**31 else codes)
+    first = np.flatnonzero(np.concatenate([[len(codes) > 0], codes[1:] != codes[:-1]]))
+    return codes[first].astype(np.int64), np.diff(first, append=len(codes))
 
 
 def counted(rows: DataFrame, keys: list[str], vocabulary: Vocabulary, cut: Cut, length: str | None = None) -> DataFrame:
@@ -251,7 +256,7 @@ def counted(rows: DataFrame, keys: list[str], vocabulary: Vocabulary, cut: Cut,
             at = vocabulary.single[number]
             found = [(row[at >= 0], at[at >= 0])]
             if len(vocabulary.codes):
-                r, code = _pairs(row, number, len(vocabulary.words))
+                r, code = _pairs(row, number, len(vocabulary.words), vocabulary.before[number], vocabulary.behind[number])
                 i = np.minimum(np.searchsorted(vocabulary.codes, code), len(vocabulary.codes) - 1)
                 there = vocabulary.codes[i] == code
                 found.append((r[there], vocabulary.code_of[i[there]]))
@@ -278,6 +283,22 @@ def rows_with(rows: DataFrame, words: list[str], cut: Cut) -> DataFrame:
     return rows.select("w").mapInArrow(run, "at bigint, k bigint").groupBy("at").agg(F.sum("k").alias("n"))
 
 
+def held_by(rows: DataFrame, n_terms: int) -> np.ndarray:
+    """How many of the counted rows (at, n) have each term; counted in a task first, so that a row per term moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            n += np.bincount(np.asarray(_flat(batch.column(0))[1]), minlength=n_terms)
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(at), pa.array(n[at])], names=["at", "k"])
+
+    out = np.zeros(n_terms, np.int64)
+    for r in rows.select("at").mapInArrow(run, "at bigint, k bigint").groupBy("at").agg(F.sum("k").alias("n")).collect():  # one per term
+        out[r["at"]] = r["n"]
+    return out
+
+
 def terms_of(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(term, keys, tf): the distinct words of each row's array ``w``, with how often each stands there. Rows are counted where they are."""
 
@@ -317,7 +338,9 @@ def word_pairs(rows: DataFrame, words: list[str], cut: Cut) -> DataFrame:
         send = lambda codes, counts: pa.record_batch([pa.array(codes), pa.array(counts)], names=["pair", "k"])
         codes, counts, fresh, held = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
         for batch in _parts(batches, 0):
-            fresh.append(_pairs(*rowed(batch.column(0), cut, known)[1:], size)[1])
+            _, row, number = rowed(batch.column(0), cut, known)
+            there = number >= 0
+            fresh.append(_pairs(row, number, size, there, there)[1])
             held += len(fresh[-1])
             if held > 4 * HELD:
                 codes, counts = _added(codes, counts, *tallied(np.concatenate(fresh), size * size))
@@ -452,8 +475,9 @@ class Scores:
                 place = None
                 for first, score in self._blocks(batch):
                     score = np.nan_to_num(score, nan=-np.inf)
-                    best = np.partition(np.concatenate([best, score]), -k, axis=0)[-k:]
-                    row, query = np.nonzero((score >= best.min(0)) & (score > -np.inf))
+                    near = (score >= best.min(0)) & (score > -np.inf)
+                    best = np.partition(np.concatenate([best, score[near.any(1)]]), -k, axis=0)[-k:]
+                    row, query = np.nonzero(near & (score >= best.min(0)))
                     if len(row) > k * len(self.ids):  # many ties
                         if place is None:
                             order = pc.sort_indices(pa.table([batch.column(batch.schema.names.index(c)) for c in self.keys], names=self.keys), sort_keys=[(c, "ascending") for c in self.keys], null_placement="at_start")
@@ -519,9 +543,10 @@ class Scores:
 
     def _bins(self, state: list) -> DataFrame:
         """The histograms of the ranges in ``state``, as ``quantile.held`` takes them."""
-        ranges = self._ranges(state)
-        at = np.array([r[0] for r in ranges], np.int64)
-        low, high = (np.array([s[c] for _, s in ranges], np.float64) for c in ("low", "high"))
+        ranges, several = self._ranges(state), {}
+        of = [several.setdefault((q, s["low"], s["high"]), len(several)) for q, s in ranges]  # two ranks of a query often share a range
+        at = np.array([q for q, _, _ in several], np.int64)
+        low, high = np.array([x[1:] for x in several], np.float64).T
         width, size = np.where(high > low, high - low, 1.0), quantile.BINS
 
         def run(batches):
@@ -539,9 +564,9 @@ class Scores:
             b = np.flatnonzero(n)
             yield pa.record_batch([pa.array(b // size), pa.array(b % size), pa.array(n[b]), pa.array(least[b]), pa.array(most[b])], names=["range", "bin", "inside", "low", "high"])
 
-        spark = self.rows.sparkSession
-        fields = [StructField("range", LongType()), StructField("query_id", self.id_type), *_type("n bigint, position double, rank bigint, below bigint")]
-        of = F.broadcast(spark.createDataFrame([(i, s["query_id"], s["n"], s["position"], s["rank"], s["below"]) for i, (_, s) in enumerate(ranges)], StructType(fields)))
+        kinds = {"query_id": to_arrow_type(self.id_type), "n": pa.int64(), "position": pa.float64(), "rank": pa.int64(), "below": pa.int64()}
+        named = pa.table({"range": pa.array(of, pa.int64())} | {c: pa.array([s[c] for _, s in ranges], kind) for c, kind in kinds.items()})
+        of = F.broadcast(self.rows.sparkSession.createDataFrame(named))
         bins = self.rows.mapInArrow(run, "range bigint, bin bigint, inside bigint, low double, high double").groupBy("range", "bin").agg(F.sum("inside").alias("inside"), F.min("low").alias("low"), F.max("high").alias("high"))
         return bins.join(of, "range").drop("range")
 

@@ -142,9 +142,8 @@ def fitted(docs: DataFrame, features: int = FEATURES, key: str | Sequence[str] =
     rows = sparse.counted(rows, keys, sparse.Vocabulary(chosen, True, known), cut)
     rows = written(rows if unique or not sparse.shared_keys(docs, keys) else sparse.merged(rows, keys), "term-counts")
     n_docs = docs.count()
-    df = np.full(len(chosen), np.nan)
-    for r in rows.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).collect():  # one per feature
-        df[r["at"]] = r["df"]
+    df = sparse.held_by(rows, len(chosen))
+    df = np.where(df > 0, df, np.nan)
     return Fitted(rows, keys, chosen, np.log((1.0 + n_docs) / (1 + df)) + 1)
 
 

@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import tracemalloc
+import types
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -112,3 +114,30 @@ def test_passages_are_searched_where_their_rarest_word_stands(spark):
     assert moved() - before < 30_000
     found = passages.holding(docs.filter("doc_id < 300"), spark.createDataFrame(asked, ASKED))
     assert sorted(map(tuple, found.collect())) == sorted((q, d) for q, p in asked if p for d, t in rows[:300] if p in t)
+
+
+def test_codes_are_counted_without_an_empty_table():
+    """Few codes of many cells: a batch of short texts against the words of many questions."""
+    codes = np.array([7_999_999, 5, 5, 0])
+    tracemalloc.start()
+    every, n = sparse.tallied(codes, 8_000_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert every.tolist() == [0, 5, 7_999_999] and n.tolist() == [1, 2, 1] and most < 1_000_000
+    r = np.random.default_rng(1)
+    for size, cells in ((0, 5), (1, 5), (900, 50), (900, 10**6), (900, 2**40)):
+        codes = r.integers(0, cells, size)
+        found, want = sparse.tallied(codes, cells), np.unique(codes, return_counts=True)
+        assert all(np.array_equal(a, b) for a, b in zip(found, want, strict=True))
+
+
+def test_two_ranks_of_a_query_share_a_histogram(spark):
+    """A percentile lies between two ranks; scores are put in bins once for both."""
+    rows, asked = [*enumerate(_words(300, 3))], [(i, t) for i, t in enumerate(_words(5, 4)) if t]
+    scores = lexical.Bm25(spark.createDataFrame(rows, DOCS)).fit(spark.createDataFrame(asked, ASKED)).scores
+    state = quantile.wanted(scores._bounds(), "query_id", 0.95).collect()
+    batches, taken = scores.rows.toArrow().to_batches(), []
+    scores.rows = types.SimpleNamespace(sparkSession=spark, mapInArrow=lambda f, _: taken.append(f) or spark.createDataFrame([], "range bigint, bin bigint, inside bigint, low double, high double"))
+    scores._bins(state)
+    ranges = {r for b in taken[0](iter(batches)) for r in b.column(0).to_pylist()}
+    assert len(ranges) == len({s.query_id for s in state}) < len(state)
