@@ -361,7 +361,8 @@ def score_bands(spark, d):
 
 @query
 def result_table(spark, d):
-    r = _hybrid(spark, d).filter("rank <= 3").join(_docs(spark, d).select("doc_id", "source", F.size(T.words(F.col("text"))).cast("long").alias("Mots")), "doc_id")
+    best = sized(_hybrid(spark, d).filter("rank <= 3"), "best")
+    r = _docs(spark, d).select("doc_id", "source", "text").join(best.side(), "doc_id").withColumn("Mots", F.size(T.words(F.col("text"))).cast("long"))
     return r.select(F.col("query_id"), F.col("rank").alias("Rang"), F.left("source", F.lit(30)).alias("Document"), F.round("cosine", 3).alias("Cosine"), F.round("bm25n", 3).alias("BM25"), F.round("final", 3).alias("Final"), F.round("quality", 3).alias("Qualite"), "Mots")
 
 
@@ -471,9 +472,10 @@ def composite_leaderboard(spark, d):
 
 
 def _with_excerpt(spark, d, column):
-    best = _bm25(spark, d).top(3).select("query_id", "doc_id")
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return best.join(q, "query_id").join(_docs(spark, d).select("doc_id", "text"), "doc_id").select("query_id", "doc_id", column.alias("excerpt"))
+    best = sized(_bm25(spark, d).top(3).select("query_id", "doc_id"), "best")
+    q = sized(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "queries")
+    held = _docs(spark, d).select("doc_id", "text").join(best.side(), "doc_id")  # the texts stay where they are
+    return held.join(q.side(), "query_id").select("query_id", "doc_id", column.alias("excerpt"))
 
 
 @query

@@ -12,6 +12,7 @@ import pyarrow as pa
 
 from jobs import evaluate
 from quarry.operators import lexical, passages, quantile, sparse, tfidf
+from quarry.plans import registry
 
 DOCS = "doc_id long, text string"
 ASKED = "item_id long, text string"
@@ -141,3 +142,16 @@ def test_two_ranks_of_a_query_share_a_histogram(spark):
     scores._bins(state)
     ranges = {r for b in taken[0](iter(batches)) for r in b.column(0).to_pylist()}
     assert len(ranges) == len({s.query_id for s in state}) < len(state)
+
+
+def test_texts_stay_where_they_are(spark):
+    """The few best documents meet the texts; a join by sorted keys would move every text."""
+    d, name = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        for q in (registry.best_excerpt_ui, registry.best_excerpt_cli, registry.result_table):
+            plan = q(spark, d)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set(name, held)
