@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from ..shared import sized, written
 from . import quantile
 
-#: Scores, and products that are summed to them, that a step of a task holds; distinct pairs of words that a task counts before it passes them on.
-CELLS, HELD = 1_000_000, 1_000_000
+#: Scores, and products that are summed to them, that a step of a task holds; distinct pairs of words that a task counts before it passes them on; words whose terms a task counts at once.
+CELLS, HELD, AT_ONCE = 1_000_000, 1_000_000, 4_000_000
 #: Rows and bytes of text that a step of a task takes, and cells of a table of counts.
 ROWS, BYTES, DENSE = 1024, 8_000_000, 8_000_000
 #: Bytes that stand in words: all but Java's white space; or letters, digits, underscores and what isn't ASCII.
@@ -150,6 +151,16 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """As Spark's ``round`` of doubles: half up by their shortest decimal digits. Only where a value may be half way are these looked at."""
+    scale = 10.0**digits
+    y = x * scale
+    out = np.rint(y) / scale + 0.0  # no negative zero
+    for i in np.flatnonzero(np.abs(np.abs(y - np.trunc(y)) - 0.5) < 1e-6):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
+
+
 def _type(ddl: str) -> list[StructField]:
     return StructType.fromDDL(ddl).fields
 
@@ -197,6 +208,44 @@ def word_counts(rows: DataFrame, cut: Cut) -> DataFrame:
     return rows.select("w").mapInArrow(run, "term string, k bigint").groupBy("term").agg(F.sum("k").alias("n"))
 
 
+def frequent(rows: DataFrame, cut: Cut, most: int) -> DataFrame:
+    """(term, n, bound): the ``most`` words and the ``most`` pairs of neighbouring words at most that stand most often in a share of the texts ``w``, and how often. No other term stands there more than ``bound`` times, which a row without a term tells once a share. A share is what a task holds at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, held = [], 0
+        for batch in _parts(batches, 0):
+            cuts.append(cut(batch.column(0)))
+            held += len(cuts[-1][1])
+            if held >= AT_ONCE:
+                yield share(cuts)
+                cuts, held = [], 0
+        if held:
+            yield share(cuts)
+
+    def often(n: np.ndarray) -> tuple[np.ndarray, int]:
+        """Which of the counts are the highest, and the highest of the others."""
+        bound = int(np.partition(n, len(n) - most - 1)[len(n) - most - 1]) if len(n) > most else 0
+        return np.flatnonzero(n > bound), bound
+
+    def share(cuts: list[tuple[np.ndarray, pa.Array]]) -> pa.RecordBatch:
+        sizes = np.concatenate([n for n, _ in cuts])
+        coded = pa.chunked_array([words for _, words in cuts]).combine_chunks().dictionary_encode()
+        index = np.asarray(coded.indices)
+        n = np.bincount(index)
+        high, bound = often(n)
+        words, number = coded.dictionary.take(pa.array(high)), np.full(len(n), -1, np.int64)
+        number[high] = np.arange(len(high))
+        number = number[index]
+        there, size = number >= 0, max(1, len(high))
+        pairs, k = tallied(_pairs(np.repeat(np.arange(len(sizes)), sizes), number, size, there, there)[1], size * size)
+        best, least = often(k)  # a pair with another word is no more frequent than that word
+        both = pc.binary_join_element_wise(words.take(pa.array(pairs[best] // size)), words.take(pa.array(pairs[best] % size)), " ")
+        terms = pa.chunked_array([words, both, pa.array([None], pa.string())]).combine_chunks()
+        return pa.record_batch([terms, pa.array(np.concatenate([n[high], k[best], [0]])), pa.array(np.full(len(terms), max(bound, least)))], names=["term", "n", "bound"])
+
+    return rows.select("w").mapInArrow(run, "term string, n bigint, bound bigint")
+
+
 def holders(rows: DataFrame, key: str, asked: list[tuple], cut: Cut, id_type) -> DataFrame:
     """(query_id, key) of texts ``w`` that hold a passage; ``asked`` are (query_id, passage, a word of it), and only texts with this word are searched."""
     fields = [StructField("query_id", id_type), rows.schema[key]]
@@ -284,19 +333,26 @@ def rows_with(rows: DataFrame, words: list[str], cut: Cut) -> DataFrame:
 
 
 def held_by(rows: DataFrame, n_terms: int) -> np.ndarray:
-    """How many of the counted rows (at, n) have each term; counted in a task first, so that a row per term moves."""
+    """How many of the counted rows (at, n) have each term."""
+    return totals(rows, n_terms)[0]
+
+
+def totals(rows: DataFrame, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the counted rows (at, n) have each term, and how often it stands in them; counted in a task first, so that a row per term moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(n_terms, np.int64)
+        held, stands = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64)
         for batch in batches:
-            n += np.bincount(np.asarray(_flat(batch.column(0))[1]), minlength=n_terms)
-        at = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(at), pa.array(n[at])], names=["at", "k"])
-
-    out = np.zeros(n_terms, np.int64)
-    for r in rows.select("at").mapInArrow(run, "at bigint, k bigint").groupBy("at").agg(F.sum("k").alias("n")).collect():  # one per term
-        out[r["at"]] = r["n"]
-    return out
+            _, at, n = lists(batch, 0)
+            held += np.bincount(at, minlength=n_terms)
+            stands += np.bincount(at, n, n_terms).astype(np.int64)
+        at = np.flatnonzero(held)
+        yield pa.record_batch([pa.array(at), pa.array(held[at]), pa.array(stands[at])], names=["at", "k", "n"])
+
+    out = np.zeros((2, n_terms), np.int64)
+    for r in rows.select("at", "n").mapInArrow(run, "at bigint, k bigint, n bigint").groupBy("at").agg(F.sum("k").alias("k"), F.sum("n").alias("n")).collect():  # one per term
+        out[:, r["at"]] = r["k"], r["n"]
+    return out[0], out[1]
 
 
 def terms_of(rows: DataFrame, keys: list[str]) -> DataFrame:

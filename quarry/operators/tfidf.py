@@ -29,12 +29,14 @@ def terms(docs: DataFrame, key: str | Sequence[str] = "doc_id", text: str = "tex
 
 @dataclass
 class Fitted:
-    """Documents as rows (key, at, n) of counted terms, with the terms of a vocabulary and their idf by number."""
+    """Documents as rows (key, at, n) of counted terms, with the terms of a vocabulary, their idf and their numbers in the rows, which may have ``size`` numbers, also of other terms."""
 
     rows: DataFrame
     keys: list[str]
     terms: list[str]
     idf: np.ndarray
+    numbers: np.ndarray
+    size: int
 
     def vocabulary(self) -> DataFrame:
         """(term, idf) of the terms that stand in a document."""
@@ -42,17 +44,20 @@ class Fitted:
         return self.rows.sparkSession.createDataFrame(pa.table({"term": pa.array([t for t, _ in held], pa.string()), "idf": pa.array([i for _, i in held], pa.float64())}))
 
     def unit(self):
-        """The weights of a batch's terms, (1 + ln tf) * idf at length 1 a row."""
-        idf = self.idf
+        """The weights of a batch's terms, (1 + ln tf) * idf at length 1 a row; 0 for a term outside of the vocabulary."""
+        idf = np.zeros(self.size)
+        idf[self.numbers] = self.idf
 
         def value(at: np.ndarray, n: np.ndarray, row: np.ndarray, batch) -> np.ndarray:
             raw = (1 + np.log(n)) * idf[at]
-            return raw / np.sqrt(np.bincount(row, raw * raw, batch.num_rows))[row]
+            norm = np.sqrt(np.bincount(row, raw * raw, batch.num_rows))
+            return raw / np.where(norm == 0, 1.0, norm)[row]
 
         return value
 
     def _each(self, out, ddl: str) -> DataFrame:
-        keys, value = self.keys, self.unit()
+        keys, value, place = self.keys, self.unit(), np.full(self.size, -1)
+        place[self.numbers] = np.arange(len(self.terms))
 
         def run(batches):
             for batch in batches:
@@ -60,14 +65,23 @@ class Fitted:
                     part = batch.slice(first, sparse.ROWS)
                     sizes, at, n = sparse.lists(part, len(keys))
                     row = np.repeat(np.arange(len(sizes)), sizes)
-                    yield out([part.column(i) for i in range(len(keys))], sizes, row, at, value(at, n, row, part))
+                    w, at = value(at, n, row, part), place[at]
+                    if (at < 0).any():
+                        row, at, w = (x[at >= 0] for x in (row, at, w))
+                        sizes = np.bincount(row, minlength=len(sizes))
+                    yield out([part.column(i) for i in range(len(keys))], sizes, row, at, w)
 
         return self.rows.select(*keys, "at", "n").mapInArrow(run, StructType([*[self.rows.schema[k] for k in keys], *StructType.fromDDL(ddl).fields]))
 
-    def weights(self) -> DataFrame:
-        """(key, term, w): unit vectors of (1 + ln tf) * idf."""
+    def weights(self, digits: int | None = None) -> DataFrame:
+        """(key, term, w): unit vectors of (1 + ln tf) * idf, rounded to ``digits`` decimals in their tasks."""
         keys, terms = self.keys, self.terms
-        return self._each(lambda k, sizes, row, at, w: pa.record_batch([*[c.take(pa.array(row)) for c in k], pa.array(terms, pa.string()).take(pa.array(at)), pa.array(w)], names=[*keys, "term", "w"]), "term string, w double")
+
+        def out(k, sizes, row, at, w):
+            w = w if digits is None else sparse.rounded(w, digits)
+            return pa.record_batch([*[c.take(pa.array(row)) for c in k], pa.array(terms, pa.string()).take(pa.array(at)), pa.array(w)], names=[*keys, "term", "w"])
+
+        return self._each(out, "term string, w double")
 
     def vectors(self) -> DataFrame:
         """(key, vector): the weights of a document in order of term; documents without a term have none."""
@@ -108,9 +122,9 @@ class Fitted:
         asked = sized(query_weights(queries, self.vocabulary(), qkey, least_chars=least_chars), "query-weights")
         if not asked.few:
             return None, asked
-        number = {t: i for i, t in enumerate(self.terms)}
+        number = dict(zip(self.terms, self.numbers.tolist(), strict=True))
         rows = [(r.query_id, number[r.term], r.qw) for r in asked.table.collect()]
-        return sparse.Scores(self.rows, self.keys, rows, len(self.terms), self.unit(), digits, queries.schema[qkey].dataType), asked
+        return sparse.Scores(self.rows, self.keys, rows, self.size, self.unit(), digits, queries.schema[qkey].dataType), asked
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -118,33 +132,67 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return written(sparse.word_counts(docs.select(F.col(text).alias("w")), sparse.Cut(sparse.WORD)), "word-counts")
 
 
-def fitted(docs: DataFrame, features: int = FEATURES, key: str | Sequence[str] = "doc_id", text: str = "text", least_chars: int = 1, unique: bool = False, counts: DataFrame | None = None) -> Fitted:
-    """The ``features`` most frequent terms of documents; ties go to the first in order. ``unique``: no two documents share a key. ``counts``: their words, as ``word_counts``.
+def _most(df: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most frequent terms of (term, n)."""
+    return df.orderBy(F.desc("n"), "term").limit(n)
+
+
+def candidates(rows: DataFrame, features: int, cut: sparse.Cut) -> list[str] | None:
+    """Terms of the texts ``w`` among which are the ``features`` most frequent, with all ties, or None where that can't be shown.
+
+    Each share of the texts tells its most frequent terms and a bound for all others. The bounds of the shares
+    that don't tell a term are what it may have more than is known; ``features`` terms have ``least`` for sure,
+    so a term that can't have as many is out, and one that no share tells can't if the sum of all bounds is less.
+    """
+    told = written(sparse.frequent(rows, cut, TIED * features).groupBy("term").agg(F.sum("n").alias("n"), F.sum("bound").alias("bound")), "frequent-terms")
+    known = told.filter("term IS NOT NULL")
+    most = (told.filter("term IS NULL").agg(F.sum("bound")).first()[0]) or 0
+    if most == 0:  # all terms are told
+        return [r.term for r in _most(known, features).collect()]
+    often = _most(known, features).collect()  # bounded by the number of features, as are the candidates
+    if len(often) < features or most >= often[-1].n:
+        return None
+    found = known.filter(F.col("n") + most - F.col("bound") >= often[-1].n).select("term").limit(TIED * features + 1).collect()
+    return [r.term for r in found] if len(found) <= TIED * features else None
+
+
+def chosen_of(rows: DataFrame, docs: DataFrame, features: int, key: str | Sequence[str], text: str, least_chars: int, cut: sparse.Cut, counts: DataFrame | None) -> tuple[list[str], list[str]]:
+    """The ``features`` most frequent terms, and the words that were counted for them, by whole counts.
 
     A pair is no more frequent than its words. So words are counted first, and pairs only of words
     that are as frequent as the last of as many words, which no pair of others can reach. Where too many words
     are that frequent, all pairs are counted.
     """
-    keys, spark = keys_of(key), docs.sparkSession
-    rows, cut = docs.select(*keys, F.col(text).alias("w")), sparse.Cut(sparse.WORD, least_chars)
-    most = lambda df, n: df.orderBy(F.desc("n"), "term").limit(n)
     single = sparse.word_counts(rows, cut) if counts is None else counts.filter(F.length("term") >= least_chars)
-    often = most(single, TIED * features).collect()  # bounded by the number of features
+    often = _most(single, TIED * features).collect()  # bounded by the number of features
     least = often[features - 1].n if len(often) >= features else 1
     known = [r.term for r in often if r.n >= least]
     if len(often) == TIED * features and often[-1].n >= least:
-        best = most(terms(docs, key, text, least_chars).groupBy("term").agg(F.count("*").alias("n")), features).collect()
+        best = _most(terms(docs, key, text, least_chars).groupBy("term").agg(F.count("*").alias("n")), features).collect()
         known = sorted({w for r in best for w in r.term.split(" ")})
     else:
-        singles = spark.createDataFrame(pa.table({"term": pa.array([r.term for r in often], pa.string()), "n": pa.array([r.n for r in often], pa.int64())}))
-        best = most(singles.unionByName(sparse.word_pairs(rows, known, cut).filter(F.col("n") >= least)), features).collect()
-    chosen = [r.term for r in best]
-    rows = sparse.counted(rows, keys, sparse.Vocabulary(chosen, True, known), cut)
+        singles = docs.sparkSession.createDataFrame(pa.table({"term": pa.array([r.term for r in often], pa.string()), "n": pa.array([r.n for r in often], pa.int64())}))
+        best = _most(singles.unionByName(sparse.word_pairs(rows, known, cut).filter(F.col("n") >= least)), features).collect()
+    return [r.term for r in best], known
+
+
+def fitted(docs: DataFrame, features: int = FEATURES, key: str | Sequence[str] = "doc_id", text: str = "text", least_chars: int = 1, unique: bool = False, counts: DataFrame | None = None) -> Fitted:
+    """The ``features`` most frequent terms of documents; ties go to the first in order. ``unique``: no two documents share a key. ``counts``: their words, as ``word_counts``.
+
+    Without ``counts``, texts are read twice: for candidates, of which few are too many, and for their exact counts in each row, which
+    also tell the most frequent. Where no proof is found that the most frequent terms are among the candidates, all words are counted.
+    """
+    keys, cut = keys_of(key), sparse.Cut(sparse.WORD, least_chars)
+    texts = docs.select(*keys, F.col(text).alias("w"))
+    tried = candidates(texts, features, cut) if counts is None else None
+    tried, known = (tried, None) if tried is not None else chosen_of(texts, docs, features, key, text, least_chars, cut, counts)
+    rows = sparse.counted(texts, keys, sparse.Vocabulary(tried, True, known), cut)
     rows = written(rows if unique or not sparse.shared_keys(docs, keys) else sparse.merged(rows, keys), "term-counts")
     n_docs = docs.count()
-    df = sparse.held_by(rows, len(chosen))
-    df = np.where(df > 0, df, np.nan)
-    return Fitted(rows, keys, chosen, np.log((1.0 + n_docs) / (1 + df)) + 1)
+    df, n = sparse.totals(rows, len(tried))
+    best = np.array(sorted(range(len(tried)), key=lambda i: (-n[i], tried[i]))[:features], np.int64)
+    df = np.where(df > 0, df, np.nan)[best]
+    return Fitted(rows, keys, [tried[i] for i in best], np.log((1.0 + n_docs) / (1 + df)) + 1, best, len(tried))
 
 
 def weights(counted: DataFrame, vocab: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:

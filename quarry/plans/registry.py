@@ -244,12 +244,12 @@ def _pool(spark, d, features=tfidf.FEATURES, least=1):
 
 @query
 def tfidf_weights(spark, d):
-    return tfidf.fitted(_docs(spark, d)).weights().select("doc_id", "term", F.round("w", 6).alias("w"))
+    return tfidf.fitted(_docs(spark, d)).weights(6)
 
 
 @query
 def baseline_tfidf(spark, d):
-    return tfidf.fitted(_docs(spark, d), tfidf.BASELINE_FEATURES, least_chars=2).weights().select("doc_id", "term", F.round("w", 6).alias("w"))
+    return tfidf.fitted(_docs(spark, d), tfidf.BASELINE_FEATURES, least_chars=2).weights(6)
 
 
 @query

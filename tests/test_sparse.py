@@ -155,3 +155,39 @@ def test_texts_stay_where_they_are(spark):
             assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set(name, held)
+
+
+def _most_frequent(rows, features):
+    every = Counter(t for _, x in rows if x for w in [x.split()] for t in [*w, *map(" ".join, zip(w, w[1:], strict=False))])
+    return sorted(every, key=lambda t: (-every[t], t))[:features]
+
+
+def test_vocabulary_is_found_without_moving_rare_words(spark):
+    """200,000 words that stand once were rows of a shuffle before; now a share of the texts tells its most frequent terms."""
+    rows = [(i, f"{t} a b " + " ".join(f"x{i}y{k}" for k in range(50))) for i, t in enumerate(_words(4000, 11))]
+    docs = spark.createDataFrame(rows, DOCS)
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before, want = moved(), _most_frequent(rows, 20)
+    found = tfidf.fitted(docs, 20, unique=True)
+    assert found.terms == want and moved() - before < 600_000
+    kept = found.weights().collect()
+    assert {r.term for r in kept} == set(want) and all(abs(sum(r.w**2 for r in kept if r.doc_id == d) - 1) < 1e-9 for d in (0, 7))
+
+
+def test_vocabulary_of_unlike_shares(spark, monkeypatch):
+    """Each share has words of its own; with few told terms a proof is not found and all words are counted."""
+    for told, at_once in ((5, 10**6), (5, 40), (1, 40)):
+        monkeypatch.setattr(tfidf, "TIED", told)
+        monkeypatch.setattr(sparse, "AT_ONCE", at_once)
+        for seed in range(3):
+            rows = [(i, t.replace("a", f"a{i // 100}").replace("b", f"b{i % 9}")) for i, t in enumerate(_words(400, seed))]
+            docs = spark.createDataFrame(rows, DOCS).coalesce(3)
+            for features in (4, 30):
+                assert tfidf.fitted(docs, features, unique=True).terms == _most_frequent(rows, features)
+
+
+def test_weights_are_rounded_as_by_spark(spark):
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.random(5000), [0.0078125, 0.0000005, 0.1234565, 0.1234575, -0.0000005, 1.0, 0.9999995, -1e-9, 2.5e-7], r.integers(0, 10**6, 2000) / 10**6 + 5e-7])
+    want = [v[0] for v in spark.createDataFrame([(float(v),) for v in x], "x double").selectExpr("round(x, 6)").collect()]
+    assert sparse.rounded(x, 6).tolist() == want
