@@ -149,6 +149,12 @@ class Fit:
         """As ``normalised``, of all pairs or of those in a pool."""
         return _clipped(self.of(pool) if pool else self.pairs(), sized(self.p95(), "p95"))
 
+    def shares(self, digits: int) -> DataFrame:
+        """(query_id, key, bm25n) of all pairs, to ``digits`` decimals; where the queries are few, divided and rounded in the tasks that score."""
+        if self.scores:
+            return self.scores.shares(0.95, digits).withColumnRenamed("score", "bm25n")
+        return self.normalised().select("query_id", *self.keys, F.round("bm25n", digits).alias("bm25n"))
+
 
 def top(scores: DataFrame, k: int, score: str, key: str | Sequence[str] = "doc_id") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), *keys_of(key)))

@@ -507,17 +507,29 @@ class Scores:
     def _ids(self) -> pa.Array:
         return pa.array(self.ids, to_arrow_type(self.id_type))
 
-    def pairs(self) -> DataFrame:
-        """(query_id, keys, score) of all rows that score."""
+    def pairs(self, of: Callable[[np.ndarray, np.ndarray], np.ndarray] = lambda score, query: score) -> DataFrame:
+        """(query_id, keys, score) of all rows that score; ``of`` makes what is returned from arrays of scores and places of their queries."""
 
         def run(batches):
             for batch in batches:
                 for first, score in self._blocks(batch):
                     row, query = np.nonzero(~np.isnan(score))
-                    yield self._found(batch, first, row, query, score[row, query])
+                    yield self._found(batch, first, row, query, of(score[row, query], query))
 
         return self._run(self.rows, run, "score double") if self.ids else self._none()
 
+    def shares(self, p: float, digits: int) -> DataFrame:
+        """(query_id, keys, score): as ``pairs``, as shares of the percentile ``p`` of the query's positive scores, clipped to 0 and 1; as they are where there is none."""
+        place, most = {q: i for i, q in enumerate(self.ids)}, np.full(len(self.ids), np.nan)
+        for r in self.percentile(p).collect():  # one per query
+            most[place[r["query_id"]]] = r["percentile"]
+
+        def of(score: np.ndarray, query: np.ndarray) -> np.ndarray:
+            by = most[query]
+            return rounded(np.where(np.isnan(by), score, np.clip(score / by, 0.0, 1.0)), digits)
+
+        return self.pairs(of)
+
     def _none(self) -> DataFrame:
         fields = [StructField("query_id", self.id_type), *[self.rows.schema[k] for k in self.keys], StructField("score", DoubleType())]
         return self.rows.sparkSession.createDataFrame([], StructType(fields))

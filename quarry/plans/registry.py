@@ -227,7 +227,7 @@ def p95_scores(spark, d):
 
 @query
 def bm25_norm(spark, d):
-    return _bm25(spark, d).normalised().select("query_id", "doc_id", F.round("bm25n", 6).alias("bm25n"))
+    return _bm25(spark, d).shares(6)
 
 
 @query

@@ -191,3 +191,14 @@ def test_weights_are_rounded_as_by_spark(spark):
     x = np.concatenate([r.random(5000), [0.0078125, 0.0000005, 0.1234565, 0.1234575, -0.0000005, 1.0, 0.9999995, -1e-9, 2.5e-7], r.integers(0, 10**6, 2000) / 10**6 + 5e-7])
     want = [v[0] for v in spark.createDataFrame([(float(v),) for v in x], "x double").selectExpr("round(x, 6)").collect()]
     assert sparse.rounded(x, 6).tolist() == want
+
+
+def test_shares_of_a_percentile_are_found_in_their_tasks(spark):
+    """Each pair met its query's percentile in a join before, and was rounded there."""
+    rows = [*enumerate(_words(300, 3)), (300, "once a"), (None, "a h"), (302, None)]
+    asked = [*enumerate(_words(9, 4)), (100, "zzz"), (101, "once"), (102, "a a")]
+    fit = lexical.Bm25(spark.createDataFrame(rows, DOCS)).fit(spark.createDataFrame(asked, ASKED), digits=6)
+    want = fit.normalised().selectExpr("query_id", "doc_id", "round(bm25n, 6) AS bm25n").collect()
+    assert sorted(map(repr, fit.shares(6).collect())) == sorted(map(repr, want)) and len(want) > 1000
+    plan = registry.bm25_norm(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "round(" not in plan
