@@ -76,6 +76,7 @@ class Bm25:
     docs: DataFrame
     key: str | Sequence[str] = "doc_id"
     text: str = "text"
+    unique: bool = False  # no two documents share a key
 
     def fit(self, queries: DataFrame, qkey: str = "item_id", qtext: str = "text", digits: int = 9) -> Fit:
         """The scores of queries, to ``digits`` decimals, of documents that share a term; repeated query words count repeatedly. Only postings of query terms are built, in a row per document."""
@@ -90,7 +91,7 @@ class Bm25:
         texts = self.docs.select(*keys, F.col(self.text).alias("w"))
         counts = written(sparse.counted(texts, keys, sparse.Vocabulary(terms), sparse.Cut(sparse.UNBLANK), "dl"), "postings")
         n, avgdl = counts.agg(F.count("*"), F.avg("dl")).first()
-        again = sparse.shared_keys(counts, keys)
+        again = not self.unique and sparse.shared_keys(counts, keys)
         counts = written(sparse.merged(counts, [*keys, "dl"]), "postings") if again else counts
         df = sparse.held_by(counts, len(terms))
         idfs, place = np.log((n - df + 0.5) / (df + 0.5) + 1), {t: i for i, t in enumerate(terms)}

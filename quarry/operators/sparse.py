@@ -370,22 +370,6 @@ def terms_of(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "w").mapInArrow(run, StructType([*_type("term string"), *[rows.schema[k] for k in keys], *_type("tf bigint")]))
 
 
-def of_vectors(rows: DataFrame, keys: list[str], terms: Sequence[str]) -> DataFrame:
-    """(keys, at, n) of rows with an array ``vector`` of (term, w): the numbers of those of ``terms`` that a row has, and their weights."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(terms, pa.string())
-        for batch in _parts(batches):
-            n, flat = _flat(batch.column(len(keys)))
-            term, w = flat.flatten()
-            at = np.asarray(pc.fill_null(pc.index_in(term, value_set=known), -1))
-            here = np.flatnonzero(at >= 0)
-            sizes = np.bincount(np.repeat(np.arange(len(n)), n)[here], minlength=len(n))
-            yield pa.record_batch([*batch.columns[: len(keys)], arrays(sizes, pa.array(at[here], pa.int32())), arrays(sizes, w.take(pa.array(here)))], names=[*keys, "at", "n"])
-
-    return rows.select(*keys, "vector").mapInArrow(run, _keep(rows, keys, "at array<int>, n array<double>"))
-
-
 def word_pairs(rows: DataFrame, words: list[str], cut: Cut) -> DataFrame:
     """(term, n) of pairs of ``words`` that stand side by side in the texts ``w``; counted in a task first, so that few rows a pair move."""
 

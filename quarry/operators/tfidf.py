@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,9 +39,10 @@ class Fitted:
     size: int
 
     def vocabulary(self) -> DataFrame:
-        """(term, idf) of the terms that stand in a document."""
-        held = [(t, float(i)) for t, i in zip(self.terms, self.idf, strict=True) if i == i]
-        return self.rows.sparkSession.createDataFrame(pa.table({"term": pa.array([t for t, _ in held], pa.string()), "idf": pa.array([i for _, i in held], pa.float64())}))
+        """(term, idf, at) of the terms that stand in a document, with their numbers in the rows."""
+        held = [(t, float(i), int(at)) for t, i, at in zip(self.terms, self.idf, self.numbers, strict=True) if i == i]
+        kinds = {"term": pa.string(), "idf": pa.float64(), "at": pa.int32()}
+        return self.rows.sparkSession.createDataFrame(pa.table({c: pa.array([h[i] for h in held], kind) for i, (c, kind) in enumerate(kinds.items())}))
 
     def unit(self):
         """The weights of a batch's terms, (1 + ln tf) * idf at length 1 a row; 0 for a term outside of the vocabulary."""
@@ -95,6 +96,12 @@ class Fitted:
 
         return self._each(out, "vector array<struct<term: string, w: double>>").filter(F.size("vector") > 0)
 
+    def norms(self) -> DataFrame:
+        """(key, norm): the lengths of the vectors of documents with a term."""
+        keys = self.keys
+        out = lambda k, sizes, row, at, w: pa.record_batch([*k, pa.array(np.sqrt(np.bincount(row, w * w, len(sizes))))], names=[*keys, "norm"])
+        return self._each(out, "norm double").filter("norm > 0")
+
     def projected(self, dimensions: int = DIMENSIONS) -> DataFrame:
         """(key, embedding): unit vectors of the projected weights of documents with a term; a zero vector stays zero."""
         keys, used = self.keys, sorted(t for t, i in zip(self.terms, self.idf, strict=True) if i == i)
@@ -176,8 +183,8 @@ def chosen_of(rows: DataFrame, docs: DataFrame, features: int, key: str | Sequen
     return [r.term for r in best], known
 
 
-def fitted(docs: DataFrame, features: int = FEATURES, key: str | Sequence[str] = "doc_id", text: str = "text", least_chars: int = 1, unique: bool = False, counts: DataFrame | None = None) -> Fitted:
-    """The ``features`` most frequent terms of documents; ties go to the first in order. ``unique``: no two documents share a key. ``counts``: their words, as ``word_counts``.
+def fitted(docs: DataFrame, features: int = FEATURES, key: str | Sequence[str] = "doc_id", text: str = "text", least_chars: int = 1, unique: bool = False, counts: DataFrame | None = None, put: Callable[[DataFrame], DataFrame] = lambda rows: written(rows, "term-counts")) -> Fitted:
+    """The ``features`` most frequent terms of documents; ties go to the first in order. ``unique``: no two documents share a key. ``counts``: their words, as ``word_counts``. ``put`` writes the rows of counted terms.
 
     Without ``counts``, texts are read twice: for candidates, of which few are too many, and for their exact counts in each row, which
     also tell the most frequent. Where no proof is found that the most frequent terms are among the candidates, all words are counted.
@@ -187,7 +194,7 @@ def fitted(docs: DataFrame, features: int = FEATURES, key: str | Sequence[str] =
     tried = candidates(texts, features, cut) if counts is None else None
     tried, known = (tried, None) if tried is not None else chosen_of(texts, docs, features, key, text, least_chars, cut, counts)
     rows = sparse.counted(texts, keys, sparse.Vocabulary(tried, True, known), cut)
-    rows = written(rows if unique or not sparse.shared_keys(docs, keys) else sparse.merged(rows, keys), "term-counts")
+    rows = put(rows if unique or not sparse.shared_keys(docs, keys) else sparse.merged(rows, keys))
     n_docs = docs.count()
     df, n = sparse.totals(rows, len(tried))
     best = np.array(sorted(range(len(tried)), key=lambda i: (-n[i], tried[i]))[:features], np.int64)

@@ -370,7 +370,7 @@ def result_table(spark, d):
 def search_full(spark, d):
     from ..session import Engine
 
-    return Engine.build(_docs(spark, d)).search(table(spark, d, "benchmark"))
+    return Engine.build(_docs(spark, d), inverted=False).search(table(spark, d, "benchmark"))
 
 
 @query

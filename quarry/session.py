@@ -3,8 +3,10 @@
 The index is a folder of Parquet tables. What is looked up by term (BM25's postings and idf, TF-IDF
 weights) is dealt to folders by the term's hash, what is looked up by chunk (texts, and the forward
 vectors that results are compared by) by the chunk's, an encoder's vectors by their cell; a search reads
-only folders that it asks for. The manifest is written last: with settings, counts, statistics and the
-tables' schemas. A folder without one is a build that didn't end, and is never read.
+only folders that it asks for. An index for batches alone has none of what is looked up by term, and its
+chunks and vectors stay in the files of the tasks that cut them: a batch reads these in order. The manifest is
+written last: with settings, counts, statistics and the tables' schemas. A folder without one is a build
+that didn't end, and is never read.
 """
 
 from __future__ import annotations
@@ -18,14 +20,17 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from concurrent.futures import Future
+from dataclasses import replace
+from functools import cached_property
 
+import numpy as np
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .operators import chunk, encode, expand, lexical, ranking, sparse, tfidf, vector
+from .operators import chunk, encode, expand, lexical, ranking, tfidf, vector
 from .shared import Sized, dealt, in_folders, shared_path, sized, spread
 from .sources import loaders
 
@@ -38,6 +43,8 @@ HEADS = 1000
 #: Questions from which on a search reads all chunks in order, and no longer what their terms have in the folders: their words are in most chunks.
 MANY = 16
 KEY = ["doc_id", "chunk_ord"]
+#: How the tables of an index are laid out; one of another layout is built anew.
+LAYOUT = 2
 
 
 class QueryCache:
@@ -139,9 +146,9 @@ class Engine:
         return self.spark.read.schema(StructType.fromJson(self.config["tables"][name]["schema"])).parquet(f"{self.path}/{name}")
 
     @staticmethod
-    def settings(title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoder: Callable | None = None) -> dict:
+    def settings(title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoder: Callable | None = None, inverted: bool = True) -> dict:
         """All that an index depends on but the documents."""
-        return {"title": title, "contextual": contextual, "features": features, "encoder": encode.identity(encoder), "least": chunk.MIN_WORDS, "most": chunk.MAX_WORDS, "overlap": chunk.OVERLAP, "prefix": chunk.PREFIX_WORDS}
+        return {"layout": LAYOUT, "inverted": inverted, "title": title, "contextual": contextual, "features": features, "encoder": encode.identity(encoder), "least": chunk.MIN_WORDS, "most": chunk.MAX_WORDS, "overlap": chunk.OVERLAP, "prefix": chunk.PREFIX_WORDS}
 
     @staticmethod
     def fingerprint(docs: DataFrame, config: dict) -> str:
@@ -150,31 +157,35 @@ class Engine:
         return loaders.corpus_fingerprint(docs.withColumn("text", whole), json.dumps(config, sort_keys=True)).first().fingerprint
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str | None = None, title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoder: Callable[[], encode.Encoder] | None = None, mark: str | None = None) -> Engine:
-        """Writes an index of ``docs`` into the new folder ``path``. ``contextual``: what is compared by cosine is a chunk after its document's title and first words. ``mark`` is the fingerprint, where it is known."""
-        began, spark, config = time.time(), docs.sparkSession, cls.settings(title, contextual, features, encoder)
+    def build(cls, docs: DataFrame, path: str | None = None, title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoder: Callable[[], encode.Encoder] | None = None, mark: str | None = None, inverted: bool = True) -> Engine:
+        """Writes an index of ``docs`` into the new folder ``path``. ``contextual``: what is compared by cosine is a chunk after its document's title and first words. ``mark`` is the fingerprint, where it is known.
+
+        Without ``inverted`` it is an index for batches of questions, which read all chunks in order: the tables that single questions look their terms up in
+        (postings, idf, weights) are not written, nothing moves to folders, and a single question is answered as a batch is.
+        """
+        began, spark, config = time.time(), docs.sparkSession, cls.settings(title, contextual, features, encoder, inverted)
         path, docs = path or shared_path(spark, "index"), spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(title).cast("string").alias(title), "text"))
         tables: dict = {}
 
         def kept(df: DataFrame, name: str, by: str | None = None, sort: str | None = None) -> DataFrame:
-            if by:
+            if by and config["folders"] > 1:
                 df = df.withColumn("folder", _folder(by, config["folders"]))
                 dealt(df, "folder", f"{path}/{name}", sort or by)
             else:
-                df.write.parquet(f"{path}/{name}")
+                df.write.option("compression", "zstd").parquet(f"{path}/{name}")
             out = spark.read.schema(df.schema).parquet(f"{path}/{name}")
             tables[name] = {"schema": out.schema.jsonValue(), "rows": out.count()}
             return out
 
         size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-        config["folders"] = min(MOST_FOLDERS, size.chars // (FOLDER_CHUNKS * CHUNK_CHARS) + 1)
+        config["folders"] = min(MOST_FOLDERS, size.chars // (FOLDER_CHUNKS * CHUNK_CHARS) + 1) if inverted else 1
         chunks = kept(cut(docs.withColumn("title", F.col(title))).withColumn("chunk_id", chunk_id()), "chunks", "chunk_id")
         kept(chunks.select(*KEY).orderBy(*KEY).limit(HEADS), "heads")
-        posted = kept(lexical.row_postings(chunks, KEY), "postings", "term")
         n = chunks.agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.avg("word_count").alias("avg_words"), F.avg("quality_score").alias("avg_quality")).first().asDict()
         config |= n | {"n_docs_loaded": size.n}
-        stats = spark.range(1).select(F.lit(n["n_chunks"]).alias("n"))
-        kept(lexical.idf(lexical.doc_freq(posted), stats), "idf", "term")
+        if inverted:
+            posted = kept(lexical.row_postings(chunks, KEY), "postings", "term")
+            kept(lexical.idf(lexical.doc_freq(posted), spark.range(1).select(F.lit(n["n_chunks"]).alias("n"))), "idf", "term")
         texts = chunks.select(*KEY, "chunk_id", (F.concat_ws(" | ", "prefix", "text") if contextual else F.col("text")).alias("text"))
         if encoder:
             vectors = kept(encode.encode(texts, encoder).select(*KEY, "chunk_id", "vector"), "forward", "chunk_id")
@@ -182,13 +193,13 @@ class Engine:
             config["cells"] = {"schema": cells.assigned.schema.jsonValue(), "n_cells": cells.n_cells, "probes": cells.probes}
             shape = vectors.agg(F.avg(F.sqrt(vector.dot(F.col("vector"), F.col("vector")))).alias("mean_norm"), F.max(F.size("vector")).alias("dimensions"))
         else:
-            found = tfidf.fitted(texts, features, KEY, unique=True)
+            found = tfidf.fitted(texts, features, KEY, unique=True, put=lambda rows: kept(rows.withColumn("chunk_id", chunk_id()), "forward", "chunk_id"))  # a chunk's counted terms
             kept(found.vocabulary(), "vocabulary")
-            kept(found.weights(), "weights", "term")
-            forward = kept(found.vectors().withColumn("chunk_id", chunk_id()), "forward", "chunk_id")  # a chunk's terms
-            norms = forward.select(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])).alias("norm"))
-            shape = norms.agg(F.avg("norm").alias("mean_norm"), F.lit(tables["vocabulary"]["rows"]).alias("dimensions"))
-        config |= shape.first().asDict() | {"tables": tables, "fingerprint": mark or cls.fingerprint(docs, cls.settings(title, contextual, features, encoder)), "indexing_time_s": round(time.time() - began, 3)}
+            config["terms"] = found.size
+            if inverted:
+                kept(found.weights(), "weights", "term")
+            shape = found.norms().agg(F.avg("norm").alias("mean_norm"), F.lit(tables["vocabulary"]["rows"]).alias("dimensions"))
+        config |= shape.first().asDict() | {"tables": tables, "fingerprint": mark or cls.fingerprint(docs, cls.settings(title, contextual, features, encoder, inverted)), "indexing_time_s": round(time.time() - began, 3)}
         spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.text(f"{path}/config")  # what makes it an index
         return cls(spark, path, encoder)
 
@@ -203,10 +214,10 @@ class Engine:
         return self
 
     @classmethod
-    def load(cls, docs: DataFrame, path: str, title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoder: Callable[[], encode.Encoder] | None = None) -> Engine:
+    def load(cls, docs: DataFrame, path: str, title: str = "source", contextual: bool = True, features: int = tfidf.FEATURES, encoder: Callable[[], encode.Encoder] | None = None, inverted: bool = True) -> Engine:
         """Opens a saved index; raises ValueError where it was made from other documents, titles or settings."""
         engine = cls(docs.sparkSession, path, encoder)
-        if engine.config["fingerprint"] != cls.fingerprint(docs, cls.settings(title, contextual, features, encoder)):
+        if engine.config["fingerprint"] != cls.fingerprint(docs, cls.settings(title, contextual, features, encoder, inverted)):
             raise ValueError(f"the index in {path} was made from other documents or settings")
         return engine
 
@@ -234,12 +245,22 @@ class Engine:
         return vector.open_index(self.spark, f"{self.path}/cells", StructType.fromJson(c["schema"]), c["n_cells"], KEY, "vector", c["probes"])
 
     def _many(self, queries: DataFrame) -> bool:
-        return queries.limit(MANY).count() == MANY
+        return not self.config["inverted"] or queries.limit(MANY).count() == MANY
+
+    @cached_property
+    def _vocabulary(self) -> list:
+        """(term, idf, at), as many as there are features at most."""
+        return self._table("vocabulary").orderBy("at").collect()
+
+    def _fitted(self, rows: DataFrame, keys: list[str]) -> tfidf.Fitted:
+        """Rows of the forward table with the weights of their terms."""
+        held = self._vocabulary
+        return tfidf.Fitted(rows, keys, [r.term for r in held], np.array([r.idf for r in held], float), np.array([r["at"] for r in held], np.int64), self.config["terms"])
 
     def _bm25(self, queries: DataFrame, pool: Sized) -> DataFrame:
         """(query_id, doc_id, chunk_ord, bm25n) of the pool's chunks that have a word of the question."""
         if self._many(queries):
-            return lexical.Bm25(self.chunks(), KEY).fit(queries).normalised(pool).select("query_id", *KEY, "bm25n")
+            return lexical.Bm25(self.chunks(), KEY, unique=True).fit(queries).normalised(pool).select("query_id", *KEY, "bm25n")
         words = lexical.query_terms(queries)
         posted, idf = (self._wanted(t, words.table, "term") for t in ("postings", "idf"))
         stats = self.spark.range(1).select(F.lit(self.config["avg_words"]).cast("double").alias("avgdl"))
@@ -252,15 +273,14 @@ class Engine:
             cells = self._cells()
             found = vector.cosine_topk(asked, cells.assigned, size, KEY, "vector", "item_id") if exact else cells.search(asked, size, query_key="item_id")
             return found.drop("rank").withColumn("chunk_id", chunk_id())
-        theirs = sized(tfidf.query_weights(queries, self._table("vocabulary")), "query-weights")
         heads = self._table("heads") if size <= HEADS else self.chunks()
-        if theirs.few and self._many(queries):
-            rows = theirs.table.collect()
-            terms = sorted({r.term for r in rows})
-            place = {t: i for i, t in enumerate(terms)}
-            scores = sparse.Scores(sparse.of_vectors(self._table("forward"), KEY, terms), KEY, [(r.query_id, place[r.term], r.qw) for r in rows], len(terms), lambda at, w, row, batch: w, 9, queries.schema["item_id"].dataType)
-            return tfidf.pool(scores.top(size).withColumnRenamed("score", "cosine"), queries, heads, size, key=KEY).drop("rank").withColumn("chunk_id", chunk_id())
-        met = self._wanted("weights", theirs.table, "term").join(theirs.side(), "term").groupBy("query_id", *KEY).agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("cosine"))
+        if self._many(queries):
+            found = self._fitted(self._table("forward"), KEY)
+            scores, theirs = found.scores(queries)
+            met = scores.top(size).withColumnRenamed("score", "cosine") if scores else tfidf.matched(found.weights(), theirs, KEY)
+        else:
+            theirs = sized(tfidf.query_weights(queries, self._table("vocabulary")), "query-weights")
+            met = tfidf.matched(self._wanted("weights", theirs.table, "term"), theirs, KEY)
         return tfidf.pool(met, queries, heads, size, key=KEY).drop("rank").withColumn("chunk_id", chunk_id())
 
     def search(self, queries: DataFrame, k: int = TOP_K, use_mmr: bool = True, use_expansion: bool = True, weights: tuple | None = None, rules: expand.Rules = expand.RULES, products: Sequence[str] = ranking.PRODUCTS, exact: bool = False) -> DataFrame:
@@ -285,7 +305,8 @@ class Engine:
         rows = rows.withColumn("rank", order.cast("long"))
         if use_mmr:
             ranked = sized(rows, "ranked")
-            vectors = self._wanted("forward", ranked.table, "chunk_id").select("chunk_id", "vector").join(ranked.side(ranked.table.select("chunk_id").distinct()), "chunk_id", "left_semi")
+            vectors = self._wanted("forward", ranked.table, "chunk_id").join(ranked.side(ranked.table.select("chunk_id").distinct()), "chunk_id", "left_semi")
+            vectors = vectors.select("chunk_id", "vector") if self.encoder else self._fitted(vectors, ["chunk_id"]).vectors()
             met = ranked.table.join(vectors, "chunk_id", "left")
             picked = ranking.mmr(met.select("query_id", "chunk_id", "score", "rank", "vector", "lambda", "doc_id"), k, key="chunk_id", doc="doc_id")
             rows = ranked.table.drop("rank").join(picked, ["query_id", "chunk_id"])
@@ -324,7 +345,7 @@ class Engine:
         c, cells = self.config, self.config.get("cells")
         index = {"index_type": "inverted"} if not cells else {"index_type": "flat" if cells["n_cells"] == 1 else "ivf", "nlist": cells["n_cells"], "nprobe": cells["probes"]}
         return {
-            "n_chunks": c["n_chunks"], "n_docs": c["n_docs"], "avg_quality": round(c["avg_quality"] or 0.0, 3), "avg_words": round(c["avg_words"] or 0.0, 1), "mean_norm": round(c["mean_norm"] or 0.0, 4), "embedding_dim": c["dimensions"] or 0, "vocabulary": c["tables"]["idf"]["rows"],
+            "n_chunks": c["n_chunks"], "n_docs": c["n_docs"], "avg_quality": round(c["avg_quality"] or 0.0, 3), "avg_words": round(c["avg_words"] or 0.0, 1), "mean_norm": round(c["mean_norm"] or 0.0, 4), "embedding_dim": c["dimensions"] or 0, "vocabulary": c["tables"]["idf"]["rows"] if c["inverted"] else None,
             **index, "model": "encoder" if self.encoder else "TF-IDF", "real_embeddings": bool(self.encoder), "cache_lru_size": len(self.cache.held), "reranking": "cosine + BM25 + quality", "diversification": "MMR", "indexing_time_s": c["indexing_time_s"],
         }
 

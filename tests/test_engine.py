@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quarry.functions import text as T
-from quarry import session
+from quarry import session, shared
 from quarry.__main__ import Service, main, serve
 from quarry.operators import chunk, encode, evaluate, expand, lexical, ranking, vector
 from quarry.plans import registry
@@ -227,6 +227,21 @@ def test_folders_of_postings_change_nothing(spark, monkeypatch):
     assert many.config["folders"] > 3 and sorted(map(tuple, many.search(asked).collect())) == want
 
 
+def test_a_search_of_a_batch_writes_less_than_three_times_its_documents(spark, tmp_path, monkeypatch):
+    """All that search_full writes into the shared folder, against the table that it reads; and the rows that an index with all tables gives."""
+    d = SF.replace("sf0.001", "sf0.01")
+    docs, asked = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
+    with monkeypatch.context() as m:
+        m.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+        got = sorted(map(tuple, registry.queries()["search_full"](spark, d).collect()))
+    size = sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(tmp_path) for f in files)
+    assert size < 3 * os.path.getsize(f"{d}/documents.parquet")
+    full = Engine.build(docs)
+    assert sorted(map(tuple, full.search(asked).collect())) == got
+    batch = Engine.build(docs, inverted=False)
+    assert batch.ask("the and that of") == full.ask("the and that of") and batch.verify() is batch  # a single question
+
+
 def _maker(shift, dims=26):
     """An encoder by letters, local, so that it travels to the workers by value."""
 
