@@ -163,7 +163,11 @@ def sentences(c: Column) -> Column:
 
 def quality(c: Column) -> Column:
     """0.4 under 10 words, 0.7 above 400, else by distinct words, digits and length; three decimals."""
-    w = words(c)
+    return quality_of(c, words(c))
+
+
+def quality_of(c: Column, w: Column) -> Column:
+    """As ``quality``, of a text and its words: inside of lambdas nothing is computed once for several places, so there they are cut before."""
     n = F.size(w).cast("double")
     u = F.size(F.array_distinct(F.transform(w, F.lower))).cast("double") / n
     score = 0.6 * F.least(2 * u, F.lit(1.0)) + 0.3 * F.when(c.rlike(r"\d"), 1.0).otherwise(0.8) + 0.1 * F.least(n / 100, F.lit(1.0))

@@ -242,6 +242,18 @@ def test_a_search_of_a_batch_writes_less_than_three_times_its_documents(spark, t
     assert batch.ask("the and that of") == full.ask("the and that of") and batch.verify() is batch  # a single question
 
 
+def test_windows_of_many_short_sentences(spark, monkeypatch):
+    """Windows that go on behind the first sentences that are tried, and prefixes of texts with blanks before and behind their words."""
+    rows = [(i, "s", " ".join(f"{'Word ' * (i % 3)}End{j}." for j in range(10 * i))) for i in range(12)] + [(20, "t", "\n a  b "), (21, "", " ".join("abcdefgh" * 5)), (22, "u", " " + "w " * 34 + "x y"), (23, None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = chunk.chunk(docs).orderBy("doc_id", "chunk_ord").collect()
+    assert max(r.end_pos - r.start_pos for r in got) > 3 * chunk.NEAR
+    monkeypatch.setattr(chunk, "NEAR", chunk.MAX_WORDS)
+    assert chunk.chunk(docs).orderBy("doc_id", "chunk_ord").collect() == got
+    prefixes = {r.doc_id: r.p for r in docs.select("doc_id", chunk.prefix().alias("p")).collect()}
+    assert prefixes == {i: ". ".join([*([s] if s else []), " ".join(t.split()[:35])]) for i, s, t in rows}
+
+
 def _maker(shift, dims=26):
     """An encoder by letters, local, so that it travels to the workers by value."""
 
