@@ -69,7 +69,7 @@ def sized(df: DataFrame, name: str) -> Sized:
 def dealt(df: DataFrame, column: str, path: str, sort: str | None = None) -> None:
     """Writes ``df`` in a folder per value of ``column``. Rows of a folder come together, but a large folder's rows are split over tasks, so that one value with a large share of the rows holds up no task. ``sort`` orders a file's rows."""
     together = df.hint("rebalance", F.col(column))
-    (together.sortWithinPartitions(column, sort) if sort else together).write.partitionBy(column).parquet(path)
+    (together.sortWithinPartitions(column, sort) if sort else together).write.option("compression", "zstd").partitionBy(column).parquet(path)
 
 
 def in_folders(table: DataFrame, column: str, wanted: DataFrame, most: int) -> DataFrame:
